@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import packing
+from gristmill.llm import fingerprints, packing
 
 QUERIES = {
+    "op4_threshold_fingerprints": fingerprints.documents_fingerprinted,
     "op10_cost_balanced_packing": packing.documents_packed,
 }
 SQL: dict[str, str] = {}
