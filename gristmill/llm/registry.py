@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import fingerprints, packing
+from gristmill.llm import fingerprints, mixing, packing, sharding
 
 QUERIES = {
     "op4_threshold_fingerprints": fingerprints.documents_fingerprinted,
+    "op7_sampled_splitters": sharding.documents_sharded,
+    "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
 }
 SQL: dict[str, str] = {}
