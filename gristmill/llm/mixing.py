@@ -67,18 +67,19 @@ def solve(scratch: Scratch, sizes: DataFrame, goals: DataFrame, most: float, ste
     x = sizes.where("size > 0")
     mean = x.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.sum(F.col("size") * F.col("n")).alias("whole"))
     x = scratch.save(
-        x.join(mean, x.source.eqNullSafe(mean.source)).select(
-            x.source, (F.col("size") / F.col("mean")).alias("x"), (F.col("size") * F.col("n") / F.col("whole")).alias("part")
-        ),
+        x.alias("x")
+        .join(mean.alias("m"), F.expr("x.source <=> m.source"))
+        .selectExpr("x.source", "x.size / m.mean as x", "x.size * x.n / m.whole as part"),
         "sizes",
     )
     for _ in range(steps):
         open_ = state.where("not done and not full").select("source", "lam")
-        rate = F.exp(F.least(F.col("lam") * F.col("x"), F.lit(float(np.log(most)))))
-        slope = F.when(F.col("lam") * F.col("x") < float(np.log(most)), rate * F.col("x")).otherwise(0.0)
+        rate = F.exp(F.least(F.col("o.lam") * F.col("x.x"), F.lit(float(np.log(most)))))
+        slope = F.when(F.col("o.lam") * F.col("x.x") < float(np.log(most)), rate * F.col("x.x")).otherwise(0.0)
         sums = (
-            x.join(open_, x.source.eqNullSafe(open_.source))
-            .select(x.source.alias("s"), (rate * F.col("part")).alias("got"), (slope * F.col("part")).alias("slope"))
+            x.alias("x")
+            .join(open_.alias("o"), F.expr("x.source <=> o.source"))
+            .select(F.col("x.source").alias("s"), (rate * F.col("x.part")).alias("got"), (slope * F.col("x.part")).alias("slope"))
             .groupBy("s")
             .agg(F.sum("got").alias("got"), F.sum("slope").alias("slope"))
         )
@@ -94,7 +95,7 @@ def solve(scratch: Scratch, sizes: DataFrame, goals: DataFrame, most: float, ste
         inside = F.coalesce(F.col("newton") > F.col("low1"), F.lit(True)) & F.coalesce(F.col("newton") < F.col("high1"), F.lit(True))
         inside &= F.col("newton").isNotNull() & (F.abs(F.col("newton") - F.col("lam")) <= 8)
         step = (
-            state.join(sums, state.source.eqNullSafe(sums.s), "left")
+            state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
             .withColumn("low1", low)
             .withColumn("high1", high)
             .withColumn("newton", newton)
