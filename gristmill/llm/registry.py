@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import fingerprints, mixing, packing, sharding
+from gristmill.llm import fingerprints, mixing, packing, secrets, sharding
 
 QUERIES = {
     "op4_threshold_fingerprints": fingerprints.documents_fingerprinted,
+    "op5_structural_secrets": secrets.documents_scanned,
     "op7_sampled_splitters": sharding.documents_sharded,
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
