@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import fingerprints, mixing, packing, secrets, sharding
+from gristmill.llm import fingerprints, mixing, packing, pii, secrets, sharding
 
 QUERIES = {
+    "op2_weak_supervision_pii": pii.documents_searched,
     "op4_threshold_fingerprints": fingerprints.documents_fingerprinted,
     "op5_structural_secrets": secrets.documents_scanned,
     "op7_sampled_splitters": sharding.documents_sharded,
