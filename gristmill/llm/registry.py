@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import fingerprints, mixing, packing, pii, secrets, sharding
+from gristmill.llm import fingerprints, lines, mixing, packing, pii, quality, secrets, sharding
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.documents_searched,
+    "op3_site_line_dedup": lines.pages_without_boilerplate,
     "op4_threshold_fingerprints": fingerprints.documents_fingerprinted,
     "op5_structural_secrets": secrets.documents_scanned,
+    "op6_hierarchical_quality": quality.documents_classified,
     "op7_sampled_splitters": sharding.documents_sharded,
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_site_line_dedup": lines.SQL}
