@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import fingerprints, lines, mixing, packing, pii, quality, secrets, sharding
+from gristmill.llm import fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding
 
 QUERIES = {
     "op2_weak_supervision_pii": pii.documents_searched,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_structural_secrets": secrets.documents_scanned,
     "op6_hierarchical_quality": quality.documents_classified,
     "op7_sampled_splitters": sharding.documents_sharded,
+    "op8_minhash_lsh_forest": neardup.documents_deduplicated,
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
 }
