@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding
+from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding
 
 QUERIES = {
+    "op1_subspace_pigeonhole_join": embeddings.vectors_deduplicated,
     "op2_weak_supervision_pii": pii.documents_searched,
     "op3_site_line_dedup": lines.pages_without_boilerplate,
     "op4_threshold_fingerprints": fingerprints.documents_fingerprinted,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
 }
-SQL: dict[str, str] = {"op3_site_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op1_subspace_pigeonhole_join": embeddings.SQL, "op3_site_line_dedup": lines.SQL}
