@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, components, mixed, shingle_sets
+from gristmill.llm.common import Scratch, components, fresh, mixed, shingle_sets
 
 #: Signature length; the number of orders (trees), which start at even steps of it; and the least
 #: common prefix that makes two documents neighbours in an order.
@@ -274,6 +274,23 @@ def near_duplicates(
     return out.select(F.col("d.id").alias(id_col), F.col("d.n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("d.id"), F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the least id.
+
+    Of rows that repeat a kept id one stays. Rows with a null id all stay.
+    """
+    found = near_duplicates(docs, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull())
+    (other,) = fresh(docs, "kept_id")
+    found = Scratch(docs.sparkSession, "kept").save(found.groupBy(F.col(id_col).alias(other)).agg(F.count("*").alias("rows")), "kept")
+    once, often = found.where("rows = 1").select(other), found.where("rows > 1").select(other)
+    out = docs.join(once, F.col(id_col) == F.col(other), "left_semi")
+    if often.limit(1).count():
+        out = out.unionByName(docs.join(often, F.col(id_col) == F.col(other), "left_semi").dropDuplicates([id_col]))
+    if docs.where(F.col(id_col).isNull()).limit(1).count():
+        out = out.unionByName(docs.where(F.col(id_col).isNull()))
+    return out
+
+
 def stretch(tree: str, sketch: str) -> Column:
     """The next minima of a tree's order after the shared prefix, which sort a dense region further."""
     at = (F.col(tree) * STRIDE + DEPTH) % LENGTH

@@ -74,14 +74,15 @@ class Logistic:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> Logistic | None:
     """The document classifier, from at most about ``most`` labelled documents; None without both classes.
 
-    The sample is by hash of the id, at a rate that the number of labels sets.
+    The sample is by hash of the id, at a rate that the number of labels sets; it is small enough
+    to broadcast, so no text is shuffled.
     """
     labels = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
     rate = min(1.0, most / max(1, labels.count()))
     labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000)))
     rows = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-        .join(labels, "doc_id")
+        .join(F.broadcast(labels), "doc_id")
         .select(features(F.coalesce("t", F.lit(""))).alias("x"), "y")
         .limit(2 * most)
         .collect()
