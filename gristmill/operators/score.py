@@ -1,0 +1,282 @@
+"""Penalties, bonuses and the scores by which candidates are ranked anew."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from gristmill.functions import constants as C
+from gristmill.functions import text as T
+from gristmill.operators.support import exploded, robust_support
+
+
+@dataclass(frozen=True)
+class EchoConfig:
+    mode: str = "query_overlap_anomaly"
+    window: int = 40
+    overlap: float = 0.9
+    n: int = 3
+    ngram_overlap: float = 0.5
+    min_novel: int = 4
+    min_novelty: float = 0.18
+    prefix_penalty: float = 0.03
+    overlap_penalty: float = 0.008
+    query_copy: bool = True
+    textual_cues: bool = False
+    assertion_penalty: float = 0.012
+    instruction_penalty: float = 0.02
+    short_tokens: int = 48
+    short_extra: float = 0.004
+    untrusted_penalty: float = 0.03
+
+
+def echo_stats(query: Column, text: Column, config: EchoConfig = EchoConfig()) -> Column:
+    """How much a document's beginning copies the query: exact_prefix, overlap, ngram_overlap, novelty_ratio, novel."""
+    q, d = T.normalize(query), T.normalize(text)
+    words = T.words_of(q)
+    telling = F.filter(words, lambda w: ~F.array_contains(T.literal(C.COMMON_ENTITY_WORDS), w))
+    telling = F.when(F.size(telling) > 0, telling).otherwise(words)
+    distinct = F.array_distinct(telling)
+    head = F.slice(T.words_of(d), 1, config.window)
+    q_grams, d_grams = T.ngrams(telling, config.n), T.ngrams(head, config.n)
+    content = F.array_distinct(F.filter(head, lambda w: (F.length(w) > 2) & ~F.array_contains(T.literal(C.QUERY_FOCUS_STOPWORDS), w)))
+    novel = F.size(F.array_except(content, distinct))
+    usable = (q != "") & (d != "")
+    pick = lambda value, default: F.when(usable, value).otherwise(default)
+    return F.struct(
+        pick(F.startswith(d, q), False).alias("exact_prefix"),
+        pick(F.size(F.array_intersect(distinct, head)) / F.greatest(F.size(distinct), F.lit(1)), 0.0).alias("overlap"),
+        pick(F.when(F.size(q_grams) > 0, F.size(F.array_intersect(q_grams, d_grams)) / F.size(q_grams)).otherwise(0.0), 0.0).alias("ngram_overlap"),
+        pick(novel / F.greatest(F.size(content), F.lit(1)), 1.0).alias("novelty_ratio"),
+        pick(novel, 0).alias("novel"),
+    )
+
+
+def echo_penalty(stats: Column, config: EchoConfig = EchoConfig()) -> Column:
+    c = config
+    high = stats["overlap"] >= c.overlap
+    if c.mode in ("legacy", "query_echo"):
+        return F.when(stats["exact_prefix"], c.prefix_penalty).when(high, c.overlap_penalty).otherwise(0.0)
+    some = (stats["overlap"] >= max(0.75, c.overlap - 0.15)) & (stats["ngram_overlap"] >= 0.25)
+    penalty = F.when(high | (stats["ngram_overlap"] >= c.ngram_overlap), c.overlap_penalty).when(some, c.overlap_penalty * 0.5).otherwise(0.0)
+    stale = (stats["novel"] < c.min_novel) | (stats["novelty_ratio"] < c.min_novelty)
+    return F.when(stats["exact_prefix"], c.prefix_penalty).otherwise(penalty * F.when(stale, 1.5).otherwise(1.0))
+
+
+def injection_risk(text: Column, lexical: Column, config: EchoConfig = EchoConfig()) -> Column:
+    """penalty and signals of copied queries and planted answers; the larger of both penalties counts."""
+    c, d = config, T.normalize(text)
+    copied = lexical if c.query_copy else F.lit(0.0)
+    if not c.textual_cues:
+        return F.struct(copied.alias("penalty"), F.array_compact(F.array(F.when(copied > 0, "query_copy"))).alias("signals"))
+    any_of = lambda cues: T.or_(*(F.contains(d, F.lit(x)) for x in cues))
+    asserts, instructs = any_of(C.ASSERTION_CUES), any_of(C.INSTRUCTION_CUES)
+    base = F.greatest(F.when(asserts, c.assertion_penalty).otherwise(0.0), F.when(instructs, c.instruction_penalty).otherwise(0.0))
+    short = (base > 0) & (F.size(T.words_of(d)) <= c.short_tokens)
+    signals = F.array(
+        F.when(copied > 0, "query_copy"), F.when(asserts, "answer_assertion"), F.when(instructs, "answer_instruction"), F.when(short, "short_assertion_context")
+    )
+    return F.struct(F.greatest(copied, base + F.when(short, c.short_extra).otherwise(0.0)).alias("penalty"), F.array_compact(signals).alias("signals"))
+
+
+def untrusted_claims(candidates: DataFrame, config: EchoConfig = EchoConfig()) -> DataFrame:
+    """candidates whose untrusted documents' answers were held against those of all others of the query.
+
+    Needs provenance, mentions, risk (penalty and signals) and echo_penalty; an answer that no
+    trusted document gives raises the penalty.
+    """
+    w = Window.partitionBy("query_id")
+    untrusted = F.coalesce(T.normalize(F.col("provenance")).isin(*C.UNTRUSTED_PROVENANCE), F.lit(False))
+    keys = F.transform("mentions", lambda m: m["key"])
+    rows = candidates.withColumns({"_untrusted": untrusted, "_keys": F.filter(keys, lambda k: k != "")})
+    rows = rows.withColumn("_trusted", F.flatten(F.collect_list(F.when(~F.col("_untrusted"), F.col("_keys"))).over(w)))
+    claims = F.col("_untrusted") & (F.size("_keys") > 0)
+    agreed = F.arrays_overlap("_keys", "_trusted")
+    raised = F.greatest(F.col("risk.penalty"), F.lit(config.untrusted_penalty))
+    signal = F.when(claims & agreed, "untrusted_corroborated").when(claims, "untrusted_uncorroborated_claim")
+    penalty = F.when(claims & ~agreed, raised).otherwise(F.col("risk.penalty"))
+    rows = rows.withColumn("_echo", F.when(claims & ~agreed, raised).otherwise(F.col("echo_penalty")))
+    rows = rows.withColumn("risk", F.struct(penalty.alias("penalty"), F.array_compact(F.concat(F.col("risk.signals"), F.array(signal))).alias("signals")))
+    return rows.withColumn("echo_penalty", F.col("_echo")).drop("_untrusted", "_keys", "_trusted", "_echo")
+
+
+@dataclass(frozen=True)
+class GroundingConfig:
+    min_coverage: float = 0.25
+    min_overlap: int = 2
+    short_tokens: int = 18
+    low_penalty: float = 0.012
+    short_penalty: float = 0.04
+
+
+def grounding(query: Column, text: Column, config: GroundingConfig = GroundingConfig()) -> Column:
+    """Whether a document keeps to the query's topic: overlap, coverage, content_tokens, low, penalty."""
+    c = config
+    words, content = T.content_tokens(query), T.content_words(T.normalize(text))
+    known = (F.size(words) > 0) & (F.size(content) > 0)
+    overlap = F.when(known, F.size(F.array_intersect(words, content))).otherwise(0)
+    share = F.when(known, overlap / F.size(words)).otherwise(0.0)
+    short = F.size(content) <= c.short_tokens
+    low = known & (((overlap < c.min_overlap) & (share < c.min_coverage)) | (short & (overlap < max(1, c.min_overlap))))
+    penalty = F.when(low, F.lit(c.low_penalty) + F.when(short, c.short_penalty).otherwise(0.0)).otherwise(0.0)
+    return F.struct(overlap.alias("overlap"), share.alias("coverage"), F.size(content).alias("content_tokens"), low.alias("low"), penalty.alias("penalty"))
+
+
+@dataclass(frozen=True)
+class ScoreConfig:
+    rank_k: int = 60
+    bonus: float = 0.006
+    duplicate: float = 0.004
+    conflict: float = 0.004
+    most_clusters: int = 3
+    min_conflict: int = 2
+    channel: float = 0.003
+    echo_support: float = 0.006
+    isolated: float = 0.006
+    grounding_bonus: float = 0.004
+    coverage_bonus: float = 0.006
+    singleton: float = 0.003
+    use_echo: bool = True
+    use_grounding: bool = True
+
+
+def base_score(c: ScoreConfig) -> Column:
+    return 1.0 / (c.rank_k + F.col("rank"))
+
+
+def minus_own(score: Column, c: ScoreConfig) -> Column:
+    if c.use_echo:
+        score -= F.col("echo_penalty")
+    return score - F.col("ground.penalty") if c.use_grounding else score
+
+
+def evidence_score(candidates: DataFrame, c: ScoreConfig = ScoreConfig(), g: GroundingConfig = GroundingConfig()) -> DataFrame:
+    """candidates with score by topic, cluster and channels, for queries whose candidates hardly mention answers."""
+    size = F.count("*").over(Window.partitionBy("query_id", "cluster_id"))
+    ground = F.col("ground")
+    score = base_score(c) + c.channel * F.greatest(F.size("channels") - 1, F.lit(0))
+    score += c.grounding_bonus * F.least(ground["overlap"], F.lit(3)) + c.coverage_bonus * ground["coverage"]
+    score -= F.when(ground["low"], F.lit(g.low_penalty) + F.when(ground["content_tokens"] <= g.short_tokens, g.short_penalty).otherwise(0.0)).otherwise(0.0)
+    score += F.when(F.col("_size") <= 1, c.singleton).otherwise(-c.duplicate * (F.col("_size") - 1))
+    score -= F.col("echo_penalty") + F.when(F.col("echo_penalty") > 0, c.echo_support).otherwise(0.0)
+    return candidates.withColumn("_size", size).withColumn("score", F.round(score, 9)).drop("_size")
+
+
+def support_score(candidates: DataFrame, support: DataFrame, c: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """candidates with score by how many independent clusters back the answers that they mention."""
+    w = Window.partitionBy("query_id")
+    wide = support.select(
+        "query_id", "answer_key", "doc_count", "cluster_count", F.count("*").over(w).alias("answers"), F.max("cluster_count").over(w).alias("most")
+    )
+    n = F.col("cluster_count")
+    value = c.bonus * F.least(n, F.lit(c.most_clusters)) - c.duplicate * F.greatest(F.col("doc_count") - n, F.lit(0))
+    value -= F.when(F.col("answers") >= c.min_conflict, c.conflict * (F.col("most") - n)).otherwise(0.0)
+    return add_values(candidates, wide, value, c)
+
+
+def robust_score(candidates: DataFrame, c: ScoreConfig = ScoreConfig(), g: GroundingConfig = GroundingConfig()) -> DataFrame:
+    """candidates with score by support that neither copies the query nor misses its topic."""
+    w = Window.partitionBy("query_id")
+    wide = robust_support(candidates).withColumns({"answers": F.count("*").over(w), "most": F.max("non_echo_clusters").over(w)})
+    wide = wide.drop("label", "grounded_clusters")
+    independent = F.col("non_echo_clusters")
+    backed = (independent > 0) & ~F.col("low_grounding")
+    value = F.when(
+        backed, c.bonus * F.least(independent, F.lit(c.most_clusters)) + c.channel * F.greatest(F.col("channel_count") - 1, F.lit(0))
+    ).otherwise(-c.echo_support)
+    value -= F.when(F.col("cluster_count") <= 1, c.isolated).otherwise(0.0)
+    value -= c.duplicate * F.greatest(F.col("doc_count") - F.col("cluster_count"), F.lit(0))
+    value -= c.echo_support * F.least(F.col("echo_docs"), F.lit(2)) + g.low_penalty * F.least(F.col("low_grounding_docs"), F.lit(2))
+    value -= F.when(F.col("answers") >= c.min_conflict, c.conflict * F.greatest(F.col("most") - independent, F.lit(0))).otherwise(0.0)
+    return add_values(candidates, wide, value, c, once=True)
+
+
+def add_values(candidates: DataFrame, wide: DataFrame, value: Column, c: ScoreConfig, once: bool = False) -> DataFrame:
+    rows = exploded(candidates).select("query_id", "doc_id", "low_grounding", "answer_key")
+    rows = rows.distinct() if once else rows
+    values = rows.join(wide, ["query_id", "answer_key"]).groupBy("query_id", "doc_id").agg(F.sum(value).alias("_value"))
+    score = minus_own(base_score(c) + F.coalesce("_value", F.lit(0.0)), c)
+    return candidates.drop("score").join(values, ["query_id", "doc_id"], "left").withColumn("score", F.round(score, 9)).drop("_value")
+
+
+def by_mode(candidates: DataFrame, modes: DataFrame, evidence: DataFrame, other: DataFrame) -> DataFrame:
+    """The evidence score for queries in that mode, the other score for the rest."""
+    picked = modes.select("query_id", "evidence_mode")
+    e = evidence.join(picked, "query_id").where("evidence_mode").drop("evidence_mode")
+    o = other.join(picked, "query_id").where("not evidence_mode").drop("evidence_mode")
+    return e.unionByName(o)
+
+
+@dataclass(frozen=True)
+class MarginConfig:
+    threshold: float = 0.75
+    max_threshold: float = 1.5
+    dynamic: bool = True
+    weak_clusters: int = 1
+    weak_channels: int = 1
+    echo_ratio: float = 0.5
+    strong_clusters: int = 2
+    min_conflict: int = 2
+    weak_delta: float = 0.25
+    echo_delta: float = 0.15
+    multi_delta: float = 0.15
+    no_strong_delta: float = 0.2
+    high_risk_delta: float = 0.35
+    alternatives: int = 2
+
+
+def margin_context(scores: DataFrame, queries: DataFrame, m: MarginConfig = MarginConfig()) -> DataFrame:
+    """Per query with two answers or more: margin, conflict type and the threshold that the margin must reach.
+
+    queries may bring policy_margin, the least threshold that a policy asks for, and policy_high.
+    """
+    of = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    rows = scores.groupBy("query_id").agg(
+        F.count("*").alias("answers"),
+        F.count_if(F.col("independent") >= m.strong_clusters).alias("strong"),
+        *(of(1, c).alias(f"top_{c}") for c in ("answer_key", "independent", "channel_count", "echo_ratio", "echo_docs", "doc_count", "isolated", "support_score")),
+        *(of(2, c).alias(f"next_{c}") for c in ("answer_key", "independent", "support_score")),
+    )
+    rows = rows.where(F.col("answers") >= m.min_conflict).join(queries, "query_id")
+    lowered = F.lower("query")
+    risky = T.or_(*(F.contains(lowered, F.lit(k)) for k in C.HIGH_RISK_KEYWORDS))
+    if "policy_high" in queries.columns:
+        risky = F.coalesce(F.col("policy_high"), risky)
+    weak = (F.col("top_independent") <= m.weak_clusters) & (F.col("top_channel_count") <= m.weak_channels)
+    echo = (F.col("top_echo_ratio") >= m.echo_ratio) | (F.col("top_echo_docs") >= F.col("top_doc_count"))
+    isolated, multi, none = F.col("top_isolated"), F.col("strong") >= 2, F.col("strong") == 0
+    behind = F.coalesce(F.col("next_independent") > F.col("top_independent"), F.lit(False))
+    runner = F.coalesce(F.col("next_independent") >= m.strong_clusters, F.lit(False))
+    kind = (
+        F.when(multi, "multi_supported_conflict")
+        .when(behind, "top_not_best_support")
+        .when(weak & runner, "weak_top_with_supported_alternative")
+        .when(none, "no_strong_answer")
+        .when(echo, "echo_heavy_top_answer")
+        .when(isolated, "isolated_top_answer")
+        .otherwise("weak_conflict")
+    )
+    threshold = F.lit(m.threshold)
+    if m.dynamic:
+        for condition, delta in ((weak | isolated, m.weak_delta), (echo, m.echo_delta), (multi, m.multi_delta), (none, m.no_strong_delta), (risky, m.high_risk_delta)):
+            threshold += F.when(condition, delta).otherwise(0.0)
+    if "policy_margin" in queries.columns:
+        threshold = F.greatest(threshold, F.coalesce(F.col("policy_margin"), F.lit(0.0)))
+    threshold = F.round(F.least(threshold, F.lit(m.max_threshold)), 9)
+    margin = F.round(F.col("top_support_score") - F.col("next_support_score"), 9)
+    return rows.select(
+        "query_id", F.col("top_answer_key").alias("top_answer"), F.col("next_answer_key").alias("runner_up"), margin.alias("margin"),
+        threshold.alias("threshold"), (margin < threshold).alias("low_margin"), kind.alias("conflict_type"), (weak | isolated | echo).alias("top_weak"),
+        isolated.alias("top_isolated"), echo.alias("top_echo_heavy"), multi.alias("multi_supported"), none.alias("no_strong_answer"), risky.alias("high_risk"),
+    )
+
+
+def alternatives(scores: DataFrame, context: DataFrame, m: MarginConfig = MarginConfig()) -> DataFrame:
+    """(query_id, answer_key) of the answers close enough behind the first, best first, at most ``alternatives``."""
+    top = scores.where("place = 1").select("query_id", F.col("support_score").alias("top_score"))
+    rows = scores.where("place > 1").join(top, "query_id").join(context.select("query_id", "threshold"), "query_id")
+    rows = rows.where(F.col("top_score") - F.col("support_score") < F.col("threshold"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("support_score"), F.desc("independent"), F.desc("channel_count"), "best_rank", F.desc("answer_key"))
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= m.alternatives).select("query_id", "answer_key")

@@ -1,3 +1,741 @@
-"""Registered queries of the engine, by name."""
+"""Registered queries of the engine over the given tables, by name.
 
-QUERIES = {}
+Roles: documents is the corpus, benchmark has the queries, embeddings the vectors of both, labels
+says which documents are poison (toxic), and a document's source says where it comes from.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gristmill.functions import text as X
+from gristmill.operators import cluster, evaluate, fusion, mentions, policy, retrieve, score, select, support
+from gristmill.plans import harden, tables
+from gristmill.sources import readers
+from gristmill.streaming import late
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+DEPTH = 20
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, floats as double, so that results compare by value."""
+    kinds = (T.IntegerType, T.ShortType, T.ByteType)
+    return df.select(
+        *(F.col(f.name).cast("bigint") if isinstance(f.dataType, kinds) else F.col(f.name).cast("double") if isinstance(f.dataType, T.FloatType) else F.col(f.name) for f in df.schema)
+    )
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+    return f
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.table(spark, sf, "documents")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = readers.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return rows, rows.withColumnRenamed("doc_id", "query_id").join(asked(spark, sf).select("query_id"), "query_id", "left_semi")
+
+
+def provenance() -> Column:
+    return F.when(F.col("source").isin("src18", "src19"), "Runtime_External").when(F.col("source") != "src17", "indexed_corpus")
+
+
+def poison(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxic documents, each as the poison of one query."""
+    rows = readers.table(spark, sf, "labels").where("toxic = 1")
+    return rows.select("doc_id", F.expr("pmod(doc_id, 40)").alias("query_id"))
+
+
+def bm25(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
+    return retrieve.top_k(retrieve.bm25_scores(retrieve.bm25_index(docs(spark, sf)), asked(spark, sf)), k)
+
+
+def dense(spark: SparkSession, sf: str, k: int = DEPTH, metric: str = "cosine") -> DataFrame:
+    return retrieve.dense_top_k(*vectors(spark, sf), k, metric)
+
+
+def staged(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with plain features: the long words of a text as mentions, its source as cluster."""
+    rows = bm25(spark, sf, 10).join(docs(spark, sf).select("doc_id", "text", "source"), "doc_id")
+    words = F.slice(F.array_distinct(F.filter(X.words_of(X.normalize(F.col("text"))), lambda w: F.length(w) >= 9)), 1, 3)
+    few = F.transform(words, lambda w: mentions.mention(F.substr(w, F.lit(1), F.lit(4)), "word"))
+    rows = rows.withColumn("mentions", mentions.first_of_each(few))
+    flag = lambda n: F.expr(f"pmod(doc_id, {n}) = 0")
+    ground = F.struct(
+        F.expr("pmod(doc_id, 4)").cast("int").alias("overlap"), (F.expr("pmod(doc_id, 4)") / 4).alias("coverage"), F.expr("pmod(doc_id, 40)").cast("int").alias("content_tokens"),
+        flag(7).alias("low"), F.when(flag(7), 0.012).otherwise(0.0).alias("penalty"),
+    )
+    return rows.select(
+        "query_id", "doc_id", "score", "rank", "source", F.expr("cast(substring(source, 4) as int) div 2").alias("cluster_id"),
+        F.when(flag(3), F.array(F.lit("bm25"), F.lit("dense"))).otherwise(F.array(F.lit("bm25"))).alias("channels"), "mentions",
+        F.when(flag(5), 0.008).otherwise(0.0).alias("echo_penalty"), flag(7).alias("low_grounding"), ground.alias("ground"), provenance().alias("provenance"),
+    )
+
+
+# --- text -----------------------------------------------------------------------------------------
+
+
+@query
+def text_normalize(spark, sf):
+    return docs(spark, sf).select("doc_id", X.normalize(F.col("text")).alias("plain"), X.normalize_policy(F.col("text")).alias("folded"))
+
+
+@query
+def text_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def text_clean_answer(spark, sf):
+    return readers.table(spark, sf, "conversations").select("conv_id", "turn", X.clean_answer(F.col("text")).alias("answer"))
+
+
+@query
+def text_answer_list(spark, sf):
+    parts = F.split(F.col("text"), "[.]", -1)
+    return readers.table(spark, sf, "conversations").select("conv_id", "turn", X.answer_list(parts).alias("answers"))
+
+
+@query
+def text_query_type(spark, sf):
+    return readers.table(spark, sf, "conversations").select("conv_id", "turn", X.query_type(F.col("text")).alias("kind"))
+
+
+@query
+def text_content_tokens(spark, sf):
+    return asked(spark, sf).select("query_id", F.array_sort(X.content_tokens(F.col("query"))).alias("words"))
+
+
+@query
+def text_sentences(spark, sf):
+    return docs(spark, sf).select("doc_id", X.sentences(F.col("text")).alias("sentences"))
+
+
+@query
+def text_focus_spans(spark, sf):
+    rows = bm25(spark, sf, 3).join(docs(spark, sf).select("doc_id", "text"), "doc_id").join(asked(spark, sf), "query_id")
+    spans = X.focus_spans(F.col("query"), F.col("text"), 4)
+    return rows.select("query_id", "doc_id", F.transform(spans, lambda s: s["span"]).alias("spans"), spans[0]["kind"].alias("kind"))
+
+
+def first_sentence(spark, sf):
+    return docs(spark, sf).select("doc_id", F.get(X.sentences(F.col("text")), F.lit(0)).alias("s")).where("s is not null")
+
+
+@query
+def text_clean_label(spark, sf):
+    return first_sentence(spark, sf).select("doc_id", X.clean_label(F.col("s")).alias("label"))
+
+
+@query
+def text_candidate_rules(spark, sf):
+    words = F.array_distinct(X.words_of(X.normalize(F.col("s"))))
+    known = F.array(*map(F.lit, ["the", "thing", "and", "of", "la", "de", "answer"]))
+    label = X.clean_label(F.col("s"))
+    return first_sentence(spark, sf).select(
+        "doc_id", X.is_low_value(label, known).alias("low_value"), X.is_sentence_like(F.col("s")).alias("sentence_like"), X.is_query_echo(words, known).alias("echo")
+    )
+
+
+@query
+def text_context_window(spark, sf):
+    label = F.element_at(X.words_of(X.normalize(F.col("text"))), -1)
+    return docs(spark, sf).select("doc_id", X.context_window(F.col("text"), label).alias("context"))
+
+
+@query
+def text_ngrams(spark, sf):
+    return asked(spark, sf).select("query_id", F.explode(X.ngrams(X.words_of(X.normalize(F.col("query"))), 3)).alias("gram"))
+
+
+@query
+def text_unify_punctuation(spark, sf):
+    odd = F.concat(F.col("text"), F.lit("“a”–b…‘c’­d⁄e″"))
+    return docs(spark, sf).select("doc_id", X.unify_punctuation(odd).alias("text"))
+
+
+@query
+def text_reader_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", X.reader_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def text_normalize_qa(spark, sf):
+    return docs(spark, sf).select("doc_id", X.normalize_qa(F.col("text")).alias("answer"))
+
+
+@query
+def text_abstention(spark, sf):
+    rows = readers.table(spark, sf, "conversations")
+    said = F.when(F.col("turn") % 3 == 1, F.concat(F.col("text"), F.lit(" I don't know."))).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", X.is_abstention(said).alias("abstains"))
+
+
+@query
+def text_prompt(spark, sf):
+    rows = bm25(spark, sf, 3).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    contexts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.left("text", F.lit(200)).alias("t")))), lambda c: c["t"])
+    rows = rows.groupBy("query_id").agg(contexts.alias("contexts")).join(asked(spark, sf), "query_id")
+    return rows.select("query_id", X.prompt(F.col("query"), F.col("contexts")).alias("prompt"))
+
+
+@query
+def text_gibberish(spark, sf):
+    return docs(spark, sf).select("doc_id", F.array_join(X.gibberish_reasons(F.col("text")), ",").alias("reasons"))
+
+
+@query
+def text_repair(spark, sf):
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.col("text"), F.lit(" !!!!!!!!!!!!"))).otherwise(F.col("text"))
+    return readers.table(spark, sf, "conversations").select("conv_id", "turn", X.repair(said).alias("text"))
+
+
+@query
+def text_head_and_tail(spark, sf):
+    return docs(spark, sf).select("doc_id", X.head_and_tail(F.col("text")).alias("text"))
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+
+@query
+def bm25_postings(spark, sf):
+    return retrieve.bm25_index(docs(spark, sf)).postings
+
+
+@query
+def bm25_statistics(spark, sf):
+    index = retrieve.bm25_index(docs(spark, sf))
+    n = index.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return index.stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(n)
+
+
+@query
+def bm25_top_k(spark, sf):
+    return bm25(spark, sf)
+
+
+@query
+def bm25_with_arrivals(spark, sf):
+    outside = provenance() == "Runtime_External"
+    index = retrieve.bm25_index(docs(spark, sf).where(~F.coalesce(outside, F.lit(False))))
+    extra = retrieve.bm25_extra(index, docs(spark, sf).where(outside), asked(spark, sf))
+    return retrieve.merge_top_k(retrieve.bm25_scores(index, asked(spark, sf)), extra, DEPTH)
+
+
+@query
+def dense_dot(spark, sf):
+    return dense(spark, sf, DEPTH, "dot")
+
+
+@query
+def dense_cosine(spark, sf):
+    return dense(spark, sf, DEPTH, "cosine")
+
+
+@query
+def dense_native(spark, sf):
+    return retrieve.top_k(retrieve.dense_scores(*vectors(spark, sf), "cosine"), DEPTH)
+
+
+@query
+def run_compressed(spark, sf):
+    scores = retrieve.bm25_scores(retrieve.bm25_index(docs(spark, sf)), asked(spark, sf))
+    return retrieve.compress_run(scores, 50)
+
+
+@query
+def run_joined(spark, sf):
+    run = retrieve.compress_run(retrieve.bm25_scores(retrieve.bm25_index(docs(spark, sf)), asked(spark, sf)), 50)
+    return retrieve.run_results(run, docs(spark, sf).where("lang <> 'fr'"), 30)
+
+
+@query
+def hybrid_rrf(spark, sf):
+    fused = fusion.fuse(fusion.channels_of({"dense": dense(spark, sf), "bm25": bm25(spark, sf)}), DEPTH)
+    return fused.select("query_id", "doc_id", "score", "rank", "support_count")
+
+
+@query
+def hybrid_min_max(spark, sf):
+    return fusion.hybrid(dense(spark, sf), bm25(spark, sf), DEPTH, 0.4)
+
+
+def ensemble(spark, sf, mode, **options):
+    channels = fusion.channels_of({"dense": dense(spark, sf), "bm25": bm25(spark, sf), "dot": dense(spark, sf, metric="dot")}, {"bm25": 1.5})
+    fused = fusion.fuse(channels, DEPTH, mode=mode, total=3, support_bonus=0.002, single_penalty=0.003, missing_penalty=0.001, **options)
+    return fused.select("query_id", "doc_id", "rrf_score", "score", "rank", "support_count")
+
+
+@query
+def ensemble_consensus(spark, sf):
+    return ensemble(spark, sf, "consensus_rrf")
+
+
+@query
+def ensemble_robust(spark, sf):
+    return ensemble(spark, sf, "robust_rank")
+
+
+@query
+def ensemble_min_support(spark, sf):
+    return ensemble(spark, sf, "consensus_rrf", min_support=2)
+
+
+@query
+def poisoned_ranking(spark, sf):
+    """A stored run with all queries' poison merged in, and how much of its own each query shows."""
+    base = retrieve.bm25_index(docs(spark, sf).join(poison(spark, sf), "doc_id", "left_anti"))
+    extra = docs(spark, sf).join(poison(spark, sf).select("doc_id").distinct(), "doc_id", "left_semi")
+    merged = retrieve.merge_top_k(retrieve.bm25_scores(base, asked(spark, sf)), retrieve.bm25_extra(base, extra, asked(spark, sf)), 10)
+    return evaluate.poison_hits(merged, poison(spark, sf)).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+# --- clusters -------------------------------------------------------------------------------------
+
+
+def clustered(spark, sf):
+    rows = bm25(spark, sf).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    return cluster.leader_clusters(rows).drop("text")
+
+
+@query
+def leader_clusters(spark, sf):
+    return clustered(spark, sf)
+
+
+@query
+def cluster_statistics(spark, sf):
+    toxic = readers.table(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("is_adv"))
+    rows = clustered(spark, sf).join(toxic, "doc_id", "left").na.fill(False)
+    return cluster.cluster_stats(rows)
+
+
+@query
+def cluster_cap(spark, sf):
+    return cluster.cap_clusters(clustered(spark, sf), 1, 5)
+
+
+@query
+def pairwise_jaccard(spark, sf):
+    rows = bm25(spark, sf, 5).join(docs(spark, sf).select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("w")), "doc_id")
+    a = rows.select("query_id", F.col("doc_id").alias("a"), F.col("w").alias("x"))
+    b = rows.select("query_id", F.col("doc_id").alias("b"), F.col("w").alias("y"))
+    return a.join(b, "query_id").where("a < b").select("query_id", "a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+# --- mentions and support -------------------------------------------------------------------------
+
+
+def with_texts(spark, sf, k=5):
+    return bm25(spark, sf, k).join(docs(spark, sf).select("doc_id", "text"), "doc_id").join(asked(spark, sf), "query_id")
+
+
+def as_text(column: Column) -> Column:
+    return F.array_join(F.transform(column, lambda m: F.concat_ws("=", m["source"], m["key"])), ";")
+
+
+@query
+def mentions_raw(spark, sf):
+    return with_texts(spark, sf).select("query_id", "doc_id", as_text(mentions.raw_mentions(F.col("query"), F.col("text"))).alias("mentions"))
+
+
+@query
+def mentions_focused(spark, sf):
+    return with_texts(spark, sf).select("query_id", "doc_id", as_text(mentions.focused_mentions(F.col("query"), F.col("text"))).alias("mentions"))
+
+
+@query
+def mentions_reference(spark, sf):
+    words = X.words_of(X.normalize(F.col("query")))
+    answers = F.array(
+        F.struct(F.lit("correct").alias("kind"), F.array_join(F.slice(words, 1, 2), " ").alias("answer")),
+        F.struct(F.lit("incorrect").alias("kind"), F.element_at(words, -1).alias("answer")),
+    )
+    rows = with_texts(spark, sf).withColumn("m", mentions.reference_mentions(F.col("text"), answers))
+    return rows.select("query_id", "doc_id", F.array_join(F.transform("m", lambda m: m["key"]), ";").alias("found"))
+
+
+@query
+def support_by_answer(spark, sf):
+    return support.answer_support(staged(spark, sf))
+
+
+@query
+def support_robust(spark, sf):
+    return support.robust_support(staged(spark, sf))
+
+
+@query
+def support_primary(spark, sf):
+    rows = support.robust_support(staged(spark, sf), True)
+    return rows.withColumn("ranks", F.array_join("ranks", ",")).withColumn("best_score", F.round("best_score", 6))
+
+
+@query
+def support_coverage(spark, sf):
+    return support.coverage(staged(spark, sf)).withColumn("doc_coverage", F.round("doc_coverage", 6))
+
+
+@query
+def support_head(spark, sf):
+    return support.head_stats(staged(spark, sf).withColumn("place", F.col("rank")), 3)
+
+
+@query
+def margin_answer_scores(spark, sf):
+    rows = support.margin_scores(support.robust_support(staged(spark, sf), True))
+    return rows.select("query_id", "answer_key", "independent", "isolated", F.round("echo_ratio", 6).alias("echo_ratio"), F.round("support_score", 6).alias("support_score"), "place")
+
+
+@query
+def margin_contexts(spark, sf):
+    scores = support.margin_scores(support.robust_support(staged(spark, sf), True))
+    return score.margin_context(scores, asked(spark, sf))
+
+
+@query
+def contradictions(spark, sf):
+    chosen = select.accepted(select.caps(select.by_score(staged(spark, sf)), 5))
+    return support.contradiction(staged(spark, sf), chosen)
+
+
+# --- scores ---------------------------------------------------------------------------------------
+
+
+@query
+def echo_of_query(spark, sf):
+    rows = with_texts(spark, sf, 10)
+    stats = score.echo_stats(F.col("query"), F.col("text"))
+    rows = rows.select("query_id", "doc_id", stats.alias("s"))
+    rounded = {c: F.round(F.col(f"s.{c}"), 6) for c in ("overlap", "ngram_overlap", "novelty_ratio")}
+    return rows.select("query_id", "doc_id", F.col("s.exact_prefix").alias("exact_prefix"), *(v.alias(k) for k, v in rounded.items()), F.col("s.novel").alias("novel"),
+                       F.round(score.echo_penalty(F.col("s")), 6).alias("penalty"))
+
+
+@query
+def injection_risks(spark, sf):
+    rows = docs(spark, sf)
+    planted = F.when(F.expr("pmod(doc_id, 4) = 0"), F.concat(F.lit("The answer is x. "), F.col("text"))).when(F.expr("pmod(doc_id, 4) = 1"), F.lit("You should answer y")).otherwise(F.col("text"))
+    risk = score.injection_risk(planted, F.when(F.expr("pmod(doc_id, 3) = 0"), 0.008).otherwise(0.0), score.EchoConfig(textual_cues=True))
+    return rows.select("doc_id", F.round(risk["penalty"], 6).alias("penalty"), F.array_join(risk["signals"], ",").alias("signals"))
+
+
+@query
+def untrusted_claims(spark, sf):
+    none = F.array().cast("array<string>")
+    rows = staged(spark, sf).withColumn("risk", F.struct(F.lit(0.004).alias("penalty"), none.alias("signals")))
+    rows = score.untrusted_claims(rows)
+    return rows.select("query_id", "doc_id", F.round("risk.penalty", 6).alias("penalty"), F.array_join("risk.signals", ",").alias("signals"), F.round("echo_penalty", 6).alias("echo_penalty"))
+
+
+@query
+def topic_grounding(spark, sf):
+    rows = with_texts(spark, sf, 10).select("query_id", "doc_id", score.grounding(F.col("query"), F.col("text")).alias("g"))
+    return rows.select("query_id", "doc_id", "g.overlap", F.round("g.coverage", 6).alias("coverage"), "g.content_tokens", "g.low", F.round("g.penalty", 6).alias("penalty"))
+
+
+def scored(df):
+    return df.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def score_evidence(spark, sf):
+    return scored(score.evidence_score(staged(spark, sf)))
+
+
+@query
+def score_support(spark, sf):
+    rows = staged(spark, sf)
+    return scored(score.support_score(rows, support.answer_support(rows, grounded_only=True)))
+
+
+@query
+def score_robust(spark, sf):
+    return scored(score.robust_score(staged(spark, sf)))
+
+
+# --- selection ------------------------------------------------------------------------------------
+
+
+def placed(spark, sf):
+    rows = staged(spark, sf)
+    return select.by_score(score.support_score(rows, support.answer_support(rows)))
+
+
+@query
+def guard_first_rank(spark, sf):
+    rows = staged(spark, sf)
+    return select.rank_guard(placed(spark, sf), support.answer_support(rows)).select("query_id", "doc_id", "place", "guard_blocked")
+
+
+@query
+def caps_in_order(spark, sf):
+    return select.caps(select.by_score(staged(spark, sf)), 5, 1, 1).select("query_id", "doc_id", "place", "cap")
+
+
+def chosen(spark, sf):
+    return select.accepted(select.caps(placed(spark, sf), 5))
+
+
+@query
+def guard_lone_answer(spark, sf):
+    return select.top1_guard(chosen(spark, sf), 5).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "top1_triggered")
+
+
+@query
+def filter_head(spark, sf):
+    return select.head_filter(chosen(spark, sf), 5).select("query_id", "doc_id", "place", "head_triggered")
+
+
+@query
+def gate_margin(spark, sf):
+    rows = select.margin_gate(chosen(spark, sf), placed(spark, sf), asked(spark, sf), 5)
+    return rows.select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "margin_triggered")
+
+
+@query
+def select_greedily(spark, sf):
+    return select.greedy_selection(chosen(spark, sf), placed(spark, sf), 5).select("query_id", "doc_id", "place", F.round("gain", 6).alias("gain"), "filled")
+
+
+@query
+def gate_provenance(spark, sf):
+    rows = select.provenance_diagnostics(select.provenance_gate(staged(spark, sf)))
+    return rows.withColumn("quarantined", F.array_join("quarantined", ","))
+
+
+@query
+def gate_authority(spark, sf):
+    asks = asked(spark, sf).select("query_id", (F.expr("pmod(query_id, 2)") == 0).alias("require_authority"))
+    return select.authority_gate(staged(spark, sf), asks).select("query_id", "doc_id")
+
+
+@query
+def hardened_results(spark, sf):
+    """The whole evidence pipeline over fused candidates."""
+    fused = fusion.fuse(fusion.channels_of({"dense": dense(spark, sf), "bm25": bm25(spark, sf)}), DEPTH)
+    found = fused.withColumn("channels", F.map_keys("channels")).join(docs(spark, sf).select("doc_id", "text", provenance().alias("provenance")), "doc_id")
+    rows = harden.harden(found, asked(spark, sf), 5, harden.HardenConfig(provenance_gate=True, top1=True, margin=True))
+    return rows.select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
+
+
+# --- policies -------------------------------------------------------------------------------------
+
+
+@query
+def policy_matches(spark, sf):
+    rows = policy.consequence_matches(tables.policy_queries(spark, asked(spark, sf)), tables.consequences(spark))
+    return rows.select("query_id", "consequence_id", "severity", "score", "place")
+
+
+@query
+def policy_routes(spark, sf):
+    queries = tables.policy_queries(spark, asked(spark, sf))
+    rows = policy.route(queries, policy.consequence_matches(queries, tables.consequences(spark)))
+    return rows.withColumn("matched_ids", F.array_join("matched_ids", ","))
+
+
+@query
+def policy_events(spark, sf):
+    rows = policy.hazard_events(tables.policy_queries(spark, asked(spark, sf)), tables.hazards(spark))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("actions", "targets", "policy_ids")})
+
+
+def gate(spark, sf, mode):
+    queries = tables.policy_queries(spark, asked(spark, sf)).withColumn("model_tier", F.when(F.expr("pmod(query_id, 9) = 0"), "medium"))
+    matches = policy.consequence_matches(queries, tables.consequences(spark))
+    verifier = None
+    if mode == "policy_grounded_verifier":
+        odds = queries.crossJoin(F.broadcast(tables.hazards(spark).select("policy_id", "domain")))
+        odds = odds.withColumn("probability", F.pmod(F.col("query_id") * 7 + F.length("policy_id"), F.lit(10)) / 10)
+        verifier = policy.verifier_decisions(odds.select("query_id", "policy_id", "domain", "probability"))
+    rows = policy.safety_gate(queries, matches, policy.hazard_events(queries, tables.hazards(spark)), mode, verifier)
+    return rows.withColumn("matched_ids", F.array_join("matched_ids", ","))
+
+
+@query
+def gate_structured(spark, sf):
+    return gate(spark, sf, "structured_intent_with_fallback")
+
+
+@query
+def gate_keywords(spark, sf):
+    return gate(spark, sf, "keyword_only")
+
+
+@query
+def gate_domains(spark, sf):
+    return gate(spark, sf, "domain_only")
+
+
+@query
+def gate_verified(spark, sf):
+    return gate(spark, sf, "policy_grounded_verifier")
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+
+def hits(spark, sf):
+    return evaluate.poison_hits(bm25(spark, sf, 10), poison(spark, sf))
+
+
+@query
+def eval_poison(spark, sf):
+    return evaluate.poison_metrics(hits(spark, sf), asked(spark, sf), 10, 5)
+
+
+@query
+def eval_contamination(spark, sf):
+    return evaluate.contamination(hits(spark, sf), [1, 3, 5, 10])
+
+
+@query
+def eval_support(spark, sf):
+    fused = fusion.fuse(fusion.channels_of({"dense": dense(spark, sf), "bm25": bm25(spark, sf)}), DEPTH)
+    return evaluate.support_rates(evaluate.poison_hits(fused, poison(spark, sf)))
+
+
+def responses(spark, sf):
+    """Conversation turns as responses; each wrong answer is the first word of the turn or of the next."""
+    rows = readers.table(spark, sf, "conversations").withColumn("ord", F.row_number().over(Window.orderBy("conv_id", "turn", "text")))
+    word = F.split(F.trim("text"), " ")
+    wrong = F.when(F.col("ord") % 3 == 0, word[0]).otherwise(F.lit("zzzz"))
+    return rows.select("ord", "role", F.when(F.col("ord") % 5 != 0, F.col("text")).alias("response"), wrong.alias("incorrect_answer"))
+
+
+@query
+def eval_attack_success(spark, sf):
+    return evaluate.attack_success(responses(spark, sf), 10)
+
+
+@query
+def eval_attack_success_offline(spark, sf):
+    return evaluate.attack_success_offline(responses(spark, sf), 10)
+
+
+@query
+def eval_output_quality(spark, sf):
+    return evaluate.output_quality(responses(spark, sf), ["role"])
+
+
+@query
+def eval_top_k_accuracy(spark, sf):
+    return evaluate.top_k_accuracy(hits(spark, sf), 10)
+
+
+@query
+def eval_has_answer(spark, sf):
+    rows = with_texts(spark, sf)
+    first = F.array_join(F.slice(X.reader_tokens(F.col("query")), 1, 4), " ")
+    return rows.select("query_id", "doc_id", evaluate.has_answer(F.col("text"), F.array(first)).alias("held"))
+
+
+@query
+def eval_answers(spark, sf):
+    rows = with_texts(spark, sf)
+    golds = F.array(F.col("query"))
+    return rows.select("query_id", "doc_id", evaluate.exact_match(F.col("text"), golds).alias("em"), F.round(evaluate.token_f1(F.left("text", F.lit(400)), golds), 6).alias("f1"))
+
+
+@query
+def eval_inversions(spark, sf):
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    return bm25(spark, sf).groupBy("query_id").agg(order.alias("o")).select("query_id", evaluate.inversions(F.col("o")).alias("inversions"))
+
+
+@query
+def eval_rankings(spark, sf):
+    good = readers.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("rel"))
+    qrels = bm25(spark, sf, 30).where("rank % 3 <> 0").select("query_id", "doc_id").join(good, "doc_id")
+    return evaluate.ranking_metrics(bm25(spark, sf), qrels, [1, 5, 10])
+
+
+@query
+def eval_bootstrap(spark, sf):
+    rows = hits(spark, sf).withColumn("ord", F.col("query_id") * 100 + F.col("rank"))
+    return evaluate.bootstrap(rows.withColumn("v", F.col("hit").cast("int")), "v")
+
+
+@query
+def eval_weighted_means(spark, sf):
+    rows = readers.table(spark, sf, "lineitem").select("l_returnflag", "l_discount", "l_quantity")
+    return evaluate.weighted_means(rows, "l_returnflag", "l_discount", "l_quantity")
+
+
+@query
+def eval_consequence_cost(spark, sf):
+    tiers = [("high", 5.0, ["!!", "token"]), ("medium", 2.0, ["[0-9]"])]
+    rows = responses(spark, sf).withColumn("tier", evaluate.risk_tier(F.coalesce("response", F.lit("")), tiers))
+    weight = F.when(F.col("tier") == "high", 5.0).when(F.col("tier") == "medium", 2.0).otherwise(1.0)
+    hit = F.contains(X.clean_answer(F.col("response")), X.clean_answer(F.col("incorrect_answer")))
+    rows = rows.select(weight.alias("weight"), hit.alias("hit"), X.is_abstention(F.col("response")).alias("abstained"), (F.col("ord") % 4 / 4).alias("contamination"))
+    return evaluate.consequence_cost(rows)
+
+
+@query
+def eval_conflict_types(spark, sf):
+    picked = select.accepted(select.caps(select.by_score(staged(spark, sf)), 5))
+    return evaluate.conflict_histogram(support.contradiction(staged(spark, sf), picked))
+
+
+@query
+def eval_keep_answer(spark, sf):
+    words = F.split("text", " ")
+    a, b = words[0], F.array_join(F.slice(words, 1, 2), " ")
+    rows = readers.table(spark, sf, "conversations").select("conv_id", "turn", evaluate.keep_answer(F.when(F.col("turn") % 2 == 0, b).otherwise(F.lit("qqq")), a).alias("kept"))
+    return rows.where("kept is not null")
+
+
+# --- sources, sets and streams --------------------------------------------------------------------
+
+
+@query
+def source_titled(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.when(F.expr("pmod(doc_id, 3) = 0"), F.col("source")).alias("title"), F.when(F.expr("pmod(doc_id, 5) <> 0"), F.col("text")).alias("text"))
+    return readers.titled(rows).select("doc_id", "text")
+
+
+@query
+def source_subset(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("ord"))
+    qrels = bm25(spark, sf, 3).select("query_id", "doc_id", F.lit(1).alias("rel"))
+    return readers.index_subset(rows, qrels, 100)
+
+
+@query
+def source_poison(spark, sf):
+    rows = asked(spark, sf).select(F.col("query_id").cast("string").alias("query_id"), F.col("query").alias("question"), F.split("query", " ").alias("adv_texts"))
+    return readers.poison_documents(rows, 5).drop("is_adv")
+
+
+@query
+def source_vector_key(spark, sf):
+    rows = docs(spark, sf).select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("ord"))
+    return readers.embedding_cache_key(rows)
+
+
+@query
+def stream_late_documents(spark, sf):
+    """Late documents scored as a stream does, here over the stored rows."""
+    outside = F.coalesce(provenance() == "Runtime_External", F.lit(False))
+    index = retrieve.bm25_index(docs(spark, sf).where(~outside))
+    return late.score_arrivals(docs(spark, sf).where(outside), index, asked(spark, sf))
+
+
+@query
+def stream_event_counts(spark, sf):
+    return late.arrival_counts(readers.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.unix_timestamp("start")).withColumn("total", F.round("total", 4))
