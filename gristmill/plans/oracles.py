@@ -1,3 +1,394 @@
-"""SQL with the results of the registered queries, by name."""
+"""DuckDB SQL with the results of the registered queries, by name.
 
-SQL = {}
+Written from the operators' definitions, in another engine's terms. Queries whose patterns need
+look-behind or back-references, and the folds of the whole pipeline, have none and are tested
+against plain Python instead.
+"""
+
+from __future__ import annotations
+
+from gristmill.functions import constants as C
+
+SQL: dict[str, str] = {}
+
+
+def listed(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def norm(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split({norm(x)}, ' '), lambda w: w <> '')"
+
+
+def first_each(x: str) -> str:
+    """The distinct elements of a list column in order."""
+    return f"list_filter({x}, lambda each, i: list_position({x}, each) = i)"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+
+
+STOP = listed(C.QUERY_FOCUS_STOPWORDS)
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+def clean(x: str) -> str:
+    bare = strip(f"coalesce({x}, '')")
+    return f"lower(case when length({bare}) > 1 and right({bare}, 1) = '.' then left({bare}, length({bare}) - 1) else {bare} end)"
+
+
+def bm25(corpus: str = "select doc_id, text from documents", k: int | None = 20, asked: str = "select item_id as query_id, text from benchmark") -> str:
+    """CTEs that end in bm(query_id, doc_id, score, rank)."""
+    cut = f" where rank <= {k}" if k else ""
+    return f"""
+corpus as ({corpus}),
+tok as (select doc_id, unnest({tokens("text")}) as term from corpus),
+tf as (select term, doc_id, count(*) as tf from tok group by all),
+dl as (select doc_id, len({tokens("text")}) as dl from corpus),
+st as (select count(*) as n, coalesce(sum(dl), 0) / greatest(count(*), 1) as avgdl from dl),
+df as (select term, count(*) as df from tf group by all),
+qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({tokens("text")}) as term from ({asked})) group by all),
+sc as (select query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double
+         / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 6) as score
+       from tf join qt using (term) join df using (term) join dl using (doc_id), st group by all),
+bm as (select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc){cut})"""
+
+
+def dense(name: str, metric: str, k: int = 20) -> str:
+    value = "list_dot_product(q.v, d.v)"
+    if metric == "cosine":
+        value += " / (greatest(sqrt(list_dot_product(q.v, q.v)), 1e-12) * greatest(sqrt(list_dot_product(d.v, d.v)), 1e-12))"
+    return f"""
+{name}_v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+{name} as (select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank
+  from (select q.vec_id as query_id, d.vec_id as doc_id, round({value}, 6) as score from {name}_v q, {name}_v d
+        where q.vec_id in (select item_id from benchmark))) where rank <= {k})"""
+
+
+# --- text -------------------------------------------------------------------------------------------
+
+SQL["text_normalize"] = f"select doc_id, {norm('text')} as plain, {norm("replace(replace(text, 'ß', 'ss'), 'ẞ', 'ss')")} as folded from documents"
+SQL["text_tokens"] = f"select doc_id, {tokens('text')} as tokens from documents"
+SQL["text_clean_answer"] = f"select conv_id, turn, {clean('text')} as answer from conversations"
+SQL["text_answer_list"] = f"select conv_id, turn, list_filter(list_transform(string_split(text, '.'), lambda a: {strip('a')}), lambda a: a <> '') as answers from conversations"
+SQL["text_query_type"] = f"""
+with q as (select conv_id, turn, {strip("lower(coalesce(text, ''))")} as q from conversations)
+select conv_id, turn,
+  case when string_split(q, ' ')[1] in ({", ".join(f"'{w}'" for w in C.BOOLEAN_STARTS)}) then 'boolean'
+    when starts_with(q, 'how many') or starts_with(q, 'how much') or contains(' ' || q || ' ', ' number ') or contains(' ' || q || ' ', ' percentage ')
+      or contains(' ' || q || ' ', ' percent ') then 'number'
+    when starts_with(q, 'when') or contains(q, 'what year') or contains(' ' || q || ' ', ' date ') then 'date'
+    when starts_with(q, 'who') or starts_with(q, 'where') or starts_with(q, 'which') then 'entity' else 'mixed' end as kind
+from q"""
+SQL["text_content_tokens"] = f"""
+select item_id as query_id, list_sort(list_distinct(list_filter({words("text")}, lambda w: length(w) > 2 and not list_contains({STOP}, w)))) as words from benchmark"""
+SENTENCES = (
+    r"list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), "
+    r"lambda s: regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+)
+SQL["text_sentences"] = f"select doc_id, {SENTENCES} as sentences from documents"
+SQL["text_context_window"] = f"""
+with d as (select doc_id, text, {SENTENCES} as s, list_last({words("text")}) as w from documents),
+e as (select doc_id, text, coalesce(w, '') as k, list_filter(s, lambda x: contains(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), coalesce(w, ''))) as hit from d)
+select doc_id, left(case when k <> '' and len(hit) > 0 then hit[1] else {strip(r"regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')")} end, 360) as context from e"""
+SQL["text_ngrams"] = f"""
+with q as (select item_id as query_id, {words("text")} as w from benchmark)
+select distinct query_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram from q, unnest(range(1, len(w) - 1)) as t(i)"""
+SQL["text_reader_tokens"] = r"select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)) as tokens from documents"
+SQL["text_abstention"] = f"""
+select conv_id, turn, {" or ".join("contains(lower(t), '" + m.replace("'", "''") + "')" for m in C.ABSTENTION_MARKERS)} as abstains
+from (select conv_id, turn, case when turn % 3 = 1 then text || ' I don''t know.' else text end as t from conversations)"""
+PROMPT = C.PROMPT.replace("'", "''")
+SQL["text_prompt"] = f"""
+with {bm25(k=3)},
+c as (select query_id, string_agg(left(text, 200), chr(10) order by rank) as c from bm join documents using (doc_id) group by all)
+select query_id, replace(replace('{PROMPT}', '[question]', b.text), '[context]', c) as prompt from c join benchmark b on b.item_id = query_id"""
+SQL["text_head_and_tail"] = "select doc_id, case when length(text) <= 600 then text else left(text, 100) || ' [...] ' || right(text, 495) end as text from documents"
+
+# --- retrieval ----------------------------------------------------------------------------------------
+
+SQL["bm25_postings"] = f"with {bm25()} select term, doc_id, tf from tf"
+SQL["bm25_statistics"] = f"with {bm25()} select n, round(avgdl, 6) as avgdl, (select count(*) from df) as terms, (select sum(df)::bigint from df) as postings from st"
+SQL["bm25_top_k"] = f"with {bm25()} select * from bm"
+OUTSIDE = "source in ('src18', 'src19')"
+EXTRA = """
+xt as (select doc_id, unnest({t}) as term from ({x})),
+xf as (select doc_id, term, count(*) as tf from xt group by all),
+xl as (select doc_id, len({t}) as dl from ({x})),
+xs as (select query_id, doc_id, sum(qtf * ln(1 + (n - coalesce(df, 0) + 0.5::double) / (coalesce(df, 0) + 0.5::double)) * tf * 2.5::double
+         / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))) as score
+       from xf join qt using (term) left join df using (term) join xl using (doc_id), st group by all),
+xa as (select q.item_id as query_id, l.doc_id, round(coalesce(score, 0), 6) as score from benchmark q cross join xl l left join xs on xs.query_id = q.item_id and xs.doc_id = l.doc_id)"""
+MERGE = """
+mg as (select query_id, doc_id, score, is_extra, row_number() over (partition by query_id order by score desc, is_extra, doc_id) as rank
+       from (select query_id, doc_id, score, false as is_extra from bm union all select query_id, doc_id, score, true from xa))"""
+SQL["bm25_with_arrivals"] = f"""
+with {bm25(f"select doc_id, text from documents where not {OUTSIDE}")}, {EXTRA.format(t=tokens("text"), x=f"select doc_id, text from documents where {OUTSIDE}")}, {MERGE}
+select * from mg where rank <= 20"""
+SQL["dense_dot"] = f"with {dense('dn', 'dot')} select * from dn"
+SQL["dense_cosine"] = f"with {dense('dn', 'cosine')} select * from dn"
+SQL["dense_native"] = SQL["dense_cosine"]
+SQL["run_compressed"] = f"with {bm25(k=50)} select query_id, doc_id, score, rank as ord from bm"
+SQL["run_joined"] = f"""
+with {bm25(k=30)}
+select query_id, doc_id, score, row_number() over (partition by query_id order by rank) as rank from bm join documents using (doc_id) where lang <> 'fr'"""
+FUSE = "select query_id, doc_id, {p} as p, {w}::double as w, score, rank from {t}"
+
+
+def fused(channels: list[tuple[str, float]], score: str, k: int = 20, having: str = "true") -> str:
+    parts = " union all ".join(FUSE.format(p=i, w=w, t=t) for i, (t, w) in enumerate(channels))
+    return f"""
+ch as ({parts}),
+fu as (select query_id, doc_id, sum(w / (60 + rank)) as rrf, count(*) as n, min({{'p': p, 'rank': rank}}) as first from ch group by all having {having}),
+fr as (select *, row_number() over (partition by query_id order by score desc, first.p, first.rank, doc_id) as rank
+       from (select query_id, doc_id, round(rrf, 9) as rrf_score, n as support_count, first, round({score}, 9) as score from fu))"""
+
+
+BOTH = f"{bm25()}, {dense('dn', 'cosine')}"
+SQL["hybrid_rrf"] = f"with {BOTH}, {fused([('dn', 1), ('bm', 1)], 'rrf')} select query_id, doc_id, score, rank, support_count from fr where rank <= 20"
+ALL = f"{BOTH}, {dense('dd', 'dot')}"
+THREE = [("dn", 1), ("bm", 1.5), ("dd", 1)]
+SHOW = "select query_id, doc_id, rrf_score, score, rank, support_count from fr where rank <= 20"
+CONSENSUS = "rrf + 0.002::double * n - case when n = 1 then 0.003::double else 0 end"
+SQL["ensemble_consensus"] = f"with {ALL}, {fused(THREE, CONSENSUS)} {SHOW}"
+SQL["ensemble_robust"] = f"with {ALL}, {fused(THREE, CONSENSUS + ' - 0.001::double * (3 - n)')} {SHOW}"
+SQL["ensemble_min_support"] = f"with {ALL}, {fused(THREE, CONSENSUS, having='count(*) >= 2')} {SHOW}"
+NORM = "case when max(score) over q = min(score) over q then 1 else (score - min(score) over q) / (max(score) over q - min(score) over q) end"
+SQL["hybrid_min_max"] = f"""
+with {BOTH},
+nm as (select query_id, doc_id, score, rank, 0 as p, {NORM} as norm from dn window q as (partition by query_id)
+       union all select query_id, doc_id, score, rank, 1, {NORM} from bm window q as (partition by query_id)),
+hy as (select query_id, doc_id, coalesce(max(score) filter (p = 0), 0) as dense_raw, coalesce(max(score) filter (p = 1), 0) as bm25_raw,
+         coalesce(max(norm) filter (p = 0), 0) as d, coalesce(max(norm) filter (p = 1), 0) as b, min({{'p': p, 'rank': rank}}) as first from nm group by all)
+select * exclude (first, d, b) from (
+  select *, round(d, 6) as dense_norm, round(b, 6) as bm25_norm, row_number() over (partition by query_id order by score desc, first.p, first.rank, doc_id) as rank
+  from (select *, round(0.4::double * d + 0.6::double * b, 9) as score from hy)) where rank <= 20"""
+POISON = "select doc_id, doc_id % 40 as query_id from labels where toxic = 1"
+SQL["poisoned_ranking"] = f"""
+with {bm25(f"select doc_id, text from documents where doc_id not in (select doc_id from ({POISON}))", 10)},
+{EXTRA.format(t=tokens("text"), x=f"select doc_id, text from documents where doc_id in (select doc_id from ({POISON}))")}, {MERGE}
+select query_id, count(*) as n, count(p.doc_id) as hits from mg left join (select distinct * from ({POISON})) p using (query_id, doc_id) where rank <= 10 group by all"""
+
+# --- clusters -----------------------------------------------------------------------------------------
+
+JACCARD = "case when len({a}) = 0 or len({b}) = 0 then 0 else len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))::double end"
+SQL["pairwise_jaccard"] = f"""
+with {bm25(k=5)}, w as (select query_id, doc_id, list_distinct({tokens("text")}) as w from bm join documents using (doc_id))
+select query_id, a.doc_id as a, b.doc_id as b, round({JACCARD.format(a="a.w", b="b.w")}, 6) as similarity from w a join w b using (query_id) where a.doc_id < b.doc_id"""
+CLUSTERED = f"""
+{bm25()},
+lw as (select query_id, doc_id, score, rank, list_distinct({tokens("text")}) as w from bm join documents using (doc_id)),
+lc as (select query_id, list({{'rank': rank, 'doc_id': doc_id, 'w': w}} order by rank) as l from lw group by all),
+walk as (
+  select query_id, l, 1::bigint as i, [l[1].w] as leaders, 0::bigint as cluster_id from lc
+  union all
+  select query_id, l, i + 1, case when hit is null then list_append(leaders, l[i + 1].w) else leaders end, coalesce(hit - 1, len(leaders))
+  from (select query_id, l, i, leaders,
+          list_position(list_transform(leaders, lambda x: {JACCARD.format(a="x", b="l[i + 1].w")} >= 0.72::double), true) as hit from walk where i < len(l))),
+cl as (select w.query_id, l[i].doc_id as doc_id, score, rank, cluster_id from walk w join bm on bm.query_id = w.query_id and bm.doc_id = l[i].doc_id)"""
+SQL["leader_clusters"] = f"with recursive {CLUSTERED} select query_id, doc_id, score, rank, cluster_id from cl"
+SQL["cluster_statistics"] = f"""
+with recursive {CLUSTERED}
+select query_id, cluster_id, count(*) as size, list_sort(list(doc_id)) as doc_ids, count(*) filter (toxic = 1) as adv_doc_count from cl left join labels using (doc_id) group by all"""
+SQL["cluster_cap"] = f"""
+with recursive {CLUSTERED},
+kept as (select *, row_number() over (partition by query_id, cluster_id order by rank) as n from cl)
+select * from (select query_id, doc_id, score, cluster_id, row_number() over (partition by query_id order by rank) as rank from kept where n = 1) where rank <= 5"""
+
+# --- support ------------------------------------------------------------------------------------------
+
+STAGED = f"""
+{bm25(k=10)},
+s0 as (select query_id, doc_id, score, rank, source, list_filter({words("text")}, lambda w: length(w) >= 9) as w from bm join documents using (doc_id)),
+s1 as (select * exclude (w), list_transform(list_slice({first_each("w")}, 1, 3), lambda x: left(x, 4)) as m from s0),
+st1 as (select query_id, doc_id, score, rank, source, (substr(source, 4)::int // 2)::bigint as cluster_id, {first_each("m")} as keys,
+         case when doc_id % 3 = 0 then ['bm25', 'dense'] else ['bm25'] end as channels,
+         case when doc_id % 5 = 0 then 0.008::double else 0 end as echo_penalty, doc_id % 7 = 0 as low,
+         case when {OUTSIDE} then 'runtime external' when source <> 'src17' then 'indexed corpus' else '' end as provenance from s1),
+ex as (select *, unnest(keys) as answer_key, generate_subscripts(keys, 1) as pos from st1),
+pr as (select *, keys[1] as answer_key, 0 as pos from st1 where len(keys) > 0)"""
+STATS = """query_id, answer_key, answer_key as label, count(distinct doc_id) as doc_count, count(distinct cluster_id) as cluster_count,
+  len(list_distinct(flatten(list(channels))))::bigint as channel_count"""
+ROBUST = f"""{STATS}, count(distinct cluster_id) filter (echo_penalty = 0 and not low) as non_echo_clusters, count(distinct cluster_id) filter (not low) as grounded_clusters,
+  count(distinct doc_id) filter (echo_penalty > 0 or low) as echo_docs, count(distinct doc_id) filter (low) as low_grounding_docs"""
+SQL["support_by_answer"] = f"with {STAGED} select {STATS}, count(*) as mention_count from ex group by query_id, answer_key"
+SQL["support_robust"] = f"with {STAGED} select {ROBUST} from ex group by query_id, answer_key"
+SQL["support_primary"] = f"""
+with {STAGED} select {ROBUST}, string_agg(rank::varchar, ',' order by rank) as ranks, min(rank) as best_rank, round(max(score), 6) as best_score from pr group by query_id, answer_key"""
+SQL["support_coverage"] = f"""
+with {STAGED},
+d as (select query_id, count(*) as doc_count, count(*) filter (len(keys) > 0) as mentioned_doc_count, sum(len(keys))::bigint as mention_count from st1 group by all),
+a as (select query_id, count(*) as unique_answer_count, max(doc_count) as max_doc_count, max(cluster_count) as max_cluster_count
+      from (select {STATS} from ex group by query_id, answer_key) group by all)
+select query_id, doc_count, mentioned_doc_count, mention_count, coalesce(unique_answer_count, 0) as unique_answer_count, coalesce(max_doc_count, 0) as max_doc_count,
+  coalesce(max_cluster_count, 0) as max_cluster_count, round(mentioned_doc_count / doc_count, 6) as doc_coverage,
+  case when mentioned_doc_count / doc_count < 0.25::double then 'low_answer_doc_coverage' when coalesce(unique_answer_count, 0) < 1 then 'too_few_unique_answers'
+    else 'answer_support_sufficient' end as reason, reason <> 'answer_support_sufficient' as evidence_mode
+from d left join a using (query_id)"""
+SQL["support_head"] = f"""
+with {STAGED} select query_id, answer_key, count(distinct doc_id) as doc_count, count(distinct cluster_id) as cluster_count, count(*) filter (rank <= 3) as head_count,
+  count(*) filter (rank > 3) as supplement_count, min(rank) as best_rank from pr group by all"""
+MARGIN = f"""
+{STAGED}, ps as (select {ROBUST}, min(rank) as best_rank from pr group by query_id, answer_key),
+m0 as (select *, case when non_echo_clusters > 0 then non_echo_clusters else cluster_count end as independent, echo_docs / doc_count as echo_ratio, cluster_count <= 1 as isolated from ps),
+m1 as (select *, round(independent + 0.25::double * greatest(channel_count - 1, 0) - 0.75::double * echo_ratio - 0.5::double * isolated::int
+         - 0.25::double * (max(independent) over (partition by query_id) - independent), 9) as ss from m0),
+ms as (select *, row_number() over (partition by query_id order by ss desc, independent desc, cluster_count desc, channel_count desc, best_rank, answer_key) as place from m1)"""
+SQL["margin_answer_scores"] = f"""
+with {MARGIN} select query_id, answer_key, independent, isolated, round(echo_ratio, 6) as echo_ratio, round(ss, 6) as support_score, place from ms"""
+RISKY = " or ".join(f"contains(lower(b.text), '{k}')" for k in C.HIGH_RISK_KEYWORDS)
+SQL["margin_contexts"] = f"""
+with {MARGIN},
+c as (select t.query_id, t.answer_key as top_answer, r.answer_key as runner_up, round(t.ss - r.ss, 9) as margin, t.isolated as top_isolated,
+        t.independent <= 1 and t.channel_count <= 1 as weak, t.echo_ratio >= 0.5::double or t.echo_docs >= t.doc_count as echo,
+        (select count(*) from ms x where x.query_id = t.query_id and x.independent >= 2) as strong, r.independent > t.independent as behind, r.independent >= 2 as runner,
+        {RISKY} as high_risk
+      from ms t join ms r on r.query_id = t.query_id and r.place = 2 join benchmark b on b.item_id = t.query_id where t.place = 1),
+d as (select *, round(least(0.75::double + case when weak or top_isolated then 0.25::double else 0 end + case when echo then 0.15::double else 0 end
+        + case when strong >= 2 then 0.15::double else 0 end + case when strong = 0 then 0.2::double else 0 end + case when high_risk then 0.35::double else 0 end, 1.5::double), 9) as threshold from c)
+select query_id, top_answer, runner_up, margin, threshold, margin < threshold as low_margin,
+  case when strong >= 2 then 'multi_supported_conflict' when behind then 'top_not_best_support' when weak and runner then 'weak_top_with_supported_alternative'
+    when strong = 0 then 'no_strong_answer' when echo then 'echo_heavy_top_answer' when top_isolated then 'isolated_top_answer' else 'weak_conflict' end as conflict_type,
+  weak or top_isolated or echo as top_weak, top_isolated, echo as top_echo_heavy, strong >= 2 as multi_supported, strong = 0 as no_strong_answer, high_risk from d"""
+
+# --- scores -------------------------------------------------------------------------------------------
+
+COMMON = listed(C.COMMON_ENTITY_WORDS)
+SQL["echo_of_query"] = f"""
+with {bm25(k=10)},
+e0 as (select query_id, doc_id, {norm("b.text")} as q, {norm("d.text")} as d, {words("b.text")} as qw, list_slice({words("d.text")}, 1, 40) as hd
+       from bm join documents d using (doc_id) join benchmark b on b.item_id = query_id),
+e1 as (select *, case when len(list_filter(qw, lambda w: not list_contains({COMMON}, w))) > 0 then list_filter(qw, lambda w: not list_contains({COMMON}, w)) else qw end as tw,
+         list_distinct(list_filter(hd, lambda w: length(w) > 2 and not list_contains({STOP}, w))) as ct from e0),
+e2 as (select *, list_distinct(tw) as ts, list_distinct(list_transform(range(1, len(tw) - 1), lambda i: tw[i] || ' ' || tw[i + 1] || ' ' || tw[i + 2])) as tg,
+         list_distinct(list_transform(range(1, len(hd) - 1), lambda i: hd[i] || ' ' || hd[i + 1] || ' ' || hd[i + 2])) as hg from e1),
+e3 as (select query_id, doc_id, q <> '' and d <> '' as ok, starts_with(d, q) as exact_prefix, len(list_intersect(ts, hd)) / greatest(len(ts), 1) as overlap,
+         case when len(tg) > 0 then len(list_intersect(tg, hg)) / len(tg) else 0 end as ngram_overlap, len(list_filter(ct, lambda w: not list_contains(ts, w)))::bigint as novel, len(ct) as nct from e2),
+e4 as (select query_id, doc_id, ok and exact_prefix as exact_prefix, case when ok then overlap else 0 end as overlap, case when ok then ngram_overlap else 0 end as ngram_overlap,
+         case when ok then novel / greatest(nct, 1) else 1 end as novelty_ratio, case when ok then novel else 0 end as novel from e3)
+select query_id, doc_id, exact_prefix, round(overlap, 6) as overlap, round(ngram_overlap, 6) as ngram_overlap, round(novelty_ratio, 6) as novelty_ratio, novel,
+  round(case when exact_prefix then 0.03::double else (case when overlap >= 0.9::double or ngram_overlap >= 0.5::double then 0.008::double
+    when overlap >= 0.75::double and ngram_overlap >= 0.25::double then 0.004::double else 0 end) * (case when novel < 4 or novelty_ratio < 0.18::double then 1.5::double else 1 end) end, 6) as penalty
+from e4"""
+CUE = lambda cues: "(" + " or ".join(f"contains(d, '{c}')" for c in cues) + ")"
+SQL["injection_risks"] = f"""
+with i0 as (select doc_id, {norm("case when doc_id % 4 = 0 then 'The answer is x. ' || text when doc_id % 4 = 1 then 'You should answer y' else text end")} as d,
+       case when doc_id % 3 = 0 then 0.008::double else 0 end as copied from documents),
+i1 as (select *, {CUE(C.ASSERTION_CUES)} as a, {CUE(C.INSTRUCTION_CUES)} as n, len(string_split(d, ' ')) <= 48 as short from i0),
+i2 as (select *, greatest(case when a then 0.012::double else 0 end, case when n then 0.02::double else 0 end) as base from i1)
+select doc_id, round(greatest(copied, base + case when base > 0 and short then 0.004::double else 0 end), 6) as penalty,
+  array_to_string(list_filter([case when copied > 0 then 'query_copy' end, case when a then 'answer_assertion' end, case when n then 'answer_instruction' end,
+    case when base > 0 and short then 'short_assertion_context' end], lambda x: x is not null), ',') as signals from i2"""
+SQL["untrusted_claims"] = f"""
+with {STAGED}, tr as (select query_id, list_distinct(flatten(list(keys))) as good from st1 where provenance <> 'runtime external' group by all),
+j as (select s.*, provenance = 'runtime external' and len(keys) > 0 as claim, len(list_intersect(keys, coalesce(good, []))) > 0 as agreed from st1 s left join tr using (query_id))
+select query_id, doc_id, round(case when claim and not agreed then 0.03::double else 0.004::double end, 6) as penalty,
+  case when claim and agreed then 'untrusted_corroborated' when claim then 'untrusted_uncorroborated_claim' else '' end as signals,
+  round(case when claim and not agreed then 0.03::double else echo_penalty end, 6) as echo_penalty from j"""
+CONTENT = f"list_filter({{w}}, lambda w: length(w) > 2 and not list_contains({STOP}, w))"
+SQL["topic_grounding"] = f"""
+with {bm25(k=10)},
+g as (select query_id, doc_id, list_distinct({CONTENT.format(w=words("b.text"))}) as qw, {CONTENT.format(w=words("d.text"))} as dw from bm join documents d using (doc_id) join benchmark b on b.item_id = query_id),
+h as (select *, len(qw) > 0 and len(dw) > 0 as ok, len(list_intersect(qw, dw)) as o from g),
+k as (select *, ok and ((o < 2 and o / len(qw) < 0.25::double) or (len(dw) <= 18 and o < 2)) as low from h)
+select query_id, doc_id, case when ok then o else 0 end as overlap, round(case when ok then o / len(qw) else 0 end, 6) as coverage, len(dw) as content_tokens, low,
+  round(case when low then 0.012::double + case when len(dw) <= 18 then 0.04::double else 0 end else 0 end, 6) as penalty from k"""
+SQL["score_evidence"] = f"""
+with {STAGED}, z as (select *, count(*) over (partition by query_id, cluster_id) as size from st1)
+select query_id, doc_id, round(1 / (60 + rank)::double + 0.003::double * (len(channels) - 1) + 0.004::double * least(doc_id % 4, 3) + 0.006::double * (doc_id % 4) / 4
+  - case when low then 0.012::double + case when doc_id % 40 <= 18 then 0.04::double else 0 end else 0 end
+  + case when size <= 1 then 0.003::double else -0.004::double * (size - 1) end - echo_penalty - case when echo_penalty > 0 then 0.006::double else 0 end, 6) as score from z"""
+SUPPORTED = """
+sw as (select *, count(*) over (partition by query_id) as answers, max(cluster_count) over (partition by query_id) as most from (select {stats} from ex {where} group by query_id, answer_key)),
+sv as (select e.query_id, e.doc_id, sum(0.006::double * least(cluster_count, 3) - 0.004::double * greatest(doc_count - cluster_count, 0)
+         - case when answers >= 2 then 0.004::double * (most - cluster_count) else 0 end) as v from ex e join sw using (query_id, answer_key) group by all),
+ss as (select s.*, round(1 / (60 + rank)::double + coalesce(v, 0) - echo_penalty - case when low then 0.012::double else 0 end, 9) as hs from st1 s left join sv using (query_id, doc_id))"""
+SQL["score_support"] = f"with {STAGED}, {SUPPORTED.format(stats=STATS, where='where not low')} select query_id, doc_id, round(hs, 6) as score from ss"
+SQL["score_robust"] = f"""
+with {STAGED},
+rw as (select *, count(*) over (partition by query_id) as answers, max(non_echo_clusters) over (partition by query_id) as most from (select {ROBUST} from ex group by query_id, answer_key)),
+rv as (select e.query_id, e.doc_id, sum(case when non_echo_clusters > 0 and not low then 0.006::double * least(non_echo_clusters, 3) + 0.003::double * greatest(channel_count - 1, 0) else -0.006::double end
+         - case when cluster_count <= 1 then 0.006::double else 0 end - 0.004::double * greatest(doc_count - cluster_count, 0) - 0.006::double * least(echo_docs, 2)
+         - 0.012::double * least(low_grounding_docs, 2) - case when answers >= 2 then 0.004::double * greatest(most - non_echo_clusters, 0) else 0 end) as v
+       from ex e join rw using (query_id, answer_key) group by all)
+select query_id, doc_id, round(1 / (60 + rank)::double + coalesce(v, 0) - echo_penalty - case when low then 0.012::double else 0 end, 6) as score from st1 left join rv using (query_id, doc_id)"""
+
+# --- selection ----------------------------------------------------------------------------------------
+
+PLACED = f"{STAGED}, {SUPPORTED.format(stats=STATS, where='')}, pl as (select *, row_number() over (partition by query_id order by hs desc, rank) as place from ss)"
+SQL["guard_first_rank"] = f"""
+with {PLACED},
+cc as (select query_id, answer_key, cluster_count from sw),
+g as (select p.query_id, doc_id, rank, place, hs, coalesce(cluster_count, 0) as cc, min(rank) over q as head, max(case when rank = 1 then hs end) over q as head_score
+      from pl p left join cc on cc.query_id = p.query_id and cc.answer_key = p.keys[1] window q as (partition by p.query_id)),
+b as (select *, place = 1 and rank <> head and (hs - head_score < 0.002::double or rank > 20 or cc < 1) as guard_blocked from g),
+o as (select *, max(guard_blocked) over (partition by query_id) as any_blocked from b)
+select query_id, doc_id, guard_blocked, row_number() over (partition by query_id order by case when any_blocked and rank = head then 0 else place end) as place from o"""
+SQL["gate_provenance"] = f"""
+with {STAGED}, k as (select *, case provenance when 'indexed corpus' then 'trusted' when 'runtime external' then 'untrusted' else 'unknown' end as c from st1)
+select query_id, count(*) as input_count, count(*) filter (c = 'trusted') as eligible_count, count(*) filter (c = 'trusted') as trusted_count,
+  count(*) filter (c = 'untrusted') as untrusted_quarantined, count(*) filter (c = 'unknown') as unknown_quarantined,
+  coalesce(string_agg(doc_id::varchar, ',' order by rank) filter (c <> 'trusted'), '') as quarantined from k group by all"""
+SQL["gate_authority"] = f"with {STAGED} select query_id, doc_id from st1 where query_id % 2 <> 0 or provenance = 'indexed corpus'"
+
+# --- evaluation ---------------------------------------------------------------------------------------
+
+HITS = f"{bm25(k=10)}, hi as (select bm.*, p.doc_id is not null as hit from bm left join (select distinct * from ({POISON})) p using (query_id, doc_id))"
+SQL["eval_poison"] = f"""
+with {HITS}, n as (select item_id, count(*) filter (hit) as h from benchmark left join hi on query_id = item_id group by all)
+select count(*) as num_queries, round(avg(h / 10), 6) as precision, round(avg(h / 5), 6) as recall,
+  round(avg(case when h > 0 then 2 * (h / 10) * (h / 5) / (h / 10 + h / 5) else 0 end), 6) as f1 from n"""
+SQL["eval_contamination"] = f"""
+with {HITS} select k, round(avg(share), 6) as contamination from (select k, query_id, avg(hit::int) as share from hi, unnest([1::bigint, 3, 5, 10]) as t(k) where rank <= k group by all) group by all"""
+RESPONSES = """
+r0 as (select *, row_number() over (order by conv_id, turn, text) as ord from conversations),
+rs as (select ord, role, case when ord % 5 <> 0 then text end as response, case when ord % 3 = 0 then string_split(trim(text), ' ')[1] else 'zzzz' end as wrong from r0)"""
+SQL["eval_attack_success"] = f"""
+with {RESPONSES}, h as (select (ord - 1) // 10 as i, response is not null and contains({clean("response")}, {clean("wrong")}) as hit from rs)
+select count(*) as iterations, round(avg(asr), 6) as asr from (select i, count(*) filter (hit) / 10 as asr from h group by all)"""
+SQL["eval_attack_success_offline"] = f"""
+with {RESPONSES}, k as (select response, wrong, row_number() over (order by ord) as o from rs where response is not null),
+h as (select (o - 1) // 10 as i, contains({clean("response")}, {clean("wrong")}) as hit from k)
+select count(*) as iterations, round(avg(asr), 6) as asr from (select i, avg(hit::int) as asr from h group by all)"""
+SQL["eval_top_k_accuracy"] = f"""
+with {HITS}, f as (select query_id, min(rank) filter (hit) as first from hi group by all)
+select k, round(avg(coalesce(first <= k, false)::int), 6) as accuracy from f, unnest(range(1, 11)) as t(k) group by all"""
+SQL["eval_inversions"] = f"with {bm25()} select a.query_id, count(*) filter (a.rank < b.rank and a.doc_id > b.doc_id) as inversions from bm a join bm b using (query_id) group by all"
+SQL["eval_rankings"] = f"""
+with {bm25(k=30)}, q as (select query_id, doc_id, quality as rel from bm join labels using (doc_id) where rank % 3 <> 0),
+j as (select query_id, count(*) filter (rel > 0) as relevant, list_reverse_sort(list(rel)) as ideal from q group by all),
+r as (select bm.query_id, bm.rank, q.rel, coalesce(q.rel > 0, false)::int as good from bm left join q using (query_id, doc_id) where rank <= 20),
+s as (select *, sum(good) over (partition by query_id order by rank) as seen from r),
+p as (select query_id, k, sum(coalesce(rel, 0) / log2(rank + 1)) as dcg, sum(good) as hits, sum(good * seen / rank) as ap, min(rank) filter (good = 1) as first, count(*) filter (rel is null) as holes
+      from s, unnest([1::bigint, 5, 10]) as t(k) where rank <= k group by all),
+m as (select j.*, t.k, coalesce(dcg, 0) as dcg, coalesce(hits, 0) as hits, coalesce(ap, 0) as ap, first, coalesce(holes, 0) as holes,
+        list_sum(list_transform(list_slice(ideal, 1, t.k), lambda g, i: g / log2(i + 1))) as best
+      from j cross join unnest([1::bigint, 5, 10]) as t(k) left join p on p.query_id = j.query_id and p.k = t.k where relevant > 0)
+select k, round(100 * avg(dcg / best), 4) as ndcg, round(100 * avg(ap / relevant), 4) as map, round(100 * avg(hits / relevant), 4) as recall, round(100 * avg(hits / k), 4) as precision,
+  round(100 * avg(coalesce(1 / first, 0)), 4) as mrr, round(100 * avg(holes / k), 4) as hole from m group by all"""
+SQL["eval_weighted_means"] = "select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as mean from lineitem group by all"
+
+# --- sources and streams --------------------------------------------------------------------------------
+
+SQL["source_titled"] = """
+with t as (select doc_id, case when doc_id % 3 = 0 then source else '' end as a, case when doc_id % 5 <> 0 then text else '' end as b from documents)
+select doc_id, case when a = '' then b when b = '' then a else a || chr(10) || b end as text from t"""
+SQL["source_subset"] = f"""
+with {bm25(k=3)}, o as (select doc_id, row_number() over (order by doc_id) as ord from documents)
+select * from o where ord <= 100 or doc_id in (select doc_id from bm)"""
+SQL["source_poison"] = """
+select 'adv::' || item_id || '::' || (i - 1) as doc_id, text || '.' || w[i] as text, 'runtime_external' as provenance, item_id::varchar as target_id, i - 1 as adv_idx
+from (select item_id, text, string_split(text, ' ') as w from benchmark), unnest(range(1, 6)) as t(i) where i <= len(w)"""
+SQL["stream_late_documents"] = f"""
+with {bm25(f"select doc_id, text from documents where not {OUTSIDE}")}, {EXTRA.format(t=tokens("text"), x=f"select doc_id, text from documents where {OUTSIDE}")} select query_id, doc_id, score from xa"""
+SQL["stream_event_counts"] = """
+select epoch(time_bucket(interval 1 hour, ts))::bigint as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"""
