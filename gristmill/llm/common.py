@@ -163,7 +163,7 @@ def binary_array(rows: list[bytes]) -> pa.Array:
 
 
 def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b): root is the least node reachable.
+    """(node, root) for every node of the undirected edges (a, b) that is not itself its root, the least node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a grouped
     minimum and a join, pre-aggregated before the shuffle, so a node with very many edges costs

@@ -17,6 +17,9 @@ LENGTH, TREES, DEPTH = 64, 16, 3
 STRIDE = LENGTH // TREES
 #: A region of an order is compared in tiles of at most this many signatures.
 TILE = 1024
+#: A tile with more possible pairs a row than this is dense: its full sets are compared together,
+#: at most SET_TILE of them with as many others.
+DENSE, SET_TILE = 4, 1024
 _FACTORS = mixed(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -111,7 +114,7 @@ def pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def near_in_size(sizes: np.ndarray, size: int, ratio: float) -> np.ndarray:
-    return np.minimum(sizes, size) >= ratio * np.maximum(sizes, size)
+    return np.minimum(sizes, size) >= ratio * np.maximum(sizes, size) - 1e-9
 
 
 def first_pairs(close: float, ratio: float):
@@ -135,29 +138,116 @@ def first_pairs(close: float, ratio: float):
     return run
 
 
-def cross_pairs(possible: float, ratio: float):
-    """All pairs of a tile that are still in different components and whose signatures allow the similarity.
+def cross_pairs(possible: float, ratio: float, dense: int):
+    """Pairs of a tile that are still in different components and whose signatures allow the similarity.
 
-    Rows of side 0 meet those of side 1; rows of side 2 meet each other.
+    Rows of side 0 meet those of side 1; rows of side 2 meet each other. A tile with more than
+    ``dense`` such pairs a row emits none of them but its rows that have some (b is null, k says
+    which tile): their full sets are then compared together.
     """
 
     def run(batches):
-        for _, _, ids, sizes, sketch, roots, sides in grouped(batches, 2):
-            a, b = [], []
+        for key, _, ids, sizes, sketch, roots, sides in grouped(batches, 2):
+            a, b, count = [], [], 0
+            busy = np.zeros(len(ids), dtype=bool)
             right = np.flatnonzero(sides == 1)
             for i in np.flatnonzero(sides != 1).tolist():
                 others = np.arange(i + 1, len(ids)) if sides[i] == 2 else right
                 others = others[(roots[others] != roots[i]) & near_in_size(sizes[others], sizes[i], ratio)]
                 others = others[alike(sketch[i], sketch[others]) >= possible]
                 if len(others):
-                    a.append(np.full(len(others), ids[i]))
-                    b.append(ids[others])
+                    busy[i] = busy[others] = True
+                    count += len(others)
+                    if count <= dense * len(ids):
+                        a.append(np.full(len(others), ids[i]))
+                        b.append(ids[others])
+            if count > dense * len(ids):
+                members = ids[busy]
+                none = pa.nulls(len(members), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(members), none, pa.array(np.full(len(members), key[0]))], names=["a", "b", "k"])
+            elif a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                low, high = pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))
+                yield pa.RecordBatch.from_arrays([low, high, pa.nulls(len(a), pa.int64())], names=["a", "b", "k"])
+
+    return run
+
+
+def exact_links(numerator: int, denominator: int, width: int = 8192):
+    """A spanning forest of the links across components in each tile, from the rows' full sets.
+
+    Intersections are a product of 0/1 matrices over the shingles that several rows have, a stretch
+    of them at a time; sums below 2**24 are exact in single precision.
+    """
+
+    def run(batches):
+        for _, ids, roots, sides, sets in set_tiles(batches):
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            often = times > 1
+            kept = often[inverse]
+            column, owner = (np.cumsum(often) - 1)[inverse[kept]], owner[kept]
+            order = np.argsort(column, kind="stable")
+            column, owner = column[order], owner[order]
+            left = np.flatnonzero(sides != 1)
+            right = left if len(left) and sides[left[0]] == 2 else np.flatnonzero(sides == 1)
+            shared = np.zeros((len(left), len(right)), dtype=np.float32)
+            place_l, place_r = np.full(len(ids), -1), np.full(len(ids), -1)
+            place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+            for at in range(0, int(often.sum()), width):
+                x, y = np.searchsorted(column, [at, at + width])
+                c, o = column[x:y] - at, owner[x:y]
+                ml, mr = np.zeros((len(left), width), dtype=np.float32), np.zeros((len(right), width), dtype=np.float32)
+                in_l, in_r = place_l[o] >= 0, place_r[o] >= 0
+                ml[place_l[o[in_l]], c[in_l]] = 1
+                mr[place_r[o[in_r]], c[in_r]] = 1
+                shared += ml @ mr.T
+            shared = shared.astype(np.int64)
+            union = sizes[left][:, None] + sizes[right][None, :] - shared
+            i, j = np.nonzero((shared * denominator >= union * numerator) & (roots[left][:, None] != roots[right][None, :]))
+            parent: dict[int, int] = {}
+
+            def top(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            a, b = [], []
+            for x, y in zip(left[i].tolist(), right[j].tolist()):
+                u, v = top(int(roots[x])), top(int(roots[y]))
+                if u != v:
+                    parent[u] = v
+                    a.append(ids[x])
+                    b.append(ids[y])
             if a:
-                yield pair_batch(a, b)
+                a, b = np.array(a), np.array(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
+def set_tiles(batches):
+    """(key, ids, roots, sides, sets) of consecutive rows with one key; rows are k, id, root, side, shingles."""
+    held, current = [], None
+
+    def closed():
+        return (current, *(np.array([h[i] for h in held], dtype=np.int64) for i in range(3)), [h[3] for h in held])
+
+    for batch in batches:
+        keys, ids, roots, sides = (batch.column(i).to_pylist() for i in range(4))
+        lists = batch.column(4)
+        for n, row in enumerate(zip(keys, ids, roots, sides)):
+            if current is not None and row[0] != current:
+                yield closed()
+                held = []
+            current = row[0]
+            held.append((*row[1:], lists[n].values.to_numpy()))
+    if held:
+        yield closed()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs whose full sets have denominator * intersection >= numerator * union."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -183,7 +273,7 @@ def near_duplicates(
     the first close leader, the pairs are confirmed on full sets, and their components found. What
     this leaves open is then done in full: in every region that still holds several components all
     pairs across components that the signatures allow are confirmed too, regions above TILE tile
-    by tile. So a region's size caps nothing; a link is missed only if no order brings its two
+    by tile; dense tiles compare their full sets in place and emit no pairs but links. So a region's size caps nothing; a link is missed only if no order brings its two
     signatures to a common prefix (at 85% one link in four million) or if they agree in far fewer
     minima than the similarity makes likely (five standard deviations).
 
@@ -222,21 +312,59 @@ def near_duplicates(
     linked = scratch.save(verified(first, sets, percent, 100), "links")
     roots = scratch.save(components(scratch, linked), "roots")
 
-    # Regions that still hold several components: all pairs across them. The largest component's
-    # members need only meet the others, so a huge group of near copies is passed once a tile of those.
     known = forest.drop("c").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = scratch.save(known, "known")
-    counts = known.groupBy("tree", "p", "root").agg(F.count("*").alias("m"))
-    several = counts.groupBy("tree", "p").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("c"))
+    possible = share - 5 * (share * (1 - share) / LENGTH) ** 0.5
+    rest = (
+        met(known, ["tree", "p"])
+        .select("k", "tree", "id", "n", "sketch", "root", "side")
+        .repartition("k", "tree")
+        .sortWithinPartitions("k", "tree", "id")
+        .mapInArrow(cross_pairs(possible, share, DENSE), "a long, b long, k long")
+    )
+    rest = scratch.save(rest, "rest")
+    pairs = rest.where("b is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    links = scratch.save(linked.unionByName(verified(scratch.save(pairs, "pairs"), sets, percent, 100)), "links")
+    members = rest.where("b is null").select(F.col("a").alias("id"), "k")
+    if members.limit(1).count():
+        # Rows of dense tiles, each in the one group that its tiles chain together: every pair meets once.
+        heads = members.groupBy("k").agg(F.min("id").alias("head"))
+        chained = components(scratch, members.join(heads, "k").select(F.col("id").alias("a"), F.col("head").alias("b")))
+        chained = chained.unionByName(chained.select(F.col("root").alias("node"), "root").distinct())
+        now = scratch.save(components(scratch, links), "roots")
+        group = chained.select(F.col("node").alias("id"), F.col("root").alias("p")).withColumn("tree", F.lit(0).cast("long"))
+        group = group.join(now.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        tiles = met(scratch.save(group, "group"), ["tree", "p"], SET_TILE).select("k", "id", "root", "side").join(sets, "id")
+        tiles = tiles.select("k", "id", "root", "side", "shingles").repartition("k").sortWithinPartitions("k", "id")
+        exact = tiles.mapInArrow(exact_links(percent, 100), "a long, b long")
+        links = scratch.save(links.unionByName(exact), "links")
+    # Ids that stand for two different sets (repeated ids) hold their classes together.
+    twice = classes.select("n", "s1", "s2", "rep").join(base.select("n", "s1", "s2", "id").distinct(), ["n", "s1", "s2"])
+    twice = twice.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    ties = twice.select(F.explode("reps").alias("b"), F.array_min("reps").alias("a"))
+    roots = scratch.save(components(scratch, links.unionByName(ties.select("a", "b"))), "roots")
+    ends = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
+    out = base.alias("d").join(ends.alias("e"), F.expr("d.n = e.n and d.s1 = e.s1 and d.s2 = e.s2 and d.id is not null"), "left")
+    root = F.coalesce(F.col("e.root"), F.col("d.id"))
+    return out.select(F.col("d.id").alias(id_col), F.col("d.n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("d.id"), F.lit(True)).alias("kept"))
+
+
+def met(known: DataFrame, region: list[str], size: int = TILE) -> DataFrame:
+    """Rows of regions that hold several components, once for every tile (k) where they meet others, with their side.
+
+    The largest component's members need only meet the others, so a huge group of near copies is
+    passed once a tile of those; the others meet each other as well.
+    """
+    counts = known.groupBy(*region, "root").agg(F.count("*").alias("m"))
+    several = counts.groupBy(*region).agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("c"))
     several = several.where("c > top.m").select(
-        "tree",
-        "p",
+        *region,
         F.col("top.root").alias("top"),
-        F.greatest(F.lit(1), F.ceil(F.col("top.m") / TILE)).cast("long").alias("tops"),
-        F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("top.m")) / TILE)).cast("long").alias("others"),
+        F.greatest(F.lit(1), F.ceil(F.col("top.m") / size)).cast("long").alias("tops"),
+        F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("top.m")) / size)).cast("long").alias("others"),
     )
-    open_ = known.join(several, ["tree", "p"]).withColumn("main", F.col("root") == F.col("top"))
-    open_ = open_.withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.when(F.col("main"), F.col("tops")).otherwise(F.col("others"))))
+    rows = known.join(several, region).withColumn("main", F.col("root") == F.col("top"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.when(F.col("main"), F.col("tops")).otherwise(F.col("others"))))
 
     def meet(i: Column, j: Column, side) -> Column:
         return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("long").alias("side"))
@@ -250,28 +378,8 @@ def near_duplicates(
         counted("others"), lambda j: meet(F.least(j, own), F.greatest(j, own), F.when(j == own, 2).when(own < j, 0).otherwise(1))
     )
     of_main = F.transform(counted("others"), lambda i: meet(i, -1 - own, F.lit(1)))
-    meets = F.when(F.col("main"), of_main).otherwise(F.concat(with_main, among))
-    possible = share - 5 * (share * (1 - share) / LENGTH) ** 0.5
-    rest = (
-        open_.withColumn("m", F.explode(meets))
-        .select(F.xxhash64("tree", "p", "m.i", "m.j").alias("k"), "tree", "id", "n", "sketch", "root", F.col("m.side").alias("side"))
-        .repartition("k", "tree")
-        .sortWithinPartitions("k", "tree", "id")
-        .mapInArrow(cross_pairs(possible, share), "a long, b long")
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = verified(scratch.save(rest, "pairs"), sets, percent, 100)
-    links = scratch.save(linked.unionByName(more), "links")
-    # Ids that stand for two different sets (repeated ids) hold their classes together.
-    twice = classes.select("n", "s1", "s2", "rep").join(base.select("n", "s1", "s2", "id").distinct(), ["n", "s1", "s2"])
-    twice = twice.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    ties = twice.select(F.explode("reps").alias("b"), F.array_min("reps").alias("a"))
-    roots = scratch.save(components(scratch, links.unionByName(ties.select("a", "b"))), "roots")
-    ends = classes.join(roots, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    out = base.alias("d").join(ends.alias("e"), F.expr("d.n = e.n and d.s1 = e.s1 and d.s2 = e.s2 and d.id is not null"), "left")
-    root = F.coalesce(F.col("e.root"), F.col("d.id"))
-    return out.select(F.col("d.id").alias(id_col), F.col("d.n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("d.id"), F.lit(True)).alias("kept"))
+    rows = rows.withColumn("m", F.explode(F.when(F.col("main"), of_main).otherwise(F.concat(with_main, among))))
+    return rows.withColumn("k", F.xxhash64(*region, "m.i", "m.j")).withColumn("side", F.col("m.side"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
