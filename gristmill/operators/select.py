@@ -192,10 +192,11 @@ def margin_gate(chosen: DataFrame, placed: DataFrame, queries: DataFrame, k: int
     The first answer's documents lose, close alternatives' win, and the caps apply once more.
     margin_triggered marks such queries; others keep what was chosen.
     """
-    candidates = pool(chosen, placed, max(k, window))
+    # Few rows a query, read by each of the joins below.
+    candidates = pool(chosen, placed, max(k, window)).persist()
     stats = robust_support(candidates.withColumn("rank", F.col("place")), True)
-    scores = margin_scores(stats)
-    context = margin_context(scores, queries, m)
+    scores = margin_scores(stats).persist()
+    context = margin_context(scores, queries, m).persist()
     close = alternatives(scores, context, m).withColumn("_close", F.lit(True)).withColumnRenamed("answer_key", "_key")
     some = close.select("query_id").distinct().withColumn("_some", F.lit(True))
     clean = ~(F.col("top_echo_heavy") | F.col("top_isolated") | F.col("no_strong_answer"))

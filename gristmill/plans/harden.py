@@ -54,7 +54,8 @@ def harden(candidates: DataFrame, queries: DataFrame, k: int, c: HardenConfig =
     """The k documents of each query to show, placed 1 to k.
 
     Gated documents leave gaps in rank, as ranks are those of retrieval. After retrieval a query
-    has few candidates, so all steps run on rows partitioned by query_id.
+    has few candidates, so all steps run on rows partitioned by query_id, and what several later
+    steps read (depth rows a query) is kept; it spills to disk where memory is short.
     """
     rows = candidates
     if c.provenance_gate:
@@ -62,12 +63,12 @@ def harden(candidates: DataFrame, queries: DataFrame, k: int, c: HardenConfig =
     if c.authority_gate and required is not None:
         rows = select.authority_gate(rows, required)
     rows = rescored(features(rows, queries, c), c).persist()
-    placed = select.by_score(rows)
+    placed = select.by_score(rows).persist()
     if c.guard:
         placed = select.rank_guard(placed, support.answer_support(rows)).drop("guard_blocked")
-    chosen = select.accepted(select.caps(placed, k, c.per_cluster, c.per_answer))
+    chosen = select.accepted(select.caps(placed, k, c.per_cluster, c.per_answer)).persist()
     if c.top1:
-        chosen = select.top1_guard(chosen, k).drop("top1_triggered")
+        chosen = select.top1_guard(chosen, k).drop("top1_triggered").persist()
     if c.margin:
         chosen = select.margin_gate(chosen, placed, queries, k, per_cluster=c.per_cluster, per_answer=c.per_answer).drop("margin_triggered")
     if c.head:

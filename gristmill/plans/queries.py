@@ -471,8 +471,9 @@ def score_robust(spark, sf):
 
 
 def placed(spark, sf):
-    rows = staged(spark, sf)
-    return select.by_score(score.support_score(rows, support.answer_support(rows)))
+    # Kept, as the guards below read it several times: at most ten rows a query.
+    rows = staged(spark, sf).persist()
+    return select.by_score(score.support_score(rows, support.answer_support(rows))).persist()
 
 
 @query
@@ -486,29 +487,31 @@ def caps_in_order(spark, sf):
     return select.caps(select.by_score(staged(spark, sf)), 5, 1, 1).select("query_id", "doc_id", "place", "cap")
 
 
-def chosen(spark, sf):
-    return select.accepted(select.caps(placed(spark, sf), 5))
+def chosen(rows: DataFrame) -> DataFrame:
+    return select.accepted(select.caps(rows, 5)).persist()
 
 
 @query
 def guard_lone_answer(spark, sf):
-    return select.top1_guard(chosen(spark, sf), 5).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "top1_triggered")
+    return select.top1_guard(chosen(placed(spark, sf)), 5).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "top1_triggered")
 
 
 @query
 def filter_head(spark, sf):
-    return select.head_filter(chosen(spark, sf), 5).select("query_id", "doc_id", "place", "head_triggered")
+    return select.head_filter(chosen(placed(spark, sf)), 5).select("query_id", "doc_id", "place", "head_triggered")
 
 
 @query
 def gate_margin(spark, sf):
-    rows = select.margin_gate(chosen(spark, sf), placed(spark, sf), asked(spark, sf), 5)
+    found = placed(spark, sf)
+    rows = select.margin_gate(chosen(found), found, asked(spark, sf), 5)
     return rows.select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "margin_triggered")
 
 
 @query
 def select_greedily(spark, sf):
-    return select.greedy_selection(chosen(spark, sf), placed(spark, sf), 5).select("query_id", "doc_id", "place", F.round("gain", 6).alias("gain"), "filled")
+    found = placed(spark, sf)
+    return select.greedy_selection(chosen(found), found, 5).select("query_id", "doc_id", "place", F.round("gain", 6).alias("gain"), "filled")
 
 
 @query
