@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -122,14 +124,24 @@ def rounded(rows, most: int):
     """For one source: how many copies the documents of each size get in all.
 
     In descending size, each size takes the whole copies nearest to what its rates and the rest
-    carried so far ask for, so what one size cannot round is made up by smaller ones.
+    carried so far ask for, so what one size cannot round is made up by smaller ones; where those
+    could not make it up, it takes the number that leaves them least to miss.
     """
     rows = rows.sort_values("size", ascending=False)
-    carry, copies = 0.0, []
-    for size, n, rate in zip(rows["size"].tolist(), rows["n"].tolist(), rows["rate"].tolist()):
-        carry += size * n * rate
-        c = min(max(int(np.floor(carry / size + 0.5)), 0), most * n) if size else n
-        carry -= c * size
+    words = (rows["size"] * rows["n"]).astype(float)
+    rest = (words.sum() - words.cumsum()).tolist()
+    asked = (words * rows["rate"]).tolist()
+    left, later, copies = sum(asked), sum(asked), []
+    for size, n, own, smaller in zip(rows["size"].tolist(), rows["n"].tolist(), asked, rest):
+        later -= own
+        if not size:
+            copies.append(n)
+            continue
+        want = math.floor((left - later) / size + 0.5)
+        options = {min(max(c, 0), most * n) for c in (want, math.floor(left / size), math.ceil((left - most * smaller) / size))}
+        missed = lambda c: max(0.0, left - c * size - most * smaller) + max(0.0, c * size - left)  # noqa: B023, E731
+        c = min(sorted(options), key=lambda c: (round(missed(c), 6), abs(c - want)))  # noqa: B023
+        left -= c * size
         copies.append(c)
     return rows.assign(copies=copies)[["source", "size", "n", "copies"]]
 
@@ -212,14 +224,16 @@ def allocation(
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with each row as often as the mix takes it; see ``allocation``."""
     plan = allocation(docs, id_col=id_col, text_col=text_col, **options)
-    tag, nth = fresh(docs, "mix_hash", "mix_rank")
+    tag, nth, key, digest, copies, place = fresh(docs, "mix_hash", "mix_rank", "mix_key", "mix_digest", "mix_copies", "mix_place")
     # Repeated rows share a hash; their copies are dealt among them in order.
-    theirs = plan.select("k", "h", "copies", F.row_number().over(Window.partitionBy("k", "h").orderBy("copies")).alias("i"))
+    theirs = plan.select(
+        F.col("k").alias(key), F.col("h").alias(digest), F.col("copies").alias(copies), F.row_number().over(Window.partitionBy("k", "h").orderBy("copies")).alias(place)
+    )
     mine = docs.withColumn(tag, F.xxhash64(id_col, text_col))
     mine = mine.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, tag).orderBy(tag)))
-    joined = mine.join(theirs, mine[id_col].eqNullSafe(theirs["k"]) & (mine[tag] == theirs["h"]) & (mine[nth] == theirs["i"]))
-    repeats = F.explode(F.expr("sequence(1, cast(copies as int))"))
-    return joined.where("copies > 0").withColumn(nth, repeats).select(*docs.columns)
+    joined = mine.join(theirs, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(tag) == F.col(digest)) & (F.col(nth) == F.col(place)))
+    repeats = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return joined.where(F.col(copies) > 0).withColumn(nth, repeats).select(*docs.columns)
 
 
 def documents_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,11 @@ def classifier(rows: list[tuple[str, str, str, int, float]]) -> dict[str, float]
     return out
 
 
+def is_base(span: Column) -> Column:
+    return span["pattern"] == 1
+
+
 def documents_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: personal data in all documents."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"), out_col="found")
-    return found.select("doc_id", *report("found", KINDS))
+    return found.select("doc_id", *report("found", KINDS, is_base))

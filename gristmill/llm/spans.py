@@ -14,16 +14,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
-    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+def report(spans: str, kinds: tuple[str, ...], is_base=None) -> list[Column]:
+    """n_<kind> for every base kind, base_sha256 and spans, from a column of sorted spans.
 
-
-def count_of(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
-
-def report(spans: str, kinds: tuple[str, ...]) -> list[Column]:
-    """n_<kind> for every base kind, base_sha256 and spans, from a column of sorted spans."""
+    Base spans are those of the base kinds, or those that is_base(span) says.
+    """
     column = F.col(spans)
-    digest = F.sha2(joined(of_kinds(column, kinds)).cast("binary"), 256).alias("base_sha256")
-    return [*(count_of(column, k).alias(f"n_{k}") for k in kinds), digest, joined(column).alias("spans")]
+    base = F.filter(column, is_base or (lambda s: s["kind"].isin(*kinds)))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    digest = F.sha2(joined(base).cast("binary"), 256).alias("base_sha256")
+    return [*(count(k).alias(f"n_{k}") for k in kinds), digest, joined(column).alias("spans")]
