@@ -162,16 +162,46 @@ def binary_array(rows: list[bytes]) -> pa.Array:
 # --- components -------------------------------------------------------------------------------
 
 
+#: Graphs of at most this many edges (8 MB) are solved in one task; a count decides.
+SMALL_GRAPH = 500_000
+
+
+def small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of one partition's edges (u, v): least labels spread along edges and are then halved."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["node", "root"])
+
+
 def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b) that is not itself its root, the least node reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a grouped
+    A graph whose counted edges are few is solved in one task in numpy. Beyond that: alternating large-star and small-star steps (Kiveris et al., 2014): each step is a grouped
     minimum and a join, pre-aggregated before the shuffle, so a node with very many edges costs
     no task more than its share. Needs O(log n) steps in practice; every step is written out.
     """
     now = scratch.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    if now.count() <= SMALL_GRAPH:
+        return now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(small_components, "node long, root long")
     before = None
     for _ in range(limit):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -384,3 +384,18 @@ def test_vectors(spark, monkeypatch):
             if r.vec_id is not None:
                 assert (r.n_links, r.component_id, r.kept) == (n[r.vec_id], top(r.vec_id), top(r.vec_id) == r.vec_id), (tile, r)
     assert embeddings.similar_vectors(empty(df)).count() == 0
+
+
+# --- components ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, monkeypatch, small):
+    from gristmill.llm import common
+
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
+    edges = [(i, i + 1) for i in range(30)] + [(100 + i, 200) for i in range(20)] + [(300, 300), (401, 400), (401, 402), (402, 400)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.root for r in common.components(common.Scratch(spark, "t"), df).collect()}
+    assert got == {i: 0 for i in range(1, 31)} | {i: 100 for i in [*range(101, 120), 200]} | {401: 400, 402: 400}
+    assert common.components(common.Scratch(spark, "t"), df.where("a < 0")).count() == 0
