@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,20 @@ def rotated(vectors: np.ndarray) -> np.ndarray:
     return np.rint(units @ rotation(vectors.shape[1]) * UNIT)
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
+def packed(x: np.ndarray) -> bytes:
+    """The components in four bytes each where that loses nothing, else in eight."""
+    short = x.astype("<f4")
+    return (short if (short == x).all() else x).tobytes()
+
+
+def unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    """The packed vectors of one length, as doubles."""
+    rows = column.to_pylist()
+    short = np.array([len(row) == 4 * dim for row in rows], dtype=bool)
+    out = np.empty((len(rows), dim))
+    for mine, kind in ((short, "<f4"), (~short, "<f8")):
+        out[mine] = np.frombuffer(b"".join(compress(rows, mine)), dtype=kind).reshape(-1, dim)
+    return out
 
 
 def cells_of(points: np.ndarray, threshold: float) -> tuple[list[list[int]], list[list[int]]]:
@@ -87,7 +100,7 @@ def with_cells(classes: DataFrame, threshold: float) -> DataFrame:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                homes, looks = cells_of(rotated(unpacked(part.column(4))), threshold)
+                homes, looks = cells_of(rotated(unpacked(part.column(4), int(dim))), threshold)
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(homes, kind), pa.array(looks, kind)], names=[*part.schema.names, "homes", "looks"])
 
@@ -179,7 +192,7 @@ def tiles(batches):
                 held = []
             current = key
             part = batch.slice(a, b - a)
-            held.append([*(part.column(len(KEY) + k).to_numpy() for k in range(3)), unpacked(part.column(len(KEY) + 3))])
+            held.append([*(part.column(len(KEY) + k).to_numpy() for k in range(3)), unpacked(part.column(len(KEY) + 3), key[1])])
     if held:
         yield closed()
 
@@ -221,8 +234,8 @@ def similar_vectors(
             dims = np.diff(lists.offsets.to_numpy())
             rows = [np.array(x, dtype="<f8") for x in lists.to_pylist()]
             rows = [x / 2.0 ** np.floor(np.log2(np.abs(x).max())) for x in rows]  # a power of two changes no cosine
-            packed = pa.array([x.tobytes() for x in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(dims.astype(np.int64)), packed], names=names)
+            vector = pa.array([packed(x) for x in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(dims.astype(np.int64)), vector], names=names)
 
     names = ["label", "h1", "h2", "rep", "n", "dim", "vector"]
     classes = classes.select("label", "h1", "h2", "rep", "n", "v").mapInArrow(

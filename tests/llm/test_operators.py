@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,6 +387,16 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.similar_vectors(empty(df)).count() == 0
 
 
+def test_packed_vectors_come_back_whole():
+    rng = np.random.default_rng(4)
+    for dim in (1, 2, 16):
+        rows = [rng.standard_normal(dim) for _ in range(4)] + [rng.standard_normal(dim).astype(np.float32).astype(float) for _ in range(4)]
+        rows += [np.full(dim, 1e-300), np.full(dim, 2.0**-149)]
+        parts = [embeddings.packed(x) for x in rows]
+        assert {len(p) for p in parts} == {4 * dim, 8 * dim}
+        assert (embeddings.unpacked(pa.array(parts, pa.binary()), dim) == np.array(rows)).all()
+
+
 # --- components ---------------------------------------------------------------------------------------
 
 
