@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import fresh
+from gristmill.llm.common import Scratch, fresh
+from gristmill.llm.neardup import near_duplicates
 
 RATIO, LEAST_PAGES = 0.05, 5
 
@@ -57,6 +58,73 @@ def drop_site_lines(
     return joined.select(*columns)
 
 
+def drop_site_lines_of_pages(
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    ratio: float = RATIO,
+    least_pages: int = LEAST_PAGES,
+    percent: int = 80,
+) -> DataFrame:
+    """drop_site_lines where copies are no pages of their own, so that no group of copies loses its text.
+
+    Rows of a host with equal texts are one page, for a line as for the host. Pages that hold a
+    line over the ratio are then grouped by near duplicates (``percent``). A line that is over it
+    by pages but not by groups is one that copies share: the page with a group's least id, and
+    its exact copies, keep it. So does a page that would be left without words; near-duplicate
+    removal finds its group as before. The other pages of the group lose it.
+
+    Row counts find the few lines that can be over the ratio, and only these are counted by page.
+    """
+    scratch = Scratch(docs.sparkSession, "site_lines")
+    host, page = F.col(host_col), F.xxhash64(F.col(text_col))
+    split = F.split(F.col(text_col), "\n", -1)
+    known = docs.where(host.isNotNull())
+    pages = scratch.save(known.groupBy(host.alias("h")).agg(F.countDistinct(page).alias("pages")), "pages")
+    slim = known.where(F.col(text_col).isNotNull()).select(
+        host.alias("h"), page.alias("page"), F.array_distinct(F.transform(F.filter(split, lambda x: bare(x) != ""), key)).alias("ks"), F.col(text_col).alias("t")
+    )
+
+    def over(counted: DataFrame, name: str) -> DataFrame:
+        counted = counted.where(F.col("on") >= least_pages).join(pages, "h").where(F.col("on") > F.col("pages") * F.lit(ratio))
+        return counted.groupBy("h").agg(F.collect_set("k").alias(name))
+
+    def held(lists: DataFrame, name: str) -> DataFrame:
+        """Pages with those of their lines that their host's list has."""
+        rows = slim.join(lists, "h").withColumn("ks", F.filter("ks", lambda k: F.array_contains(F.col(name), k)))
+        return rows.where(F.size("ks") > 0)
+
+    maybe = scratch.save(over(slim.select("h", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.count("*").alias("on")), "l"), "maybe")
+    counted = held(maybe, "l").select("h", "page", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("page").alias("on"))
+    by_page = scratch.save(over(counted, "by_page"), "by_page")
+    affected = held(by_page, "by_page").withColumn("left", without(F.col("t"), F.col("by_page")))
+    affected = affected.select(F.xxhash64("h", "page").alias("id"), "h", "page", "t", "ks", (~F.rlike("left", F.lit(r"[^\x20\x09-\x0D]"))).alias("bare"))
+    affected = scratch.save(affected.dropDuplicates(["h", "page"]), "affected")
+
+    groups = near_duplicates(affected, percent, "id", "t").select("id", F.col("component_id").alias("group"), "kept").distinct()
+    rows = scratch.save(affected.drop("t").join(groups, "id"), "grouped")
+    scratch.drop(maybe, affected)
+    counted = rows.select("h", "group", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("group").alias("on"))
+    lists = by_page.join(over(counted, "by_group"), "h", "left").withColumn("by_group", F.coalesce("by_group", F.array().cast(by_page.schema["by_page"].dataType)))
+    lists = scratch.save(lists, "lists")
+    first = rows.where("kept").select("page").distinct().withColumn("first", F.lit(True))
+    shared = rows.join(lists, "h").where(F.exists("ks", lambda k: ~F.array_contains("by_group", k)))
+    whole = shared.join(first, "page", "left").where(F.col("first") | F.col("bare")).select("h", "page").distinct()
+    whole = scratch.save(whole, "whole")
+
+    names = fresh(docs, "site_host", "by_page", "by_group", "whole_host", "whole_page")
+    h, one, two, wh, wp = map(F.col, names)
+    joined = docs.join(lists.toDF(*names[:3]), host == h, "left")
+    joined = joined.join(whole.toDF(*names[3:]), (host == wh) & (page == wp), "left")
+    text = F.when(one.isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.when(wp.isNull(), one).otherwise(two)))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
+def without(text: Column, dropped: Column) -> Column:
+    """A text without the lines whose keys an array holds."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: (bare(x) == "") | ~F.array_contains(dropped, key(x))), "\n")
+
+
 def bare(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 

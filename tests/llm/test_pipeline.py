@@ -36,3 +36,27 @@ def test_registered():
 
     found = __spark_entry__.queries()
     assert "pipeline" in found and all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 11))
+
+
+def test_copy_groups_survive_the_lines_stage(spark, prose):
+    """Groups of exact and of near copies above the line ratio keep their text through the stages lines and near_duplicates."""
+    header = "read all about it on this site"
+    rows = [(i, f"{header}\n{prose(i, 60)}") for i in range(300)]
+    exact = "\n".join(prose(1000 + j, 20) for j in range(6))
+    rows += [(1000 + i, exact) for i in range(60)]
+    shared = [prose(2000 + j, 20) for j in range(8)]
+    rows += [(2000 + i, "\n".join([header, *shared, f"number {i} ends here"])) for i in range(60)]
+    rows += [(3000 + i, "\n".join(shared) + " " * i) for i in range(30)]  # differ by blanks only
+    rows += [(4000, None), (4001, ""), (4002, exact)]
+    docs = spark.createDataFrame([(i, t, "en", "src0" if i != 4002 else None, 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cut = spark.createDataFrame(corpus_pipeline.without_site_lines(spark, docs, SF).collect(), docs.schema)
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert len(texts) == len(rows) and texts[4000] is None and texts[4001] == ""
+    assert all(texts[i] == prose(i, 60) for i in range(300))  # boilerplate goes
+    assert all(texts[i] == exact for i in [*range(1000, 1060), 4002])
+    assert all(f"number {i} ends here" in texts[2000 + i] and header not in texts[2000 + i] for i in range(60))
+    assert not [i for i, t in texts.items() if i < 4000 and not t.strip()]
+    left = {r.doc_id: r.text for r in corpus_pipeline.one_of_each_group(spark, cut, SF).collect()}
+    assert [i for i, t in left.items() if t == exact] == [1000]
+    held = [i for i, t in left.items() if t and all(x in t for x in shared)]
+    assert len(held) == 1 and set(range(300)) < set(left)
