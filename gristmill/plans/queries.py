@@ -186,7 +186,7 @@ def text_abstention(spark, sf):
 @query
 def text_prompt(spark, sf):
     rows = bm25(spark, sf, 3).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
-    contexts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.left("text", F.lit(200)).alias("t")))), lambda c: c["t"])
+    contexts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("text").alias("t")))), lambda c: c["t"])
     rows = rows.groupBy("query_id").agg(contexts.alias("contexts")).join(asked(spark, sf), "query_id")
     return rows.select("query_id", X.prompt(F.col("query"), F.col("contexts")).alias("prompt"))
 

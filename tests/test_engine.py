@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gristmill.functions import constants as C
 from gristmill.functions import text as X
 from gristmill.operators import cluster, evaluate, fusion, mentions, policy, retrieve, score, select
 from gristmill.plans import oracles, queries, tables
@@ -162,3 +163,14 @@ def test_against_sql(spark, name):
 def test_plans_prune_and_limit(spark):
     plan = queries.bm25(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "source" not in re.findall(r"ReadSchema: (\S+)", plan)[0]
+
+
+def test_prompt_holds_whole_contexts(spark):
+    texts = {r.doc_id: r.text for r in queries.docs(spark, SF).select("doc_id", "text").collect()}
+    asks = {r.query_id: r.query for r in queries.asked(spark, SF).collect()}
+    contexts = {}
+    for r in sorted(queries.bm25(spark, SF, 3).collect(), key=lambda r: (r.query_id, r["rank"])):
+        contexts.setdefault(r.query_id, []).append(texts[r.doc_id])
+    want = {q: C.PROMPT.replace("[question]", asks[q]).replace("[context]", "\n".join(c)) for q, c in contexts.items()}
+    assert {r.query_id: r.prompt for r in queries.QUERIES["text_prompt"](spark, SF).collect()} == want
+    assert any(len(t) > 200 for c in contexts.values() for t in c)
