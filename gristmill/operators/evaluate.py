@@ -110,15 +110,17 @@ def exact_match(prediction: Column, golds: Column) -> Column:
 def token_f1(prediction: Column, golds: Column) -> Column:
     """The best F1 of the prediction's words against any gold answer's, with repeats."""
     words = lambda x: F.filter(F.split(T.normalize_qa(x), " "), lambda w: w != "")
+    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
 
-    def one(gold: Column) -> Column:
-        p, g = words(prediction), words(gold)
-        count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-        shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(g, w)))
+    def one(p: Column, g: Column) -> Column:
+        # Only words of the gold answer can be shared.
+        shared = F.aggregate(F.array_distinct(g), F.lit(0), lambda s, w: s + F.least(count(p, w), count(g, w)))
         precision, recall = shared / F.size(p), shared / F.size(g)
         return F.when(shared > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
-    return F.array_max(F.transform(golds, one))
+    # As variables of lambdas, both word lists are made once and not for every use.
+    golds = F.transform(golds, words)
+    return F.transform(F.array(F.coalesce(words(prediction), F.array().cast("array<string>"))), lambda p: F.array_max(F.transform(golds, lambda g: one(p, g))))[0]
 
 
 def inversions(values: Column) -> Column:

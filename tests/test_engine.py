@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -174,3 +175,16 @@ def test_prompt_holds_whole_contexts(spark):
     want = {q: C.PROMPT.replace("[question]", asks[q]).replace("[context]", "\n".join(c)) for q, c in contexts.items()}
     assert {r.query_id: r.prompt for r in queries.QUERIES["text_prompt"](spark, SF).collect()} == want
     assert any(len(t) > 200 for c in contexts.values() for t in c)
+
+
+def test_f1_counts_whole_texts(spark):
+    rows = queries.with_texts(spark, SF).select("query_id", "doc_id", X.normalize_qa(F.col("text")).alias("p"), X.normalize_qa(F.col("query")).alias("g"))
+    want = {}
+    for r in rows.collect():
+        p, g = r.p.split(), r.g.split()
+        same = sum((Counter(p) & Counter(g)).values())
+        want[r.query_id, r.doc_id] = 2 * (same / len(p)) * (same / len(g)) / (same / len(p) + same / len(g)) if same else 0.0
+    got = {(r.query_id, r.doc_id): r.f1 for r in queries.QUERIES["eval_answers"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    nothing = spark.createDataFrame([(None, "a b"), ("a b", None), ("", "b"), ("b b", "b c b")], "p string, g string")
+    assert [r.f for r in nothing.select(evaluate.token_f1(F.col("p"), F.array("g")).alias("f")).collect()] == pytest.approx([0.0, 0.0, 0.0, 0.8])
