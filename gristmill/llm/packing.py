@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 
@@ -20,20 +21,22 @@ class BatchTokenizer:
 
     The vocabulary's pattern takes a look ahead only for runs of white space, and looking ahead
     is what makes it slow. Texts where every white-space character stands alone (a space or a
-    line end) are parted by the same pattern without it, with the same ids.
+    line end) are parted by the same pattern without it, with the same ids. Tokens ``added`` to
+    the vocabulary (text: id) get their own id wherever a text holds them.
     """
 
     #: The contractions and classes of the vocabulary's own pattern.
     PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
     RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.added = dict(added or {})
         self.full, self.plain = (
-            tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for name, p in (("full", pattern), ("plain", self.PLAIN))
+            tiktoken.Encoding(name, pat_str=p, mergeable_ranks=ranks, special_tokens=self.added) for name, p in (("full", pattern), ("plain", self.PLAIN))
         )
 
     def is_plain(self, text: str) -> bool:
@@ -41,11 +44,20 @@ class BatchTokenizer:
         return not (pairs or any(c in text for c in self.RARE))
 
     def encode(self, text: str | None) -> np.ndarray:
-        ids = (self.plain if self.is_plain(text) else self.full).encode_ordinary(text) if text else []
+        if text and any(token in text for token in self.added):
+            ids = self.full.encode(text, allowed_special="all")
+        else:
+            ids = (self.plain if self.is_plain(text) else self.full).encode_ordinary(text) if text else []
         ids.append(END)
         return np.frombuffer(array("I", ids), dtype=np.uint32)
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The tokens that a tokenizer's JSON file adds to its vocabulary, with their ids."""
+    with open(json_path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def assign(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[list[tuple[int, int, int]]], list[float], list[int]]:
     """Pieces (document, start, length) by sequence, the sequences' costs and their capacities.
 
@@ -103,6 +115,7 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
     window_tokens: int = 3_000_000,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: the document's id, where the piece starts, its tokens and its sequence.
 
@@ -121,7 +134,7 @@ def pack(
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder, sequence = BatchTokenizer(ranks_path, pattern), task << 32
+        encoder, sequence = BatchTokenizer(ranks_path, pattern, added), task << 32
         keys: list = []
         ids: list[np.ndarray] = []
         tokens = 0
@@ -165,11 +178,12 @@ def pack(
 def documents_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: all documents in sequences of at most 2048 tokens.
 
-    The ids are those of byte_bpe_50k.json; the file read here has the same vocabulary as ranks.
+    The ids are those of byte_bpe_50k.json with its added tokens; the ranks are the same vocabulary.
     """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select(
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", F.round("cost", 3).alias("cost")
     )

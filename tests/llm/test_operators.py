@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding
 from gristmill.llm.spans import report
 
@@ -41,6 +42,23 @@ def test_ids_are_those_of_the_tokenizer():
         assert own.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids + [1], text
 
 
+def test_packed_ids_have_the_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"  {end}  x\n", f"it's{end}'s", f"x \n\n{end}\ny 日本", "<|endoftext|", f"é{end[:-1]}{end} 12", "a  b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: np.array(theirs.encode(t, add_special_tokens=False).ids + [1], dtype="<u4") for i, t in enumerate(texts)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for df in (packing.documents_packed(spark, str(tmp_path)), corpus_pipeline.packed_sequences(spark, docs, str(tmp_path))):
+        rows = df.collect()
+        assert {r.doc_id for r in rows} == set(want)
+        for r in rows:
+            piece = want[r.doc_id][r.start : r.start + r.length]
+            assert (r.doc_tokens, r.ids_crc32) == (len(want[r.doc_id]), zlib.crc32(piece.tobytes())), texts[r.doc_id]
+
+
 def test_packing_round_trip(corpus, plain):
     rows = packing.pack(corpus, RANKS, public_tokenizers.PATTERN, window_tokens=5000).collect()
     encoder = packing.BatchTokenizer(RANKS, public_tokenizers.PATTERN)
