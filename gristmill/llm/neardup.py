@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm.common import Scratch, components, fresh, mixed, shingle_sets
 
@@ -385,15 +386,30 @@ def met(known: DataFrame, region: list[str], size: int = TILE) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates, the one with the least id.
 
-    Of rows that repeat a kept id one stays. Rows with a null id all stay.
+    Of rows that repeat a kept id and its text one stays, the least by its other columns. Where
+    an id has different texts, each is a document of its own that only its links collapse.
+    Rows with a null id all stay.
     """
-    found = near_duplicates(docs, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull())
-    (other,) = fresh(docs, "kept_id")
-    found = Scratch(docs.sparkSession, "kept").save(found.groupBy(F.col(id_col).alias(other)).agg(F.count("*").alias("rows")), "kept")
-    once, often = found.where("rows = 1").select(other), found.where("rows > 1").select(other)
-    out = docs.join(once, F.col(id_col) == F.col(other), "left_semi")
+    key, texts, rows, component, place = fresh(docs, "kept_id", "texts", "kept_rows", "kept_group", "kept_place")
+    scratch = Scratch(docs.sparkSession, "kept")
+    known = docs.where(F.col(id_col).isNotNull())
+    if known.groupBy(id_col).agg(F.countDistinct(F.xxhash64(text_col)).alias(texts)).where(F.col(texts) > 1).limit(1).count():
+        known = known.withColumn(key, F.xxhash64(id_col, text_col))
+        found = near_duplicates(known.select(key, text_col), percent, key, text_col)
+        found = scratch.save(found.groupBy(key, F.col("component_id").alias(component)).agg(F.count("*").alias(rows)), "found")
+        ids = known.select(key, F.col(id_col).alias(texts)).distinct()
+        found = found.join(ids, key).groupBy(component).agg(F.min(F.struct(texts, key, rows)).alias(place)).select(f"{place}.{key}", f"{place}.{rows}")
+    else:
+        found = near_duplicates(docs, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull())
+        found = found.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(rows))
+        known = known.withColumn(key, F.col(id_col))
+    found = scratch.save(found, "kept")
+    out = known.join(found.where(F.col(rows) == 1).select(key), key, "left_semi").select(*docs.columns)
+    often = found.where(F.col(rows) > 1).select(key)
     if often.limit(1).count():
-        out = out.unionByName(docs.join(often, F.col(id_col) == F.col(other), "left_semi").dropDuplicates([id_col]))
+        order = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+        same = known.join(often, key, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        out = out.unionByName(same.where(F.col(place) == 1).select(*docs.columns))
     if docs.where(F.col(id_col).isNull()).limit(1).count():
         out = out.unionByName(docs.where(F.col(id_col).isNull()))
     return out

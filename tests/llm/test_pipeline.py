@@ -60,3 +60,18 @@ def test_copy_groups_survive_the_lines_stage(spark, prose):
     assert [i for i, t in left.items() if t == exact] == [1000]
     held = [i for i, t in left.items() if t and all(x in t for x in shared)]
     assert len(held) == 1 and set(range(300)) < set(left)
+
+
+def test_an_id_with_different_texts(spark, prose):
+    """Each text of a repeated id stays unless it is linked; the choice among repeated rows is the least one."""
+    a, b, c = (prose(i, 50) for i in (1, 2, 3))
+    rows = [(1, a, "en", "src0", 1), (1, b, "en", "src0", 1), (1, "", "en", "src0", 1), (2, b, "en", "src0", 1), (3, c, "fr", "src0", 1), (3, c, "de", "src0", 1), (3, c + " end", "en", "src0", 1)]
+    rows += [(None, a, "en", "src0", 1)] * 2
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    want = {(1, a, "en"): 1, (1, b, "en"): 1, (1, "", "en"): 1, (None, a, "en"): 2}
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, schema).repartition(parts)
+        got = Counter((r.doc_id, r.text, r.lang) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+        left = [k for k in got if k[0] == 3]
+        assert len(left) == 1 and left[0] in {(3, c, "de"), (3, c + " end", "en")}
+        assert {k: n for k, n in got.items() if k[0] != 3} == want
