@@ -130,13 +130,13 @@ def text_focus_spans(spark, sf):
     return rows.select("query_id", "doc_id", F.transform(spans, lambda s: s["span"]).alias("spans"), spans[0]["kind"].alias("kind"))
 
 
-def first_sentence(spark, sf):
-    return docs(spark, sf).select("doc_id", F.get(X.sentences(F.col("text")), F.lit(0)).alias("s")).where("s is not null")
+def all_sentences(spark, sf):
+    return docs(spark, sf).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("position", "s"))
 
 
 @query
 def text_clean_label(spark, sf):
-    return first_sentence(spark, sf).select("doc_id", X.clean_label(F.col("s")).alias("label"))
+    return all_sentences(spark, sf).select("doc_id", "position", X.clean_label(F.col("s")).alias("label"))
 
 
 @query
@@ -144,8 +144,8 @@ def text_candidate_rules(spark, sf):
     words = F.array_distinct(X.words_of(X.normalize(F.col("s"))))
     known = F.array(*map(F.lit, ["the", "thing", "and", "of", "la", "de", "answer"]))
     label = X.clean_label(F.col("s"))
-    return first_sentence(spark, sf).select(
-        "doc_id", X.is_low_value(label, known).alias("low_value"), X.is_sentence_like(F.col("s")).alias("sentence_like"), X.is_query_echo(words, known).alias("echo")
+    return all_sentences(spark, sf).select(
+        "doc_id", "position", X.is_low_value(label, known).alias("low_value"), X.is_sentence_like(F.col("s")).alias("sentence_like"), X.is_query_echo(words, known).alias("echo")
     )
 
 

@@ -188,3 +188,14 @@ def test_f1_counts_whole_texts(spark):
     assert got == pytest.approx(want, abs=1e-6)
     nothing = spark.createDataFrame([(None, "a b"), ("a b", None), ("", "b"), ("b b", "b c b")], "p string, g string")
     assert [r.f for r in nothing.select(evaluate.token_f1(F.col("p"), F.array("g")).alias("f")).collect()] == pytest.approx([0.0, 0.0, 0.0, 0.8])
+
+
+@pytest.mark.parametrize("name", ["text_clean_label", "text_candidate_rules"])
+def test_rules_see_every_sentence(spark, name):
+    rows = queries.QUERIES[name](spark, SF).collect()
+    sentences = {r.doc_id: r.sentences for r in queries.QUERIES["text_sentences"](spark, SF).collect()}
+    assert sorted((r.doc_id, r.position) for r in rows) == sorted((d, i) for d, s in sentences.items() for i in range(len(s)))
+    if name == "text_clean_label":
+        flat = [(d, i, x) for d, s in sentences.items() for i, x in enumerate(s)]
+        df = spark.createDataFrame(flat, "doc_id bigint, position bigint, s string").select("doc_id", "position", X.clean_label(F.col("s")).alias("label"))
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, df.collect()))
