@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL expresses neither the fitted classifier nor the packing; the tests hold run() against a plain version.
+#: SQL expresses neither the fitted classifier nor the packing. Tests cover the stages; none holds run() against a plain version.
 ORACLE_SQL = None
 
 
