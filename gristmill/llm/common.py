@@ -6,36 +6,44 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(spark, "_gristmill_tmp", None):
         spark._gristmill_tmp = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
     return spark._gristmill_tmp
 
 
+_HELD: list[list[Scratch]] = []
+
+
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
-    A table survives the loss of executors and cuts the lineage. ``drop`` removes one that no
-    later step reads; the rest stay until the folder is cleaned, as lazy results read them.
+    A table survives the loss of executors and cuts the lineage. ``drop`` removes tables that no
+    later step reads; ``spent`` removes all that operators called inside it have made.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for held in _HELD:
+            held.append(self)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -48,9 +56,49 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             if path := getattr(table, "_scratch_path", None):
-                jvm = self.spark.sparkContext._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def spent():
+    """All tables made by operators that are called inside go at its end; save what is read later elsewhere."""
+    held: list[Scratch] = []
+    _HELD.append(held)
+    try:
+        yield
+    finally:
+        _HELD.remove(held)
+        for scratch in held:
+            scratch.clear()
+
+
+#: A table of at most this many rows of a few numbers each is broadcast (some 64 MB); others are shuffled.
+FEW_ROWS = 1_000_000
+
+
+def broadcast_if_few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """The saved table, marked for broadcast where its count is small; Spark joins it by a shuffle where it is not."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def numbered(scratch: Scratch, rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their ``place`` (from 0) in an order: ranges are sorted apart and their counts added up."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    ranges = scratch.save(ranges, "ranges")
+    at, before = 0, []
+    for x in ranges.groupBy("range").count().orderBy("range").collect():  # as many as shuffle partitions
+        before.append((x["range"], at))
+        at += x["count"]
+    before = scratch.spark.createDataFrame(before, "range int, before long")
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranges.withColumn("place", rank).join(F.broadcast(before), "range").withColumn("place", F.col("place") + F.col("before")).drop("range", "before")
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -162,53 +210,65 @@ def binary_array(rows: list[bytes]) -> pa.Array:
 # --- components -------------------------------------------------------------------------------
 
 
-#: Graphs of at most this many edges (8 MB) are solved in one task; a count decides.
-SMALL_GRAPH = 500_000
+#: Edges are contracted this many at a time.
+EDGES = 1 << 20
 
 
-def small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of one partition's edges (u, v): least labels spread along edges and are then halved."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    u, v = (np.concatenate(x) for x in zip(*parts))
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of some edges: least labels spread along edges and are then halved."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     u, v = at[: len(u)], at[len(u) :]
     label = np.arange(len(nodes))
     while True:
         least = np.minimum(label[u], label[v])
         new = label.copy()
-        np.minimum.at(new, u, least)
-        np.minimum.at(new, v, least)
-        np.minimum.at(new, label[u], least)
-        np.minimum.at(new, label[v], least)
+        for end in (u, v, label[u], label[v]):
+            np.minimum.at(new, end, least)
         new = new[new]
         if (new == label).all():
             break
         label = new
     other = label != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["node", "root"])
+    return nodes[other], nodes[label[other]]
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a partition's edges (u, v) join, as one star for each component among EDGES of them."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def close():
+        u, v = stars(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        if sum(len(u) for u, _ in held) >= EDGES:
+            yield close()
+            held = []
+    if held:
+        yield close()
 
 
 def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b) that is not itself its root, the least node reachable.
 
-    A graph whose counted edges are few is solved in one task in numpy. Beyond that: alternating large-star and small-star steps (Kiveris et al., 2014): each step is a grouped
-    minimum and a join, pre-aggregated before the shuffle, so a node with very many edges costs
-    no task more than its share. Needs O(log n) steps in practice; every step is written out.
+    Each partition first contracts its own edges to stars. Then large-star and small-star steps
+    alternate (Kiveris et al., 2014): each is a grouped minimum and a join, pre-aggregated before
+    the shuffle, and written out; adaptive execution splits the join of a node with very many edges. It ends when all edges lead to a root.
     """
-    now = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    if now.count() <= SMALL_GRAPH:
-        return now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(small_components, "node long, root long")
-    before = None
+    ends = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    now = scratch.save(ends.mapInArrow(contracted, "u long, v long").distinct(), "edges")
     for _ in range(limit):
+        seen = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        seen = seen.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if not seen.where("up > 1 or (up > 0 and down > 0)").limit(1).count():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -217,13 +277,7 @@ def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame
             .where("u <> v")
             .distinct()
         )
-        after = scratch.save(small, "edges")
-        state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        after = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         scratch.drop(now)
         now = after
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"the components did not settle in {limit} steps")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"the components did not settle in {limit} steps")

@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, fresh
+from gristmill.llm.common import FEW_ROWS, Scratch, broadcast_if_few, fresh, spent
 from gristmill.llm.neardup import near_duplicates
 
 RATIO, LEAST_PAGES = 0.05, 5
+#: Where hosts' lists are too large to broadcast, a host's pages meet its list in this many parts.
+SALTS = 64
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, host_col: str, text_col: str, most: int = FEW_ROWS) -> DataFrame:
+    """docs with the columns of their host's row in the saved ``lists`` (host first, then arrays), null where it has none.
+
+    Lists of at most ``most`` lines in all are broadcast. Others are joined by host and salt, so a
+    host with any share of the pages is SALTS groups.
+    """
+    host, *arrays = lists.columns
+    sizes = [F.size(F.coalesce(F.col(c), F.array().cast(lists.schema[c].dataType))) for c in arrays]
+    entries = lists.agg(F.sum(sum(sizes, F.lit(1)))).first()[0] or 0
+    if entries <= most:
+        return docs.join(F.broadcast(lists), F.col(host_col) == F.col(host), "left")
+    salt, part = fresh(docs.join(lists.limit(0), F.lit(False)), "salt", "part")
+    lists = lists.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(text_col), F.lit("salt")), F.lit(SALTS)).cast("int"))
+    return dealt.join(lists, (F.col(host_col) == F.col(host)) & (F.col(salt) == F.col(part)), "left").drop(salt, part)
 
 
 def drop_site_lines(
@@ -26,12 +45,15 @@ def drop_site_lines(
     line counts once a page. Line hashes (two of 64 bits) are summed before and after one shuffle,
     so a line or host with any share of the rows costs no task more than others. At most
     (mean lines a page) / ratio lines of a host can exceed the ratio, which bounds the list that
-    is joined to its pages by host; Spark broadcasts the lists where they are small and otherwise
-    joins by a shuffle that splits hot hosts.
+    meets its pages (``with_lists``).
 
-    Null hosts are no site: their lines stay. Null texts stay null. Repeated rows are pages of
-    their own. ``dropped_col`` names a column for the number of dropped lines.
+    Null hosts are no site: their lines stay. Null texts stay null, empty ones empty, and texts of
+    any length are taken whole. Repeated rows are pages of their own. Empty input gives no rows.
+    ``dropped_col`` names a column for the number of dropped lines, which docs must not have yet.
     """
+    if dropped_col and dropped_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {dropped_col} already")
+    scratch = Scratch(docs.sparkSession, "lines")
     lines, keys, dropped, host = fresh(docs, "site_lines", "line_keys", "boilerplate", "site_host")
     split = F.split(F.col(text_col), "\n", -1)
     slim = docs.where(F.col(host_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(host_col).alias("h"), split.alias("l"))
@@ -48,7 +70,7 @@ def drop_site_lines(
         .groupBy(F.col("h").alias(host))
         .agg(F.collect_set("k").alias(dropped))
     )
-    joined = docs.join(over, F.col(host_col) == F.col(host), "left").withColumn(lines, F.split(F.col(text_col), "\n", -1))
+    joined = with_lists(docs, scratch.save(over, "lists"), host_col, text_col).withColumn(lines, F.split(F.col(text_col), "\n", -1))
     kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains(F.col(dropped), key(x)))
     joined = joined.withColumn(keys, F.when(F.col(dropped).isNull(), F.col(lines)).otherwise(kept))
     text = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.array_join(keys, "\n"))
@@ -75,6 +97,7 @@ def drop_site_lines_of_pages(
     removal finds its group as before. The other pages of the group lose it.
 
     Row counts find the few lines that can be over the ratio, and only these are counted by page.
+    Nulls, repeats and empty input as in drop_site_lines.
     """
     scratch = Scratch(docs.sparkSession, "site_lines")
     host, page = F.col(host_col), F.xxhash64(F.col(text_col))
@@ -101,8 +124,9 @@ def drop_site_lines_of_pages(
     affected = affected.select(F.xxhash64("h", "page").alias("id"), "h", "page", "t", "ks", (~F.rlike("left", F.lit(r"[^\x20\x09-\x0D]"))).alias("bare"))
     affected = scratch.save(affected.dropDuplicates(["h", "page"]), "affected")
 
-    groups = near_duplicates(affected, percent, "id", "t").select("id", F.col("component_id").alias("group"), "kept").distinct()
-    rows = scratch.save(affected.drop("t").join(groups, "id"), "grouped")
+    with spent():
+        groups = near_duplicates(affected, percent, "id", "t").select("id", F.col("component_id").alias("group"), "kept").distinct()
+        rows = scratch.save(affected.drop("t").join(groups, "id"), "grouped")
     scratch.drop(maybe, affected)
     counted = rows.select("h", "group", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("group").alias("on"))
     lists = by_page.join(over(counted, "by_group"), "h", "left").withColumn("by_group", F.coalesce("by_group", F.array().cast(by_page.schema["by_page"].dataType)))
@@ -114,8 +138,8 @@ def drop_site_lines_of_pages(
 
     names = fresh(docs, "site_host", "by_page", "by_group", "whole_host", "whole_page")
     h, one, two, wh, wp = map(F.col, names)
-    joined = docs.join(lists.toDF(*names[:3]), host == h, "left")
-    joined = joined.join(whole.toDF(*names[3:]), (host == wh) & (page == wp), "left")
+    joined = with_lists(docs, lists.toDF(*names[:3]), host_col, text_col)
+    joined = joined.join(broadcast_if_few(whole).toDF(*names[3:]), (host == wh) & (page == wp), "left")
     text = F.when(one.isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.when(wp.isNull(), one).otherwise(two)))
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, fresh
+from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, numbered, text_bytes
 
 #: A word is a run of characters other than space and the five control characters of white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,43 +17,55 @@ MOST = 2.0
 
 
 def words(text: Column) -> Column:
-    """The number of words; null has none. Runs of white space end words, so their count is enough."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))).cast("long")
+    """The number of words; null has none. A word begins at every byte in a word after one that is not."""
 
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        counts = []
+        for i in range(0, len(texts), 500):
+            data, offsets = text_bytes(texts.slice(i, 500))
+            begins = ~SPACE[data]
+            begins[1:] &= SPACE[data[:-1]]
+            first = offsets[:-1][offsets[:-1] < offsets[1:]]
+            begins[first] = ~SPACE[data[first]]
+            sums = np.concatenate([[0], np.cumsum(begins)])
+            counts.append(sums[offsets[1:]] - sums[offsets[:-1]])
+        return pa.array(np.concatenate(counts) if counts else [], pa.int64())
 
-def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float = MOST) -> DataFrame:
+    return of(text)
+
+
+def targets(scratch: Scratch, sources: DataFrame, weights: tuple[float, ...], share: float, most: float = MOST) -> DataFrame:
     """source, source_size, target: shares by weight, none above ``most`` times its source's size.
 
-    Sources in code point order, null last, take the weights in turn. Capping and resharing the
-    excess by weight ends at the level L with sum(min(most * size, weight * L)) = share * total;
-    L is found from sums in ascending order of most * size / weight. One row per source.
+    Sources in code point order, null last, take the weights in turn. What is above a cap goes to
+    the open sources by weight until none is above its own: the level, target / weight of the
+    open ones, only rises. Every round is one sum over the sources, a row each; their order
+    comes from ranges.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    rows = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    everything = Window.partitionBy(F.lit(1))
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("goal", F.sum("source_size").over(everything) * share)
-        .withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("goal") - F.col("capped")) / F.col("open"))
-        .withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    )
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("capped"), F.col("level")))).over(everything)["level"]
-    return rows.withColumn("level", level).select(
-        "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target")
-    )
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = numbered(scratch, sources, F.col("source").asc_nulls_last())
+    rows = scratch.save(rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "weights")
+    goal = float(rows.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = -1.0
+    while True:
+        above = F.col("cap") < F.col("weight") * F.lit(level)
+        capped, open_ = rows.agg(F.sum(F.when(above, F.col("cap")).otherwise(0.0)), F.sum(F.when(~above, F.col("weight")).otherwise(0.0))).first()
+        if not open_ or (goal - capped) / open_ <= level * (1 + 1e-12):
+            break
+        level = (goal - capped) / open_
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(level)) if open_ else F.col("cap")
+    return rows.select("source", "source_size", target.alias("target"))
 
 
-def solve(scratch: Scratch, sizes: DataFrame, goals: DataFrame, most: float, steps: int = 60, near: float = 1e-9) -> DataFrame:
+def solve(scratch: Scratch, sizes: DataFrame, goals: DataFrame, most: float, steps: int = 100, near: float = 1e-9) -> DataFrame:
     """source, lam: the dual's root for every source by guarded Newton steps over grouped sizes.
 
     A document of size x (as a share of its source's mean) has rate min(most, exp(lam * x)), the
     entropy-nearest rates to 1 with the source's target as their sum of rate * size. The dual is
     convex and its slope monotone in lam, so each step's bracket shrinks; a Newton step outside
     it is replaced by the bracket's middle. Every step is one grouped sum over (source, size).
+    A source is done within ``near`` of its target, or where its bracket has no number left inside.
     """
     state = scratch.save(
         goals.where("source_size > 0").select(
@@ -101,7 +114,7 @@ def solve(scratch: Scratch, sizes: DataFrame, goals: DataFrame, most: float, ste
             .withColumn("low1", low)
             .withColumn("high1", high)
             .withColumn("newton", newton)
-            .withColumn("ready", F.col("done") | F.col("full") | F.coalesce(F.abs(off) <= near, F.lit(False)))
+            .withColumn("ready", F.col("done") | F.col("full") | F.coalesce((F.abs(off) <= near) | (F.col("high1") - F.col("low1") <= F.abs("lam") * 1e-15), F.lit(False)))
             .select(
                 "source",
                 "want",
@@ -117,6 +130,9 @@ def solve(scratch: Scratch, sizes: DataFrame, goals: DataFrame, most: float, ste
         state = new
         if not state.where("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the rates did not settle in {steps} steps")
+    scratch.drop(x)
     return state.select("source", "lam", "full")
 
 
@@ -146,39 +162,16 @@ def rounded(rows, most: int):
     return rows.assign(copies=copies)[["source", "size", "n", "copies"]]
 
 
-def allocation(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-    share: float = 1.5,
-    most: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    bucket_rows: int = 20_000,
-) -> DataFrame:
-    """k, h, size, source_size, target, copies for each row: its id and the hash of its id and text first.
-
-    Tokens are words here. Rates come from entropy balancing under each source's target and are
-    rounded into 0 to ``most`` whole copies. Documents of one source and size have one rate; of
-    these the ones with least hash of the id (then text) get the copies that don't divide
-    evenly. Their ranks come from counts by hash bucket, so no task sorts a whole group. A
-    source's sizes meet in one task: distinct sizes only, at most sqrt(2 * words) of them.
+def planned(scratch: Scratch, slim: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """A row for each (source, size): source_size, target, base, limit, take and ties.
 
-    Null text has size 0; null source is one source, last in order; null ids and repeated rows
-    are documents like others. A document of size 0 is copied once and counts nothing. A source
-    without words has target 0. Empty input gives no rows.
+    Every document of the group is taken ``base`` times, and once more where its hash u is below
+    ``limit``; of the ``ties`` rows at the limit (repeats of one document) ``take`` are. slim has
+    source, size and u, a hash of id and text in [0, 2**63).
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    slim = scratch.save(
-        docs.select(
-            F.col(id_col).alias("k"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("h")
-        ),
-        "slim",
-    )
     sizes = scratch.save(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     per_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goals = scratch.save(targets(per_source, weights, share, float(most)), "goals")
+    goals = scratch.save(targets(scratch, per_source, weights, share, float(most)), "goals")
     dual = solve(scratch, sizes, goals, float(most))
     rate = F.when(F.col("full"), float(most)).otherwise(
         F.exp(F.least(F.col("lam") * F.col("size") * F.col("docs") / F.col("source_size"), F.lit(float(np.log(most)))))
@@ -192,48 +185,105 @@ def allocation(
         .select("z.source", "z.size", "z.n", F.coalesce(rate, F.lit(1.0)).alias("rate"))
     )
     plan = rated.groupBy("source").applyInPandas(lambda x: rounded(x, most), sizes.select("source", "size", "n").schema.add("copies", "long"))
+    plan = plan.select("source", "size", "n", F.expr("copies div n").alias("base"), F.expr("copies % n").alias("extra"))
     plan = scratch.save(plan, "plan")
 
-    # Ranks inside a (source, size) group: hash buckets of bounded size, their counts summed in order.
-    wide = plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("long"))
-    dealt = (
-        slim.alias("a")
-        .join(wide.alias("w"), F.expr("a.source <=> w.source and a.size = w.size"))
-        .select("a.*", "w.n", "w.copies", F.expr("pmod(shiftrightunsigned(a.h, 1), w.buckets)").alias("bucket"))
-    )
-    in_bucket = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("c"))
-    run = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    in_bucket = in_bucket.select("source", "size", "bucket", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "k"))
-    ranked = dealt.withColumn("rank", rank)
-    return (
-        ranked.alias("r")
-        .join(in_bucket.alias("b"), F.expr("r.source <=> b.source and r.size = b.size and r.bucket = b.bucket"))
-        .join(goals.alias("g"), F.expr("r.source <=> g.source"))
-        .select(
-            "r.k",
-            "r.h",
-            "r.size",
-            "g.source_size",
-            "g.target",
-            F.expr("cast(r.copies div r.n + if(r.rank + b.base <= r.copies % r.n, 1, 0) as long)").alias("copies"),
-        )
+    # The extra-th least hash of a group of n: about sqrt(n) buckets in order, counted, then the one bucket that holds it.
+    parts = plan.where("extra > 0").select("source", "size", "extra", F.ceil(F.sqrt("n")).cast("long").alias("parts"))
+    parts = broadcast_if_few(scratch.save(parts, "parts"))
+    same = F.expr("a.source <=> b.source and a.size = b.size")
+    dealt = slim.alias("a").join(parts.alias("b"), same).select("a.source", "a.size", "b.extra", F.expr("cast(a.u / 9223372036854775808D * b.parts as long)").alias("bucket"), "a.u")
+    before = Window.partitionBy("source", "size").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("source", "size", "extra", "bucket").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before.orderBy("bucket")), F.lit(0)))
+    hit = broadcast_if_few(scratch.save(counts.where("before < extra and extra <= before + c").select("source", "size", "bucket", "before"), "hit"))
+    inside = dealt.alias("a").join(hit.alias("b"), same & F.expr("a.bucket = b.bucket")).select("a.source", "a.size", "a.extra", "a.u", "b.before")
+    inside = inside.groupBy("source", "size", "extra", "before", "u").agg(F.count("*").alias("ties"))
+    inside = inside.withColumn("below", F.col("before") + F.coalesce(F.sum("ties").over(before.orderBy("u")), F.lit(0)))
+    limits = inside.where("below < extra and extra <= below + ties").select("source", "size", F.col("u").alias("limit"), "ties", (F.col("extra") - F.col("below")).alias("take"))
+    out = (
+        plan.alias("p")
+        .join(goals.alias("g"), F.expr("p.source <=> g.source"))
+        .join(scratch.save(limits, "limits").alias("l"), F.expr("p.source <=> l.source and p.size = l.size"), "left")
+        .selectExpr("p.source", "p.size", "g.source_size", "g.target", "p.base", "coalesce(l.limit, -1) as limit", "coalesce(l.take, 0) as take", "coalesce(l.ties, 0) as ties")
     )
+    return scratch.save(out, "taken")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; see ``allocation``."""
-    plan = allocation(docs, id_col=id_col, text_col=text_col, **options)
-    tag, nth, key, digest, copies, place = fresh(docs, "mix_hash", "mix_rank", "mix_key", "mix_digest", "mix_copies", "mix_place")
-    # Repeated rows share a hash; their copies are dealt among them in order.
-    theirs = plan.select(
-        F.col("k").alias(key), F.col("h").alias(digest), F.col("copies").alias(copies), F.row_number().over(Window.partitionBy("k", "h").orderBy("copies")).alias(place)
-    )
-    mine = docs.withColumn(tag, F.xxhash64(id_col, text_col))
-    mine = mine.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, tag).orderBy(tag)))
-    joined = mine.join(theirs, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(tag) == F.col(digest)) & (F.col(nth) == F.col(place)))
-    repeats = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
-    return joined.where(F.col(copies) > 0).withColumn(nth, repeats).select(*docs.columns)
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """row, size, source_size, target, copies for rows of row (a struct), source, size and u.
+
+    Only the repeats of one document where a plan's limit falls must be told apart: equal rows
+    are counted together before they are dealt in order.
+    """
+    joined = rows.alias("a").join(broadcast_if_few(plan).alias("p"), F.expr("a.source <=> p.source and a.size = p.size"))
+    joined = joined.select("a.row", "p.*", "a.u")
+    out = ["row", "size", "source_size", "target"]
+    split = (F.col("u") == F.col("limit")) & (F.col("take") < F.col("ties"))
+    more = F.when(F.col("u") <= F.col("limit"), F.col("base") + 1).otherwise(F.col("base"))
+    if not plan.where("take < ties").limit(1).count():
+        return joined.select(*out, more.alias("copies"))
+    shared = joined.where(split).groupBy(*out, "source", "base", "take").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("source", "size").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    shared = shared.withColumn("left", F.col("take") - F.coalesce(F.sum("c").over(before), F.lit(0)))
+    shared = shared.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    shared = shared.select(*out, F.when(F.col("i") <= F.col("left"), F.col("base") + 1).otherwise(F.col("base")).alias("copies"))
+    return joined.where(~split).select(*out, more.alias("copies")).unionByName(shared)
+
+
+def sized(docs: DataFrame, row: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row (a struct of the columns named), source, size, u."""
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
+    return docs.select(F.struct(*row).alias("row"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), u.alias("u"))
+
+
+def allocation(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    most: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """k (the id), size, source_size, target and copies for each row.
+
+    Tokens are words here. Rates come from entropy balancing under each source's target and are
+    rounded into 0 to ``most`` whole copies. Documents of one source and size have one rate; of
+    these the ones with least hash of id and text get the copies that don't divide evenly. The
+    hash at which they end comes from counts by hash bucket, so no task sorts a whole group. A
+    source's sizes meet in one task: distinct sizes only, at most sqrt(2 * words) of them.
+
+    Null text has size 0; null source is one source, last in order; null ids and repeated rows
+    are documents like others. A document of size 0 is copied once and counts nothing. A source
+    without words has target 0. Empty input gives no rows. The text is read once.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    slim = scratch.save(sized(docs, [id_col], id_col, text_col, source_col), "slim")
+    plan = planned(scratch, slim, weights, share, most)
+    return with_copies(slim, plan).select(F.col("row")[id_col].alias("k"), "size", "source_size", "target", "copies")
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    most: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """docs with each row as often as ``allocation`` takes it; columns of any name stay.
+
+    Texts are read twice and not shuffled: what decides on a row is the plan of its source and
+    size, and its own hash.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    slim = scratch.save(sized(docs, [id_col], id_col, text_col, source_col).drop("row"), "slim")
+    plan = planned(scratch, slim, weights, share, most)
+    scratch.drop(slim)
+    rows = with_copies(sized(docs, docs.columns, id_col, text_col, source_col), plan).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def documents_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

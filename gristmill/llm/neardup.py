@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import Scratch, components, fresh, mixed, shingle_sets
+from gristmill.llm.common import Scratch, components, fresh, mixed, shingle_sets, spent
 
 #: Signature length; the number of orders (trees), which start at even steps of it; and the least
 #: common prefix that makes two documents neighbours in an order.
 LENGTH, TREES, DEPTH = 64, 16, 3
 STRIDE = LENGTH // TREES
-#: A region of an order is compared in tiles of at most this many signatures.
+#: A region's depth is raised until at most this many signatures share its prefix; these are compared with each other.
+LEAF = 4
+#: How many of its likest neighbours from all orders a document is first confirmed with; what this
+#: leaves open is done in full afterwards.
+MATES = 4
+#: Rows of an order that are scanned at a time.
+WINDOW = 20_000
+#: Where a region still holds several components it is compared in tiles of at most this many signatures.
 TILE = 1024
 #: A tile with more possible pairs a row than this is dense: its full sets are compared together,
 #: at most SET_TILE of them with as many others.
@@ -118,37 +125,112 @@ def near_in_size(sizes: np.ndarray, size: int, ratio: float) -> np.ndarray:
     return np.minimum(sizes, size) >= ratio * np.maximum(sizes, size) - 1e-9
 
 
-def first_pairs(close: float, ratio: float):
-    """Pairs within a region's tile: each signature, in the tree's order, with the first leader it is close to."""
+def common_prefix(trees: np.ndarray, prefixes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each row but the first how many leading minima it shares with the row before it; 0 below DEPTH."""
+    same = (trees[1:] == trees[:-1]) & (prefixes[1:] == prefixes[:-1])
+    other = labels[1:, DEPTH:] != labels[:-1, DEPTH:]
+    deep = np.where(other.any(axis=1), other.argmax(axis=1), LENGTH - DEPTH)
+    return np.where(same, DEPTH + deep, 0)
+
+
+def neighbours(shared: np.ndarray, n: int) -> list[tuple[np.ndarray, int]]:
+    """(first rows, step) of the pairs that adaptive depth makes candidates, from common prefixes in sorted order.
+
+    Rows next to each other always are. Rows up to LEAF - 1 apart are if at most LEAF rows share
+    what the two have in common: sparse regions so keep the least depth, dense ones go deeper.
+    """
+    wall = np.zeros(n + 2 * LEAF + 1, dtype=np.int64)
+    wall[LEAF + 1 : LEAF + n] = shared  # wall[LEAF + i] is the prefix that rows i - 1 and i share
+    out = []
+    least = np.full(n, LENGTH)
+    for step in range(1, min(LEAF, n)):
+        rows = np.arange(n - step)
+        least = np.minimum(least[: n - step], shared[step - 1 :])
+        good = least >= DEPTH
+        if step > 1:
+            size, left, right = np.full(n - step, step + 1), good.copy(), good.copy()
+            for k in range(LEAF - step):
+                left &= wall[LEAF + rows - k] >= least
+                right &= wall[LEAF + rows + step + 1 + k] >= least
+                size += left.astype(int) + right
+            good &= size <= LEAF
+        out.append((rows[good], step))
+    return out
+
+
+def scanned(close: float, ratio: float):
+    """Rows whose region others may share, in sorted order, each with those candidates after it that look close.
+
+    A window's last rows are scanned again with the next, so no pair is lost between them. Regions
+    at a partition's ends may go on in the next one, so their rows count as shared.
+    """
 
     def run(batches):
-        for _, tree, ids, sizes, sketch in grouped(batches, 2):
-            turned = np.roll(sketch, -int(tree[0]) * STRIDE, axis=1)
-            left = np.lexsort((ids, *turned.T[::-1]))
-            a, b = [], []
-            while len(left) > 1:
-                leader, rest = left[0], left[1:]
-                near = near_in_size(sizes[rest], sizes[leader], ratio) & (alike(sketch[leader], sketch[rest]) >= close)
-                if near.any():
-                    a.append(np.full(int(near.sum()), ids[leader]))
-                    b.append(ids[rest[near]])
-                left = rest[~near]
-            if a:
-                yield pair_batch(a, b)
+        tail, first, done = None, True, 0
+        for batch, last in _with_last(batches):
+            for at in range(0, max(1, batch.num_rows), WINDOW):
+                part = batch.slice(at, WINDOW)
+                ends = last and at + WINDOW >= batch.num_rows
+                columns = [part.column(k).to_numpy() for k in (0, 1, 2, 3)]
+                columns.append(np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(-1, LENGTH))
+                if tail is not None:
+                    columns = [np.concatenate([x, y]) for x, y in zip(tail, columns)]
+                n = len(columns[0])
+                if not n:
+                    continue
+                trees, prefixes, ids, sizes, labels = columns
+                shared = common_prefix(trees, prefixes, labels)
+                mates: list[list] = [[] for _ in range(n)]
+                for rows, step in neighbours(shared, n):
+                    alikeness = alike(labels[rows + step], labels[rows])
+                    good = (alikeness >= close) & near_in_size(sizes[rows], sizes[rows + step], ratio) & (ids[rows] != ids[rows + step])
+                    for i, value in zip(rows[good].tolist(), alikeness[good].tolist()):
+                        mates[i].append({"id": int(ids[i + step]), "alike": value})
+                together = np.zeros(n, dtype=bool)
+                together[1:] |= shared > 0
+                together[:-1] |= shared > 0
+                breaks = np.flatnonzero(shared == 0)
+                if first:
+                    together[: breaks[0] + 1 if len(breaks) else n] = True
+                if ends:
+                    together[breaks[-1] + 1 if len(breaks) else 0 :] = True
+                # The last rows wait for the next window; the one before them is only looked back at.
+                stay = n if ends else max(0, n - LEAF)
+                keep = np.flatnonzero(together[done:stay]) + done
+                if len(keep):
+                    arrays = [pa.array(c[keep]) for c in columns[:4]] + [pa.array([row.tobytes() for row in labels[keep]], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([mates[i] for i in keep.tolist()], MATE)], names=["tree", "p", "id", "n", "label", "mates"])
+                start = max(0, stay - LEAF)
+                tail, done = [c[start:] for c in columns], stay - start
+                first = first and not (len(breaks) and breaks[0] < stay)
 
     return run
 
 
+MATE = pa.list_(pa.struct([("id", pa.int64()), ("alike", pa.float64())]))
+
+
+def _with_last(batches):
+    """(batch, whether it is the last)."""
+    before = None
+    for batch in batches:
+        if before is not None:
+            yield before, False
+        before = batch
+    if before is not None:
+        yield before, True
+
+
 def cross_pairs(possible: float, ratio: float, dense: int):
     """Pairs of a tile that are still in different components and whose signatures allow the similarity.
 
     Rows of side 0 meet those of side 1; rows of side 2 meet each other. A tile with more than
-    ``dense`` such pairs a row emits none of them but its rows that have some (b is null, k says
-    which tile): their full sets are then compared together.
+    ``dense`` such pairs a row emits none of them but its rows that have some (b is null, head is
+    the least of them): their full sets are then compared together.
     """
 
     def run(batches):
-        for key, _, ids, sizes, sketch, roots, sides in grouped(batches, 2):
+        for _, _, ids, sizes, sketch, roots, sides in grouped(batches, 2):
             a, b, count = [], [], 0
             busy = np.zeros(len(ids), dtype=bool)
             right = np.flatnonzero(sides == 1)
@@ -165,11 +247,11 @@ def cross_pairs(possible: float, ratio: float, dense: int):
             if count > dense * len(ids):
                 members = ids[busy]
                 none = pa.nulls(len(members), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(members), none, pa.array(np.full(len(members), key[0]))], names=["a", "b", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(members), none, pa.array(np.full(len(members), members.min()))], names=["a", "b", "head"])
             elif a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 low, high = pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))
-                yield pa.RecordBatch.from_arrays([low, high, pa.nulls(len(a), pa.int64())], names=["a", "b", "k"])
+                yield pa.RecordBatch.from_arrays([low, high, pa.nulls(len(a), pa.int64())], names=["a", "b", "head"])
 
     return run
 
@@ -268,19 +350,22 @@ def near_duplicates(
     """One row per document: its id, n_shingles, component_id (least id reachable by links) and kept.
 
     Documents link when percent of the union of their sets of five-word shingles is shared. Equal
-    sets are one class at once. The forest sorts signatures in TREES orders; neighbours share a
-    prefix of at least DEPTH minima in one. Dense regions are cut along the sorted order, so there
-    the nearest neighbours share longer prefixes: first each signature of a tile is paired with
-    the first close leader, the pairs are confirmed on full sets, and their components found. What
-    this leaves open is then done in full: in every region that still holds several components all
-    pairs across components that the signatures allow are confirmed too, regions above TILE tile
-    by tile; dense tiles compare their full sets in place and emit no pairs but links. So a region's size caps nothing; a link is missed only if no order brings its two
-    signatures to a common prefix (at 85% one link in four million) or if they agree in far fewer
-    minima than the similarity makes likely (five standard deviations).
-
-    Null and empty texts have no shingles and link with nothing. Null ids are reported without
-    links. Rows that repeat an id are one document if their sets are equal; otherwise each row is
-    linked as itself and the id's component is the least of all. Empty input gives no rows.
+    sets are one class at once. The forest is TREES sorted orders of the signatures, cut into even
+    ranges whatever is frequent. Each order is scanned: rows that share a prefix of DEPTH minima
+    or more are neighbours, the depth raised in dense regions until few share a prefix, and a
+    document is confirmed on full sets with the likest of its neighbours. Then components are
+    found, and what this leaves open is done in full: in every region of depth DEPTH that still
+    holds several components all pairs across components that the signatures allow are confirmed
+    too, regions above TILE tile by tile; dense tiles compare their full sets in place and emit no
+    pairs but links. So a region's size caps nothing; a link is missed only if no order brings its
+    two signatures to a common prefix (at 85% one link in four million, at 80% one in a hundred
+    thousand) or if they agree in far fewer minima than the similarity makes likely (five standard
+    deviations).
+
+    Ids are whole numbers. Null and empty texts have no shingles and link with nothing. Null ids
+    are reported without links. Rows that repeat an id are one document if their sets are equal;
+    otherwise each row is linked as itself and the id's component is the least of all. Ties
+    between equal texts go to the least id. Empty input gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     share = percent / 100
@@ -290,13 +375,18 @@ def near_duplicates(
     classes = scratch.save(classes, "classes")
     # One row of each class: its least id's.
     reps = base.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["n", "s1", "s2", "id"]).dropDuplicates(["n", "s1", "s2", "id"])
-    reps = reps.select("id", "n", "sketch", "prefix")
-    rows = reps.select("id", "n", "sketch", F.posexplode("prefix").alias("tree", "p")).select(F.col("tree").cast("long").alias("tree"), "p", "id", "n", "sketch")
-    regions = rows.groupBy("tree", "p").agg(F.count("*").alias("c")).where("c > 1")
-    forest = scratch.save(rows.join(regions, ["tree", "p"]), "forest")
+    rows = reps.select("id", "n", "sketch", F.posexplode("prefix").alias("tree", "p"))
+    turn = F.col("tree") * STRIDE
+    label = F.concat(F.substr("sketch", turn + 1, F.lit(LENGTH)), F.substr("sketch", F.lit(1), turn))
+    rows = rows.select(F.col("tree").cast("long").alias("tree"), "p", "id", "n", label.alias("label"))
+    order = ["tree", "p", "label", "id"]
+    forest = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        scanned(min(0.99, share + 0.03), share), "tree long, p long, id long, n long, label binary, mates array<struct<id: long, alike: double>>"
+    )
+    forest = scratch.save(forest, "forest")
     needed = forest.select("id").distinct()
     sets = scratch.save(
-        shingle_table(docs.join(needed.withColumnRenamed("id", "__id"), F.col(id_col).cast("long") == F.col("__id"), "left_semi"), id_col, text_col)
+        shingle_table(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(needed, "id", "left_semi"), "id", "t")
         .withColumn("n", F.size("shingles"))
         .join(reps.select("id", F.col("n").cast("int").alias("n")), ["id", "n"], "left_semi")
         .dropDuplicates(["id", "n"])
@@ -304,33 +394,32 @@ def near_duplicates(
         "sets",
     )
 
-    # A tile of a region: stretches of the sorted order, of about TILE signatures each.
-    parts = F.ceil(F.col("c") / TILE).cast("long")
-    tile = F.when(F.col("c") <= TILE, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(stretch("tree", "sketch")), parts))
-    tiled = forest.select(F.xxhash64("tree", "p", tile).alias("k"), F.col("tree"), "id", "n", "sketch")
-    first = tiled.repartition("k", "tree").sortWithinPartitions("k", "tree").mapInArrow(first_pairs(min(0.99, share + 0.03), share), "a long, b long")
-    first = scratch.save(first.distinct(), "pairs")
+    mates = forest.select("id", F.explode("mates").alias("m")).select(F.greatest("id", "m.id").alias("a"), F.least("id", "m.id").alias("b"), F.col("m.alike").alias("alike"))
+    likest = Window.partitionBy("a").orderBy(F.col("alike").desc(), "b")
+    first = mates.distinct().withColumn("nth", F.row_number().over(likest)).where(F.col("nth") <= MATES)
+    first = scratch.save(first.select(F.col("b").alias("a"), F.col("a").alias("b")), "pairs")
     linked = scratch.save(verified(first, sets, percent, 100), "links")
     roots = scratch.save(components(scratch, linked), "roots")
 
-    known = forest.drop("c").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    known = scratch.save(known, "known")
+    known = forest.select("tree", "p", "id", "n", F.col("label").alias("sketch")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    known = scratch.save(known.withColumn("root", F.coalesce("root", "id")), "known")
+    scratch.drop(forest)
     possible = share - 5 * (share * (1 - share) / LENGTH) ** 0.5
     rest = (
         met(known, ["tree", "p"])
         .select("k", "tree", "id", "n", "sketch", "root", "side")
         .repartition("k", "tree")
         .sortWithinPartitions("k", "tree", "id")
-        .mapInArrow(cross_pairs(possible, share, DENSE), "a long, b long, k long")
+        .mapInArrow(cross_pairs(possible, share, DENSE), "a long, b long, head long")
     )
     rest = scratch.save(rest, "rest")
+    scratch.drop(known)
     pairs = rest.where("b is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     links = scratch.save(linked.unionByName(verified(scratch.save(pairs, "pairs"), sets, percent, 100)), "links")
-    members = rest.where("b is null").select(F.col("a").alias("id"), "k")
+    members = rest.where("b is null").select("a", F.col("head").alias("b"))
     if members.limit(1).count():
         # Rows of dense tiles, each in the one group that its tiles chain together: every pair meets once.
-        heads = members.groupBy("k").agg(F.min("id").alias("head"))
-        chained = components(scratch, members.join(heads, "k").select(F.col("id").alias("a"), F.col("head").alias("b")))
+        chained = components(scratch, members)
         chained = chained.unionByName(chained.select(F.col("root").alias("node"), "root").distinct())
         now = scratch.save(components(scratch, links), "roots")
         group = chained.select(F.col("node").alias("id"), F.col("root").alias("p")).withColumn("tree", F.lit(0).cast("long"))
@@ -339,6 +428,7 @@ def near_duplicates(
         tiles = tiles.select("k", "id", "root", "side", "shingles").repartition("k").sortWithinPartitions("k", "id")
         exact = tiles.mapInArrow(exact_links(percent, 100), "a long, b long")
         links = scratch.save(links.unionByName(exact), "links")
+    scratch.drop(sets)
     # Ids that stand for two different sets (repeated ids) hold their classes together.
     twice = classes.select("n", "s1", "s2", "rep").join(base.select("n", "s1", "s2", "id").distinct(), ["n", "s1", "s2"])
     twice = twice.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
@@ -395,13 +485,15 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
     known = docs.where(F.col(id_col).isNotNull())
     if known.groupBy(id_col).agg(F.countDistinct(F.xxhash64(text_col)).alias(texts)).where(F.col(texts) > 1).limit(1).count():
         known = known.withColumn(key, F.xxhash64(id_col, text_col))
-        found = near_duplicates(known.select(key, text_col), percent, key, text_col)
-        found = scratch.save(found.groupBy(key, F.col("component_id").alias(component)).agg(F.count("*").alias(rows)), "found")
+        with spent():
+            found = near_duplicates(known.select(key, text_col), percent, key, text_col)
+            found = scratch.save(found.groupBy(key, F.col("component_id").alias(component)).agg(F.count("*").alias(rows)), "found")
         ids = known.select(key, F.col(id_col).alias(texts)).distinct()
         found = found.join(ids, key).groupBy(component).agg(F.min(F.struct(texts, key, rows)).alias(place)).select(f"{place}.{key}", f"{place}.{rows}")
     else:
-        found = near_duplicates(docs, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull())
-        found = found.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(rows))
+        with spent():
+            found = near_duplicates(docs, percent, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull())
+            found = scratch.save(found.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(rows)), "found")
         known = known.withColumn(key, F.col(id_col))
     found = scratch.save(found, "kept")
     out = known.join(found.where(F.col(rows) == 1).select(key), key, "left_semi").select(*docs.columns)
@@ -415,12 +507,6 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
     return out
 
 
-def stretch(tree: str, sketch: str) -> Column:
-    """The next minima of a tree's order after the shared prefix, which sort a dense region further."""
-    at = (F.col(tree) * STRIDE + DEPTH) % LENGTH
-    return F.substr(F.concat(F.col(sketch), F.col(sketch)), (at + 1).cast("int"), F.lit(4))
-
-
 def documents_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: near duplicates among all documents at 85%."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

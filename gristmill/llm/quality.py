@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, fresh, shingle_sets, text_bytes
+from gristmill.llm.common import Scratch, broadcast_if_few, shingle_sets, text_bytes
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "pipes", "bangs", "digits", "distinct", "line_ends", "spaces")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -108,7 +108,45 @@ def strength(groups: DataFrame, rate: Column, centre: Column, least: float = 2.0
     return float(min(most, max(least, c / (s - e) - 1)))
 
 
-def classify(
+def own_scores(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, most_labels: int) -> tuple[DataFrame, Logistic | None]:
+    """id, h, p and z (the document classifier's log odds), and the classifier; z is 0 without one."""
+    model = fit(docs, labels, id_col, text_col, most_labels)
+    own = model.logit(features(F.coalesce(text_col, F.lit("")))) if model else F.lit(0.0)
+    columns = [F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("h"), F.col(path_col).cast("string").alias("p"), own.alias("z")]
+    return docs.select(*columns), model
+
+
+def rates(scratch: Scratch, scores: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """A row for each (h, p) with the sums of it and its host, the global rate, and the strengths of hosts and paths."""
+    paths = scores.withColumn("q", 1 / (1 + F.exp(-F.col("z")))).groupBy("h", "p").agg(F.count("*").alias("n"), F.sum("q").alias("s"))
+    paths = scratch.save(paths, "paths")
+    total, whole = paths.agg(F.sum("n"), F.sum("s")).first()
+    if not total:
+        total, whole = 1, 0.5
+    g = min(max(whole / total, 1e-4), 1 - 1e-4)
+    hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    k_host = strength(hosts, F.col("s") / F.col("n"), F.lit(g))
+    hosts = hosts.select("h", F.col("n").alias("hn"), F.col("s").alias("hs"), ((F.col("s") + k_host * g) / (F.col("n") + k_host)).alias("hr"))
+    table = paths.alias("a").join(hosts.alias("b"), F.expr("a.h <=> b.h")).select("a.h", "p", "n", "s", "hn", "hs", "hr")
+    table = scratch.save(table, "rates")
+    return table, g, k_host, strength(table, F.col("s") / F.col("n"), F.col("hr"))
+
+
+def judged(rows: DataFrame, table: DataFrame, g: float, k_host: float, k_path: float) -> DataFrame:
+    """rows (with h, p, z) with host_rate, path_rate (both without the row itself) and quality."""
+    joined = rows.alias("d").join(broadcast_if_few(table).alias("t"), F.expr("d.h <=> t.h and d.p <=> t.p"))
+    q = 1 / (1 + F.exp(-F.col("d.z")))
+    clip = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
+    odds = lambda c: F.log(c / (1 - c))
+    host = clip((F.col("t.hs") - q + k_host * g) / (F.col("t.hn") - 1 + k_host))
+    joined = joined.select("d.*", host.alias("host_rate"), F.col("t.n").alias("t_n"), F.col("t.s").alias("t_s"))
+    path = clip((F.col("t_s") - 1 / (1 + F.exp(-F.col("z"))) + k_path * F.col("host_rate")) / (F.col("t_n") - 1 + k_path))
+    joined = joined.withColumn("path_rate", path).drop("t_n", "t_s")
+    final = F.col("z") - F.lit(float(np.log(g / (1 - g)))) + odds(F.col("path_rate"))
+    return joined.withColumn("quality", 1 / (1 + F.exp(-final)))
+
+
+def score(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -117,57 +155,57 @@ def classify(
     path_col: str = "lang",
     most_labels: int = 20_000,
     threshold: float = 0.5,
-    names: tuple[str, str, str, str, str] = ("doc_score", "host_rate", "path_rate", "quality", "kept"),
 ) -> DataFrame:
-    """docs with the document's own score, its host's and path's rates, the joint probability and a decision.
+    """id, doc_score, host_rate, path_rate, quality and kept of every row.
 
     The document classifier is fitted on a bounded sample of labels. Its probabilities are summed
     over all documents by (host, path); each host's rate is shrunk toward the global rate and each
     path's toward its host's, by strengths that the spread of all hosts and paths gives, leaving
     out the document in question. A document's odds are its own evidence times the odds of its
-    path. Only sums per path are shuffled before the rates are joined back by (host, path).
+    path. Texts are read once for the scores (and labelled ones for the fit); the scores are
+    written, and only sums per path are shuffled.
 
     Null and empty texts are scored on their features like others. Null hosts and paths are groups
     of their own. Null ids have no label but get a score. Without labels of both classes every
-    document is kept, with probability 1/2. Repeated rows count once each.
+    document is kept, with probability 1/2. Repeated rows count once each; ties at ``threshold``
+    are kept. Empty input gives no rows.
     """
-    score, host_rate, path_rate, joint, kept = fresh(docs, *names)
-    model = fit(docs, labels, id_col, text_col, most_labels)
+    scratch = Scratch(docs.sparkSession, "quality")
+    scores, model = own_scores(docs, labels, id_col, text_col, host_col, path_col, most_labels)
+    names = ["doc_score", "host_rate", "path_rate", "quality", "kept"]
     if model is None:
         half = F.lit(0.5)
-        return docs.select("*", F.lit(0.0).alias(score), half.alias(host_rate), half.alias(path_rate), half.alias(joint), F.lit(True).alias(kept))
+        return scores.select(F.col("id").alias(id_col), *(c.alias(n) for c, n in zip((F.lit(0.0), half, half, half, F.lit(True)), names)))
+    scores = scratch.save(scores, "scores")
+    found = judged(scores, *rates(scratch, scores))
+    return found.select(F.col("id").alias(id_col), F.col("z").alias("doc_score"), *names[1:4], (F.col("quality") >= threshold).alias("kept"))
+
+
+def good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    path_col: str = "lang",
+    most_labels: int = 20_000,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of docs that ``score`` keeps, with all their columns.
+
+    Texts are read and scored a second time, as joining scores to rows would shuffle them.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    scores, model = own_scores(docs, labels, id_col, text_col, host_col, path_col, most_labels)
+    if model is None:
+        return docs
+    table = rates(scratch, scores)
     own = model.logit(features(F.coalesce(text_col, F.lit(""))))
-    slim = docs.select(F.col(host_col).cast("string").alias("h"), F.col(path_col).cast("string").alias("p"), own.alias("z"))
-    paths = slim.withColumn("q", 1 / (1 + F.exp(-F.col("z")))).groupBy("h", "p").agg(F.count("*").alias("n"), F.sum("q").alias("s"))
-    paths = Scratch(docs.sparkSession, "quality").save(paths, "paths")
-    total, whole = paths.agg(F.sum("n"), F.sum("s")).first()
-    if not total:
-        total, whole = 1, 0.5
-    g = min(max(whole / total, 1e-4), 1 - 1e-4)
-    hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    k_host = strength(hosts, F.col("s") / F.col("n"), F.lit(g))
-    hosts = hosts.select("h", F.col("n").alias("hn"), F.col("s").alias("hs"), ((F.col("s") + k_host * g) / (F.col("n") + k_host)).alias("hr"))
-    table = paths.alias("a").join(hosts.alias("b"), F.expr("a.h <=> b.h")).select("a.h", "p", "n", "s", "hn", "hs", "hr")
-    k_path = strength(table, F.col("s") / F.col("n"), F.col("hr"))
-    th, tp, tn, ts, thn, ths, z, q = fresh(docs, "t_h", "t_p", "t_n", "t_s", "t_hn", "t_hs", "t_z", "t_q")
-    table = table.select(
-        F.col("h").alias(th), F.col("p").alias(tp), F.col("n").alias(tn), F.col("s").alias(ts), F.col("hn").alias(thn), F.col("hs").alias(ths)
-    )
-    joined = docs.withColumn(z, own).withColumn(q, 1 / (1 + F.exp(-F.col(z))))
-    joined = joined.join(
-        table, F.col(host_col).cast("string").eqNullSafe(F.col(th)) & F.col(path_col).cast("string").eqNullSafe(F.col(tp)), "left"
-    )
-    without_host = (F.col(ths) - F.col(q) + k_host * g) / (F.col(thn) - 1 + k_host)
-    clip = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    joined = joined.withColumn(host_rate, clip(without_host))
-    joined = joined.withColumn(path_rate, clip((F.col(ts) - F.col(q) + k_path * F.col(host_rate)) / (F.col(tn) - 1 + k_path)))
-    odds = lambda c: F.log(c / (1 - c))
-    final = F.col(z) - F.lit(float(np.log(g / (1 - g)))) + odds(F.col(path_rate))
-    joined = joined.withColumn(joint, 1 / (1 + F.exp(-final)))
-    return joined.select(*docs.columns, F.col(z).alias(score), host_rate, path_rate, joint, (F.col(joint) >= threshold).alias(kept))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host_col).cast("string").alias("h"), F.col(path_col).cast("string").alias("p"), own.alias("z"))
+    return judged(rows, *table).where(F.col("quality") >= threshold).select("row.*")
 
 
 def documents_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: the quality of all documents."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels).select("doc_id", "doc_score", "host_rate", "path_rate", "quality", "kept")
+    return score(docs, labels)

@@ -269,7 +269,7 @@ def test_secrets(spark, corpus, plain):
 # --- lines --------------------------------------------------------------------------------------------
 
 
-def test_lines(spark):
+def test_lines(spark, monkeypatch):
     rows = [(i, f"own {i}\n  common \n\nshared" if i < 8 else f"own {i}\nshared", "a" if i < 10 else None) for i in range(14)] + [(20, None, "a"), (21, "", "a")]
     df = spark.createDataFrame(rows, "id bigint, text string, source string").withColumns({"site_lines": F.lit(1), "boilerplate": F.lit(2)})
     out = {r.id: r for r in lines.drop_site_lines(df, ratio=0.7, least_pages=3, dropped_col="gone").collect()}
@@ -287,6 +287,9 @@ def test_lines(spark):
             want = "\n".join(kept)
         assert (out[i].text, out[i].gone) == (want, dropped), i
     assert out[12].text == "own 12\nshared" and lines.drop_site_lines(empty(df)).count() == 0
+    monkeypatch.setattr(lines.with_lists, "__defaults__", (0,))  # lists too large to broadcast
+    again = lines.drop_site_lines(df, ratio=0.7, least_pages=3, dropped_col="gone")
+    assert again.columns == [*df.columns, "gone"] and {r.id: r for r in again.collect()} == out
 
 
 def test_hosts_and_pages(spark):
@@ -301,18 +304,53 @@ def test_hosts_and_pages(spark):
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    out = quality.classify(docs, train).join(test.withColumnRenamed("quality", "y"), "doc_id")
+    out = quality.score(docs, train).join(test.withColumnRenamed("quality", "y"), "doc_id")
     r = out.agg(F.avg((F.col("kept") == (F.col("y") == 1)).cast("int")).alias("acc"), F.avg(F.when(F.col("y") == 1, F.col("kept").cast("int"))).alias("keeps")).first()
     assert r.acc > 0.97 and r.keeps > 0.98, r
 
 
+def plain_quality(rows):
+    """quality of (host, path, z) rows: rates shrunk and left out one by one, summed anew for each row."""
+    q = [1 / (1 + math.exp(-z)) for *_, z in rows]
+    g = min(max(sum(q) / len(q), 1e-4), 1 - 1e-4)
+
+    def moments(groups, centre):
+        n = {k: len(v) for k, v in groups.items()}
+        spread = sum(n[k] * (sum(q[i] for i in v) / n[k] - centre(k)) ** 2 for k, v in groups.items()) / len(rows)
+        noise = sum(centre(k) * (1 - centre(k)) for k in groups) / len(rows)
+        chance = sum(n[k] * centre(k) * (1 - centre(k)) for k in groups) / len(rows)
+        return 1000.0 if chance <= 0 or spread - noise <= 0 else min(1000.0, max(2.0, chance / (spread - noise) - 1))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, (h, p, _) in enumerate(rows):
+        hosts[h].append(i)
+        paths[h, p].append(i)
+    k_host = moments(hosts, lambda k: g)
+    host_rate = {h: (sum(q[i] for i in v) + k_host * g) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = moments(paths, lambda k: host_rate[k[0]])
+    clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+    out = []
+    for i, (h, p, z) in enumerate(rows):
+        host = clip((sum(q[j] for j in hosts[h] if j != i) + k_host * g) / (len(hosts[h]) - 1 + k_host))
+        path = clip((sum(q[j] for j in paths[h, p] if j != i) + k_path * host) / (len(paths[h, p]) - 1 + k_path))
+        out.append((host, path, 1 / (1 + math.exp(-(z - math.log(g / (1 - g)) + math.log(path / (1 - path)))))))
+    return out
+
+
 def test_quality_edges(spark, corpus, plain):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(20)] + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")
-    out = quality.classify(corpus, labels)
-    assert out.count() == len(plain) and out.columns[: len(corpus.columns)] == corpus.columns
-    assert all(0 <= r.quality <= 1 and 0 < r.host_rate < 1 for r in out.collect())
-    assert quality.classify(corpus, empty(labels)).where("not " + quality.classify(corpus, empty(labels)).columns[-1]).count() == 0
-    assert quality.classify(empty(corpus), labels).count() == 0
+    out = quality.score(corpus, labels).collect()
+    assert len(out) == len(plain) and all(0 <= r.quality <= 1 and 0 < r.host_rate < 1 for r in out)
+    scores, model = quality.own_scores(corpus, labels, "doc_id", "text", "source", "lang", 20_000)
+    rows = scores.collect()
+    want = sorted((str(r.id), r.z, *x) for r, x in zip(rows, plain_quality([(r.h, r.p, r.z) for r in rows])))
+    got = sorted((str(r.doc_id), r.doc_score, r.host_rate, r.path_rate, r.quality) for r in out)
+    assert [w[0] for w in want] == [x[0] for x in got]
+    assert all(math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-9) for w, r in zip(want, got) for x, y in zip(w[1:], r[1:]))
+    left = quality.good(corpus, labels)
+    assert left.columns == corpus.columns and Counter(r.doc_id for r in left.collect()) == Counter(r.doc_id for r in out if r.kept)
+    assert quality.score(corpus, empty(labels)).where("not kept").count() == 0 and quality.good(corpus, empty(labels)).count() == len(plain)
+    assert quality.score(empty(corpus), labels).count() == 0 and quality.good(empty(corpus), labels).count() == 0
 
 
 # --- near duplicates ----------------------------------------------------------------------------------
@@ -351,6 +389,7 @@ def test_near_duplicates(corpus, plain, percent):
 def test_dense_groups_of_unlinked_copies(spark, prose, monkeypatch):
     """Many copies that differ a little too much from each other, and some that don't; small tiles so that all paths run."""
     monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(neardup, "WINDOW", 16)
     monkeypatch.setattr(neardup, "SET_TILE", 16)
     monkeypatch.setattr(neardup, "DENSE", 1)
     base, rows = prose(5, 300).split(), []
@@ -418,11 +457,9 @@ def test_packed_vectors_come_back_whole():
 # --- components ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_components(spark, monkeypatch, small):
+def test_components(spark):
     from gristmill.llm import common
 
-    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     edges = [(i, i + 1) for i in range(30)] + [(100 + i, 200) for i in range(20)] + [(300, 300), (401, 400), (401, 402), (402, 400)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     got = {r.node: r.root for r in common.components(common.Scratch(spark, "t"), df).collect()}
