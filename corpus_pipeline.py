@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import lines, mixing, neardup, packing, quality
-from gristmill.llm.common import Scratch
+from gristmill.llm.common import Scratch, spent
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = quality.classify(docs, labels, names=("q_score", "q_host", "q_path", "q_joint", "q_kept"))
-    return found.where(found.columns[-1]).select(*docs.columns)
+    return quality.good(docs, labels)
 
 
 def without_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
+    """All stages over documents, each written to the shared folder and read again by the next.
+
+    A stage's own tables and its predecessor's output go once it is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        before = docs
+        with spent():
+            docs = scratch.save(stage(spark, before, sf_dir), name)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
