@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +160,26 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[where[0] : where[-1]] if n else data[:0], where - where[0]
 
 
+def slices(column: pa.Array, most: int = 2 << 20, rows: int = 500) -> Iterator[pa.Array]:
+    """The string column in runs of at most ``rows`` values and, but for longer single ones, ``most`` bytes."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(total, total[at] + most, side="right")) - 1
+        end = max(at + 1, min(end, at + rows))
+        yield column.slice(at, end - at)
+        at = end
+
+
+def batch_slices(batch: pa.RecordBatch, column: int = 1, most: int = 2 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch in the runs that ``slices`` makes of one of its columns."""
+    at = 0
+    for part in slices(batch.column(column), most, rows):
+        yield batch.slice(at, len(part))
+        at += len(part)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and the n+1 offsets of each text's words."""
     if lower:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, numbered, text_bytes
+from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, numbered, slices, text_bytes
 
 #: A word is a run of characters other than space and the five control characters of white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,8 +22,8 @@ def words(text: Column) -> Column:
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
         counts = []
-        for i in range(0, len(texts), 500):
-            data, offsets = text_bytes(texts.slice(i, 500))
+        for part in slices(texts):
+            data, offsets = text_bytes(part)
             begins = ~SPACE[data]
             begins[1:] &= SPACE[data[:-1]]
             first = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import Scratch, components, fresh, mixed, shingle_sets, spent
+from gristmill.llm.common import Scratch, batch_slices, components, fresh, mixed, shingle_sets, spent
 
 #: Signature length; the number of orders (trees), which start at even steps of it; and the least
 #: common prefix that makes two documents neighbours in an order.
@@ -44,8 +44,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in batch_slices(batch):
                 n, one, two, sketches, prefixes = [], [], [], [], []
                 for shingles in shingle_sets(part.column(1)):
                     n.append(len(shingles))
@@ -76,8 +75,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in batch_slices(batch):
                 sets = [x.astype(np.int64) for x in shingle_sets(part.column(1))]
                 offsets = np.cumsum([0, *map(len, sets)])
                 values = np.concatenate(sets) if sets else np.zeros(0, np.int64)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import batch_slices
+
 END = 1
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
 
@@ -160,8 +162,7 @@ def pack(
         key_type = pa.int64()
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in batch_slices(batch):
                 found = [encoder.encode(x) for x in part.column(1).to_pylist()]
                 ids += found
                 keys += part.column(0).to_pylist()

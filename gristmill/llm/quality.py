@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, broadcast_if_few, shingle_sets, text_bytes
+from gristmill.llm.common import Scratch, broadcast_if_few, shingle_sets, slices, text_bytes
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "pipes", "bangs", "digits", "distinct", "line_ends", "spaces")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -38,13 +37,12 @@ def text_features(column: pa.Array) -> np.ndarray:
 
 
 def features(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        found = []
-        for i in range(0, len(texts), 500):
-            part = texts.iloc[i : i + 500]
-            found += list(text_features(pa.array(part, type=pa.string(), from_pandas=True)))
-        return pd.Series(found)
+    @F.arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [text_features(part) for part in slices(texts)]
+        values = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
+        offsets = np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
     return of(text)
 

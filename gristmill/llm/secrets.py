@@ -10,6 +10,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm.common import batch_slices
 from gristmill.llm.spans import SPAN, report
 
 BASE = ("assign", "access", "hex")
@@ -159,8 +160,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for part in batch_slices(batch):
                 rows = [
                     [dict(zip(("start", "rank", "kind", "end", "found"), s)) for s in scan(text)] if text else [] for text in part.column(1).to_pylist()
                 ]
