@@ -1,8 +1,13 @@
-"""Text functions as Column expressions; all stay inside the JVM."""
+"""Text functions as Column expressions; all but Unicode normal forms stay inside the JVM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import constants as C
@@ -45,8 +50,49 @@ def contains_phrase(normalized: Column, phrase: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters, digits, marks and underscores of the text in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
+    """Runs of letters, digits and underscores of the text in lower case; combining marks part them."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+WORD = re.compile(r"\b\w+\b")
+
+
+def counted_tokens(documents: DataFrame) -> DataFrame:
+    """doc_id, dl (its tokens) and words: its distinct tokens (term, tf); nothing is shuffled.
+
+    Arrow batches, as one pass of a text counts its tokens, and as no optimizer rule can take the
+    counting for an expression to repeat.
+    """
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [WORD.findall(t.lower()) if t else [] for t in part.column(1).to_pylist()]
+                words = [[{"term": w, "tf": n} for w, n in Counter(x).items()] for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array(words, kind)], names=["doc_id", "dl", "words"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, dl long, words array<struct<term: string, tf: long>>")
+
+
+def nfd(text: Column) -> Column:
+    """Composed characters taken apart, canonically."""
+    return _normal_form("NFD")(text)
+
+
+def nfc(text: Column) -> Column:
+    """Characters composed, canonically."""
+    return _normal_form("NFC")(text)
+
+
+def _normal_form(form: str):
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
+
+    return of
 
 
 def clean_answer(text: Column) -> Column:
@@ -194,9 +240,13 @@ def unify_punctuation(text: Column) -> Column:
     return out
 
 
+def reader_tokens_of(decomposed: Column) -> Column:
+    return F.transform(F.regexp_extract_all(decomposed, F.lit(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"), F.lit(0)), F.lower)
+
+
 def reader_tokens(text: Column) -> Column:
-    """Runs of letters, digits and marks, and every other visible character by itself, in lower case."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"), F.lit(0)), F.lower)
+    """Runs of letters, digits and marks, and every other visible character by itself, decomposed, in lower case."""
+    return reader_tokens_of(F.coalesce(nfd(text), F.lit("")))
 
 
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""

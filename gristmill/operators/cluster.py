@@ -1,9 +1,10 @@
-"""Near-duplicate clusters among one query's candidates: order-dependent, by fold."""
+"""Near-duplicate clusters among one query's candidates: order-dependent, a query at a time."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gristmill.functions import text as T
 
@@ -13,24 +14,23 @@ def leader_clusters(candidates: DataFrame, threshold: float = 0.72) -> DataFrame
 
     In rank order a candidate joins the first cluster whose leader's words have at least the
     threshold's Jaccard similarity, else it leads a new one. A query's candidates are few (the
-    retrieval depth), so they fold in one row. Texts without words lead clusters of their own.
+    retrieval depth), so each query is one call that sees its rows once. Texts without words lead
+    clusters of their own.
     """
     rows = candidates.withColumn("_words", F.array_distinct(T.tokens(F.col("text"))))
-    pool = F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.col("_words").alias("words"))))
-    kind = candidates.schema["doc_id"].dataType.simpleString()
-    start = F.struct(
-        F.array().cast("array<array<string>>").alias("leaders"), F.array().cast(f"array<struct<doc_id: {kind}, cluster_id: int>>").alias("out")
-    )
-
-    def step(state, row):
-        hits = F.transform(state["leaders"], lambda w: T.jaccard(w, row["words"]) >= threshold)
-        at = F.coalesce(F.array_position(hits, True), F.lit(0)).cast("int")
-        new = F.struct(row["doc_id"].alias("doc_id"), F.when(at > 0, at - 1).otherwise(F.size(state["leaders"])).alias("cluster_id"))
-        leaders = F.when(at > 0, state["leaders"]).otherwise(F.concat(state["leaders"], F.array(row["words"])))
-        return F.struct(leaders.alias("leaders"), F.concat(state["out"], F.array(new)).alias("out"))
 
-    folded = rows.groupBy("query_id").agg(F.explode(F.aggregate(pool, start, step, lambda s: s["out"])).alias("c"))
-    return candidates.join(folded.select("query_id", "c.doc_id", "c.cluster_id"), ["query_id", "doc_id"])
+    def lead(pdf):
+        pdf = pdf.sort_values(["rank", "doc_id"], ignore_index=True)
+        leaders: list[set] = []
+        ids = []
+        for words in map(set, pdf["_words"]):
+            at = next((i for i, x in enumerate(leaders) if words and x and len(words & x) / len(words | x) >= threshold), len(leaders))
+            if at == len(leaders):
+                leaders.append(words)
+            ids.append(at)
+        return pdf.drop(columns="_words").assign(cluster_id=ids)
+
+    return rows.groupBy("query_id").applyInPandas(lead, StructType([*candidates.schema.fields, StructField("cluster_id", IntegerType())]))
 
 
 def cluster_stats(clustered: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +90,27 @@ def keep_answer(correct: Column, incorrect: Column) -> Column:
 
 
 def has_answer(text: Column, answers: Column) -> Column:
-    """Whether the reader's tokens of the text hold those of any answer in a row; an empty answer is always held.
+    """Whether the reader's tokens of the text hold those of any answer in a row, in decomposed form; an empty answer is always held.
 
-    Texts are taken as composed; decompose them first where they are not.
+    For the few documents shown to a reader: decomposition and tokens once a row, in Arrow batches.
     """
-    padded = F.concat(F.lit(" "), F.array_join(T.reader_tokens(text), " "), F.lit(" "))
-    return F.exists(answers, lambda a: F.contains(padded, F.concat(F.lit(" "), F.array_join(T.reader_tokens(a), " "), F.lit(" "))) | (F.size(T.reader_tokens(a)) == 0))
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        import regex
+
+        token = regex.compile(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]")
+        padded = lambda t: f" {' '.join(x.lower() for x in token.findall(unicodedata.normalize('NFD', t or '')))} "
+        return pd.Series([any(a == "  " or a in held for a in map(padded, [] if found is None else found)) for held, found in zip(map(padded, texts), lists)])
+
+    return of(text, answers)
+
+
+def top_k_agreement(values: Column, ks: list[int]) -> Column:
+    """For each k the share of the k least values that stand among the first k of an array."""
+    best = F.array_sort(values)
+    share = lambda k: F.size(F.array_intersect(F.slice(values, 1, k), F.slice(best, 1, k))) / k
+    return F.array(*(share(k) for k in ks))
 
 
 def top_k_accuracy(hits: DataFrame, n: int) -> DataFrame:

@@ -6,12 +6,14 @@ Texts stay out of the plans; join them back to the few rows that remain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.sources.store import few
 
 K1, B = 1.5, 0.75
 DIGITS = 6
@@ -27,14 +29,33 @@ class Bm25Index:
     stats: DataFrame
 
 
-def bm25_index(documents: DataFrame) -> Bm25Index:
-    """Postings and statistics; documents without terms count in n and the mean length."""
-    slim = documents.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
-    lengths = slim.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = slim.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+def bm25_index(documents: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Bm25Index:
+    """Postings and statistics; documents without terms count in n and the mean length.
+
+    Each text is tokenized and counted in its own row, so only the terms' counts are shuffled.
+    ``keep(name, table)`` may store the tables and give back what is stored.
+    """
+    counted = keep("counted", T.counted_tokens(documents))
+    lengths = counted.select("doc_id", "dl")
+    postings = keep("postings", counted.select("doc_id", F.explode("words").alias("w")).select("w.term", "doc_id", "w.tf"))
+    terms = keep("terms", postings.groupBy("term").agg(F.count("*").alias("df")))
     stats = lengths.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    return Bm25Index(postings, lengths, terms, stats)
+    return Bm25Index(postings, lengths, terms, keep("stats", stats))
+
+
+def write_index(index: Bm25Index, path: str) -> None:
+    """The index as four tables in a folder; postings sorted by term, so that readers skip what queries don't ask for."""
+    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    for name in ("docs", "terms", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str) -> Bm25Index:
+    """A written index; an error if its tables do not belong together."""
+    index = Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")))
+    if index.docs.count() != index.stats.first()["n"]:
+        raise ValueError(f"the documents of the index in {path} are not those of its statistics")
+    return index
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -69,18 +90,22 @@ def bm25_extra(index: Bm25Index, extra: DataFrame, queries: DataFrame, k1: float
     """(query_id, doc_id, score) of documents outside the index, by the index's statistics; without a shared term 0.
 
     Every extra document is scored for every query of its group: extra has query_id where it
-    belongs to one query, else all queries see it.
+    belongs to one query, else all queries see it. Documents are tokenized once; only terms that a
+    query has meet it, and the result has its stated row for each document and query.
     """
     by_query = "query_id" in extra.columns
-    tokens = extra.select(*(["query_id"] if by_query else []), "doc_id", T.tokens(F.col("text")).alias("tokens"))
-    lengths = tokens.withColumn("dl", F.size("tokens").cast("long"))
-    pairs = lengths.join(queries.select("query_id"), "query_id") if by_query else lengths.crossJoin(F.broadcast(queries.select("query_id")))
-    key = ["query_id", "doc_id"]
-    tf = pairs.select(*key, "dl", F.explode("tokens").alias("term")).groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    owner = extra.select("doc_id", F.col("query_id").alias("owner")).distinct() if by_query else None
+    counted = T.counted_tokens(extra.select("doc_id", "text").dropDuplicates(["doc_id"]) if by_query else extra)
+    tf = counted.select("doc_id", "dl", F.explode("words").alias("w")).select("doc_id", "dl", "w.term", "w.tf")
     wanted = query_terms(queries).join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl"), k1, b)
-    scored = tf.join(wanted, ["query_id", "term"]).crossJoin(F.broadcast(index.stats)).groupBy(*key).agg(F.sum(weight).alias("score"))
-    return pairs.select(*key).join(scored, key, "left").select(*key, F.round(F.coalesce("score", F.lit(0.0)), DIGITS).alias("score"))
+    key = ["query_id", "doc_id"]
+    scored = tf.join(wanted, "term").crossJoin(F.broadcast(index.stats)).groupBy(*key).agg(F.sum(weight).alias("score"))
+    if by_query:
+        pairs = owner.select(F.col("owner").alias("query_id"), "doc_id").join(queries.select("query_id"), "query_id", "left_semi")
+    else:
+        pairs = extra.select("doc_id").crossJoin(few(queries.select("query_id")))
+    return pairs.join(scored, key, "left").select(*key, F.round(F.coalesce("score", F.lit(0.0)), DIGITS).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, *ties: Column) -> DataFrame:
@@ -120,41 +145,72 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, metric: str = "dot") ->
     return v.crossJoin(q).select("query_id", "doc_id", F.round(finite(dot(F.col("q"), F.col("vector"))), DIGITS).alias("score"))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", block: int = 4096) -> DataFrame:
+#: At most this many query vectors are shipped to every task (some tens of MB); more are dealt in blocks.
+MOST_QUERIES = 20_000
+BLOCK = 4096
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", most: int | None = None) -> DataFrame:
     """The k best of each query, by matrix products over blocks of vectors that leave only each block's best.
 
-    For large inputs: a block emits at most k rows a query, so what is shuffled grows with blocks
-    and not with vectors. The queries are shipped to every task; they are a bounded set by intent.
+    A block emits at most k rows a query, so what is shuffled grows with blocks and not with
+    pairs. Queries up to ``most`` (MOST_QUERIES), by count, are shipped to every task; a larger
+    set meets the vectors block by block: each block of either is in as many groups as the other
+    has blocks.
     """
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("query_id", "vector").collect()
-    ids = [r["query_id"] for r in rows]
-    if not rows:
-        return top_k(dense_scores(vectors, queries, metric), k)
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
+    most = MOST_QUERIES if most is None else most
+    d_kind, q_kind = vectors.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {q_kind}, doc_id {d_kind}, score double"
 
     def normed(m):
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if metric == "cosine" else m
 
-    shipped = vectors.sparkSession.sparkContext.broadcast(normed(matrix))
+    def matrix(rows):
+        return normed(np.array(list(rows), dtype=np.float64))
+
+    def nearest(ids, asked, docs, found):
+        with np.errstate(all="ignore"):
+            s = np.round(np.nan_to_num(asked @ found.T, nan=-1e30, posinf=1e30, neginf=-1e30), DIGITS)
+        keep = [np.lexsort((docs, -row))[:k] for row in s]
+        return pd.DataFrame(
+            {"query_id": np.repeat(ids, [len(x) for x in keep]), "doc_id": docs[np.concatenate(keep)], "score": np.concatenate([row[x] for row, x in zip(s, keep)])}
+        )
+
+    asked = queries.select("query_id", "vector")
+    n = asked.limit(most + 1).count()
+    if n <= most:
+        rows = asked.collect()
+        if not rows:
+            return top_k(vectors.limit(0).select(F.lit(None).cast(q_kind).alias("query_id"), "doc_id", F.lit(0.0).alias("score")), k)
+        shipped = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), matrix(r["vector"] for r in rows)))
+
+        def best(batches):
+            ids, m = shipped.value
+            for pdf in batches:
+                for at in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[at : at + BLOCK]
+                    yield nearest(ids, m, part["doc_id"].to_numpy(), matrix(part["vector"]))
+
+        return top_k(vectors.select("doc_id", "vector").mapInPandas(best, schema), k)
 
-    def best(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), block):
-                part = pdf.iloc[at : at + block]
-                with np.errstate(all="ignore"):
-                    s = shipped.value @ normed(np.stack(part["vector"].to_numpy()).astype(np.float64)).T
-                s = np.round(np.nan_to_num(s, nan=-1e30, posinf=1e30, neginf=-1e30), DIGITS)
-                docs = part["doc_id"].to_numpy()
-                for i, row in enumerate(s):
-                    keep = np.lexsort((docs, -row))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "doc_id": docs[keep], "score": row[keep]})
+    def dealt(df, key, other, mine, theirs):
+        """df in blocks, each block once for every block of the other side."""
+        block = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int").alias(f"{key}_block")
+        return df.select(key, "vector", block, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(f"{other}_block"))
 
-    kind = vectors.schema["doc_id"].dataType.simpleString()
-    found = vectors.select("doc_id", "vector").mapInPandas(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double")
-    return top_k(found, k)
+    parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
+    left = dealt(asked, "query_id", "doc_id", *parts).groupBy("query_id_block", "doc_id_block")
+    right = dealt(vectors.select("doc_id", "vector"), "doc_id", "query_id", *parts[::-1]).groupBy("query_id_block", "doc_id_block")
+
+    def blocks(q, d):
+        if not len(q) or not len(d):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": d["doc_id"][:0], "score": np.zeros(0)})
+        return nearest(q["query_id"].to_numpy(), matrix(q["vector"]), d["doc_id"].to_numpy(), matrix(d["vector"]))
+
+    return top_k(left.cogroup(right).applyInPandas(blocks, schema), k)
 
 
 # --- precomputed runs ----------------------------------------------------------------------------
@@ -166,8 +222,17 @@ def compress_run(run: DataFrame, keep: int = 2000) -> DataFrame:
     return run.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= keep)
 
 
-def run_results(run: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """A stored run's first k rows of each query in its own order, then only those whose document exists."""
+def run_results(run: DataFrame, documents: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """A stored run's first k rows of each query in its own order, then only those whose document exists.
+
+    With queries, each of them must be in the run: one that is not raises an error when it is met.
+    """
+    if queries is not None:
+        known = run.select(F.col("query_id").alias("_known")).distinct()
+        asked = queries.select("query_id").join(known, F.col("query_id") == F.col("_known"), "left")
+        message = F.concat(F.lit("the run has no query "), F.col("query_id").cast("string"))
+        asked = asked.where(F.when(F.col("_known").isNull(), F.raise_error(message).cast("boolean")).otherwise(True)).select("query_id")
+        run = run.join(asked, "query_id")
     first = run.where(F.col("ord") <= k).join(documents.select("doc_id"), "doc_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy("ord")
     return first.select("query_id", "doc_id", "score", F.row_number().over(order).alias("rank"))

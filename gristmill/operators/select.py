@@ -1,4 +1,4 @@
-"""Guards, caps and the choice of the documents to keep.
+"""Order, caps and gates of a query's candidates; ``choose`` has what goes on from there.
 
 Candidates are rows (query_id, doc_id, rank, score, cluster_id, mentions, ...). A query has at most
 the retrieval depth of them, so what depends on order folds or runs within a query.
@@ -6,15 +6,11 @@ the retrieval depth of them, so what depends on order folds or runs within a que
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import constants as C
 from gristmill.functions import text as T
-from gristmill.operators.score import MarginConfig, alternatives, margin_context
-from gristmill.operators.support import head_stats, margin_scores, robust_support
 
 
 def answer() -> Column:
@@ -32,24 +28,6 @@ def renumbered(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def rank_guard(placed: DataFrame, support: DataFrame, min_margin: float = 0.002, most_rank: int = 20, min_clusters: int = 1) -> DataFrame:
-    """placed with the original first document put back in front where its replacement is not convincing.
-
-    A replacement needs a lead of ``min_margin``, an original rank up to ``most_rank`` and an answer
-    with ``min_clusters`` clusters. guard_blocked marks one that was turned down.
-    """
-    w = Window.partitionBy("query_id")
-    clusters = support.select("query_id", F.col("answer_key").alias("_key"), F.col("cluster_count").alias("_clusters"))
-    rows = placed.withColumn("_key", answer()).join(clusters, ["query_id", "_key"], "left").drop("_key")
-    rows = rows.withColumn("_head", F.min("rank").over(w))
-    rows = rows.withColumn("_head_score", F.max(F.when(F.col("rank") == F.col("_head"), F.col("score"))).over(w))
-    weak = (F.col("score") - F.col("_head_score") < min_margin) | (F.col("rank") > most_rank) | (F.coalesce("_clusters", F.lit(0)) < min_clusters)
-    blocked = (F.col("place") == 1) & (F.col("rank") != F.col("_head")) & weak
-    rows = rows.withColumn("guard_blocked", blocked).withColumn("_any", F.max("guard_blocked").over(w))
-    back = F.when(F.col("_any") & (F.col("rank") == F.col("_head")), 0).otherwise(F.col("place"))
-    return renumbered(rows.withColumn("_back", back), F.col("_back")).drop("_clusters", "_head", "_head_score", "_any", "_back")
-
-
 def caps(placed: DataFrame, k: int, per_cluster: int = 1, per_answer: int = 0) -> DataFrame:
     """placed with cap: accepted, cluster, answer or beyond, going through each query in order until k are accepted.
 
@@ -80,219 +58,6 @@ def accepted(capped: DataFrame) -> DataFrame:
     return renumbered(capped.where("cap = 'accepted'").drop("cap"), F.col("place"))
 
 
-def delayed(rows: DataFrame, order: str, is_head: Column, floor: int) -> DataFrame:
-    """rows placed by ``order``, but those not of the head that would come before place ``floor`` wait until it."""
-    if floor <= 0:
-        return renumbered(rows, F.col(order))
-    w = Window.partitionBy("query_id")
-    rows = renumbered(rows, F.col(order)).withColumn("_late", (F.col("place") < floor) & ~is_head)
-    rows = rows.withColumn("_n", F.row_number().over(w.orderBy("_late", "place")))
-    group = F.when(F.col("_late"), 1).when(F.col("_n") < floor, 0).otherwise(2)
-    return renumbered(rows, group, F.col("place")).drop("_late", "_n")
-
-
-@dataclass(frozen=True)
-class Top1Config:
-    window: int = 5
-    min_conflict: int = 2
-    isolated_clusters: int = 1
-    alternative_clusters: int = 2
-    penalty: float = 0.025
-    bonus: float = 0.006
-    echo_extra: float = 0.008
-    supplement_rank: int = 5
-
-
-def top1_guard(chosen: DataFrame, k: int, c: Top1Config = Top1Config()) -> DataFrame:
-    """chosen (place 1 to k) with a first answer that stands alone put behind better supported ones.
-
-    The first document's score keeps the penalty; the others' bonus only orders them.
-    """
-    w = Window.partitionBy("query_id")
-    n = F.count("*").over(w)
-    window = chosen.withColumn("_window", F.least(n, F.lit(k), F.lit(max(2, c.window))))
-    window = window.withColumn("_in", (F.col("place") <= F.col("_window")) & (F.col("_window") > 1))
-    stats = robust_support(window.where("_in"), True).select("query_id", F.col("answer_key").alias("_key"), "cluster_count", "non_echo_clusters")
-    rows = window.withColumn("_key", F.when(F.col("_in"), answer())).join(stats, ["query_id", "_key"], "left")
-    top = F.max(F.when(F.col("place") == 1, F.col("_key"))).over(w)
-    rows = rows.withColumn("_top", top).withColumn("_answers", F.size(F.array_distinct(F.collect_list("_key").over(w))))
-    of_top = lambda x: F.max(F.when(F.col("place") == 1, F.col(x))).over(w)
-    alone = (of_top("cluster_count") <= c.isolated_clusters) | (of_top("non_echo_clusters") == 0)
-    rows = rows.withColumn("top1_triggered", F.coalesce((F.col("_answers") >= c.min_conflict) & F.col("_top").isNotNull() & alone, F.lit(False)))
-    other = F.col("_key") != F.col("_top")
-    strict, loose = other & (F.col("non_echo_clusters") >= c.alternative_clusters), other & (F.col("cluster_count") >= c.alternative_clusters)
-    rows = rows.withColumn("_strict", F.coalesce(F.max(strict).over(w), F.lit(False)))
-    backed = F.coalesce(F.when(F.col("_strict"), strict).otherwise(loose), F.lit(False))
-    penalty = c.penalty + F.when(F.col("echo_penalty") > 0, c.echo_extra).otherwise(0.0)
-    hit = F.col("top1_triggered") & (F.col("place") == 1)
-    rows = rows.withColumn("score", F.round(F.col("score") - F.when(hit, penalty).otherwise(0.0), 9))
-    rows = rows.withColumn("_sort", F.round(F.col("score") + F.when(backed, c.bonus).otherwise(0.0), 9))
-    moved = F.row_number().over(w.orderBy(F.desc("_in"), F.desc("_sort"), "place"))
-    rows = rows.withColumn("_old", F.col("place")).withColumn("_order", F.when(F.col("top1_triggered") & F.col("_in"), moved).otherwise(F.col("place") + F.when(F.col("top1_triggered"), 1000).otherwise(0)))
-    late = delayed(rows.where("top1_triggered and _in"), "_order", F.col("_old") <= 3, c.supplement_rank)
-    rest = rows.where("not (top1_triggered and _in)")
-    both = late.withColumn("_tail", F.lit(0)).unionByName(rest.withColumn("_tail", F.lit(1)))
-    out = renumbered(both, F.col("_tail"), F.col("place")).where(F.col("place") <= k)
-    return out.select(*chosen.columns, "top1_triggered")
-
-
-@dataclass(frozen=True)
-class HeadConfig:
-    conservative: bool = True
-    head: int = 3
-    supplement: int = 2
-    min_conflict: int = 2
-    supported_clusters: int = 2
-    isolated_penalty: float = 0.02
-    supported_bonus: float = 0.01
-    supplement_bonus: float = 0.012
-    protect_first: bool = True
-    new_answers: bool = False
-    supplement_rank: int = 3
-
-
-def head_filter(chosen: DataFrame, k: int, c: HeadConfig = HeadConfig()) -> DataFrame:
-    """chosen with lone answers of a disputed head moved behind; scores themselves stay."""
-    w = Window.partitionBy("query_id")
-    rows = chosen.withColumn("_head", F.least(F.lit(c.head), F.count("*").over(w), F.lit(k)))
-    rows = rows.withColumn("_in", F.col("place") <= F.least(F.col("_head") + c.supplement, F.lit(k)))
-    stats = head_stats(rows.where("_in"), c.head).select("query_id", F.col("answer_key").alias("_key"), F.col("cluster_count").alias("_clusters"), "head_count")
-    rows = rows.withColumn("_key", F.when(F.col("_in"), answer())).join(stats, ["query_id", "_key"], "left")
-    head_answers = F.size(F.array_distinct(F.collect_list(F.when(F.col("place") <= F.col("_head"), F.col("_key"))).over(w)))
-    rows = rows.withColumn("head_triggered", head_answers >= c.min_conflict)
-    protected = (F.col("place") == 1) & c.conservative & c.protect_first
-    in_head, lone = F.col("head_count") > 0, F.col("_clusters") <= 1
-    change = F.when(F.coalesce(in_head & lone, F.lit(False)) & ~protected, -c.isolated_penalty).otherwise(0.0)
-    if not c.conservative:
-        backed = F.coalesce(F.col("_clusters") >= c.supported_clusters, F.lit(False))
-        promoted = backed & (F.col("place") > F.col("_head")) & (F.lit(c.new_answers) | F.coalesce(in_head, F.lit(False)))
-        change += F.when(backed, c.supported_bonus * F.least(F.col("_clusters"), F.lit(c.supported_clusters))).otherwise(0.0)
-        change += F.when(promoted, c.supplement_bonus).otherwise(0.0)
-    rows = rows.withColumn("_sort", F.round(F.col("score") + change, 9)).withColumn("_old", F.col("place"))
-    first = F.when((F.col("place") == 1) & c.conservative, 0).otherwise(1)
-    moved = rows.where("head_triggered and _in").withColumn("_order", F.row_number().over(w.orderBy(first, F.desc("_sort"), "place")))
-    moved = delayed(moved, "_order", F.col("_old") <= F.col("_head"), c.supplement_rank if c.conservative else 0)
-    rest = rows.where("not (head_triggered and _in)").withColumn("_order", F.lit(0))
-    both = moved.withColumn("_tail", F.lit(0)).unionByName(rest.withColumn("_tail", F.lit(1)))
-    return renumbered(both, F.col("_tail"), F.col("place")).where(F.col("place") <= k).select(*chosen.columns, "head_triggered")
-
-
-def pool(chosen: DataFrame, placed: DataFrame, limit: int) -> DataFrame:
-    """The chosen documents, then the rest in their order, up to ``limit`` a query; chosen says which were."""
-    both = chosen.withColumn("chosen", F.lit(True)).unionByName(placed.withColumn("chosen", F.lit(False)), allowMissingColumns=True)
-    first = both.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("chosen"))))
-    return renumbered(first.where("_n = 1").drop("_n"), F.desc("chosen"), F.col("place")).where(F.col("place") <= limit)
-
-
-def margin_gate(chosen: DataFrame, placed: DataFrame, queries: DataFrame, k: int, m: MarginConfig = MarginConfig(), window: int = 10, penalty: float = 0.02,
-                bonus: float = 0.012, supplement: float = 0.012, echo_extra: float = 0.006, low_extra: float = 0.006, first_supplement: int = 4,
-                only_if_weak: bool = True, keep_if_clean: bool = False, per_cluster: int = 1, per_answer: int = 0) -> DataFrame:
-    """chosen anew where the first answer's margin over the second is too small.
-
-    The first answer's documents lose, close alternatives' win, and the caps apply once more.
-    margin_triggered marks such queries; others keep what was chosen.
-    """
-    # Few rows a query, read by each of the joins below.
-    candidates = pool(chosen, placed, max(k, window)).persist()
-    stats = robust_support(candidates.withColumn("rank", F.col("place")), True)
-    scores = margin_scores(stats).persist()
-    context = margin_context(scores, queries, m).persist()
-    close = alternatives(scores, context, m).withColumn("_close", F.lit(True)).withColumnRenamed("answer_key", "_key")
-    some = close.select("query_id").distinct().withColumn("_some", F.lit(True))
-    clean = ~(F.col("top_echo_heavy") | F.col("top_isolated") | F.col("no_strong_answer"))
-    open_ = context.where(F.col("low_margin") & ~(clean & F.lit(keep_if_clean))).select(
-        "query_id", "top_answer", (F.col("top_weak") | F.col("multi_supported") | F.col("no_strong_answer") | F.lit(not only_if_weak)).alias("_punish")
-    )
-    several = chosen.groupBy("query_id").agg(F.count("*").alias("_c")).where("_c > 1").select("query_id")
-    rows = candidates.join(open_.join(several, "query_id"), "query_id").join(some, "query_id", "left")
-    rows = rows.withColumn("_key", answer()).join(close, ["query_id", "_key"], "left")
-    top = F.coalesce((F.col("_key") == F.col("top_answer")) & F.col("_punish") & F.col("_some"), F.lit(False))
-    loss = penalty + F.when(F.col("echo_penalty") > 0, echo_extra).otherwise(0.0) + F.when(F.col("low_grounding"), low_extra).otherwise(0.0)
-    gain = bonus + F.when(~F.col("chosen") & F.col("rank").between(first_supplement, window), supplement).otherwise(0.0)
-    score = F.col("score") + F.when(top, -loss).when(F.coalesce("_close", F.lit(False)), gain).otherwise(0.0)
-    rows = renumbered(rows.withColumn("score", F.round(score, 9)), F.desc("score"), F.col("place"))
-    names = [c for c in chosen.columns if c in rows.columns]
-    again = accepted(caps(rows.select(*names), k, per_cluster, per_answer)).select(*names).withColumn("margin_triggered", F.lit(True))
-    rest = chosen.join(again.select("query_id").distinct(), "query_id", "left_anti").where(F.col("place") <= k)
-    return again.unionByName(rest.select(*names).withColumn("margin_triggered", F.lit(False)))
-
-
-@dataclass(frozen=True)
-class GreedyConfig:
-    pool: int = 10
-    per_cluster: int = 1
-    per_answer: int = 0
-    echo_docs: int = 1
-    cluster_penalty: float = 0.025
-    answer_penalty: float = 0.008
-    echo_penalty: float = 0.02
-    low_margin_penalty: float = 0.012
-    isolated_penalty: float = 0.025
-    support_bonus: float = 0.006
-    channel_bonus: float = 0.002
-    new_cluster_bonus: float = 0.004
-    min_gain: float = -1e9
-    min_conflict: int = 2
-
-
-def greedy_selection(chosen: DataFrame, placed: DataFrame, k: int, c: GreedyConfig = GreedyConfig()) -> DataFrame:
-    """(query_id, doc_id, place, gain, filled): k documents by greatest marginal gain in turn.
-
-    What is left of k when none fits any more is filled in pool order, whatever the caps. Choosing
-    depends on what was chosen before, so each query's pool (at most ``pool`` rows) runs in one call.
-    """
-    candidates = pool(chosen, placed, max(k, c.pool))
-    scores = margin_scores(robust_support(candidates.withColumn("rank", F.col("place")), True))
-    rows = candidates.withColumn("answer_key", answer()).join(
-        scores.select("query_id", "answer_key", "independent", "channel_count", "isolated"), ["query_id", "answer_key"], "left"
-    )
-    answers = F.size(F.collect_set("answer_key").over(Window.partitionBy("query_id")))
-    support = c.support_bonus * F.col("independent") + c.channel_bonus * F.greatest(F.col("channel_count") - 1, F.lit(0))
-    support -= F.when(F.col("isolated"), c.low_margin_penalty).otherwise(0.0)
-    rows = rows.select(
-        "query_id", "doc_id", "place", "cluster_id", F.coalesce("answer_key", F.lit("")).alias("answer"), (F.col("echo_penalty") > 0).alias("echo"),
-        (F.col("score") + F.coalesce(support, F.lit(0.0))).alias("worth"), (F.coalesce("isolated", F.lit(False)) & (answers >= c.min_conflict)).alias("lone"),
-    )
-
-    def choose(pdf):
-        import pandas as pd
-
-        left = pdf.sort_values("place").to_dict("records")
-        out, clusters, of_answer, pairs, echoes = [], {}, {}, set(), 0
-        while left and len(out) < k:
-            best = None
-            for row in left:
-                same, again = clusters.get(row["cluster_id"], 0), of_answer.get(row["answer"], 0) if row["answer"] else 0
-                if (c.per_cluster and same >= c.per_cluster) or (c.per_answer and again >= c.per_answer):
-                    continue
-                gain = row["worth"] - c.cluster_penalty * same - c.answer_penalty * again
-                if row["answer"] and not row["echo"] and (row["answer"], row["cluster_id"]) not in pairs:
-                    gain += c.new_cluster_bonus
-                if row["echo"] and echoes >= c.echo_docs:
-                    gain -= c.echo_penalty * (echoes - c.echo_docs + 1)
-                if not out and row["lone"]:
-                    gain -= c.isolated_penalty
-                gain = round(gain, 9)
-                if gain >= c.min_gain and (best is None or gain > best[0]):
-                    best = gain, row
-            if best is None:
-                break
-            gain, row = best
-            left.remove(row)
-            clusters[row["cluster_id"]] = clusters.get(row["cluster_id"], 0) + 1
-            if row["answer"]:
-                of_answer[row["answer"]] = of_answer.get(row["answer"], 0) + 1
-                pairs.add((row["answer"], row["cluster_id"]))
-            echoes += row["echo"]
-            out.append((row["query_id"], row["doc_id"], len(out) + 1, gain, False))
-        for row in left[: k - len(out)]:
-            out.append((row["query_id"], row["doc_id"], len(out) + 1, None, True))
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "place", "gain", "filled"]).astype({"gain": "float64"})
-
-    schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, place int, gain double, filled boolean"
-    return rows.groupBy("query_id").applyInPandas(choose, schema)
-
-
 # --- gates on where documents come from ------------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ def first_each(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 
 
 STOP = listed(C.QUERY_FOCUS_STOPWORDS)
@@ -103,14 +103,16 @@ select doc_id, left(case when k <> '' and len(hit) > 0 then hit[1] else {strip(r
 SQL["text_ngrams"] = f"""
 with q as (select item_id as query_id, {words("text")} as w from benchmark)
 select distinct query_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram from q, unnest(range(1, len(w) - 1)) as t(i)"""
-SQL["text_reader_tokens"] = r"select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)) as tokens from documents"
+SQL["text_reader_tokens"] = r"""
+select doc_id, nfc_normalize(array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'), lambda x: lower(x)), ' ')) as tokens
+from documents"""
 SQL["text_abstention"] = f"""
 select conv_id, turn, {" or ".join("contains(lower(t), '" + m.replace("'", "''") + "')" for m in C.ABSTENTION_MARKERS)} as abstains
 from (select conv_id, turn, case when turn % 3 = 1 then text || ' I don''t know.' else text end as t from conversations)"""
 PROMPT = C.PROMPT.replace("'", "''")
 SQL["text_prompt"] = f"""
 with {bm25(k=3)},
-c as (select query_id, string_agg(left(text, 200), chr(10) order by rank) as c from bm join documents using (doc_id) group by all)
+c as (select query_id, string_agg(text, chr(10) order by rank) as c from bm join documents using (doc_id) group by all)
 select query_id, replace(replace('{PROMPT}', '[question]', b.text), '[context]', c) as prompt from c join benchmark b on b.item_id = query_id"""
 SQL["text_head_and_tail"] = "select doc_id, case when length(text) <= 600 then text else left(text, 100) || ' [...] ' || right(text, 495) end as text from documents"
 
@@ -332,7 +334,8 @@ g as (select p.query_id, doc_id, rank, place, hs, coalesce(cluster_count, 0) as
       from pl p left join cc on cc.query_id = p.query_id and cc.answer_key = p.keys[1] window q as (partition by p.query_id)),
 b as (select *, place = 1 and rank <> head and (hs - head_score < 0.002::double or rank > 20 or cc < 1) as guard_blocked from g),
 o as (select *, max(guard_blocked) over (partition by query_id) as any_blocked from b)
-select query_id, doc_id, guard_blocked, row_number() over (partition by query_id order by case when any_blocked and rank = head then 0 else place end) as place from o"""
+r as (select *, row_number() over (partition by query_id order by case when any_blocked and rank = head then 0 else place end) as at from o)
+select query_id, doc_id, guard_blocked, at as place, round(hs, 6) as score from r where at <= 5"""
 SQL["gate_provenance"] = f"""
 with {STAGED}, k as (select *, case provenance when 'indexed corpus' then 'trusted' when 'runtime external' then 'untrusted' else 'unknown' end as c from st1)
 select query_id, count(*) as input_count, count(*) filter (c = 'trusted') as eligible_count, count(*) filter (c = 'trusted') as trusted_count,

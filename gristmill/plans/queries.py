@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions import text as X
-from gristmill.operators import cluster, evaluate, fusion, mentions, policy, retrieve, score, select, support
+from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, retrieve, score, select, support
 from gristmill.plans import harden, tables
-from gristmill.sources import readers
+from gristmill.sources import readers, store
 from gristmill.streaming import late
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,8 +58,25 @@ def poison(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.expr("pmod(doc_id, 40)").alias("query_id"))
 
 
+def indexed(name: str, rows: DataFrame) -> retrieve.Bm25Index:
+    """The index of rows, stored at its first use; all queries read it after that."""
+    return retrieve.bm25_index(rows, lambda part, df: store.once([rows], f"{name}-{part}", lambda: df))
+
+
+def index(spark: SparkSession, sf: str) -> retrieve.Bm25Index:
+    return indexed("documents", docs(spark, sf))
+
+
+def inside(spark: SparkSession, sf: str) -> retrieve.Bm25Index:
+    """The index of the documents that are not of outside."""
+    return indexed("inside", docs(spark, sf).where(~F.coalesce(provenance() == "Runtime_External", F.lit(False))))
+
+
 def bm25(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
-    return retrieve.top_k(retrieve.bm25_scores(retrieve.bm25_index(docs(spark, sf)), asked(spark, sf)), k)
+    """The k best of each query; k up to 30 comes from one stored ranking."""
+    scores = lambda: retrieve.top_k(retrieve.bm25_scores(index(spark, sf), asked(spark, sf)), max(k, 30))
+    ranked = store.once([docs(spark, sf), asked(spark, sf)], f"ranking-{max(k, 30)}", scores)
+    return ranked.where(F.col("rank") <= k)
 
 
 def dense(spark: SparkSession, sf: str, k: int = DEPTH, metric: str = "cosine") -> DataFrame:
@@ -77,11 +94,12 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("pmod(doc_id, 4)").cast("int").alias("overlap"), (F.expr("pmod(doc_id, 4)") / 4).alias("coverage"), F.expr("pmod(doc_id, 40)").cast("int").alias("content_tokens"),
         flag(7).alias("low"), F.when(flag(7), 0.012).otherwise(0.0).alias("penalty"),
     )
-    return rows.select(
+    rows = rows.select(
         "query_id", "doc_id", "score", "rank", "source", F.expr("cast(substring(source, 4) as int) div 2").alias("cluster_id"),
         F.when(flag(3), F.array(F.lit("bm25"), F.lit("dense"))).otherwise(F.array(F.lit("bm25"))).alias("channels"), "mentions",
         F.when(flag(5), 0.008).otherwise(0.0).alias("echo_penalty"), flag(7).alias("low_grounding"), ground.alias("ground"), provenance().alias("provenance"),
     )
+    return store.once([docs(spark, sf), asked(spark, sf)], "staged", lambda: rows)
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -168,7 +186,8 @@ def text_unify_punctuation(spark, sf):
 
 @query
 def text_reader_tokens(spark, sf):
-    return docs(spark, sf).select("doc_id", X.reader_tokens(F.col("text")).alias("tokens"))
+    """Tokens are of decomposed text; here they are composed again, as SQL knows that form alone."""
+    return docs(spark, sf).select("doc_id", X.nfc(F.array_join(X.reader_tokens(F.col("text")), " ")).alias("tokens"))
 
 
 @query
@@ -212,14 +231,14 @@ def text_head_and_tail(spark, sf):
 
 @query
 def bm25_postings(spark, sf):
-    return retrieve.bm25_index(docs(spark, sf)).postings
+    return index(spark, sf).postings
 
 
 @query
 def bm25_statistics(spark, sf):
-    index = retrieve.bm25_index(docs(spark, sf))
-    n = index.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
-    return index.stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(n)
+    found = index(spark, sf)
+    n = found.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return found.stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(n)
 
 
 @query
@@ -230,9 +249,9 @@ def bm25_top_k(spark, sf):
 @query
 def bm25_with_arrivals(spark, sf):
     outside = provenance() == "Runtime_External"
-    index = retrieve.bm25_index(docs(spark, sf).where(~F.coalesce(outside, F.lit(False))))
-    extra = retrieve.bm25_extra(index, docs(spark, sf).where(outside), asked(spark, sf))
-    return retrieve.merge_top_k(retrieve.bm25_scores(index, asked(spark, sf)), extra, DEPTH)
+    found = inside(spark, sf)
+    extra = retrieve.bm25_extra(found, docs(spark, sf).where(outside), asked(spark, sf))
+    return retrieve.merge_top_k(retrieve.bm25_scores(found, asked(spark, sf)), extra, DEPTH)
 
 
 @query
@@ -252,13 +271,13 @@ def dense_native(spark, sf):
 
 @query
 def run_compressed(spark, sf):
-    scores = retrieve.bm25_scores(retrieve.bm25_index(docs(spark, sf)), asked(spark, sf))
+    scores = retrieve.bm25_scores(index(spark, sf), asked(spark, sf))
     return retrieve.compress_run(scores, 50)
 
 
 @query
 def run_joined(spark, sf):
-    run = retrieve.compress_run(retrieve.bm25_scores(retrieve.bm25_index(docs(spark, sf)), asked(spark, sf)), 50)
+    run = retrieve.compress_run(retrieve.bm25_scores(index(spark, sf), asked(spark, sf)), 50)
     return retrieve.run_results(run, docs(spark, sf).where("lang <> 'fr'"), 30)
 
 
@@ -470,16 +489,20 @@ def score_robust(spark, sf):
 # --- selection ------------------------------------------------------------------------------------
 
 
-def placed(spark, sf):
-    # Kept, as the guards below read it several times: at most ten rows a query.
-    rows = staged(spark, sf).persist()
-    return select.by_score(score.support_score(rows, support.answer_support(rows))).persist()
+def chosen(spark, sf, **steps) -> DataFrame:
+    rows = staged(spark, sf)
+    rows = store.once([docs(spark, sf), asked(spark, sf)], "supported", lambda: score.support_score(rows, support.answer_support(rows)))
+    return choose.choose(rows, asked(spark, sf), 5, choose.ChooseConfig(**steps)).withColumns({x: F.round(x, 6) for x in ("score", "gain")})
 
 
 @query
 def guard_first_rank(spark, sf):
-    rows = staged(spark, sf)
-    return select.rank_guard(placed(spark, sf), support.answer_support(rows)).select("query_id", "doc_id", "place", "guard_blocked")
+    return chosen(spark, sf, per_cluster=0, guard=choose.GuardConfig()).select("query_id", "doc_id", "place", "score", "guard_blocked")
+
+
+@query
+def guard_head_ranks(spark, sf):
+    return chosen(spark, sf, per_cluster=0, guard=choose.GuardConfig(top_n=3, min_clusters=2)).select("query_id", "doc_id", "place", "score", "guard_blocked")
 
 
 @query
@@ -487,31 +510,29 @@ def caps_in_order(spark, sf):
     return select.caps(select.by_score(staged(spark, sf)), 5, 1, 1).select("query_id", "doc_id", "place", "cap")
 
 
-def chosen(rows: DataFrame) -> DataFrame:
-    return select.accepted(select.caps(rows, 5)).persist()
+@query
+def caps_chosen(spark, sf):
+    return chosen(spark, sf, per_answer=1).select("query_id", "doc_id", "place", "score")
 
 
 @query
 def guard_lone_answer(spark, sf):
-    return select.top1_guard(chosen(placed(spark, sf)), 5).select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "top1_triggered")
+    return chosen(spark, sf, top1=choose.Top1Config()).select("query_id", "doc_id", "place", "score", "top1_triggered")
 
 
 @query
 def filter_head(spark, sf):
-    return select.head_filter(chosen(placed(spark, sf)), 5).select("query_id", "doc_id", "place", "head_triggered")
+    return chosen(spark, sf, head=choose.HeadConfig()).select("query_id", "doc_id", "place", "score", "head_triggered")
 
 
 @query
 def gate_margin(spark, sf):
-    found = placed(spark, sf)
-    rows = select.margin_gate(chosen(found), found, asked(spark, sf), 5)
-    return rows.select("query_id", "doc_id", "place", F.round("score", 6).alias("score"), "margin_triggered")
+    return chosen(spark, sf, margin=choose.MarginGateConfig()).select("query_id", "doc_id", "place", "score", "margin_triggered")
 
 
 @query
 def select_greedily(spark, sf):
-    found = placed(spark, sf)
-    return select.greedy_selection(chosen(found), found, 5).select("query_id", "doc_id", "place", F.round("gain", 6).alias("gain"), "filled")
+    return chosen(spark, sf, greedy=choose.GreedyConfig()).select("query_id", "doc_id", "place", "gain", "filled")
 
 
 @query
@@ -526,13 +547,37 @@ def gate_authority(spark, sf):
     return select.authority_gate(staged(spark, sf), asks).select("query_id", "doc_id")
 
 
-@query
-def hardened_results(spark, sf):
-    """The whole evidence pipeline over fused candidates."""
+def hardened(spark, sf) -> harden.Hardened:
+    """The whole evidence pipeline over fused candidates, with all its steps."""
     fused = fusion.fuse(fusion.channels_of({"dense": dense(spark, sf), "bm25": bm25(spark, sf)}), DEPTH)
     found = fused.withColumn("channels", F.map_keys("channels")).join(docs(spark, sf).select("doc_id", "text", provenance().alias("provenance")), "doc_id")
-    rows = harden.harden(found, asked(spark, sf), 5, harden.HardenConfig(provenance_gate=True, top1=True, margin=True))
-    return rows.select("query_id", "doc_id", "place", F.round("score", 6).alias("score"))
+    words = X.words_of(X.normalize(F.col("query")))
+    answers = F.array(
+        F.struct(F.lit("correct").alias("kind"), F.array_join(F.slice(words, 1, 2), " ").alias("answer")), F.struct(F.lit("incorrect").alias("kind"), F.element_at(words, -1).alias("answer"))
+    )
+    steps = choose.ChooseConfig(guard=choose.GuardConfig(), top1=choose.Top1Config(), margin=choose.MarginGateConfig(), head=choose.HeadConfig(), greedy=choose.GreedyConfig())
+    return harden.harden(found, asked(spark, sf).withColumn("answers", answers), 5, harden.HardenConfig(provenance_gate=True, choose=steps))
+
+
+@query
+def hardened_results(spark, sf):
+    rows = hardened(spark, sf).documents
+    return rows.select("query_id", "doc_id", "rank", "cluster_id", "place", F.round("score", 6).alias("score"), F.round("gain", 6).alias("gain"), *choose.FLAGS)
+
+
+@query
+def hardened_conflicts(spark, sf):
+    return hardened(spark, sf).conflicts
+
+
+@query
+def hardened_answers(spark, sf):
+    return hardened(spark, sf).answers
+
+
+@query
+def hardened_references(spark, sf):
+    return hardened(spark, sf).references.withColumn("labels", F.array_join("labels", ";"))
 
 
 # --- policies -------------------------------------------------------------------------------------
@@ -735,8 +780,7 @@ def source_vector_key(spark, sf):
 def stream_late_documents(spark, sf):
     """Late documents scored as a stream does, here over the stored rows."""
     outside = F.coalesce(provenance() == "Runtime_External", F.lit(False))
-    index = retrieve.bm25_index(docs(spark, sf).where(~outside))
-    return late.score_arrivals(docs(spark, sf).where(outside), index, asked(spark, sf))
+    return late.score_arrivals(docs(spark, sf).where(outside), inside(spark, sf), asked(spark, sf))
 
 
 @query

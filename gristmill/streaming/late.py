@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
 from gristmill.operators.retrieve import Bm25Index, bm25_weight, query_terms
+from gristmill.sources.store import few
 
 
 def score_arrivals(arrivals: DataFrame, index: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def score_arrivals(arrivals: DataFrame, index: Bm25Index, queries: DataFrame) ->
     """
     terms = query_terms(queries).join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     by_query = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "df")).alias("terms")).crossJoin(F.broadcast(index.stats))
-    rows = arrivals.select("doc_id", T.tokens(F.col("text")).alias("tokens")).crossJoin(F.broadcast(by_query))
+    rows = arrivals.select("doc_id", T.tokens(F.col("text")).alias("tokens")).crossJoin(few(by_query))
     tf = lambda t: F.size(F.filter("tokens", lambda x: x == t["term"]))
     one = lambda t: t["qtf"] * bm25_weight(tf(t), F.size("tokens"), F.col("n"), t["df"], F.col("avgdl"))
     score = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(tf(t) > 0, one(t)).otherwise(0.0))
