@@ -160,7 +160,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[where[0] : where[-1]] if n else data[:0], where - where[0]
 
 
-def slices(column: pa.Array, most: int = 2 << 20, rows: int = 500) -> Iterator[pa.Array]:
+def slices(column: pa.Array, most: int = 1 << 19, rows: int = 500) -> Iterator[pa.Array]:
     """The string column in runs of at most ``rows`` values and, but for longer single ones, ``most`` bytes."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -172,7 +172,7 @@ def slices(column: pa.Array, most: int = 2 << 20, rows: int = 500) -> Iterator[p
         at = end
 
 
-def batch_slices(batch: pa.RecordBatch, column: int = 1, most: int = 2 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def batch_slices(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 19, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batch in the runs that ``slices`` makes of one of its columns."""
     at = 0
     for part in slices(batch.column(column), most, rows):

@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, components
+from gristmill.llm.common import Scratch, broadcast_if_few, components, stars
 
 #: Blocks of about this many rotated dimensions; a block's grid lies over its first two.
 BLOCK = 8
 #: Grid cells are this many times as wide as a block's distance budget.
 WIDTH = 3
-#: A cell is compared in tiles of at most this many vectors.
-TILE = 2048
+#: A cell is searched in tiles of at most this many vectors, of which a tile holds one block's share.
+TILE = 8192
+#: Inside a tile the next so many dimensions of the block are cut into strips as wide as the budget.
+STRIPS = 2
 #: Rotated unit vectors are rounded to whole multiples of 1/UNIT, so distances are exact in doubles
 #: and every task sees the same ones.
 UNIT = float(1 << 20)
@@ -95,22 +97,105 @@ def cells_of(points: np.ndarray, threshold: float) -> tuple[list[list[int]], lis
 
 
 def with_cells(classes: DataFrame, threshold: float) -> DataFrame:
+    """label, dim, rep, n, homes, looks, and the rotated vector's share of every block."""
+
     def run(batches):
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                homes, looks = cells_of(rotated(unpacked(part.column(4), int(dim))), threshold)
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(homes, kind), pa.array(looks, kind)], names=[*part.schema.names, "homes", "looks"])
+                points = rotated(unpacked(part.column(4), int(dim)))
+                homes, looks = cells_of(points, threshold)
+                short = points.astype("<f4")  # whole numbers below 2**24
+                shares = [[row[b[0] : b[-1] + 1].tobytes() for b in blocks(int(dim))] for row in short]
+                lists = [pa.array(homes, pa.list_(pa.int64())), pa.array(looks, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], names=[*part.schema.names[:4], "homes", "looks", "shares"])
 
     return classes.select("label", "dim", "rep", "n", "vector").mapInArrow(
-        run, "label long, dim long, rep long, n long, vector binary, homes array<long>, looks array<long>"
+        run, "label long, dim long, rep long, n long, homes array<long>, looks array<long>, shares array<binary>"
     )
 
 
+def near_pairs(x: np.ndarray, y: np.ndarray, budget: float, depth: int = STRIPS, tests: list[int] | None = None):
+    """(i, j) of the rows of x and y within the squared distance, chunk by chunk; with y None, pairs i < j of x.
+
+    Strips of the radius's width along one dimension after another part what cannot meet; inside
+    the last strips rows are sorted by a further dimension, and only runs within the radius are
+    tested. tests counts the tested pairs.
+    """
+    radius = np.sqrt(budget)
+    first = 2 if x.shape[1] > 2 else 0  # the grid has used the first two
+
+    def tested(i, j, same):
+        column = min(first + depth, x.shape[1] - 1)
+        other = x if y is None else y
+        i, j = i[np.argsort(x[i, column], kind="stable")], j[np.argsort(other[j, column], kind="stable")]
+        keys = other[j, column]
+        for at in range(0, len(i), 64):
+            mine = i[at : at + 64]
+            low, high = np.searchsorted(keys, [x[mine[0], column] - radius, x[mine[-1], column] + radius], side="left")
+            theirs = j[low : high + 1]
+            if not len(theirs):
+                continue
+            if tests is not None:
+                tests.append(len(mine) * len(theirs))
+            p, q = x[mine], other[theirs]
+            near = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T) <= budget
+            if same:
+                near &= theirs[None, :] > mine[:, None]
+            a, b = np.nonzero(near)
+            if len(a):
+                yield mine[a], theirs[b]
+
+    def parted(i, j, level, same):
+        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 4096:
+            yield from tested(i, j, same)
+            return
+        column, other = first + level, x if y is None else y
+        strip_i, strip_j = np.floor(x[i, column] / radius), np.floor(other[j, column] / radius)
+        rows_j = {s: j[strip_j == s] for s in np.unique(strip_j)}
+        for s in np.unique(strip_i):
+            mine = i[strip_i == s]
+            for t in (s,) if same else (s - 1, s, s + 1):
+                if t in rows_j:
+                    yield from parted(mine, rows_j[t], level + 1, same)
+            if same and s + 1 in rows_j:
+                yield from parted(mine, rows_j[s + 1], level + 1, False)
+
+    for i, j in parted(np.arange(len(x)), np.arange(len(x if y is None else y)), 0, y is None):
+        yield (np.minimum(i, j), np.maximum(i, j)) if y is None else (i, j)
+
+
+def candidates(threshold: float):
+    """Per tile of block shares: the rows that have another within the block's budget."""
+
+    def run(batches):
+        for key, (ids, weights, sides, shares) in tiles(batches, lambda column, key: block_shares(column)):
+            _, dim, block, _, _ = key
+            budget = budgets(dim, threshold)[block]
+            lives, looks = np.flatnonzero(sides != 1), np.flatnonzero(sides == 1)
+            busy = np.zeros(len(ids), dtype=bool)
+            if len(sides) and sides[0] == 2:
+                for i, j in near_pairs(shares, None, budget):
+                    busy[i] = busy[j] = True
+            else:
+                for i, j in near_pairs(shares[lives], shares[looks], budget):
+                    busy[lives[i]] = busy[looks[j]] = True
+            found = np.flatnonzero(busy)
+            if len(found):
+                columns = [np.full(len(found), k, dtype=np.int64) for k in key]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, ids[found], weights[found], sides[found]]], names=[*KEY, "rep", "n", "side"])
+
+    return run
+
+
+def block_shares(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1).astype(np.float64)
+
+
 def compared(threshold: float):
-    """Per tile: for every vector with links its weight of linked ones and the least vector it reaches there."""
+    """Per tile of candidates: for every vector with links its weight of linked ones and the least vector it reaches there."""
 
     def links(block: int, vectors: np.ndarray, rows: np.ndarray, columns: np.ndarray, same: bool):
         points, dim = rotated(vectors), vectors.shape[1]
@@ -122,49 +207,41 @@ def compared(threshold: float):
             d = points[i][:, parts[b]] - points[j][:, parts[b]]
             return np.einsum("ij,ij->i", d, d)
 
-        for at in range(0, len(rows), 512):
-            mine = rows[at : at + 512]
-            p, q = points[mine][:, parts[block]], points[columns][:, parts[block]]
-            near = (p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (p @ q.T) <= allowed[block]
-            if same:
-                near &= columns[None, :] > mine[:, None]
-            i, j = np.nonzero(near)
-            i, j = mine[i], columns[j]
-            for earlier in range(block):  # a pair that meets in several blocks counts in the first
-                late = distances(i, j, earlier) > allowed[earlier]
-                i, j = i[late], j[late]
+        own = points[:, parts[block]]
+        for i, j in near_pairs(own[rows], None if same else own[columns], allowed[block]):
+            i, j = rows[i], columns[j]
             for part in range(0, len(i), 100_000):
                 a, b = i[part : part + 100_000], j[part : part + 100_000]
+                for earlier in range(block):  # a pair that meets in several blocks counts in the first
+                    late = distances(a, b, earlier) > allowed[earlier]
+                    a, b = a[late], b[late]
                 sure = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norms[a] * norms[b]) >= threshold
                 yield a[sure], b[sure]
 
     def run(batches):
-        for key, columns in tiles(batches):
+        for key, (ids, weights, sides, vectors) in tiles(batches, lambda column, key: unpacked(column, key[1])):
             _, dim, block, _, _ = key
-            ids, weights, sides = columns[0], columns[1], columns[2]
-            vectors = columns[3]
             lives, looks = np.flatnonzero(sides != 1), np.flatnonzero(sides == 1)
-            both = sides[0] == 2 if len(sides) else False
-            count, root = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            pairs = links(block, vectors, lives, lives, True) if both else links(block, vectors, lives, looks, False)
-            for a, b in pairs:
+            both = len(sides) > 0 and sides[0] == 2
+            count = np.zeros(len(ids), dtype=np.int64)
+            order = np.argsort(ids, kind="stable")
+            place = np.empty(len(ids), dtype=np.int64)
+            place[order] = np.arange(len(ids))  # so that the least label is the least id
+            tree = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for a, b in links(block, vectors, lives, lives, True) if both else links(block, vectors, lives, looks, False):
                 np.add.at(count, a, weights[b])
                 np.add.at(count, b, weights[a])
-                for x, y in zip(a.tolist(), b.tolist()):
-                    x, y = top(x), top(y)
-                    if x != y:
-                        root[max(x, y, key=lambda z: ids[z])] = min(x, y, key=lambda z: ids[z])
+                tree.append((place[a], place[b]))
+                if sum(len(x) for x, _ in tree) > 1 << 20:
+                    tree = [stars(*(np.concatenate(x) for x in zip(*tree)))]
             found = np.flatnonzero(count)
             if len(found):
-                ends = ids[[top(x) for x in found.tolist()]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(count[found]), pa.array(ends)], names=["rep", "links", "root"])
+                node, root = stars(*(np.concatenate(x) for x in zip(*tree)))
+                ends = np.arange(len(ids))
+                ends[node] = root
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[found]), pa.array(count[found]), pa.array(ids[order[ends[place[found]]]])], names=["rep", "links", "root"]
+                )
 
     return run
 
@@ -172,13 +249,12 @@ def compared(threshold: float):
 KEY = ("label", "dim", "block", "cell", "meet")
 
 
-def tiles(batches):
-    """(key, [ids, weights, sides, vectors]) of consecutive rows with one KEY."""
+def tiles(batches, read):
+    """(key, [ids, weights, sides, read(the last column)]) of consecutive rows with one KEY."""
     held, current = [], None
 
     def closed():
-        ids, weights, sides = (np.concatenate([h[k] for h in held]) for k in range(3))
-        return current, [ids, weights, sides, np.concatenate([h[3] for h in held])]
+        return current, [np.concatenate([h[k] for h in held]) for k in range(4)]
 
     for batch in batches:
         if not batch.num_rows:
@@ -192,7 +268,7 @@ def tiles(batches):
                 held = []
             current = key
             part = batch.slice(a, b - a)
-            held.append([*(part.column(len(KEY) + k).to_numpy() for k in range(3)), unpacked(part.column(len(KEY) + 3), key[1])])
+            held.append([*(part.column(len(KEY) + k).to_numpy() for k in range(3)), read(part.column(len(KEY) + 3), key)])
     if held:
         yield closed()
 
@@ -209,18 +285,23 @@ def similar_vectors(
     Vectors link when their labels are equal and not null and their cosine, in doubles, is at least
     ``threshold``. Equal vectors of a label are one class with a weight. Rotated unit vectors are
     split into blocks; within the whole squared distance 2 - 2 * threshold at least one block is
-    within its proportional budget, so a range join of every block over a grid finds all
-    candidates, each counted in the first block that brings it together and confirmed on the full
-    vectors. Cells with many vectors are compared tile by tile; a task keeps one tile and emits a
-    row for each vector with links, not a row for each pair.
-
-    Null, empty and zero vectors, those with null or infinite components or NaN, and those without
+    within its proportional budget, so a range join of every block finds all candidates. The join
+    ships each block's share of a vector to its cells of a grid; inside a cell, strips and sorted
+    runs along further dimensions part what cannot meet. Whole vectors follow only where their
+    share has another within the budget; there each pair is counted in the first block that brings
+    it together and confirmed on the full vectors. Cells with many vectors are searched tile by
+    tile; a task keeps one tile and emits a row for each vector, not for each pair.
+
+    Labels are whole numbers, or else told apart by a 64-bit hash. Null, empty and zero vectors, those with null or infinite components or NaN, and those without
     a label or id link with nothing. Vectors of unequal length do not link. Repeated rows are
     vectors of their own. Empty input gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     v = F.col(vector_col).cast("array<double>")
-    label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
+    label = F.lit(0).cast("long")
+    if label_col:
+        whole = vectors.schema[label_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+        label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string")))
     base = vectors.select(F.col(id_col).alias("id"), label.alias("label"), v.alias("v"))
     usable = F.col("v").isNotNull() & F.forall("v", is_finite) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull()
     base = base.withColumn("usable", F.coalesce(usable, F.lit(False)))
@@ -270,13 +351,25 @@ def similar_vectors(
     )
     outer = F.transform(counted("l"), lambda j: meet(part_h + (1 << 30), j, 0))
     probing = F.transform(counted("h"), lambda i: meet(i + (1 << 30), part_l, 1))
-    living = placed.select("label", "dim", "rep", "n", "vector", F.explode("homes").alias("cell")).join(sizes, whole).withColumn("m", F.explode(F.concat(within, outer)))
-    looking = placed.select("label", "dim", "rep", "n", "vector", F.explode("looks").alias("cell")).join(sizes, whole).withColumn("m", F.explode(probing))
-    rows = living.unionByName(looking).select(
-        "label", "dim", F.shiftright("cell", 48).alias("block"), "cell", "m.meet", "rep", "n", F.col("m.side").alias("side"), "vector"
-    )
+    block = F.shiftright("cell", 48)
+    share = F.get(F.col("shares"), block.cast("int")).alias("share")
+
+    def in_cells(kind: str) -> DataFrame:
+        rows = placed.select("label", "dim", "rep", "n", "shares", F.explode(kind).alias("cell"))
+        return rows.select("label", "dim", "rep", "n", "cell", share).join(broadcast_if_few(sizes), whole)
+
+    living = in_cells("homes").withColumn("m", F.explode(F.concat(within, outer)))
+    looking = in_cells("looks").withColumn("m", F.explode(probing))
+    rows = living.unionByName(looking).select("label", "dim", block.alias("block"), "cell", "m.meet", "rep", "n", F.col("m.side").alias("side"), "share")
+    key = ", ".join(f"{k} long" for k in KEY)
+    busy = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(candidates(threshold), f"{key}, rep long, n long, side long")
+    busy = scratch.save(busy, "busy")
+    scratch.drop(placed)
+    # Whole vectors go only where their block has found company.
+    rows = busy.join(classes.select("label", "dim", "rep", "vector"), ["label", "dim", "rep"]).select(*KEY, "rep", "n", "side", "vector")
     found = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(compared(threshold), "rep long, links long, root long")
     found = scratch.save(found, "found")
+    scratch.drop(busy)
     roots = components(scratch, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     ends = classes.select(*same, "rep", "n").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gristmill.llm.common import Scratch
 
@@ -44,19 +45,20 @@ def shard(
     most_per_shard: int = 1024,
     rows_per_range: int = 50_000,
     sample_per_range: int = 12,
-    whole: float = 1 / 8,
 ) -> DataFrame:
     """docs' ids with their size, shard and slot, so that all shards hold nearly equal bytes.
 
     The key is a hash of the text, then one of the id: equal texts lie side by side and share a
-    shard unless together they exceed the share ``whole`` of a shard. A sample of keys, each drawn in
-    proportion to its size, gives boundaries at even quantiles; ranges that then hold more than
-    their share are subdivided by hash of the id, and every range goes, largest first, to the
-    lightest shard. The driver sees at most shards * most_per_shard * sample_per_range sampled
-    keys and twice shards * most_per_shard range sizes, whatever the input.
-
-    Size is the text's UTF-8 bytes plus 8; null text counts none. Null ids and repeated rows are
-    placed like others. Empty input gives no rows.
+    shard; only a text whose copies exceed a whole shard is parted, by id. A sample of keys, each
+    drawn in proportion to its size, gives boundaries at even quantiles; ranges that then hold
+    more than their share are subdivided, first by text. A text with more than a range's share is
+    a unit of its own. Units go, largest first, to the lightest shard, at ties the one of least
+    number. Slots are numbered in pieces of bounded size, also within one text's copies. The
+    driver sees at most shards * most_per_shard * sample_per_range sampled keys and twice
+    shards * most_per_shard piece sizes, whatever the input.
+
+    Size is the text's UTF-8 bytes plus 8; null text counts none, and nulls are equal texts.
+    Null ids and repeated rows are placed like others. Empty input gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
@@ -78,60 +80,47 @@ def shard(
     drawn = rows.where(unit(F.struct("h", "g")) < F.col("size") * F.lit(rate)).select("h", "g")
     cuts = bounds([tuple(x) for x in drawn.collect()], ranges)
 
-    # A range is the number of boundary texts at or below the key: a sorted list in a column, searched by halving.
-    cut_keys = sorted({h for h, _ in cuts})
-    place = spark.sparkContext.broadcast(cut_keys)
+    # A range is the number of boundary texts at or below the key.
+    place = spark.sparkContext.broadcast(np.array(sorted({h for h, _ in cuts}), dtype=np.int64))
 
-    @F.pandas_udf(T.LongType())
-    def range_of(h):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(np.array(place.value, dtype=np.int64), h.to_numpy(), side="right"))
+    @F.arrow_udf("long")
+    def range_of(h: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(place.value, h.to_numpy(), side="right"), pa.int64())
 
     rows = rows.withColumn("r", range_of("h"))
-    held = {x["r"]: x["s"] for x in rows.groupBy("r").agg(F.sum("size").alias("s")).collect()}
+    held = rows.groupBy("r").agg(F.sum("size").alias("s")).collect()
     share = max(1.0, total / ranges)
-    parts = {r: -(-s // int(share)) for r, s in held.items() if s > 1.5 * share}
-
-    def lookup(values: dict, default: int) -> Column:
-        table = spark.sparkContext.broadcast(values)
-
-        @F.pandas_udf(T.LongType())
-        def found(key):
-            return key.map(lambda x: table.value.get(x, default)).astype("int64")
-
-        return found
-
-    # Overfull ranges of several texts are first cut at their texts, so only one text's copies are ever parted.
-    many = lookup(parts, 1)
-    group_total = F.sum("size").alias("text_size")
-    over = rows.withColumn("parts", many("r"))
-    big_texts = (
-        over.where("parts > 1").groupBy("r", "h").agg(group_total).where(F.col("text_size") > F.lit(max(1.5 * share, whole * total / shards))).select("h", F.lit(True).alias("big"))
-    )
-    over = over.join(big_texts, "h", "left")
+    parts = [(x["r"], -(-x["s"] // int(share))) for x in held if x["s"] > 1.5 * share]
+    over = rows.join(F.broadcast(spark.createDataFrame(parts, "r long, parts long")), "r", "left")
+    # Overfull ranges are cut at their texts; a text above the share is cut by id, into pieces of one unit unless it exceeds a shard.
+    texts = over.where("parts > 1").groupBy("h").agg(F.sum("size").alias("text_size")).where(F.col("text_size") > F.lit(1.5 * share))
+    texts = texts.select("h", F.ceil(F.col("text_size") / share).cast("long").alias("copies"), (F.col("text_size") > F.lit(total / shards)).alias("apart"))
+    over = over.join(F.broadcast(scratch.save(texts, "texts")), "h", "left")  # at most one text a range's share
     by_text = F.pmod(F.xxhash64("h", F.lit("part")), F.col("parts"))
-    by_id = F.pmod(F.xxhash64("g", F.lit("part")), F.col("parts")) + F.lit(1 << 20)
-    over = over.withColumn("sub", F.when(F.col("parts") == 1, F.lit(0)).when(F.col("big"), by_id).otherwise(by_text).cast("long"))
-    over = over.withColumn("piece", F.col("r") * F.lit(1 << 21) + F.col("sub"))
-    over = scratch.save(over.select("k", "size", "crc", "h", "g", "piece"), "placed")
-    pieces = over.groupBy("piece").agg(F.sum("size").alias("s"), F.count("*").alias("c")).collect()
-    where = balanced({x["piece"]: x["s"] for x in pieces}, shards)
-    offset, filled = {}, [0] * shards
-    for x in sorted(pieces, key=lambda x: x["piece"]):
-        s = where[x["piece"]]
-        offset[x["piece"]] = filled[s]
+    by_id = F.pmod(F.xxhash64("g", F.lit("part")), F.col("copies"))
+    unit_of = F.when(F.col("copies").isNotNull(), F.when(F.col("apart"), F.xxhash64("h", by_id)).otherwise(F.xxhash64("h", F.lit("unit"))))
+    unit_of = F.coalesce(unit_of, F.when(F.col("parts") > 1, F.xxhash64("r", by_text)).otherwise(F.xxhash64("r")))
+    over = over.withColumn("unit", unit_of).withColumn("piece", F.xxhash64("unit", F.coalesce(by_id, F.lit(0).cast("long"))))
+    over = scratch.save(over.select("k", "size", "crc", "h", "g", "unit", "piece"), "placed")
+    pieces = over.groupBy("unit", "piece").agg(F.sum("size").alias("s"), F.count("*").alias("c")).collect()
+    units: dict[int, int] = {}
+    for x in pieces:
+        units[x["unit"]] = units.get(x["unit"], 0) + x["s"]
+    where = balanced(units, shards)
+    placed, filled = [], [0] * shards
+    for x in sorted(pieces, key=lambda x: (x["unit"], x["piece"])):
+        s = where[x["unit"]]
+        placed.append((x["piece"], s, filled[s]))
         filled[s] += x["c"]
-    over = over.withColumn("shard", lookup(where, 0)("piece").cast("int")).withColumn("base", lookup(offset, 0)("piece"))
+    table = F.broadcast(spark.createDataFrame(placed, "piece long, shard int, base long"))
     rank = F.row_number().over(Window.partitionBy("piece").orderBy("h", "g", "k", "size"))
-    return over.select(
+    return over.withColumn("rank", rank).join(table, "piece").select(
         F.col("k").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("base") + rank - 1).cast("long").alias("slot"),
+        (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
