@@ -333,9 +333,9 @@ cc as (select query_id, answer_key, cluster_count from sw),
 g as (select p.query_id, doc_id, rank, place, hs, coalesce(cluster_count, 0) as cc, min(rank) over q as head, max(case when rank = 1 then hs end) over q as head_score
       from pl p left join cc on cc.query_id = p.query_id and cc.answer_key = p.keys[1] window q as (partition by p.query_id)),
 b as (select *, place = 1 and rank <> head and (hs - head_score < 0.002::double or rank > 20 or cc < 1) as guard_blocked from g),
-o as (select *, max(guard_blocked) over (partition by query_id) as any_blocked from b)
-r as (select *, row_number() over (partition by query_id order by case when any_blocked and rank = head then 0 else place end) as at from o)
-select query_id, doc_id, guard_blocked, at as place, round(hs, 6) as score from r where at <= 5"""
+o as (select *, max(guard_blocked) over (partition by query_id) as any_blocked from b),
+r as (select *, row_number() over (partition by query_id order by case when any_blocked and rank = head then 0 else place end) as spot from o)
+select query_id, doc_id, guard_blocked, spot as place, round(hs, 6) as score from r where spot <= 5"""
 SQL["gate_provenance"] = f"""
 with {STAGED}, k as (select *, case provenance when 'indexed corpus' then 'trusted' when 'runtime external' then 'untrusted' else 'unknown' end as c from st1)
 select query_id, count(*) as input_count, count(*) filter (c = 'trusted') as eligible_count, count(*) filter (c = 'trusted') as trusted_count,
