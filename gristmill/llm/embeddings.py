@@ -20,6 +20,8 @@ WIDTH = 3
 TILE = 8192
 #: Inside a tile the next so many dimensions of the block are cut into strips as wide as the budget.
 STRIPS = 2
+#: So many sorted rows are tested at a time with all within the radius of any of them.
+RUN = 16
 #: Rotated unit vectors are rounded to whole multiples of 1/UNIT, so distances are exact in doubles
 #: and every task sees the same ones.
 UNIT = float(1 << 20)
@@ -131,8 +133,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray, budget: float, depth: int = STRIPS,
         other = x if y is None else y
         i, j = i[np.argsort(x[i, column], kind="stable")], j[np.argsort(other[j, column], kind="stable")]
         keys = other[j, column]
-        for at in range(0, len(i), 64):
-            mine = i[at : at + 64]
+        for at in range(0, len(i), RUN):
+            mine = i[at : at + RUN]
             low, high = np.searchsorted(keys, [x[mine[0], column] - radius, x[mine[-1], column] + radius], side="left")
             theirs = j[low : high + 1]
             if not len(theirs):
@@ -148,7 +150,7 @@ def near_pairs(x: np.ndarray, y: np.ndarray, budget: float, depth: int = STRIPS,
                 yield mine[a], theirs[b]
 
     def parted(i, j, level, same):
-        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 4096:
+        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 256:
             yield from tested(i, j, same)
             return
         column, other = first + level, x if y is None else y

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import Scratch
 from gristmill.llm.spans import report
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "account", "iban", "person", "address")
 
 #: The patterns of the base kinds. A match that starts inside a run of its first class would also
 #: start at the run's begin, or where the last match ended (\G); saying so keeps long runs linear.
@@ -20,39 +21,76 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser forms, which are candidates only: spelled-out addresses, IPv6, spaced identifiers, national numbers.
+#: Gazetteers, in the corpus's four languages. Common given names, cities, street words, mail providers, banks.
+NAMES = (
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Thomas Sarah Charles Karen Daniel Nancy"
+    " Hans Peter Klaus Jürgen Wolfgang Ursula Monika Petra Sabine Renate Stefan Andreas Anna Lukas Felix"
+    " Jean Pierre Michel André Philippe Marie Nathalie Isabelle Sylvie Catherine Nicolas Camille Julien Luc"
+    " José Antonio Manuel Francisco Juan Carmen Josefa Isabel Dolores Pilar Luis Carlos Miguel Elena Lucía"
+).split()
+CITIES = (
+    "London Paris Berlin Madrid Boston Chicago Houston Phoenix Dallas Seattle Denver Toronto Dublin Manchester Liverpool Hamburg München Köln Frankfurt"
+    " Stuttgart Dresden Leipzig Wien Zürich Bern Lyon Marseille Toulouse Nice Nantes Bordeaux Lille Genève Bruxelles Barcelona Valencia Sevilla Zaragoza Málaga Bilbao Lima Bogotá"
+).split()
+PROVIDERS = "gmail googlemail yahoo hotmail outlook icloud protonmail gmx web mail posteo orange laposte wanadoo telefonica terra example".split()
+BANKS = "bank banque banco sparkasse visa mastercard amex maestro paypal volksbank santander barclays".split()
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
+WORD = r"\p{Lu}[\p{L}'-]{1,30}"
+
+
+def one_of(words) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+#: Looser forms, which are candidates only: spelled-out addresses, IPv6, national numbers, long digit runs, account numbers, names, streets.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{2,63}+(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}+){1,4}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
+    "account": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "person": rf"(?<!\p{{L}})(?:{one_of(TITLES)}\.? (?:{WORD} ){{0,2}}{WORD}|{one_of(NAMES)} {WORD})(?!\p{{L}})",
+    "address": rf"(?<![0-9])[0-9]{{1,5}}[A-Za-z]? {WORD} (?:Street|Avenue|Road|Lane|Drive|Boulevard)(?!\p{{L}})|{WORD}(?:straße|strasse|weg|platz|gasse|allee) [0-9]{{1,4}}(?![0-9])"
+    rf"|(?<![0-9])[0-9]{{1,4}},? (?:rue|avenue|boulevard|place) (?:de la |de |du |des )?{WORD}|(?:Calle|Avenida|Plaza) (?:de la |de |del )?{WORD},? [0-9]{{1,4}}(?![0-9])",
 }
 #: What a text must hold for a pattern to be tried at all.
-NEEDS = {
-    ("base", "email"): "@",
-    ("base", "ip"): ".",
-    ("base", "card"): "",
-    ("base", "phone"): "+",
-    ("loose", "email"): "at",
-    ("loose", "ip"): ":",
-    ("loose", "card"): "",
-    ("loose", "phone"): "",
+NEEDS = {("base", "email"): "@", ("base", "ip"): ".", ("base", "phone"): "+", ("loose", "email"): "at", ("loose", "ip"): ":"}
+
+#: Labelers. Each votes on all candidates of a kind alike, whichever pattern brought them.
+#: Structure: what a true one satisfies by its own make (tried on the found text; cards by their check digit).
+STRUCTURE = {
+    "email": r"(?i)^[a-z0-9][a-z0-9._%+-]*(?:@| ?[\[(] ?at ?[\])] ?| at )[a-z0-9][a-z0-9-]*.*[a-z]{2,}$",
+    "ip": r"^(?:(?:0|[1-9][0-9]{0,2})(?:\.|$)){4}|:",
+    "phone": r"^(?:[^0-9]*[0-9]){9,15}[^0-9]*$",
+    "account": r"^(?:[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})$",
+    "iban": r"^(?:DE|FR|ES|IT|NL|GB|CH|AT|BE|IE|PT|LU)[0-9]{2}",
+    "person": rf"{WORD} {WORD}",
+    "address": r"[0-9]",
 }
-#: Gazetteers: ends of mail domains, first digits of card issuers and account countries, area and country codes' form, networks that name no person.
-GAZETTEER = {
-    "email": r"(?i)\.(com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|ch|at|nl)$| dot (com|org|net|edu|de|fr|es)$",
+#: Gazetteer: names, places and organisations in the span (found), or within 40 characters after it (next to a span of the kind).
+LISTED = {
+    "email": rf"(?i)(?:@|\bat\b).*(?:{one_of(PROVIDERS)}[0-9]*\b|(?:\.| dot )(?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|ch|at|nl)$)",
     "ip": r"^(?!(?:0|10|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|192\.168\.|169\.254\.)",
-    "card": r"^(?:[3456]|DE|FR|ES|IT|NL|GB|CH|AT|BE)",
+    "card": r"^[3-6]",
     "phone": r"^(?:\+(?:1|33|34|39|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])|\(?[02-9])",
+    "account": r"^[2-6]",
+    "iban": r"^(?:DE|FR|ES|IT|NL|GB|CH|AT|BE|IE|PT|LU)",
+    "person": rf"(?<!\p{{L}}){one_of(NAMES)}(?!\p{{L}})",
 }
-#: Words before a span that name its kind, in the corpus's four languages.
+NEARBY = {"address": rf"(?<!\p{{L}}){one_of(CITIES)}(?!\p{{L}})", "account": rf"(?i){one_of(BANKS)}", "iban": rf"(?i){one_of(BANKS)}", "card": rf"(?i){one_of(BANKS)}"}
+#: Context: words before a span that name its kind, and others that name something else.
 CONTEXT = {
     "email": r"(?i)(?:e-?mail|mailto|contact|write|kontakt|courriel|correo|schreib)[^\n]{0,24}$",
     "ip": r"(?i)(?:\bip\b|address|host|login|adresse|direcci)[^\n]{0,24}$",
-    "card": r"(?i)(?:card|visa|master|credit|iban|account|karte|konto|carte|compte|tarjeta|cuenta)[^\n]{0,24}$",
+    "card": r"(?i)(?:card|visa|master|credit|karte|carte|tarjeta)[^\n]{0,24}$",
     "phone": r"(?i)(?:phone|call|tel\b|tel[.:]|mobile|fax|telefon|anruf|appel|llam)[^\n]{0,24}$",
+    "account": r"(?i)(?:card|visa|master|credit|account|karte|konto|carte|compte|tarjeta|cuenta)[^\n]{0,24}$",
+    "iban": r"(?i)(?:iban|account|konto|compte|cuenta)[^\n]{0,24}$",
+    "person": r"(?i)(?:name|dear|signed|by|from|von|liebe|cher|par|querid|de)[^\n]{0,12}$",
+    "address": r"(?i)(?:address|live|adresse|wohn|habite|direcci|vive)[^\n]{0,24}$",
 }
-LABELERS = ("pattern", "gazetteer", "context", "edges")
+ELSE = r"(?i)(?:version|isbn|issn|doi|page|seite|página|order|serial|sku|hash|uuid|chapter|kapitel)[^\n]{0,12}$"
+LABELERS = ("structure", "gazetteer", "context", "edges")
 
 
 def matches(text: Column, pattern: str, needs: str) -> Column:
@@ -101,14 +139,25 @@ def passes(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def vote(kind: str, found: Column, near: Column, before: Column, around: Column) -> list[Column]:
+    """Each labeler's vote on a span: 1, 0 or -1 (no opinion)."""
+    shaped = passes("card", found) if kind == "card" else found.rlike(STRUCTURE[kind])
+    named = F.when(found.rlike(LISTED[kind]), 1).otherwise(0) if kind in LISTED else F.lit(-1)
+    if kind in NEARBY:
+        named = F.when(near.rlike(NEARBY[kind]), 1).otherwise(named)
+    context = F.when(before.rlike(CONTEXT[kind]), 1).when(before.rlike(ELSE), 0).otherwise(-1)
+    edges = F.when(around.rlike(r"[A-Za-z0-9_@]"), 0).otherwise(1)
+    return [x.alias(name) for x, name in zip((F.when(shaped, 1).otherwise(0), named, context, edges), LABELERS)]
+
+
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base (sorted spans) and loose (candidates that overlap no base span), with the labelers' votes."""
+    """id, base (sorted spans) and loose (candidates that overlap no base span), with votes and shape but not what was found."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     for group, patterns in (("base", BASE), ("loose", LOOSE)):
-        rows = rows.select("*", *(matches(F.col("text"), p, NEEDS[group, k]).alias(f"{group}_{k}") for k, p in patterns.items()))
+        rows = rows.select("*", *(matches(F.col("text"), p, NEEDS.get((group, k), "")).alias(f"{group}_{k}") for k, p in patterns.items()))
 
-    def spans(group: str) -> Column:
+    def spans(group: str, kinds) -> Column:
         def one(kind: str) -> Column:
             kept = F.col(f"{group}_{kind}")
             if group == "base":
@@ -120,24 +169,22 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     F.lit(KINDS.index(kind)).alias("rank"),
                     F.lit(kind).alias("kind"),
                     s["end"].alias("end"),
-                    s["found"].alias("found"),
-                    F.lit(int(group == "base")).alias("pattern"),
-                    F.when(s["found"].rlike(GAZETTEER[kind]), 1).otherwise(0).alias("gazetteer"),
-                    F.when(before(s).rlike(CONTEXT[kind]), 1).otherwise(-1).alias("context"),
-                    F.when(F.concat(F.right(before(s), F.lit(1)), after(s)).rlike(r"[A-Za-z0-9_@]"), 0).otherwise(1).alias("edges"),
+                    F.lit(int(group == "base")).alias("base"),
+                    *vote(kind, s["found"], F.concat_ws(" ", before(s), after(s, 40)), before(s), F.concat(F.right(before(s), F.lit(1)), after(s, 1))),
+                    shape(s["found"]).alias("shape"),
                 ),
             )
 
-        return F.array_sort(F.concat(*(one(k) for k in KINDS)))
+        return F.array_sort(F.concat(*(one(k) for k in kinds)))
 
     def before(s: Column) -> Column:
         start = F.greatest(s["start"] - 40, F.lit(0))
         return F.substr(F.col("text"), (start + 1).cast("int"), (s["start"] - start).cast("int"))
 
-    def after(s: Column) -> Column:
-        return F.substr(F.col("text"), (s["end"] + 1).cast("int"), F.lit(1))
+    def after(s: Column, n: int) -> Column:
+        return F.substr(F.col("text"), (s["end"] + 1).cast("int"), F.lit(n))
 
-    rows = rows.select("id", spans("base").alias("base"), spans("loose").alias("loose"))
+    rows = rows.select("id", spans("base", BASE).alias("base"), spans("loose", LOOSE).alias("loose"))
     apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return rows.select("id", "base", apart.alias("loose"))
 
@@ -147,13 +194,13 @@ def estimate(counts: dict[tuple, int], steps: int = 200, near: float = 1e-9) ->
 
     counts has the number of candidates for each (kind, votes). Votes are 1, 0 or -1 (no opinion)
     and independent given the truth. The first guess trusts each vote a little; the odds start at
-    those of a majority. At most 4 kinds times 3^4 votes, so the table is small at any scale.
+    those of a majority. At most eight kinds times 3^4 votes, so the table is small at any scale.
     """
     trust = {(k, j, z): {1: 0.7 if z else 0.3, 0: 0.3 if z else 0.7, -1: 1.0} for k in KINDS for j in range(len(LABELERS)) for z in (0, 1)}
     for key in trust:
         total = sum(trust[key].values())
         trust[key] = {v: x / total for v, x in trust[key].items()}
-    prior = dict.fromkeys(KINDS, 0.5)
+    prior = dict.fromkeys(KINDS, 0.5)  # of each kind
 
     def odds(kind: str, votes: tuple) -> float:
         score = math.log(prior[kind] / (1 - prior[kind]))
@@ -179,10 +226,10 @@ def estimate(counts: dict[tuple, int], steps: int = 200, near: float = 1e-9) ->
     return prior, {key: 1 / (1 + math.exp(-max(-50.0, min(50.0, odds(*key))))) for key in counts}
 
 
-def shape(span: Column) -> Column:
+def shape(found: Column) -> Column:
     """What the span classifier sees besides the votes: length and share of digits, in a few steps."""
-    n = F.length(span["found"])
-    return F.concat_ws("|", F.least(n / 6, F.lit(6)).cast("int"), (F.length(digits(span["found"])) * 4 / n).cast("int"))
+    n = F.length(found)
+    return F.concat_ws("|", F.least(n / 6, F.lit(6)).cast("int"), (F.length(digits(found)) * 4 / n).cast("int"))
 
 
 def find_personal_data(
@@ -190,21 +237,23 @@ def find_personal_data(
 ) -> DataFrame:
     """One row per document: its id and the sorted spans of personal data in its whole text.
 
-    Base spans are reported as they are. Candidates of looser form are weighed: pattern,
-    gazetteer, context and edge labelers vote on all spans, EM over the votes' counts estimates
-    how reliable each is per kind, and the posteriors train a classifier over kind, votes and
-    shape (naive Bayes with soft labels, from grouped sums); candidates at ``threshold`` or more
-    are added. What reaches the driver is grouped by kind, votes and shape: at most 4 * 3^4 * 35
-    rows at any scale. The text is read once; a document's spans are the only thing kept of it.
+    Base spans are reported as they are. Candidates of looser form and further kinds are weighed:
+    labelers of structure, gazetteer, context and edges vote on all spans alike, EM over the votes'
+    counts estimates how reliable each is per kind, and the posteriors train a classifier over
+    kind, votes and shape (naive Bayes with soft labels, from grouped sums); candidates at
+    ``threshold`` or more are added. Of added spans that overlap, the first and then the longest
+    stays. What reaches the driver is grouped by kind, votes and shape: at most 8 * 3^4 * 35 rows
+    at any scale. The text is read once; of what was found only places, votes and shapes are kept.
 
-    Null and empty texts have no spans; null ids and repeated rows stay as they are.
+    Null and empty texts have no spans; texts of any length are taken whole; null ids and repeated
+    rows stay as they are; empty input gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = scratch.save(extract(docs, id_col, text_col), "votes")
-    votes = F.concat_ws(",", *(F.col(f"s.{x}") for x in LABELERS))
+    votes = lambda s: F.concat_ws(",", *(s[x] for x in LABELERS))
     table = (
         rows.select(F.explode(F.concat("base", "loose")).alias("s"))
-        .groupBy(F.col("s.kind").alias("kind"), votes.alias("votes"), shape(F.col("s")).alias("shape"))
+        .groupBy(F.col("s.kind").alias("kind"), votes(F.col("s")).alias("votes"), F.col("s.shape").alias("shape"))
         .agg(F.count("*").alias("n"))
         .collect()
     )
@@ -215,11 +264,11 @@ def find_personal_data(
     _, posterior = estimate(counts)
     scores = classifier([(x["kind"], x["votes"], x["shape"], x["n"], posterior[x["kind"], tuple(map(int, x["votes"].split(",")))]) for x in table])
     sure = sorted(k for k, p in scores.items() if p >= threshold)
-    added = F.array().cast(rows.schema["loose"].dataType)
-    if sure:
-        known = F.array(*map(F.lit, sure))
-        name = lambda s: F.concat_ws("/", s["kind"], F.concat_ws(",", *(s[x] for x in LABELERS)), shape(s))
-        added = F.filter("loose", lambda s: F.array_contains(known, name(s)))
+    known = F.array(*map(F.lit, sure)).cast("array<string>")
+    likely = F.filter("loose", lambda s: F.array_contains(known, F.concat_ws("/", s["kind"], votes(s), s["shape"])))
+    rows = rows.select("id", "base", likely.alias("likely"))
+    earlier = lambda a, b: (a["start"] < b["start"]) | ((a["start"] == b["start"]) & ((a["end"] > b["end"]) | ((a["end"] == b["end"]) & (a["rank"] < b["rank"]))))
+    added = F.filter("likely", lambda b: ~F.exists("likely", lambda a: (a["start"] < b["end"]) & (b["start"] < a["end"]) & earlier(a, b)))
     return rows.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", added)).alias(out_col))
 
 
@@ -242,10 +291,10 @@ def classifier(rows: list[tuple[str, str, str, int, float]]) -> dict[str, float]
 
 
 def is_base(span: Column) -> Column:
-    return span["pattern"] == 1
+    return span["base"] == 1
 
 
 def documents_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: personal data in all documents."""
+    """op2: personal data in all documents; n_spans counts base and added ones."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"), out_col="found")
-    return found.select("doc_id", *report("found", KINDS, is_base))
+    return found.select("doc_id", *report("found", BASE_KINDS, is_base), F.size("found").cast("long").alias("n_spans"))
