@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FEW_ROWS, Scratch, broadcast_if_few, fresh, spent
-from gristmill.llm.neardup import near_duplicates
+from gristmill.llm.common import FEW_ROWS, Scratch, fresh
 
 RATIO, LEAST_PAGES = 0.05, 5
 #: Where hosts' lists are too large to broadcast, a host's pages meet its list in this many parts.
@@ -86,61 +85,49 @@ def drop_site_lines_of_pages(
     host_col: str = "source",
     ratio: float = RATIO,
     least_pages: int = LEAST_PAGES,
-    percent: int = 80,
+    copied: float = 0.5,
 ) -> DataFrame:
     """drop_site_lines where copies are no pages of their own, so that no group of copies loses its text.
 
-    Rows of a host with equal texts are one page, for a line as for the host. Pages that hold a
-    line over the ratio are then grouped by near duplicates (``percent``). A line that is over it
-    by pages but not by groups is one that copies share: the page with a group's least id, and
-    its exact copies, keep it. So does a page that would be left without words; near-duplicate
-    removal finds its group as before. The other pages of the group lose it.
+    Rows of a host with equal texts are one page, for a line as for the host. Of the other pages,
+    those with lines over the ratio that are at least the share ``copied`` of their characters are
+    taken for near copies: the ones that share their longest such line count as one page. So a
+    line that only copies share stays, and near-duplicate removal finds them as they were, while
+    a site's header goes from all pages that say something else besides. (Pages that hold hardly
+    more than the header keep it, unless other pages of the site are many enough.)
 
     Row counts find the few lines that can be over the ratio, and only these are counted by page.
-    Nulls, repeats and empty input as in drop_site_lines.
+    Null hosts and texts, repeats, long texts and empty input as in drop_site_lines.
     """
     scratch = Scratch(docs.sparkSession, "site_lines")
     host, page = F.col(host_col), F.xxhash64(F.col(text_col))
-    split = F.split(F.col(text_col), "\n", -1)
     known = docs.where(host.isNotNull())
     pages = scratch.save(known.groupBy(host.alias("h")).agg(F.countDistinct(page).alias("pages")), "pages")
-    slim = known.where(F.col(text_col).isNotNull()).select(
-        host.alias("h"), page.alias("page"), F.array_distinct(F.transform(F.filter(split, lambda x: bare(x) != ""), key)).alias("ks"), F.col(text_col).alias("t")
-    )
-
-    def over(counted: DataFrame, name: str) -> DataFrame:
-        counted = counted.where(F.col("on") >= least_pages).join(pages, "h").where(F.col("on") > F.col("pages") * F.lit(ratio))
-        return counted.groupBy("h").agg(F.collect_set("k").alias(name))
-
-    def held(lists: DataFrame, name: str) -> DataFrame:
-        """Pages with those of their lines that their host's list has."""
-        rows = slim.join(lists, "h").withColumn("ks", F.filter("ks", lambda k: F.array_contains(F.col(name), k)))
-        return rows.where(F.size("ks") > 0)
-
-    maybe = scratch.save(over(slim.select("h", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.count("*").alias("on")), "l"), "maybe")
-    counted = held(maybe, "l").select("h", "page", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("page").alias("on"))
-    by_page = scratch.save(over(counted, "by_page"), "by_page")
-    affected = held(by_page, "by_page").withColumn("left", without(F.col("t"), F.col("by_page")))
-    affected = affected.select(F.xxhash64("h", "page").alias("id"), "h", "page", "t", "ks", (~F.rlike("left", F.lit(r"[^\x20\x09-\x0D]"))).alias("bare"))
-    affected = scratch.save(affected.dropDuplicates(["h", "page"]), "affected")
-
-    with spent():
-        groups = near_duplicates(affected, percent, "id", "t").select("id", F.col("component_id").alias("group"), "kept").distinct()
-        rows = scratch.save(affected.drop("t").join(groups, "id"), "grouped")
-    scratch.drop(maybe, affected)
-    counted = rows.select("h", "group", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("group").alias("on"))
-    lists = by_page.join(over(counted, "by_group"), "h", "left").withColumn("by_group", F.coalesce("by_group", F.array().cast(by_page.schema["by_page"].dataType)))
-    lists = scratch.save(lists, "lists")
-    first = rows.where("kept").select("page").distinct().withColumn("first", F.lit(True))
-    shared = rows.join(lists, "h").where(F.exists("ks", lambda k: ~F.array_contains("by_group", k)))
-    whole = shared.join(first, "page", "left").where(F.col("first") | F.col("bare")).select("h", "page").distinct()
-    whole = scratch.save(whole, "whole")
-
-    names = fresh(docs, "site_host", "by_page", "by_group", "whole_host", "whole_page")
-    h, one, two, wh, wp = map(F.col, names)
-    joined = with_lists(docs, lists.toDF(*names[:3]), host_col, text_col)
-    joined = joined.join(broadcast_if_few(whole).toDF(*names[3:]), (host == wh) & (page == wp), "left")
-    text = F.when(one.isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.when(wp.isNull(), one).otherwise(two)))
+    lines = F.array_distinct(F.transform(F.filter(F.split(F.col("t"), "\n", -1), lambda x: bare(x) != ""), lambda x: F.struct(key(x).alias("k"), F.length(bare(x)).alias("n"))))
+    slim = known.where(F.col(text_col).isNotNull()).select(host.alias("h"), page.alias("page"), F.col(text_col).alias("t"))
+
+    def over(counted: DataFrame, units: DataFrame) -> DataFrame:
+        counted = counted.where(F.col("on") >= least_pages).join(units, "h").where(F.col("on") > F.col("pages") * F.lit(ratio))
+        return counted.groupBy("h").agg(F.collect_set("k").alias("ks"))
+
+    by_row = slim.select("h", F.explode(lines).alias("x")).groupBy("h", F.col("x.k").alias("k")).agg(F.count("*").alias("on"))
+    maybe = scratch.save(over(by_row, pages), "maybe").withColumnRenamed("h", "host")
+    held = with_lists(slim, maybe, "h", "t").where("ks is not null").select("h", "page", "ks", lines.alias("x"))
+    held = held.select("h", "page", "x", F.filter("x", lambda x: F.array_contains("ks", x["k"])).alias("ks")).where(F.size("ks") > 0)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    longest = F.array_max(F.transform("ks", lambda x: F.struct(x["n"], x["k"])))
+    heavy = total("ks") >= F.lit(copied) * total("x")
+    unit = F.when(heavy, F.xxhash64(F.lit("copies"), longest)).otherwise(F.col("page"))
+    held = scratch.save(held.select("h", "page", heavy.alias("heavy"), unit.alias("unit"), F.transform("ks", lambda x: x["k"]).alias("ks")), "held")
+    copies = held.where("heavy").groupBy("h").agg((F.countDistinct("page") - F.countDistinct("unit")).alias("less"))
+    units = pages.join(copies, "h", "left").select("h", (F.col("pages") - F.coalesce("less", F.lit(0))).alias("pages"))
+    by_unit = held.select("h", "unit", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("unit").alias("on"))
+    lists = scratch.save(over(by_unit, units), "lists")
+
+    names = fresh(docs, "site_host", "site_lines")
+    joined = with_lists(docs, lists.toDF(*names), host_col, text_col)
+    gone = F.col(names[1])
+    text = F.when(gone.isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), gone))
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
