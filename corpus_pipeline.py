@@ -21,7 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many texts of their source hold, copies counting once; n_chars follows the text."""
-    text = lines.drop_site_lines_of_pages(docs, percent=80)
+    text = lines.drop_site_lines_of_pages(docs)
     length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))
     return text.withColumn("n_chars", length).select(*docs.columns)
 
