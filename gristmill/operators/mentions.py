@@ -136,3 +136,10 @@ def merge_mentions(reader: Column, heuristic: Column, top_heuristic: int = 2, mo
     """A reader's mentions, then the first heuristic ones; without any of the reader's all heuristic ones."""
     both = F.concat(reader, F.slice(heuristic, 1, top_heuristic))
     return first_of_each(F.when(F.size(reader) > 0, both).otherwise(heuristic), most)
+
+
+def with_fallback(reader: DataFrame | None, error: str | None = None, required: bool = False) -> tuple[DataFrame | None, str | None]:
+    """A model's spans, or none and the reason where the model could not be had; an error if it is required."""
+    if reader is None and required:
+        raise RuntimeError(error or "the model is required")
+    return reader, None if reader is not None else (error or "no model")

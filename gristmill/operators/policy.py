@@ -1,6 +1,6 @@
 """Matching of queries against policy tables, and the gate that acts before retrieval.
 
-Policy tables are small by nature (tens of rows) and known in size, so they are broadcast.
+Policy tables are small by nature (tens of rows): a count shows that they fit before they are broadcast.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import constants as C
 from gristmill.functions import text as T
+from gristmill.sources.store import few
+
+MOST_POLICIES = 10_000
 
 
 def policy_text(query: Column, scenario: Column | None = None) -> Column:
@@ -26,7 +29,7 @@ def consequence_matches(queries: DataFrame, policies: DataFrame, top: int = 3) -
     A policy matches by any pattern or by enough phrases; worse severity comes first, then score,
     then cost, then the policies' own order (policy_order).
     """
-    rows = queries.select("query_id", policy_text(F.col("query")).alias("_t")).crossJoin(F.broadcast(policies))
+    rows = queries.select("query_id", policy_text(F.col("query")).alias("_t")).crossJoin(few(policies, MOST_POLICIES))
     rows = rows.withColumn("matched_phrases", matched_phrases(F.col("_t"), F.col("match.phrases")))
     rows = rows.withColumn("matched_patterns", F.filter("match.patterns", lambda p: F.rlike(F.col("_t"), F.concat(F.lit("(?i)"), p))))
     enough = F.size("matched_phrases") >= F.coalesce("match.min_phrase_matches", F.lit(1))
@@ -80,7 +83,7 @@ def hit_names(text: Column, aliases: Column) -> Column:
 def hazard_events(queries: DataFrame, policies: DataFrame) -> DataFrame:
     """Per query the best matching event policy, its actions and targets, the intent, and what the policy decides."""
     t = F.col("_t")
-    rows = queries.select("query_id", policy_text(F.col("query")).alias("_t")).crossJoin(F.broadcast(policies))
+    rows = queries.select("query_id", policy_text(F.col("query")).alias("_t")).crossJoin(few(policies, MOST_POLICIES))
     rows = rows.withColumns(
         {"_domains": F.size(matched_phrases(t, F.col("domain_aliases"))), "actions": hit_names(t, F.col("action_aliases")), "targets": hit_names(t, F.col("harm_target_aliases"))}
     )

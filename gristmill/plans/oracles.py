@@ -8,6 +8,7 @@ against plain Python instead.
 from __future__ import annotations
 
 from gristmill.functions import constants as C
+from gristmill.plans import tables
 
 SQL: dict[str, str] = {}
 
@@ -395,3 +396,256 @@ SQL["stream_late_documents"] = f"""
 with {bm25(f"select doc_id, text from documents where not {OUTSIDE}")}, {EXTRA.format(t=tokens("text"), x=f"select doc_id, text from documents where {OUTSIDE}")} select query_id, doc_id, score from xa"""
 SQL["stream_event_counts"] = """
 select epoch(time_bucket(interval 1 hour, ts))::bigint as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"""
+
+# --- text rules ---------------------------------------------------------------------------------------
+
+EDGE = r"""'^[ \t\n\r,;:()\[\]{}"'']+|[ \t\n\r,;:()\[\]{}"'']+$'"""
+SENTENCES = r"""
+sn as (select doc_id, unnest(l) as s, generate_subscripts(l, 1) - 1 as position
+       from (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'),
+               lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as l from documents))"""
+
+
+def label(x: str) -> str:
+    """clean_label of a text column, as a scalar subquery-free expression over its parts."""
+    spaced = rf"regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '([a-z0-9])\.([A-Z])', '\1. \2', 'g'), '\s+', ' ', 'g'), {EDGE}, '', 'g')"
+    parts = f"list_filter(string_split({spaced}, ' '), lambda w: w <> '')"
+    stops = f"list_position(list_transform({parts}, lambda w: list_contains({listed(C.CUE_STOP_TOKENS)}, {norm('w')})), true)"
+    kept = f"list_slice({parts}, 1, least(coalesce({stops} - 1, len({parts})), 8))"
+    return f"array_to_string(list_filter(list_transform({kept}, lambda w: regexp_replace(w, {EDGE}, '', 'g')), lambda w: w <> ''), ' ')"
+
+
+def low_value(w: str, known: str) -> str:
+    """is_low_value of a list of normalized words against a list of the query's."""
+    return f"""case when len({w}) = 0 then true when len({w}) = 1 and list_contains({listed(sorted(C.LOW_VALUE_SINGLE_ENTITIES))}, {w}[1]) then true when {w}[-1] = 's' then true when len({w}) > 10 then true
+  when list_contains({listed(sorted(C.LOW_VALUE_CANDIDATE_PREFIXES))}, {w}[1]) then true when len({w}) >= 3 and len(list_intersect({w}, {known})) / len(list_distinct({w})) >= 0.5::double then true
+  when {echoes(w, known)} then true when len({w}) = 1 and list_contains({STOP}, {w}[1]) then true else false end"""
+
+
+def echoes(w: str, known: str) -> str:
+    return f"(len(list_filter({w}, lambda x: not list_contains({known}, x))) = 0 or len(list_filter({w}, lambda x: not list_contains({COMMON}, x))) = 0)"
+
+
+SQL["text_clean_label"] = f"with {SENTENCES} select doc_id, position, {label('s')} as label from sn"
+KNOWN = listed(["the", "thing", "and", "of", "la", "de", "answer"])
+SQL["text_candidate_rules"] = f"""
+with {SENTENCES}, lb as (select doc_id, position, s, {label('s')} as l from sn), lw as (select doc_id, position, {words("l")} as w, {words("s")} as sw from lb)
+select doc_id, position, {low_value("w", KNOWN)} as low_value, len(sw) > 5 and len(list_intersect(sw, {listed(sorted(C.SENTENCE_VERBS))})) > 0 as sentence_like, {echoes("sw", KNOWN)} as echo from lw"""
+ARTICLE = r"'(^|[^\p{L}\p{M}\p{N}_])(a|an|the)($|[^\p{L}\p{M}\p{N}_])', '\1 \3', 'g'"
+BARE = r"""regexp_replace(lower(coalesce(text, '')), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g')"""
+SQL["text_normalize_qa"] = rf"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace({BARE}, {ARTICLE}), {ARTICLE}), '\s+', ' ', 'g')) as answer from documents"
+
+# --- mentions -----------------------------------------------------------------------------------------
+
+SQL["mentions_semantic"] = f"""
+with {STAGED}, c as (select query_id, doc_id, pos - 1 as position, answer_key as label, (doc_id * 7 + (pos - 1) * 3) % 10 / 10 as score from ex)
+select * from (select *, row_number() over (partition by query_id, doc_id order by score desc, position) as rank from c where score >= 0.2::double) where rank <= 2"""
+TEXTS = f"{{k}}, wt as (select query_id, doc_id, b.text as query, d.text as text from bm join documents d using (doc_id) join benchmark b on b.item_id = query_id)"
+SQL["mentions_reader"] = rf"""
+with {TEXTS.format(k=bm25(k=3))},
+p as (select query_id, query, doc_id, unnest(l) as raw, generate_subscripts(l, 1) - 1 as start from (select *, list_filter(string_split_regex(text, '\s+'), lambda w: length(w) > 3) as l from wt)),
+q as (select query_id, query, doc_id, start, start + start % 3 - 1 as "end", ((doc_id + start * 5) % 11) / 2.0::double + (start * 3 % 7) / 4.0::double as score, {label("raw")} as label from p where start < 40),
+r as (select *, {norm("label")} as key, {words("label")} as w, list_distinct({words("query")}) as known from q where "end" >= start and "end" - start < 12 and score >= 1),
+s as (select * from r where not ({low_value("w", "known")}) and not (len(w) > 5 and len(list_intersect(w, {listed(sorted(C.SENTENCE_VERBS))})) > 0)),
+t as (select *, row_number() over (partition by query_id, doc_id, key order by score desc, start, "end") as n from s)
+select * from (select query_id, doc_id, start, "end", label, key, round(score, 6) as score, row_number() over (partition by query_id, doc_id order by score desc, start, "end") as rank from t where n = 1) where rank <= 4"""
+HELD = "({p} <> '' and contains(' ' || {t} || ' ', ' ' || {p} || ' '))"
+REFERENCE = f"""
+ra as (select query_id, doc_id, {norm("text")} as t, array_to_string(list_slice({words("query")}, 1, 2), ' ') as good, coalesce({words("query")}[-1], '') as bad from wt),
+rm as (select query_id, doc_id, list_filter([case when {HELD.format(p="good", t="t")} then {{'kind': 'correct', 'label': good}} end,
+         case when {HELD.format(p="bad", t="t")} then {{'kind': 'incorrect', 'label': bad}} end], lambda x: x is not null) as m from ra)"""
+SQL["mentions_reference"] = f"""
+with {TEXTS.format(k=bm25(k=5))}, {REFERENCE} select query_id, doc_id, array_to_string(list_transform(m, lambda x: x.kind || ':' || x.label), ';') as found from rm"""
+SQL["support_reference"] = f"""
+with {TEXTS.format(k=bm25(k=10))}, {REFERENCE}, x as (select query_id, doc_id, doc_id % 6 as cluster_id, unnest(m) as e from rm)
+select query_id, e.kind as kind, count(distinct doc_id) as doc_count, count(distinct cluster_id) as cluster_count, string_agg(distinct e.label, ';' order by e.label) as labels from x group by query_id, e.kind"""
+SQL["margin_alternatives"] = SQL["margin_contexts"].rsplit("select query_id, top_answer", 1)[0] + """
+, near as (select m.*, d.threshold from ms m join d using (query_id) join ms t on t.query_id = m.query_id and t.place = 1 where m.place > 1 and t.ss - m.ss < d.threshold)
+select query_id, answer_key from (select *, row_number() over (partition by query_id order by ss desc, independent desc, channel_count desc, best_rank, answer_key desc) as n from near) where n <= 2"""
+
+# --- caps -----------------------------------------------------------------------------------------------
+
+CAPS = f"""
+{STAGED}, cp as (select query_id, doc_id, cluster_id, coalesce(keys[1], '') as a, row_number() over (partition by query_id order by score desc, rank) as place from st1),
+cw as (
+  select query_id, doc_id, place, 'accepted' as cap, [cluster_id] as cs, [a] as az from cp where place = 1
+  union all
+  select p.query_id, p.doc_id, p.place, v, case when v = 'accepted' then list_append(cs, p.cluster_id) else cs end, case when v = 'accepted' then list_append(az, p.a) else az end
+  from (select p.*, cs, az, case when len(cs) >= 5 then 'beyond' when list_contains(cs, p.cluster_id) then 'cluster' when p.a <> '' and list_contains(az, p.a) then 'answer' else 'accepted' end as v
+        from cw w join cp p on p.query_id = w.query_id and p.place = w.place + 1) p)"""
+SQL["caps_in_order"] = f"with recursive {CAPS} select query_id, doc_id, place, cap from cw"
+
+# --- policies -------------------------------------------------------------------------------------------
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(r) + ")" for r in rows)
+
+
+FOLD = "trim(regexp_replace(lower(replace(replace(query, 'ß', 'ss'), 'ẞ', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
+ASKED = f"""
+pq as (select item_id as query_id, text as query from benchmark union all select * from (values {values([(str(1_000_000 + i), quoted(q)) for i, q in enumerate(tables.QUESTIONS)])})),
+pt as (select query_id, {FOLD} as t from pq)"""
+CONSEQUENCES = values(
+    [
+        (
+            str(i), quoted(p["consequence_id"]), quoted(p["domain"]), quoted(p["decision_type"]), quoted(p["severity"]), str(C.SEVERITY[p["severity"]]), f"{p['cost_weight']}::double",
+            listed(p["match"]["phrases"]), "[" + ", ".join(map(quoted, p["match"]["patterns"])) + "]::varchar[]", str(p["match"]["min_phrase_matches"]),
+            f"{p['required_policy']['min_support_margin']}::double", str(p["required_policy"]["require_authoritative_source"]).lower(),
+        )
+        for i, p in enumerate(tables.CONSEQUENCES)
+    ]
+)
+IN_TEXT = "list_filter({phrases}, lambda p: contains(' ' || t || ' ', ' ' || p || ' '))"
+MATCHES = f"""
+{ASKED}, pc(o, consequence_id, domain, kind, severity, level, cost, phrases, patterns, least, margin, authority) as (values {CONSEQUENCES}),
+pm as (select *, len({IN_TEXT.format(phrases="phrases")}) as np, len(list_filter(patterns, lambda p: regexp_matches(t, p, 'i'))) as nx from pt, pc),
+mt as (select * from (select *, 5.0::double * nx + np as score, row_number() over (partition by query_id order by level desc, 5 * nx + np desc, cost desc, o) as place from pm where nx > 0 or np >= least) where place <= 3)"""
+ROUTES = f"""
+{MATCHES}, ids as (select query_id, string_agg(consequence_id, ',' order by place) as matched_ids from mt group by all),
+rt as (select pt.query_id, t, coalesce(severity, 'low') as risk_tier, coalesce(cost, 1) as risk_weight, coalesce(domain, 'no_consequence_match') as risk_category,
+         coalesce(margin, {C.DEFAULT_MARGIN}::double) as policy_margin, coalesce(authority, false) as require_authority, coalesce(matched_ids, '') as matched_ids
+       from pt left join (select * exclude (t) from mt where place = 1) using (query_id) left join ids using (query_id))"""
+SQL["policy_matches"] = f"with {MATCHES} select query_id, consequence_id, severity, score, place from mt"
+SQL["policy_routes"] = f"with {ROUTES} select * exclude (t) from rt"
+
+
+def any_of(patterns: list[str]) -> str:
+    return "(" + " or ".join(f"regexp_matches(t, {quoted(p)})" for p in patterns) + ")"
+
+
+def aliased(names: dict) -> str:
+    """The sorted names of which the text holds a phrase."""
+    return "list_sort(list_filter([" + ", ".join(f"case when len({IN_TEXT.format(phrases=listed(v))}) > 0 then {quoted(k)} end" for k, v in names.items()) + "]::varchar[], lambda x: x is not null))"
+
+
+HAZARDS = " union all ".join(
+    f"select query_id, {quoted(h['policy_id'])} as policy_id, {quoted(h['domain'])} as domain, len({IN_TEXT.format(phrases=listed(h['domain_aliases']))}) as nd, {aliased(h['action_aliases'])} as actions,"
+    f" {aliased(h['harm_target_aliases'])} as targets, " + "map {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in h["decision_by_intent"].items()) + "} as decisions from pt"
+    for h in tables.HAZARDS
+)
+INTENT = "case when policy_id is null then 'unknown' " + " ".join(f"when {any_of(p)} then '{k}'" for k, p in C.INTENT_PATTERNS.items()) + " else 'informational' end"
+AUTHORIZATION = "case when intent in ('safety_review', 'prevent_or_report') then 'defensive' " + " ".join(f"when {any_of(p)} then '{k}'" for k, p in C.AUTHORIZATION_PATTERNS.items()) + " else 'unknown' end"
+EVENTS = f"""
+hz as ({HAZARDS}),
+hr as (select *, row_number() over (partition by query_id order by 4 * len(actions) + 2 * nd + len(targets) desc, policy_id desc) as place from hz where nd > 0 or len(actions) > 0),
+hj as (select pt.query_id, t, domain, policy_id, actions, targets, decisions, policy_ids from pt left join (select * from hr where place = 1) using (query_id)
+       left join (select query_id, string_agg(policy_id, ',' order by place) as policy_ids from hr where place <= 3 group by all) using (query_id)),
+hi2 as (select *, {INTENT} as intent from hj),
+ev as (select query_id, t, coalesce(domain, 'none') as domain, policy_id, coalesce(array_to_string(actions, ','), '') as actions, coalesce(array_to_string(targets, ','), '') as targets,
+         coalesce(policy_ids, '') as policy_ids, intent, {AUTHORIZATION} as authorization,
+         case when policy_id is null then 0 when len(actions) > 0 and intent <> 'informational' then 0.95::double else 0.8::double end as confidence,
+         case when policy_id is not null then coalesce(decisions[intent], 'cautious_answer') end as decision from hi2)"""
+SQL["policy_events"] = f"with {ASKED}, {EVENTS} select * exclude (t) from ev"
+
+
+def gate_sql(mode: str) -> str:
+    protective = "intent in ('safety_review', 'prevent_or_report', 'decision_support')"
+    rules: list[tuple[str, str, str]] = []
+    extra, last = "", "no_harmful_request_signal"
+    if mode == "policy_grounded_verifier":
+        policies = values([(quoted(h["policy_id"]), quoted(h["domain"])) for h in tables.HAZARDS])
+        extra = f""", vp(policy_id, domain) as (values {policies}),
+vs as (select query_id, policy_id, (query_id * 7 + length(policy_id)) % 10 / 10 as p from pt, vp where domain <> 'medical'),
+vb as (select query_id, case when p >= 0.5::double then 'block' when p >= 0.3::double then 'cautious_answer' else 'allow' end as verifier_action
+       from (select *, row_number() over (partition by query_id order by p desc, policy_id) as n from vs) where n = 1)"""
+        rules = [
+            (protective, "'cautious_answer'", "structured_protective_or_review_intent"), ("verifier_action = 'block'", "'block'", "policy_grounded_harmful_facilitation"),
+            ("verifier_action = 'cautious_answer'", "'cautious_answer'", "policy_grounded_uncertain_risk"), ("harm or matched or tiered", "'cautious_answer'", "unverified_risk_cautious_fallback"),
+        ]
+        last = "no_verified_harmful_facilitation"
+    else:
+        if mode == "domain_only":
+            rules.append(("policy_id is not null", "case when domain = 'medical' then 'cautious_answer' else 'block' end", "structured_hazard_domain_only"))
+        if mode.startswith("structured_intent"):
+            rules.append((f"policy_id is not null and ({protective} or intent = 'facilitate_harm')", "decision", "structured_hazard_intent_policy"))
+        rules += [
+            (f"{any_of(C.REVIEW_PATTERNS)} and (matched or tiered)", "'cautious_answer'", "explicit_safety_review_intent"), ("sensitive", "'cautious_answer'", "kb_sensitive_legitimate_query"),
+            ("harm", "'block'", "kb_explicit_harmful_action"), ("matched", "'cautious_answer'", "kb_consequence_without_action_intent"),
+        ]
+        if mode == "structured_intent_with_fallback":
+            rules.append(("tiered", "'block'", "trained_harmful_request_router"))
+    action = "case " + " ".join(f"when {c} then {a}" for c, a, _ in rules) + " else 'allow' end"
+    source = "case " + " ".join(f"when {c} then '{s}'" for c, _, s in rules) + f" else '{last}' end"
+    join = "left join vb using (query_id)" if extra else ""
+    return f"""
+with {ROUTES}, {EVENTS},
+kd as (select query_id, max(kind in ({", ".join(map(quoted, sorted(C.HARMFUL_DECISIONS)))}) and nx > 0) as harm, max(kind in ({", ".join(map(quoted, sorted(C.SENSITIVE_DECISIONS)))})) as sensitive from mt group by all){extra},
+gt as (select ev.*, rt.risk_tier, risk_category, matched_ids, kd.query_id is not null as matched, coalesce(harm, false) as harm, coalesce(sensitive, false) as sensitive, query_id % 9 = 0 as tiered{", verifier_action" if extra else ""}
+       from ev join rt using (query_id) left join kd using (query_id) {join})
+select query_id, {action} as action, {source} as action_source, case when risk_tier = 'low' and tiered then 'medium' else risk_tier end as risk_tier, risk_category, domain, intent, matched_ids,
+  action = 'block' as blocked, case when action = 'block' then {quoted(C.BLOCK_RESPONSE)} end as response from gt"""
+
+
+for name, mode in {
+    "gate_structured": "structured_intent_with_fallback", "gate_structured_only": "structured_intent", "gate_keywords": "keyword_only", "gate_domains": "domain_only", "gate_verified": "policy_grounded_verifier",
+}.items():
+    SQL[name] = gate_sql(mode)
+
+# --- more of retrieval and evaluation ---------------------------------------------------------------------
+
+SQL["retriever_rrf"], SQL["retriever_hybrid"], SQL["retriever_ensemble"] = SQL["hybrid_rrf"], SQL["hybrid_min_max"], SQL["ensemble_robust"]
+SQL["dense_with_arrivals"] = f"""
+with {dense("dn", "cosine", 1_000_000)}, b as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from dn where doc_id % 5 <> 0) where r <= 20),
+x as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from dn where doc_id % 5 = 0) where r <= 20)
+select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id % 5 = 0, doc_id) as rank from (select * from b union all select * from x)) where rank <= 20"""
+SQL["truth_contexts"] = f"""
+with {bm25(k=5)} select query_id, count(*) as n, string_agg(text, chr(10) order by rank) as contexts from bm join documents using (doc_id) where rank % 2 = 1 and lang <> 'fr' group by all"""
+SQL["source_vector_key"] = """
+with o as (select doc_id, row_number() over (order by doc_id) as i, count(*) over () as n from documents)
+select any_value(n) as n, sha1(string_agg(doc_id::varchar, '|' order by doc_id) || '|' || any_value(n)) as key from o where i <= 100 or i > n - 100"""
+SQL["eval_support"] = f"""
+with {BOTH}, {fused([('dn', 1), ('bm', 1)], 'rrf')}, h as (select fr.*, p.doc_id is not null as hit from fr left join (select distinct * from ({POISON})) p using (query_id, doc_id) where rank <= 20)
+select round(avg(support_count), 6) as mean_support, round(avg((support_count = 1)::int), 6) as singleton_rate, round(avg((support_count = 1)::int) filter (hit), 6) as poison_singleton_rate from h"""
+SQL["eval_agreement"] = f"""
+with {bm25()}, s as (select *, row_number() over (partition by query_id order by doc_id) as place from bm),
+a as (select query_id, k, round(count(*) filter (rank <= k and place <= k) / any_value(k), 4) as v from s, unnest([1::bigint, 5, 10]) as t(k) group by query_id, k)
+select query_id, string_agg(case when v = floor(v) then v::int || '.0' else v::varchar end, ',' order by k) as agreement from a group by all"""
+SQL["eval_bootstrap"] = f"""
+with {HITS}, o as (select query_id * 100 + rank as ord, hit::int::double as v from hi),
+u as (select v, b, ('0x' || substr(md5(ord || ':' || b || ':12'), 1, 13))::bigint / 4503599627370496::double as u from o, unnest(range(1, 201)) as t(b)),
+w as (select v, b, {" + ".join(f"(u >= {sum(0.36787944117144233 / __import__('math').factorial(i) for i in range(n + 1))!r}::double)::int" for n in range(8))} as w from u),
+m as (select b, sum(v * w) / sum(w) as m from w group by all)
+select (select round(avg(v), 6) from o) as mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m"""
+SQL["eval_keep_answer"] = f"""
+with c as (select conv_id, turn, case when turn % 2 = 0 then array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') else 'qqq' end as a, string_split(text, ' ')[1] as b from conversations)
+select * from (select conv_id, turn, case when contains({clean("a")}, {clean("b")}) or contains({clean("b")}, {clean("a")}) then case when length(a) <= length(b) then a else b end end as kept from c) where kept is not null"""
+RUNS = f"""
+{HITS}, rn(run_id, top_k, per_iteration) as (values ('all', 10, 10), ('even', 5, 7)),
+rr as (select run_id, top_k, query_id, rank, 1 + doc_id % 3 as sc, hit from hi, rn where run_id = 'all' or query_id % 2 = 0),
+h0 as (select run_id, query_id, count(*) filter (hit) as h, any_value(top_k) as k from rr where rank <= top_k group by run_id, query_id),
+h1 as (select run_id, count(*) as num_queries, round(avg(h / k), 6) as retrieval_precision_mean, round(avg(h / 5), 6) as retrieval_recall_mean,
+         round(avg(case when h > 0 then 2 * (h / k) * (h / 5) / (h / k + h / 5) else 0 end), 6) as retrieval_f1_mean from h0 group by all),
+h2 as (select run_id, round(avg(sc), 6) as support_count_mean, round(avg((sc = 1)::int), 6) as support_count_singleton_rate, round(avg(sc) filter (hit), 6) as adv_support_count_mean,
+         round(avg((sc = 1)::int) filter (hit), 6) as adv_support_count_singleton_rate from rr group by all),
+h3 as (select run_id, round(avg(c1), 6) as contamination_at_1_mean, round(avg(c3), 6) as contamination_at_3_mean, round(avg(c5), 6) as contamination_at_5_mean, round(avg(ck), 6) as contamination_at_top_k_mean
+       from (select run_id, query_id, avg(hit::int) filter (rank <= 1) as c1, avg(hit::int) filter (rank <= 3) as c3, avg(hit::int) filter (rank <= 5) as c5, avg(hit::int) filter (rank <= top_k) as ck from rr group by all) group by all),
+{RESPONSES}, an as (select run_id, per_iteration, ord, response, wrong from rs, rn where ord <= 60KEPT),
+ao as (select *, row_number() over (partition by run_id order by ord) as o from an),
+ai as (select run_id, (PLACE - 1) // per_iteration as i, round(count(*) filter (response is not null and contains({clean("response")}, {clean("wrong")})) / SIZE, 6) as asr from ao group by all),
+h4 as (select run_id, to_json(list(asr order by i))::varchar as asr_by_iter, round(avg(asr), 6) as asr_mean from ai group by all),
+fm as (select run_id, query_id, max(hit) as cd, max(sc) as sac, max(rank) as mr from rr group by all),
+h5 as (select run_id, true as answer_level_enabled, count(*) as answer_level_count, round(avg(cd::int), 6) as answer_level_conflict_detected_rate, round(avg(sac), 6) as answer_level_selected_answer_count_mean from fm group by all)"""
+ONLINE = RUNS.replace("KEPT", "").replace("PLACE", "ord").replace("SIZE", "any_value(per_iteration)")
+STORED = RUNS.replace("KEPT", " and response is not null").replace("PLACE", "o").replace("SIZE", "count(*)")
+
+
+def histogram(name: str, value: str) -> str:
+    return f"(select '{{' || string_agg('\"' || k || '\":' || n, ',' order by k) || '}}' from (select {value} as k, count(*) as n from fm where fm.run_id = h1.run_id group by all)) as {name}"
+
+
+GIVEN = """'given' as dataset, case run_id when 'all' then 'bm25' else 'hybrid' end as retriever, case run_id when 'even' then 0.4::double end as alpha, rn.top_k, 5 as adv_per_query, rn.per_iteration,
+  case run_id when 'all' then 4 else 3 end as repeat_times"""
+FAMILY = "h5.* exclude (run_id), " + histogram("answer_level_conflict_type_counts", "case when mr > 9 then 'weak_conflict' else 'none' end")
+FACTS = "rn join h1 using (run_id) join h2 using (run_id) join h3 using (run_id) join h4 using (run_id) join h5 using (run_id)"
+PARTS = "h1.* exclude (run_id), h2.* exclude (run_id), h3.* exclude (run_id), h4.* exclude (run_id)"
+ACTION = "case query_id % 4 when 0 then 'block' when 1 then 'allow' else 'unknown' end"
+SQL["summary_of_runs"] = f"""
+with {ONLINE}, g as (select run_id, true as query_safety_gate_enabled, count(*) as query_safety_gate_count, round(avg((query_id % 4 = 0)::int), 6) as query_safety_gate_skipped_rate from fm group by all)
+select run_id, {GIVEN}, {PARTS}, {FAMILY}, g.* exclude (run_id), {histogram("query_safety_gate_action_counts", ACTION)} from {FACTS} join g using (run_id)"""
+SQL["summary_offline"] = f"with {STORED} select run_id, {GIVEN}, {PARTS}, {FAMILY} from {FACTS}"
+SQL["source_subset"] = SQL["source_subset"].replace("select * from o where", "select doc_id, case when ord <= 100 then ord end as ord from o where")

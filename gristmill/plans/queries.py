@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions import text as X
-from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, retrieve, score, select, support
-from gristmill.plans import harden, tables
+from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, retrieve, score, select, summary, support
+from gristmill.plans import harden, retrievers, tables
 from gristmill.sources import readers, store
 from gristmill.streaming import late
 
@@ -269,6 +269,50 @@ def dense_native(spark, sf):
     return retrieve.top_k(retrieve.dense_scores(*vectors(spark, sf), "cosine"), DEPTH)
 
 
+@query
+def dense_with_arrivals(spark, sf):
+    """Vectors outside the index are ranked among its own."""
+    rows, asks = vectors(spark, sf)
+    late_ones = F.expr("pmod(doc_id, 5) = 0")
+    given = retrievers.Inputs(docs(spark, sf), asked(spark, sf), vectors=rows.where(~late_ones), query_vectors=asks, extra_vectors=rows.where(late_ones))
+    return retrievers.build({"type": "dense", "dense": {"score": "cosine"}}, given, DEPTH)
+
+
+def inputs(spark, sf) -> retrievers.Inputs:
+    rows, asks = vectors(spark, sf)
+    return retrievers.Inputs(docs(spark, sf), asked(spark, sf), index(spark, sf), rows, asks)
+
+
+@query
+def retriever_rrf(spark, sf):
+    config = {"type": "rrf_hybrid", "dense": {"score": "cosine"}, "candidate_depth": DEPTH}
+    return retrievers.build(config, inputs(spark, sf), DEPTH).select("query_id", "doc_id", "score", "rank", "support_count")
+
+
+@query
+def retriever_hybrid(spark, sf):
+    return retrievers.build({"type": "paper_hybrid", "dense": {"score": "cosine"}, "alpha": 0.4, "candidate_depth": DEPTH}, inputs(spark, sf), DEPTH)
+
+
+@query
+def retriever_ensemble(spark, sf):
+    channels = [{"type": "dense", "dense": {"score": "cosine"}}, {"type": "bm25", "weight": 1.5}, {"type": "dense", "dense": {"score": "dot"}}]
+    config = {"type": "robust_ensemble", "fusion": "robust_rank", "channels": channels, "candidate_depth": DEPTH, "support_bonus": 0.002, "single_penalty": 0.003, "missing_penalty": 0.001}
+    return retrievers.build(config, inputs(spark, sf), DEPTH).select("query_id", "doc_id", "rrf_score", "score", "rank", "support_count")
+
+
+@query
+def truth_contexts(spark, sf):
+    qrels = bm25(spark, sf, 5).where("rank % 2 = 1").select("query_id", F.col("doc_id"), F.col("rank").alias("ord"))
+    rows = retrievers.truth_contexts(qrels, docs(spark, sf).where("lang <> 'fr'"))
+    return rows.select("query_id", F.size("contexts").alias("n"), F.array_join("contexts", "\n").alias("contexts"))
+
+
+@query
+def sampled_queries(spark, sf):
+    return retrievers.sampled_queries(asked(spark, sf), 10)
+
+
 @query
 def run_compressed(spark, sf):
     scores = retrieve.bm25_scores(index(spark, sf), asked(spark, sf))
@@ -387,6 +431,50 @@ def mentions_reference(spark, sf):
     return rows.select("query_id", "doc_id", F.array_join(F.transform("m", lambda m: m["key"]), ";").alias("found"))
 
 
+@query
+def mentions_semantic(spark, sf):
+    """Mentions ranked by a model's score, here a number made of their place."""
+    rows = staged(spark, sf).select("query_id", "doc_id", F.posexplode("mentions").alias("position", "m"))
+    rows = rows.select("query_id", "doc_id", "position", F.col("m.label").alias("label"), (F.expr("pmod(doc_id * 7 + position * 3, 10)") / 10).alias("score"))
+    return mentions.semantic_rank(rows, 2, 0.2)
+
+
+@query
+def mentions_reader(spark, sf):
+    """A reader's spans, here the words of a document's start, with logits made of their place."""
+    rows = with_texts(spark, sf, 3).select("query_id", "query", "doc_id", F.posexplode(F.filter(F.split(F.col("text"), r"\s+"), lambda w: F.length(w) > 3)).alias("start", "label"))
+    rows = rows.where("start < 40").withColumns({"end": F.expr("start + start % 3 - 1"), "start_logit": F.expr("pmod(doc_id + start * 5, 11) / 2.0D"), "end_logit": F.expr("pmod(start * 3, 7) / 4.0D")})
+    found = mentions.reader_spans(rows, 4, 12, 8, 1.0)
+    return found.select("query_id", "doc_id", "start", "end", "label", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def mentions_merged(spark, sf):
+    """A reader's mentions for every third document, then heuristic ones; and what scoring takes of both."""
+    rows = staged(spark, sf)
+    reader = F.when(F.expr("pmod(doc_id, 3) = 0"), F.transform(F.slice("mentions", 2, 1), lambda m: mentions.mention(F.concat(F.lit("read "), m["label"]), "reader"))).otherwise(F.slice("mentions", 1, 0))
+    merged = mentions.merge_mentions(reader, F.col("mentions"), 1, 5)
+    scoring = mentions.scoring_mentions(merged, F.filter("mentions", lambda m: F.length(m["key"]) > 3), True)
+    return rows.select("query_id", "doc_id", as_text(merged).alias("merged"), as_text(scoring).alias("scoring"))
+
+
+@query
+def support_reference(spark, sf):
+    words = X.words_of(X.normalize(F.col("query")))
+    answers = F.array(
+        F.struct(F.lit("correct").alias("kind"), F.array_join(F.slice(words, 1, 2), " ").alias("answer")), F.struct(F.lit("incorrect").alias("kind"), F.element_at(words, -1).alias("answer"))
+    )
+    rows = with_texts(spark, sf, 10).withColumn("reference", mentions.reference_mentions(F.col("text"), answers))
+    found = support.reference_support(rows.withColumn("cluster_id", F.expr("cast(pmod(doc_id, 6) as int)")))
+    return found.withColumn("labels", F.array_join("labels", ";"))
+
+
+@query
+def margin_alternatives(spark, sf):
+    scores = support.margin_scores(support.robust_support(staged(spark, sf), True))
+    return score.alternatives(scores, score.margin_context(scores, asked(spark, sf)))
+
+
 @query
 def support_by_answer(spark, sf):
     return support.answer_support(staged(spark, sf))
@@ -619,6 +707,11 @@ def gate_structured(spark, sf):
     return gate(spark, sf, "structured_intent_with_fallback")
 
 
+@query
+def gate_structured_only(spark, sf):
+    return gate(spark, sf, "structured_intent")
+
+
 @query
 def gate_keywords(spark, sf):
     return gate(spark, sf, "keyword_only")
@@ -659,7 +752,8 @@ def eval_support(spark, sf):
 
 def responses(spark, sf):
     """Conversation turns as responses; each wrong answer is the first word of the turn or of the next."""
-    rows = readers.table(spark, sf, "conversations").withColumn("ord", F.row_number().over(Window.orderBy("conv_id", "turn", "text")))
+    rows = readers.table(spark, sf, "conversations")
+    rows = store.once([rows], "numbered", lambda: store.numbered(rows, *map(F.col, ("conv_id", "turn", "text"))))
     word = F.split(F.trim("text"), " ")
     wrong = F.when(F.col("ord") % 3 == 0, word[0]).otherwise(F.lit("zzzz"))
     return rows.select("ord", "role", F.when(F.col("ord") % 5 != 0, F.col("text")).alias("response"), wrong.alias("incorrect_answer"))
@@ -740,6 +834,44 @@ def eval_conflict_types(spark, sf):
     return evaluate.conflict_histogram(support.contradiction(staged(spark, sf), picked))
 
 
+def run_facts(spark, sf) -> dict:
+    """Two runs over the queries: all of them, and those of even id with deeper results."""
+    runs = spark.createDataFrame([("all", "given", "bm25", None, 10, 5, 10, 4), ("even", "given", "hybrid", 0.4, 5, 5, 7, 3)],
+                                 "run_id string, dataset string, retriever string, alpha double, top_k int, adv_per_query int, per_iteration int, repeat_times int")
+    both = F.explode(F.when(F.expr("pmod(query_id, 2) = 0"), F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all")))).alias("run_id")
+    rows = hits(spark, sf).select(both, "query_id", "rank", F.expr("1 + pmod(doc_id, 3)").alias("support_count"), "hit")
+    poison = rows.join(runs.select("run_id", "top_k"), "run_id").where("rank <= top_k").groupBy("run_id", "query_id").agg(F.count_if("hit").alias("hits"))
+    said = responses(spark, sf).where("ord <= 60").select(F.explode(F.array(F.lit("all"), F.lit("even"))).alias("run_id"), "ord", "response", "incorrect_answer")
+    gate = rows.select("run_id", "query_id").distinct().select("run_id", "query_id", F.expr("case pmod(query_id, 4) when 0 then 'block' when 1 then 'allow' end").alias("action"), F.expr("pmod(query_id, 4) = 0").alias("skipped"))
+    level = rows.groupBy("run_id", "query_id").agg((F.count_if("hit") > 0).alias("conflict_detected"), F.max("support_count").alias("selected_answer_count"),
+                                                   F.when(F.max("rank") > 9, "weak_conflict").otherwise("none").alias("conflict_type"))
+    return {"runs": runs, "hits": poison, "retrieved": rows, "responses": said, "families": {"query_safety_gate": gate, "answer_level": level}}
+
+
+@query
+def summary_of_runs(spark, sf):
+    return summary.run_summary(**run_facts(spark, sf)).withColumns({c: F.to_json(c) for c in ("asr_by_iter", "query_safety_gate_action_counts", "answer_level_conflict_type_counts")})
+
+
+@query
+def summary_offline(spark, sf):
+    return summary.run_summary(**run_facts(spark, sf), offline=True).withColumns({c: F.to_json(c) for c in ("asr_by_iter", "answer_level_conflict_type_counts")})
+
+
+@query
+def summary_flat(spark, sf):
+    rows = summary.run_summary(**run_facts(spark, sf))
+    done = summary.flat_rows(rows.where("run_id = 'all'"), "summary")
+    return summary.report(done, summary.flat_rows(rows, "result_recomputed"))
+
+
+@query
+def eval_agreement(spark, sf):
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    rows = bm25(spark, sf).groupBy("query_id").agg(order.alias("o"))
+    return rows.select("query_id", F.array_join(F.transform(evaluate.top_k_agreement(F.col("o"), [1, 5, 10]), lambda x: F.round(x, 4)), ",").alias("agreement"))
+
+
 @query
 def eval_keep_answer(spark, sf):
     words = F.split("text", " ")
@@ -759,7 +891,8 @@ def source_titled(spark, sf):
 
 @query
 def source_subset(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("ord"))
+    first = docs(spark, sf).select("doc_id").orderBy("doc_id").limit(100)
+    rows = docs(spark, sf).select("doc_id").join(F.broadcast(first.withColumn("ord", F.row_number().over(Window.orderBy("doc_id")))), "doc_id", "left")  # of a hundred rows
     qrels = bm25(spark, sf, 3).select("query_id", "doc_id", F.lit(1).alias("rel"))
     return readers.index_subset(rows, qrels, 100)
 
@@ -772,8 +905,7 @@ def source_poison(spark, sf):
 
 @query
 def source_vector_key(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("ord"))
-    return readers.embedding_cache_key(rows)
+    return readers.embedding_cache_key(docs(spark, sf).select("doc_id", F.col("doc_id").alias("ord")))
 
 
 @query

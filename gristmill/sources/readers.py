@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.sources.store import numbered
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 AUTHORITY = "array<struct<name: string, url: string, authority: string, jurisdiction: string, accessed_at: string>>"
 CONSEQUENCE = (
@@ -40,6 +43,12 @@ def beir_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("_id string, text string").json(path).select(F.col("_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def beir(spark: SparkSession, folder: str, name: str, split: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """corpus, queries and qrels of a data set's folder; of msmarco only the train split is judged."""
+    path, split = f"{folder}/{name}", "train" if name == "msmarco" else split
+    return beir_corpus(spark, f"{path}/corpus.jsonl"), beir_queries(spark, f"{path}/queries.jsonl"), beir_qrels(spark, f"{path}/qrels/{split}.tsv")
+
+
 def beir_qrels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id string, doc_id string, rel int").csv(path, sep="\t", header=True)
 
@@ -55,7 +64,7 @@ def index_subset(corpus: DataFrame, qrels: DataFrame, most: int) -> DataFrame:
     """The first ``most`` documents in corpus order (ord) and all relevant ones of qrels."""
     relevant = qrels.where(F.col("rel") > 0).select("doc_id").distinct().withColumn("_rel", F.lit(True))
     rows = corpus.join(relevant, "doc_id", "left")
-    return rows.where((F.col("ord") <= most) | F.coalesce("_rel", F.lit(False))).drop("_rel").dropDuplicates(["doc_id"])
+    return rows.where(F.coalesce(F.col("ord") <= most, F.lit(False)) | F.coalesce("_rel", F.lit(False))).drop("_rel").dropDuplicates(["doc_id"])
 
 
 def poison_documents(targets: DataFrame, per_query: int, mode: str = "question_prefix") -> DataFrame:
@@ -99,15 +108,18 @@ def stored_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def consequence_policies(spark: SparkSession, path: str) -> DataFrame:
-    return with_order(spark.read.schema(CONSEQUENCE).option("mode", "FAILFAST").json(path))
+    return json_lines(spark, path, CONSEQUENCE)
 
 
 def hazard_policies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HAZARD).option("mode", "FAILFAST").json(path)
+    return json_lines(spark, path, HAZARD).drop("policy_order")
 
 
-def with_order(policies: DataFrame) -> DataFrame:
-    return policies.withColumn("policy_order", F.monotonically_increasing_id())
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small file's JSON lines with their place in it (policy_order); blank lines are skipped, others must parse."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("policy_order", "line"))
+    parsed = F.from_json(F.col("line"), schema, {"mode": "FAILFAST"})
+    return lines.where(F.trim("line") != "").select(parsed.alias("p"), F.col("policy_order").cast("long").alias("policy_order")).select("p.*", "policy_order")
 
 
 def policy_rows(spark: SparkSession, rows: list[dict[str, Any]], schema: str) -> DataFrame:
@@ -122,9 +134,21 @@ def passages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, text string, title string").csv(path, sep="\t", header=True).select("id", "title", "text")
 
 
-def finetune_examples(spark: SparkSession, path: str) -> DataFrame:
+def finetune_examples(spark: SparkSession, paths: list[str], rank: int = -1, world: int = 1, most: int = 0) -> DataFrame:
+    """Examples of JSON arrays (.json) and JSON lines (.jsonl) in the paths' order, numbered from 1 (ord).
+
+    With a rank, only those whose number leaves it when divided by world; with most, only the first so many.
+    """
     ctx = "array<struct<title: string, text: string>>"
-    return spark.read.schema(f"question string, positive_ctxs {ctx}, negative_ctxs {ctx}, hard_negative_ctxs {ctx}").json(path)
+    schema = f"question string, positive_ctxs {ctx}, negative_ctxs {ctx}, hard_negative_ctxs {ctx}"
+    parts = []
+    for at, path in enumerate(paths):
+        rows = spark.read.schema(schema).json(path, multiLine=path.endswith(".json"))
+        parts.append(rows.withColumns({"_file": F.lit(at), "_place": F.monotonically_increasing_id()}))
+    rows = numbered(reduce(DataFrame.unionByName, parts), F.col("_file"), F.col("_place")).drop("_file", "_place")
+    if most > 0:
+        rows = rows.where(F.col("ord") <= most)
+    return rows.where(F.col("ord") % world == rank) if rank > -1 else rows
 
 
 def qa_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +157,7 @@ def qa_examples(spark: SparkSession, path: str) -> DataFrame:
 
 def embedding_cache_key(ids: DataFrame) -> DataFrame:
     """One row: sha1 of the first and last 100 ids in order (ord) and their number."""
-    ends = ids.withColumn("_back", F.row_number().over(Window.orderBy(F.desc("ord")))).where((F.col("ord") <= 100) | (F.col("_back") <= 100))
+    ends = ids.orderBy("ord").limit(100).unionByName(ids.orderBy(F.desc("ord")).limit(100)).distinct()
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("doc_id").cast("string").alias("d")))), lambda x: x["d"]), "|")
     return ends.agg(listed.alias("k")).crossJoin(ids.agg(F.count("*").alias("n"))).select("n", F.sha1(F.concat_ws("|", "k", "n")).alias("key"))
 

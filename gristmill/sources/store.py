@@ -12,7 +12,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -64,6 +65,16 @@ FEW_ROWS = 500_000
 
 def few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """The table, marked for broadcast where a count shows that it is small."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
+    """rows numbered from 1 in an order: ranges are sorted apart and their counts, one a range, added up."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranges, at, before = stored(ranges), 0, []
+    for x in ranges.groupBy("_range").count().orderBy("_range").collect():
+        before.append((x["_range"], at))
+        at += x["count"]
+    table = rows.sparkSession.createDataFrame(before, "_range int, _before long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranges.join(F.broadcast(table), "_range").withColumn(name, place).drop("_range", "_before")
