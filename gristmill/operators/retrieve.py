@@ -199,7 +199,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "d
     def dealt(df, key, other, mine, theirs):
         """df in blocks, each block once for every block of the other side."""
         block = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int").alias(f"{key}_block")
-        return df.select(key, "vector", block, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(f"{other}_block"))
+        return df.select(F.col(key).alias(key), F.col("vector").cast("array<double>").alias("v"), block, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(f"{other}_block"))
 
     parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
     left = dealt(asked, "query_id", "doc_id", *parts).groupBy("query_id_block", "doc_id_block")
@@ -208,7 +208,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "d
     def blocks(q, d):
         if not len(q) or not len(d):
             return pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": d["doc_id"][:0], "score": np.zeros(0)})
-        return nearest(q["query_id"].to_numpy(), matrix(q["vector"]), d["doc_id"].to_numpy(), matrix(d["vector"]))
+        return nearest(q["query_id"].to_numpy(), matrix(q["v"]), d["doc_id"].to_numpy(), matrix(d["v"]))
 
     return top_k(left.cogroup(right).applyInPandas(blocks, schema), k)
 

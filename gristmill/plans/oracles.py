@@ -648,4 +648,4 @@ SQL["summary_of_runs"] = f"""
 with {ONLINE}, g as (select run_id, true as query_safety_gate_enabled, count(*) as query_safety_gate_count, round(avg((query_id % 4 = 0)::int), 6) as query_safety_gate_skipped_rate from fm group by all)
 select run_id, {GIVEN}, {PARTS}, {FAMILY}, g.* exclude (run_id), {histogram("query_safety_gate_action_counts", ACTION)} from {FACTS} join g using (run_id)"""
 SQL["summary_offline"] = f"with {STORED} select run_id, {GIVEN}, {PARTS}, {FAMILY} from {FACTS}"
-SQL["source_subset"] = SQL["source_subset"].replace("select * from o where", "select doc_id, case when ord <= 100 then ord end as ord from o where")
+SQL["source_subset"] = SQL["source_subset"].replace("select * from o where", "select doc_id from o where")

@@ -894,7 +894,7 @@ def source_subset(spark, sf):
     first = docs(spark, sf).select("doc_id").orderBy("doc_id").limit(100)
     rows = docs(spark, sf).select("doc_id").join(F.broadcast(first.withColumn("ord", F.row_number().over(Window.orderBy("doc_id")))), "doc_id", "left")  # of a hundred rows
     qrels = bm25(spark, sf, 3).select("query_id", "doc_id", F.lit(1).alias("rel"))
-    return readers.index_subset(rows, qrels, 100)
+    return readers.index_subset(rows, qrels, 100).select("doc_id")
 
 
 @query

@@ -162,8 +162,11 @@ def test_against_sql(spark, name):
 
 
 def test_plans_prune_and_limit(spark):
-    plan = queries.bm25(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "source" not in re.findall(r"ReadSchema: (\S+)", plan)[0]
+    scores = retrieve.bm25_scores(queries.index(spark, SF), queries.asked(spark, SF))
+    plan = retrieve.top_k(scores, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    stored = queries.bm25(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(rank,20)" in stored and "text" not in re.findall(r"ReadSchema: (\S+)", stored)[0]
 
 
 def test_prompt_holds_whole_contexts(spark):
