@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,22 +9,12 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
+from gristmill.sources.store import folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not getattr(spark, "_gristmill_tmp", None):
-        spark._gristmill_tmp = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
-    return spark._gristmill_tmp
+U64 = np.uint64
 
 
 _HELD: list[list[Scratch]] = []
@@ -41,7 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         for held in _HELD:
             held.append(self)
@@ -89,19 +77,6 @@ def broadcast_if_few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def numbered(scratch: Scratch, rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with their ``place`` (from 0) in an order: ranges are sorted apart and their counts added up."""
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
-    ranges = scratch.save(ranges, "ranges")
-    at, before = 0, []
-    for x in ranges.groupBy("range").count().orderBy("range").collect():  # as many as shuffle partitions
-        before.append((x["range"], at))
-        at += x["count"]
-    before = scratch.spark.createDataFrame(before, "range int, before long")
-    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    return ranges.withColumn("place", rank).join(F.broadcast(before), "range").withColumn("place", F.col("place") + F.col("before")).drop("range", "before")
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted that df has no column of, whatever its extra columns are called."""
     have = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ TILE = 8192
 #: Inside a tile the next so many dimensions of the block are cut into strips as wide as the budget.
 STRIPS = 2
 #: So many sorted rows are tested at a time with all within the radius of any of them.
-RUN = 16
+RUN = 64
 #: Rotated unit vectors are rounded to whole multiples of 1/UNIT, so distances are exact in doubles
 #: and every task sees the same ones.
 UNIT = float(1 << 20)
@@ -150,7 +150,7 @@ def near_pairs(x: np.ndarray, y: np.ndarray, budget: float, depth: int = STRIPS,
                 yield mine[a], theirs[b]
 
     def parted(i, j, level, same):
-        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 256:
+        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 64 * RUN:
             yield from tested(i, j, same)
             return
         column, other = first + level, x if y is None else y

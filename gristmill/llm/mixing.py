@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, numbered, slices, text_bytes
+from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, slices, text_bytes
+from gristmill.sources.store import numbered
 
 #: A word is a run of characters other than space and the five control characters of white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,8 +44,8 @@ def targets(scratch: Scratch, sources: DataFrame, weights: tuple[float, ...], sh
     open ones, only rises. Every round is one sum over the sources, a row each; their order
     comes from ranges.
     """
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = numbered(scratch, sources, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("ord") - 1) % len(weights) + 1).cast("int"))
+    rows = numbered(sources, F.col("source").asc_nulls_last())
     rows = scratch.save(rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "weights")
     goal = float(rows.agg(F.sum("source_size")).first()[0] or 0) * share
     level = -1.0
