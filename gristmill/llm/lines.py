@@ -160,9 +160,10 @@ def host_of(url: Column) -> Column:
 
 
 def pages_without_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: the text of all pages without the lines of their hosts."""
+    """op3: the text of all pages without the lines of their hosts; texts are taken from the HTML once and written."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     pages = pages.select("page_id", host_of(F.col("url")).alias("host"), page_text(F.coalesce("html", F.lit(""))).alias("text"))
+    pages = Scratch(spark, "pages").save(pages, "texts")
     return drop_site_lines(pages, host_col="host", dropped_col="n_dropped")
 
 
