@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +137,30 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[where[0] : where[-1]] if n else data[:0], where - where[0]
 
 
+@lru_cache(maxsize=1)
+def _c_library():
+    return ctypes.CDLL(None)
+
+
+def trimmed(result=None):
+    """Gives memory that Python has freed back to the system, as workers stay between tasks; passes its argument on."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c_library(), "malloc_trim"):
+        _c_library().malloc_trim(0)
+    return result
+
+
+def frugal(run):
+    """A generator over batches that trims memory when a task ends."""
+
+    @wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        trimmed()
+
+    return inner
+
+
 def slices(column: pa.Array, most: int = 1 << 19, rows: int = 500) -> Iterator[pa.Array]:
     """The string column in runs of at most ``rows`` values and, but for longer single ones, ``most`` bytes."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)

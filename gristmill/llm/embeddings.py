@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, broadcast_if_few, components, stars
+from gristmill.llm.common import Scratch, broadcast_if_few, components, frugal, stars
 
 #: Blocks of about this many rotated dimensions; a block's grid lies over its first two.
 BLOCK = 8
@@ -114,7 +114,7 @@ def with_cells(classes: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], names=[*part.schema.names[:4], "homes", "looks", "shares"])
 
     return classes.select("label", "dim", "rep", "n", "vector").mapInArrow(
-        run, "label long, dim long, rep long, n long, homes array<long>, looks array<long>, shares array<binary>"
+        frugal(run), "label long, dim long, rep long, n long, homes array<long>, looks array<long>, shares array<binary>"
     )
 
 
@@ -364,12 +364,12 @@ def similar_vectors(
     looking = in_cells("looks").withColumn("m", F.explode(probing))
     rows = living.unionByName(looking).select("label", "dim", block.alias("block"), "cell", "m.meet", "rep", "n", F.col("m.side").alias("side"), "share")
     key = ", ".join(f"{k} long" for k in KEY)
-    busy = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(candidates(threshold), f"{key}, rep long, n long, side long")
+    busy = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(frugal(candidates(threshold)), f"{key}, rep long, n long, side long")
     busy = scratch.save(busy, "busy")
     scratch.drop(placed)
     # Whole vectors go only where their block has found company.
     rows = busy.join(classes.select("label", "dim", "rep", "vector"), ["label", "dim", "rep"]).select(*KEY, "rep", "n", "side", "vector")
-    found = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(compared(threshold), "rep long, links long, root long")
+    found = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(frugal(compared(threshold)), "rep long, links long, root long")
     found = scratch.save(found, "found")
     scratch.drop(busy)
     roots = components(scratch, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

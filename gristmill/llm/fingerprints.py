@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batch_slices, mixed, shingle_sets, slices
+from gristmill.llm.common import batch_slices, frugal, mixed, shingle_sets, slices
 
 #: Every shingle hash below this share of the hash space is kept, for texts of any size.
 FRACTION = 1 / 2
@@ -208,7 +208,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=names)
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return dealt.mapInArrow(run, f"{id_col} {key_type}, {SCHEMA}")
+    return dealt.mapInArrow(frugal(run), f"{id_col} {key_type}, {SCHEMA}")
 
 
 def documents_fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:

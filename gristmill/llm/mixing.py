@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, slices, text_bytes
+from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, slices, text_bytes, trimmed
 from gristmill.sources.store import numbered
 
 #: A word is a run of characters other than space and the five control characters of white space.
@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
             begins[first] = ~SPACE[data[first]]
             sums = np.concatenate([[0], np.cumsum(begins)])
             counts.append(sums[offsets[1:]] - sums[offsets[:-1]])
-        return pa.array(np.concatenate(counts) if counts else [], pa.int64())
+        return trimmed(pa.array(np.concatenate(counts) if counts else [], pa.int64()))
 
     return of(text)
 

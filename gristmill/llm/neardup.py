@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import Scratch, batch_slices, components, fresh, mixed, shingle_sets, spent
+from gristmill.llm.common import Scratch, batch_slices, components, fresh, frugal, mixed, shingle_sets, spent
 
 #: Signature length; the number of orders (trees), which start at even steps of it; and the least
 #: common prefix that makes two documents neighbours in an order.
@@ -66,7 +66,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(
-        run, "id long, n long, s1 long, s2 long, sketch binary, prefix array<long>"
+        frugal(run), "id long, n long, s1 long, s2 long, sketch binary, prefix array<long>"
     )
 
 
@@ -82,7 +82,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=["id", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(frugal(run), "id long, shingles array<long>")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -379,7 +379,7 @@ def near_duplicates(
     rows = rows.select(F.col("tree").cast("long").alias("tree"), "p", "id", "n", label.alias("label"))
     order = ["tree", "p", "label", "id"]
     forest = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        scanned(min(0.99, share + 0.03), share), "tree long, p long, id long, n long, label binary, mates array<struct<id: long, alike: double>>"
+        frugal(scanned(min(0.99, share + 0.03), share)), "tree long, p long, id long, n long, label binary, mates array<struct<id: long, alike: double>>"
     )
     forest = scratch.save(forest, "forest")
     needed = forest.select("id").distinct()
@@ -408,7 +408,7 @@ def near_duplicates(
         .select("k", "tree", "id", "n", "sketch", "root", "side")
         .repartition("k", "tree")
         .sortWithinPartitions("k", "tree", "id")
-        .mapInArrow(cross_pairs(possible, share, DENSE), "a long, b long, head long")
+        .mapInArrow(frugal(cross_pairs(possible, share, DENSE)), "a long, b long, head long")
     )
     rest = scratch.save(rest, "rest")
     scratch.drop(known)
@@ -424,7 +424,7 @@ def near_duplicates(
         group = group.join(now.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         tiles = met(scratch.save(group, "group"), ["tree", "p"], SET_TILE).select("k", "id", "root", "side").join(sets, "id")
         tiles = tiles.select("k", "id", "root", "side", "shingles").repartition("k").sortWithinPartitions("k", "id")
-        exact = tiles.mapInArrow(exact_links(percent, 100), "a long, b long")
+        exact = tiles.mapInArrow(frugal(exact_links(percent, 100)), "a long, b long")
         links = scratch.save(links.unionByName(exact), "links")
     scratch.drop(sets)
     # Ids that stand for two different sets (repeated ids) hold their classes together.

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import batch_slices
+from gristmill.llm.common import batch_slices, frugal
 
 END = 1
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
@@ -173,7 +173,7 @@ def pack(
         if ids:
             yield from close()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), schema)
 
 
 def documents_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

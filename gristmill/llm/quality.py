@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, broadcast_if_few, shingle_sets, slices, text_bytes
+from gristmill.llm.common import Scratch, broadcast_if_few, shingle_sets, slices, text_bytes, trimmed
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "pipes", "bangs", "digits", "distinct", "line_ends", "spaces")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -42,7 +42,7 @@ def features(text: Column) -> Column:
         found = [text_features(part) for part in slices(texts)]
         values = np.concatenate(found) if found else np.zeros((0, len(FEATURES)))
         offsets = np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+        return trimmed(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())))
 
     return of(text)
 

@@ -10,7 +10,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm.common import batch_slices
+from gristmill.llm.common import batch_slices, frugal
 from gristmill.llm.spans import SPAN, report
 
 BASE = ("assign", "access", "hex")
@@ -166,7 +166,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, type=SPANS)], names=[id_col, out_col])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {out_col} array<{SPAN}>")
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"{id_col} {kind}, {out_col} array<{SPAN}>")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64()), ("found", pa.string())]))
