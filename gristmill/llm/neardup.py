@@ -26,8 +26,8 @@ WINDOW = 20_000
 #: Where a region still holds several components it is compared in tiles of at most this many signatures.
 TILE = 1024
 #: A tile with more possible pairs a row than this is dense: its full sets are compared together,
-#: at most SET_TILE of them with as many others.
-DENSE, SET_TILE = 4, 1024
+#: at most SET_TILE of them with as many others, and fewer where sets are large (SET_SHINGLES in all).
+DENSE, SET_TILE, SET_SHINGLES = 4, 2048, 2_000_000
 _FACTORS = mixed(np.arange(1, LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -254,7 +254,7 @@ def cross_pairs(possible: float, ratio: float, dense: int):
     return run
 
 
-def exact_links(numerator: int, denominator: int, width: int = 8192):
+def exact_links(numerator: int, denominator: int, width: int = 4096):
     """A spanning forest of the links across components in each tile, from the rows' full sets.
 
     Intersections are a product of 0/1 matrices over the shingles that several rows have, a stretch
@@ -284,9 +284,12 @@ def exact_links(numerator: int, denominator: int, width: int = 8192):
                 ml[place_l[o[in_l]], c[in_l]] = 1
                 mr[place_r[o[in_r]], c[in_r]] = 1
                 shared += ml @ mr.T
-            shared = shared.astype(np.int64)
-            union = sizes[left][:, None] + sizes[right][None, :] - shared
-            i, j = np.nonzero((shared * denominator >= union * numerator) & (roots[left][:, None] != roots[right][None, :]))
+            pairs = []
+            for at in range(0, len(left), 256):
+                own, both = left[at : at + 256], shared[at : at + 256].astype(np.int64)
+                union = sizes[own][:, None] + sizes[right][None, :] - both
+                i, j = np.nonzero((both * denominator >= union * numerator) & (roots[own][:, None] != roots[right][None, :]))
+                pairs.append((own[i], right[j]))
             parent: dict[int, int] = {}
 
             def top(x):
@@ -296,7 +299,7 @@ def exact_links(numerator: int, denominator: int, width: int = 8192):
                 return x
 
             a, b = [], []
-            for x, y in zip(left[i].tolist(), right[j].tolist()):
+            for x, y in ((x, y) for i, j in pairs for x, y in zip(i.tolist(), j.tolist())):
                 u, v = top(int(roots[x])), top(int(roots[y]))
                 if u != v:
                     parent[u] = v
@@ -422,7 +425,11 @@ def near_duplicates(
         now = scratch.save(components(scratch, links), "roots")
         group = chained.select(F.col("node").alias("id"), F.col("root").alias("p")).withColumn("tree", F.lit(0).cast("long"))
         group = group.join(now.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        tiles = met(scratch.save(group, "group"), ["tree", "p"], SET_TILE).select("k", "id", "root", "side").join(sets, "id")
+        sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+        group = scratch.save(group.join(sizes, "id"), "group")
+        mean = group.groupBy("tree", "p").agg(F.avg("n").alias("mean"))
+        fits = F.least(F.lit(SET_TILE), F.greatest(F.lit(16), F.floor(F.lit(SET_SHINGLES) / F.col("mean"))))
+        tiles = met(group.join(mean, ["tree", "p"]).withColumn("size", fits), ["tree", "p"], F.max("size")).select("k", "id", "root", "side").join(sets, "id")
         tiles = tiles.select("k", "id", "root", "side", "shingles").repartition("k").sortWithinPartitions("k", "id")
         exact = tiles.mapInArrow(frugal(exact_links(percent, 100)), "a long, b long")
         links = scratch.save(links.unionByName(exact), "links")
@@ -438,21 +445,23 @@ def near_duplicates(
     return out.select(F.col("d.id").alias(id_col), F.col("d.n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("d.id"), F.lit(True)).alias("kept"))
 
 
-def met(known: DataFrame, region: list[str], size: int = TILE) -> DataFrame:
+def met(known: DataFrame, region: list[str], size: Column | None = None) -> DataFrame:
     """Rows of regions that hold several components, once for every tile (k) where they meet others, with their side.
 
     The largest component's members need only meet the others, so a huge group of near copies is
-    passed once a tile of those; the others meet each other as well.
+    passed once a tile of those; the others meet each other as well. A tile has about TILE rows, or
+    what the aggregate ``size`` says of a region's components.
     """
-    counts = known.groupBy(*region, "root").agg(F.count("*").alias("m"))
-    several = counts.groupBy(*region).agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("c"))
+    size = F.max(F.lit(TILE)) if size is None else size
+    counts = known.groupBy(*region, "root").agg(F.count("*").alias("m"), size.alias("size"))
+    several = counts.groupBy(*region).agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("c"), F.max("size").alias("size"))
     several = several.where("c > top.m").select(
         *region,
         F.col("top.root").alias("top"),
-        F.greatest(F.lit(1), F.ceil(F.col("top.m") / size)).cast("long").alias("tops"),
-        F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("top.m")) / size)).cast("long").alias("others"),
+        F.greatest(F.lit(1), F.ceil(F.col("top.m") / F.col("size"))).cast("long").alias("tops"),
+        F.greatest(F.lit(1), F.ceil((F.col("c") - F.col("top.m")) / F.col("size"))).cast("long").alias("others"),
     )
-    rows = known.join(several, region).withColumn("main", F.col("root") == F.col("top"))
+    rows = known.drop("size").join(several, region).withColumn("main", F.col("root") == F.col("top"))
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.when(F.col("main"), F.col("tops")).otherwise(F.col("others"))))
 
     def meet(i: Column, j: Column, side) -> Column:
