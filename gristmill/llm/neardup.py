@@ -517,3 +517,19 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
 def documents_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: near duplicates among all documents at 85%."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (
+  select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))
+                             when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n from sh group by all),
+i as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (s) where a.doc_id < b.doc_id group by all),
+l as (select x, y from i join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+links as (select x, y from l union all select y, x from l),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on r.y = l.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m as component_id, d.doc_id = m as kept
+from documents d left join n using (doc_id) join (select x, min(y) as m from reach group by x) r on r.x = d.doc_id
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
 }
-SQL: dict[str, str] = {"op1_subspace_pigeonhole_join": embeddings.SQL, "op3_site_line_dedup": lines.SQL}
+SQL: dict[str, str] = {"op1_subspace_pigeonhole_join": embeddings.SQL, "op3_site_line_dedup": lines.SQL, "op8_minhash_lsh_forest": neardup.SQL}
