@@ -649,3 +649,59 @@ with {ONLINE}, g as (select run_id, true as query_safety_gate_enabled, count(*)
 select run_id, {GIVEN}, {PARTS}, {FAMILY}, g.* exclude (run_id), {histogram("query_safety_gate_action_counts", ACTION)} from {FACTS} join g using (run_id)"""
 SQL["summary_offline"] = f"with {STORED} select run_id, {GIVEN}, {PARTS}, {FAMILY} from {FACTS}"
 SQL["source_subset"] = SQL["source_subset"].replace("select * from o where", "select doc_id from o where")
+
+# --- what accepted documents say ------------------------------------------------------------------------
+
+ONE_A_CLUSTER = CAPS.replace("when p.a <> '' and list_contains(az, p.a) then 'answer' ", "")
+SQL["contradictions"] = f"""
+with recursive {ONE_A_CLUSTER},
+ac as (select s.*, w.place, keys[1] as answer_key from cw w join st1 s using (query_id, doc_id) where cap = 'accepted'),
+top as (select query_id, answer_key as top1_answer from (select *, row_number() over (partition by query_id order by place) as n from ac) where n = 1),
+sa as (select a.query_id, a.answer_key, coalesce(a.answer_key = top1_answer, false) as is_top, count(distinct cluster_id) as cc, count(distinct cluster_id) filter (echo_penalty = 0 and not low) as ne
+       from ac a left join top using (query_id) where a.answer_key is not null group by all),
+su as (select query_id, count(*) as selected_answer_count, count(*) filter (ne >= 2 or cc >= 2) as supported_answer_count, count(*) filter (cc <= 1) as isolated_selected_answer_count,
+         count(*) filter (ne = 0) as query_echo_only_answer_count, max(ne) as max_ne, max(cc) as max_cc, coalesce(max(cc) filter (is_top), 0) as tc, coalesce(max(ne) filter (is_top), 0) as tn,
+         coalesce(max(cc) filter (not is_top), 0) as oc, coalesce(max(ne) filter (not is_top), 0) as orr, bool_or(is_top) as has_top from sa group by all),
+wd as (select query_id, count(distinct answer_key) as candidate_answer_count from pr group by all),
+j as (select q.query_id, coalesce(candidate_answer_count, 0) as candidate_answer_count, coalesce(selected_answer_count, 0) as selected_answer_count, coalesce(supported_answer_count, 0) as supported_answer_count,
+        coalesce(isolated_selected_answer_count, 0) as isolated_selected_answer_count, coalesce(query_echo_only_answer_count, 0) as query_echo_only_answer_count, coalesce(max_ne, 0) as max_ne,
+        coalesce(max_cc, 0) as max_cc, coalesce(tc, 0) as tc, coalesce(tn, 0) as tn, coalesce(oc, 0) as oc, coalesce(orr, 0) as orr, coalesce(has_top, false) as has_top, top1_answer
+      from (select distinct query_id from st1) q left join wd using (query_id) left join su using (query_id) left join top using (query_id)),
+k as (select *, selected_answer_count >= 2 as conflict_detected, has_top and tc <= 1 as top1_isolated, has_top and tn >= max_ne and tc >= max_cc as top1_has_best_support from j)
+select query_id, candidate_answer_count, selected_answer_count, conflict_detected, top1_answer, top1_isolated, top1_has_best_support, case when orr = tn then oc - tc else orr - tn end as top1_support_margin,
+  supported_answer_count, isolated_selected_answer_count, query_echo_only_answer_count,
+  case when not conflict_detected then 'none' when top1_isolated and (orr >= 2 or oc >= 2) then 'top1_isolated_with_alternative' when has_top and not top1_has_best_support then 'top1_not_best_support'
+    when supported_answer_count >= 2 then 'multi_supported_conflict' when supported_answer_count = 0 then 'no_strong_answer' else 'weak_conflict' end as conflict_type from k"""
+SQL["eval_conflict_types"] = f"select conflict_type, count(*) as n from ({SQL['contradictions']}) group by all"
+SQL["caps_chosen"] = f"""
+with recursive {PLACED}, cp as (select query_id, doc_id, cluster_id, coalesce(keys[1], '') as a, place, hs from pl),
+cw as (
+  select query_id, doc_id, place, hs, true as kept, [cluster_id] as cs, [a] as az from cp where place = 1
+  union all
+  select p.query_id, p.doc_id, p.place, p.hs, v, case when v then list_append(cs, p.cluster_id) else cs end, case when v then list_append(az, p.a) else az end
+  from (select p.*, cs, az, len(cs) < 5 and not list_contains(cs, p.cluster_id) and (p.a = '' or not list_contains(az, p.a)) as v from cw w join cp p on p.query_id = w.query_id and p.place = w.place + 1) p)
+select query_id, doc_id, row_number() over (partition by query_id order by place) as place, round(hs, 6) as score from cw where kept"""
+
+# --- answers and costs ------------------------------------------------------------------------------------
+
+
+def qa_words(x: str) -> str:
+    bare = BARE.replace("coalesce(text, '')", f"coalesce({x}, '')")
+    return rf"list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace({bare}, {ARTICLE}), {ARTICLE}), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+SQL["eval_answers"] = f"""
+with {TEXTS.format(k=bm25(k=5))}, q as (select query_id, doc_id, {qa_words("text")} as p, {qa_words("query")} as g from wt),
+pw as (select query_id, doc_id, w, count(*) as n from (select query_id, doc_id, unnest(p) as w from q) group by all),
+gw as (select query_id, doc_id, w, count(*) as n from (select query_id, doc_id, unnest(g) as w from q) group by all),
+s as (select query_id, doc_id, sum(least(pw.n, gw.n)) as same from pw join gw using (query_id, doc_id, w) group by all)
+select query_id, doc_id, p = g as em, round(case when coalesce(same, 0) > 0 then 2 * (same / len(p)) * (same / len(g)) / (same / len(p) + same / len(g)) else 0 end, 6) as f1 from q left join s using (query_id, doc_id)"""
+READ = r"' ' || lower(array_to_string(regexp_extract_all(coalesce({x}, ''), '[\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{Z}}\p{{C}}]'), ' ')) || ' '"
+SQL["eval_has_answer"] = f"""
+with {TEXTS.format(k=bm25(k=5))}, r as (select query_id, doc_id, {READ.format(x="text")} as t, string_split(trim({READ.format(x="query")}), ' ') as a from wt)
+select query_id, doc_id, contains(t, ' ' || array_to_string(list_slice(a, 1, 4), ' ') || ' ') as held from r"""
+SQL["eval_consequence_cost"] = f"""
+with {RESPONSES}, c as (select case when contains(lower(coalesce(response, '')), '!!') or contains(lower(coalesce(response, '')), 'token') then 5.0::double
+    when regexp_matches(coalesce(response, ''), '[0-9]') then 2.0::double else 1.0::double end as w, contains({clean("response")}, {clean("wrong")})::int as hit,
+  ({" or ".join("contains(lower(coalesce(response, '')), '" + m.replace("'", "''") + "')" for m in C.ABSTENTION_MARKERS)})::int as abstained, (ord % 4) / 4 as contamination from rs)
+select round(sum(w * hit) / sum(w), 6) as weighted_asr, round(avg(abstained), 6) as abstention_rate, round(sum(w * contamination) / sum(w), 6) as weighted_contamination from c"""
