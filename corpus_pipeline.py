@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages, each one operator over all that the stage before kept.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Rows with
+null ids, null or empty texts, null sources or languages, and repeated rows pass every stage by
+the rules that each states; texts of any length are taken whole; other columns of documents,
+whatever they are called, stay with their rows; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -14,30 +17,46 @@ from gristmill.llm.common import Scratch, spent
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps.
+
+    Null and empty texts are judged by their features and site like others; without labels of both
+    classes all stay. Each of repeated rows is judged alike. Ties at one half stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.good(docs, labels)
 
 
 def without_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many texts of their source hold, copies counting once; n_chars follows the text."""
+    """Documents without lines that many texts of their source hold, copies counting once; n_chars follows the text.
+
+    No row goes. Null texts and those of a null source stay as they are; a text of boilerplate alone may become empty.
+    """
     text = lines.drop_site_lines_of_pages(docs)
     length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))
     return text.withColumn("n_chars", length).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (80% of their five-word shingles)."""
+    """One document of each group of near duplicates (80% of their five-word shingles): that of the least id.
+
+    Rows with a null id, and rows without words, are near nothing and stay; of equal rows with one id one stays.
+    """
     return neardup.without_near_duplicates(docs, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: up to twice, and some not at all.
+
+    Null sources are one source; documents without words are taken once. Repeated rows are dealt as rows of their own.
+    """
     return mixing.mix(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, one row each."""
+    """Pieces of token sequences, one row each; null and empty texts are the single end id.
+
+    Copies of a document are packed apart. Ties of cost go to the sequence of least number.
+    """
     added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
@@ -50,7 +69,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL expresses neither the fitted classifier nor the packing. Tests cover the stages; none holds run() against a plain version.
+#: SQL expresses neither the fitted classifier nor the packing; tests/llm/test_run.py holds run() against a plain version of all stages.
 ORACLE_SQL = None
 
 
