@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FEW_ROWS, Scratch, fresh
+from gristmill.llm.common import FEW_ROWS, Scratch, broadcast_if_few, fresh
 
 RATIO, LEAST_PAGES = 0.05, 5
 #: Where hosts' lists are too large to broadcast, a host's pages meet its list in this many parts.
@@ -63,6 +63,7 @@ def drop_site_lines(
         .agg(F.count("*").alias("on"))
         .where(F.col("on") >= least_pages)
     )
+    pages = broadcast_if_few(scratch.save(pages, "pages"))  # a row a host
     over = (
         counted.join(pages, "h")
         .where(F.col("on") > F.col("pages") * F.lit(ratio))
@@ -107,7 +108,7 @@ def drop_site_lines_of_pages(
     slim = known.where(F.col(text_col).isNotNull()).select(host.alias("h"), page.alias("page"), F.col(text_col).alias("t"))
 
     def over(counted: DataFrame, units: DataFrame) -> DataFrame:
-        counted = counted.where(F.col("on") >= least_pages).join(units, "h").where(F.col("on") > F.col("pages") * F.lit(ratio))
+        counted = counted.where(F.col("on") >= least_pages).join(broadcast_if_few(units), "h").where(F.col("on") > F.col("pages") * F.lit(ratio))
         return counted.groupBy("h").agg(F.collect_set("k").alias("ks"))
 
     by_row = slim.select("h", F.explode(lines).alias("x")).groupBy("h", F.col("x.k").alias("k")).agg(F.count("*").alias("on"))
@@ -121,6 +122,7 @@ def drop_site_lines_of_pages(
     held = scratch.save(held.select("h", "page", heavy.alias("heavy"), unit.alias("unit"), F.transform("ks", lambda x: x["k"]).alias("ks")), "held")
     copies = held.where("heavy").groupBy("h").agg((F.countDistinct("page") - F.countDistinct("unit")).alias("less"))
     units = pages.join(copies, "h", "left").select("h", (F.col("pages") - F.coalesce("less", F.lit(0))).alias("pages"))
+    units = scratch.save(units, "units")
     by_unit = held.select("h", "unit", F.explode("ks").alias("k")).groupBy("h", "k").agg(F.countDistinct("unit").alias("on"))
     lists = scratch.save(over(by_unit, units), "lists")
 
