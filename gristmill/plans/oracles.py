@@ -705,3 +705,11 @@ with {RESPONSES}, c as (select case when contains(lower(coalesce(response, '')),
     when regexp_matches(coalesce(response, ''), '[0-9]') then 2.0::double else 1.0::double end as w, contains({clean("response")}, {clean("wrong")})::int as hit,
   ({" or ".join("contains(lower(coalesce(response, '')), '" + m.replace("'", "''") + "')" for m in C.ABSTENTION_MARKERS)})::int as abstained, (ord % 4) / 4 as contamination from rs)
 select round(sum(w * hit) / sum(w), 6) as weighted_asr, round(avg(abstained), 6) as abstention_rate, round(sum(w * contamination) / sum(w), 6) as weighted_contamination from c"""
+
+# --- punctuation ------------------------------------------------------------------------------------------
+
+KINDS = [(C.SPACES, " "), (C.HYPHENS, "-"), (C.DOUBLE_QUOTES, '"'), (C.SINGLE_QUOTES, "'"), (C.SLASHES, "/")]
+UNIFIED = f"translate(text || '“a”–b…‘c’­d⁄e″', {quoted(''.join(k for k, _ in KINDS) + C.CONTROLS)}, {quoted(''.join(v * len(k) for k, v in KINDS))})"
+for old, new in C.LONGER.items():
+    UNIFIED = f"replace({UNIFIED}, {quoted(old)}, {quoted(new)})"
+SQL["text_unify_punctuation"] = f"select doc_id, {UNIFIED} as text from documents"

@@ -644,7 +644,11 @@ def hardened(spark, sf) -> harden.Hardened:
         F.struct(F.lit("correct").alias("kind"), F.array_join(F.slice(words, 1, 2), " ").alias("answer")), F.struct(F.lit("incorrect").alias("kind"), F.element_at(words, -1).alias("answer"))
     )
     steps = choose.ChooseConfig(guard=choose.GuardConfig(), top1=choose.Top1Config(), margin=choose.MarginGateConfig(), head=choose.HeadConfig(), greedy=choose.GreedyConfig())
-    return harden.harden(found, asked(spark, sf).withColumn("answers", answers), 5, harden.HardenConfig(provenance_gate=True, choose=steps))
+    asks = asked(spark, sf)
+    routed = policy.route(asks, policy.consequence_matches(asks, tables.consequences(spark)))
+    asks = asks.join(routed.select("query_id", "policy_margin", "require_authority", (F.col("risk_tier") == "high").alias("policy_high")), "query_id").withColumn("answers", answers)
+    config = harden.HardenConfig(provenance_gate=True, authority_gate=True, choose=steps)
+    return harden.harden(found, asks, 5, config, required=asks)
 
 
 @query
