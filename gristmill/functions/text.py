@@ -34,9 +34,16 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
 
 
+#: Characters whose case folding is more than their lower case and has letters of a to z: sharp s, long s, ligatures and the like.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if c.casefold() != c.lower() and any("a" <= x <= "z" for x in c.casefold())}
+
+
 def normalize_policy(text: Column) -> Column:
-    """As ``normalize`` with case folding, where sharp s becomes ss."""
-    return normalize(F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss")))
+    """As ``normalize`` with case folding."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    for old, new in FOLDED.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return normalize(text)
 
 
 def words_of(normalized: Column) -> Column:

@@ -149,7 +149,10 @@ def inversions(values: Column) -> Column:
 
 
 def ranking_metrics(results: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, ndcg, map, recall, precision, mrr, hole) in percent, over the queries with relevant documents."""
+    """(k, ndcg, map, recall, precision, mrr, recall_cap, hole) in percent, over the queries with relevant documents.
+
+    recall_cap is recall among as many documents as k can hold.
+    """
     judged = qrels.groupBy("query_id").agg(F.count_if(F.col("rel") > 0).alias("relevant"), F.sort_array(F.collect_list("rel"), False).alias("ideal"))
     rows = results.join(qrels.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"], "left")
     rows = rows.withColumn("good", F.coalesce(F.col("rel") > 0, F.lit(False)).cast("int"))
@@ -170,6 +173,7 @@ def ranking_metrics(results: DataFrame, qrels: DataFrame, ks: list[int]) -> Data
         "recall": F.col("hits") / F.col("relevant"),
         "precision": F.col("hits") / F.col("k"),
         "mrr": F.coalesce(1 / F.col("first"), F.lit(0.0)),
+        "recall_cap": F.col("hits") / F.least(F.col("relevant"), F.col("k")),
         "hole": F.col("holes") / F.col("k"),
     }
     return per.groupBy("k").agg(*(F.round(100 * F.avg(v), 4).alias(n) for n, v in means.items()))

@@ -15,6 +15,7 @@ from gristmill.sources.store import stored
 class HardenConfig:
     threshold: float = 0.72
     most_mentions: int = 5
+    reader_heuristics: int = 2
     focused: bool = False
     mode: str = "support"
     provenance_gate: bool = False
@@ -40,7 +41,8 @@ class Hardened:
 def features(candidates: DataFrame, queries: DataFrame, c: HardenConfig) -> DataFrame:
     """candidates (query_id, doc_id, rank, text, channels, provenance) with clusters, mentions and penalties; texts go.
 
-    queries may bring answers, an array of (kind, answer), for reference mentions.
+    queries may bring answers, an array of (kind, answer), for reference mentions. candidates may
+    bring reader, a model's mentions, which come before the heuristic ones.
     """
     known = [x for x in ("answers",) if x in queries.columns]
     rows = cluster.leader_clusters(candidates, c.threshold).join(queries.select("query_id", "query", *known), "query_id")
@@ -49,7 +51,9 @@ def features(candidates: DataFrame, queries: DataFrame, c: HardenConfig) -> Data
     none = F.struct(F.lit(0).alias("overlap"), F.lit(0.0).alias("coverage"), F.lit(0).alias("content_tokens"), F.lit(False).alias("low"), F.lit(0.0).alias("penalty"))
     rows = rows.withColumns(
         {
-            "mentions": find(query, text, c.most_mentions),
+            "mentions": mentions.merge_mentions(F.col("reader"), find(query, text, c.most_mentions), c.reader_heuristics, c.most_mentions)
+            if "reader" in candidates.columns
+            else find(query, text, c.most_mentions),
             "echo_penalty": score.echo_penalty(score.echo_stats(query, text, c.echo), c.echo) if c.use_echo else F.lit(0.0),
             "ground": score.grounding(query, text, c.grounding) if c.use_grounding else none,
         }

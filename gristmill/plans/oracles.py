@@ -378,7 +378,7 @@ m as (select j.*, t.k, coalesce(dcg, 0) as dcg, coalesce(hits, 0) as hits, coale
         list_sum(list_transform(list_slice(ideal, 1, t.k), lambda g, i: g / log2(i + 1))) as best
       from j cross join unnest([1::bigint, 5, 10]) as t(k) left join p on p.query_id = j.query_id and p.k = t.k where relevant > 0)
 select k, round(100 * avg(dcg / best), 4) as ndcg, round(100 * avg(ap / relevant), 4) as map, round(100 * avg(hits / relevant), 4) as recall, round(100 * avg(hits / k), 4) as precision,
-  round(100 * avg(coalesce(1 / first, 0)), 4) as mrr, round(100 * avg(holes / k), 4) as hole from m group by all"""
+  round(100 * avg(coalesce(1 / first, 0)), 4) as mrr, round(100 * avg(hits / least(relevant, k)), 4) as recall_cap, round(100 * avg(holes / k), 4) as hole from m group by all"""
 SQL["eval_weighted_means"] = "select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as mean from lineitem group by all"
 
 # --- sources and streams --------------------------------------------------------------------------------

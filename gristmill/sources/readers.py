@@ -201,9 +201,29 @@ def run_summaries(spark: SparkSession, folder: str, schema: str) -> tuple[DataFr
     return done, rows.where(~F.col("file").endswith(".summary.json")).join(done.select("stem"), "stem", "left_anti")
 
 
+ALPHA = ("hybrid", "normalized_hybrid", "paper_hybrid")
+ENSEMBLES = ("secure_ensemble", "consensus_ensemble", "robust_ensemble")
+
+
 def run_name(config: dict[str, Any]) -> str:
-    """A name that the settings alone decide."""
-    parts = [str(config.get("dataset", "data")), str(config.get("retriever", "bm25")), f"top{config.get('top_k', 5)}", f"adv{config.get('adv_per_query', 5)}"]
-    parts += [f"{k}{config[k]:g}" for k in ("alpha", "rrf_k") if config.get(k) is not None]
-    parts += [k for k in ("hardening", "gate") if config.get(k)]
-    return "-".join(parts + [f"seed{config.get('seed', 12)}"])
+    """A run's own name, or one that its settings alone decide: what is fused, hardened, attacked and skipped adds a part each."""
+    if config.get("run_name"):
+        return config["run_name"]
+    retriever = config["retriever"]
+    kind = retriever["type"]
+    parts = [config["dataset"], kind, config["model_name"], f"Top{config['top_k']}", f"M{config['M']}x{config['repeat_times']}"]
+    if kind.lower() in ALPHA:
+        parts.append("alpha" + f"{float(retriever.get('alpha', 0.5)):g}".translate(str.maketrans("-.", "mp")))
+    if kind.lower() in ENSEMBLES:
+        parts += [retriever.get("fusion", "consensus_rrf"), f"s{retriever.get('min_support', 1)}", f"cap{retriever.get('cluster_cap', 0)}"]
+    hardening = config.get("evidence_hardening") or {}
+    if hardening.get("enabled"):
+        of = lambda section, key, default: (hardening.get(section) or {}).get(key, default)
+        on = lambda section: int(bool(of(section, "enabled", True)))
+        parts += [f"eh{hardening.get('candidate_depth', config['top_k'])}", f"c{of('cluster', 'cap', 1)}", f"a{on('answer_support')}"]
+        parts += [f"ac{of('answer_support', 'max_docs_per_answer', 0)}", f"x{on('contradiction')}"]
+        if of("head_filter", "enabled", False):
+            parts += [f"hf{of('head_filter', 'head_k', 3)}", f"hs{of('head_filter', 'supplement_k', 2)}", str(of("head_filter", "mode", "conservative")).lower()[:4]]
+    if str(config.get("attack_method") or "none").lower() != "none":
+        parts += ["adv", config["attack_method"], str(config["adv_per_query"])]
+    return "-".join(map(str, parts + (["retrieval-only"] if config.get("skip_llm") else [])))

@@ -141,3 +141,15 @@ def test_unknown_settings_raise(spark):
     with pytest.raises(ValueError):
         retrievers.build({"type": "secure_ensemble"}, queries.inputs(spark, SF), 3)
     assert harden.HardenConfig().choose.per_cluster == 1
+
+
+def test_a_reader_comes_first(spark):
+    from gristmill.operators import mentions
+
+    df = spark.createDataFrame([(1, "d", 1, "In 1999 Anna met Peter Parker.", ["bm25"], "indexed_corpus"), (1, "e", 2, "Berlin has 12 zoos.", ["bm25"], "indexed_corpus")],
+                               "query_id bigint, doc_id string, rank int, text string, channels array<string>, provenance string")
+    asks = spark.createDataFrame([(1, "who is it")], "query_id bigint, query string")
+    reader = F.when(F.col("doc_id") == "d", F.array(mentions.mention(F.lit("Peter"), "reader"))).otherwise(F.slice(F.array(mentions.mention(F.lit("x"), "reader")), 1, 0))
+    rows = {r.doc_id: [m.key for m in r.mentions] for r in harden.features(df.withColumn("reader", reader), asks, harden.HardenConfig()).collect()}
+    plain = {r.doc_id: [m.key for m in r.mentions] for r in harden.features(df, asks, harden.HardenConfig()).collect()}
+    assert rows["d"][0] == "peter" and len(rows["d"]) <= 3 and rows["e"] == plain["e"] and "peter" not in plain["d"][:1]

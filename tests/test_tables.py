@@ -134,3 +134,21 @@ def test_same_sample_for_a_seed(spark):
     asks = queries.asked(spark, SF)
     first, again, other = ({r.query_id for r in retrievers.sampled_queries(d, 7, s).collect()} for d, s in ((asks, 1), (asks.repartition(3), 1), (asks, 2)))
     assert first == again != other and len(first) == 7
+
+
+def test_case_folding_is_that_of_python(spark):
+    texts = [f"a{c}b" for c in X.FOLDED] + ["Straße ẞ ſo ﬁn ﬄ ŉ İ K", "ÀÉ", None]
+    assert len(X.FOLDED) > 10
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.withColumn("x", X.normalize_policy(F.col("t"))).orderBy("i").collect()]
+    assert got == [re.sub("[^a-z0-9]+", " ", (t or "").casefold()).strip() for t in texts]
+
+
+def test_run_names():
+    base = {"dataset": "nq", "model_name": "m", "top_k": 5, "M": 10, "repeat_times": 2, "adv_per_query": 5}
+    assert readers.run_name(base | {"retriever": {"type": "bm25"}}) == "nq-bm25-m-Top5-M10x2"
+    assert readers.run_name(base | {"retriever": {"type": "hybrid", "alpha": 0.25}, "attack_method": "hotflip"}) == "nq-hybrid-m-Top5-M10x2-alpha0p25-adv-hotflip-5"
+    hard = {"enabled": True, "candidate_depth": 30, "head_filter": {"enabled": True}}
+    name = readers.run_name(base | {"retriever": {"type": "robust_ensemble"}, "evidence_hardening": hard, "skip_llm": True})
+    assert name == "nq-robust_ensemble-m-Top5-M10x2-consensus_rrf-s1-cap0-eh30-c1-a1-ac0-x1-hf3-hs2-cons-retrieval-only"
+    assert readers.run_name({"run_name": "own"}) == "own"
