@@ -122,45 +122,46 @@ def margin_scores(stats: DataFrame, cluster=1.0, channel=0.25, echo=0.75, isolat
 
 
 def contradiction(candidates: DataFrame, accepted: DataFrame, min_answers: int = 2) -> DataFrame:
-    """Per query what kind of conflict the accepted documents show; top1_support_margin is the best other answer's lead over the first's."""
-    stats = robust_support(accepted, True)
-    top = accepted.where(F.col("place") == 1).select("query_id", F.get(F.col("mentions"), F.lit(0))["key"].alias("top1_answer"))
-    rows = stats.join(top, "query_id", "left").withColumn("is_top", F.coalesce(F.col("answer_key") == F.col("top1_answer"), F.lit(False)))
+    """Per query what kind of conflict the accepted documents show, with the counts that it rests on.
+
+    Answers are those of first mentions. top1_support_margin is the best other answer's lead over
+    the first document's answer, so a positive one speaks against it.
+    """
     supported = (F.col("non_echo_clusters") >= 2) | (F.col("cluster_count") >= 2)
-    of_top = lambda c: F.coalesce(F.max(F.when(F.col("is_top"), F.col(c))), F.lit(0))
-    of_rest = lambda c: F.coalesce(F.max(F.when(~F.col("is_top"), F.col(c))), F.lit(0))
+    top = accepted.where(F.col("place") == 1).select("query_id", F.get(F.col("mentions"), F.lit(0))["key"].alias("top1_answer"))
+    rows = robust_support(accepted, True).join(top, "query_id", "left").withColumn("is_top", F.coalesce(F.col("answer_key") == F.col("top1_answer"), F.lit(False)))
+    names = {"cluster_count": "cluster_count", "non_echo_clusters": "non_echo_cluster_count", "channel_count": "channel_count", "doc_count": "doc_count", "echo_docs": "query_echo_doc_count"}
+    of_top = [F.max(F.when(F.col("is_top"), F.col(c))).alias(f"top1_{name}") for c, name in names.items()]
+    best = [F.max(c).alias(f"selected_max_{names[c]}") for c in ("non_echo_clusters", "cluster_count", "channel_count")]
+    others = [F.max(F.when(~F.col("is_top"), F.col(c))).alias(f"best_alternative_{names[c]}") for c in ("non_echo_clusters", "cluster_count")]
     summed = rows.groupBy("query_id").agg(
         F.count("*").alias("selected_answer_count"),
         F.count_if(supported).alias("supported_answer_count"),
         F.count_if(F.col("cluster_count") <= 1).alias("isolated_selected_answer_count"),
         F.count_if(F.col("non_echo_clusters") == 0).alias("query_echo_only_answer_count"),
-        F.max("non_echo_clusters").alias("max_non_echo"),
-        F.max("cluster_count").alias("max_cluster"),
-        of_top("cluster_count").alias("top1_cluster_count"),
-        of_top("non_echo_clusters").alias("top1_non_echo"),
-        of_rest("cluster_count").alias("other_cluster"),
-        of_rest("non_echo_clusters").alias("other_non_echo"),
-        F.max("is_top").alias("has_top"),
-    )
-    wide = robust_support(candidates, True).groupBy("query_id").agg(F.count("*").alias("candidate_answer_count"))
+        *of_top, *best, *others, F.max("is_top").alias("has_top"),
+    )
+    wide = robust_support(candidates, True).groupBy("query_id").agg(F.count("*").alias("candidate_answer_count"), F.count_if(supported).alias("candidate_supported_answer_count"))
     rows = candidates.select("query_id").distinct().join(wide, "query_id", "left").join(summed, "query_id", "left").join(top, "query_id", "left")
     rows = rows.na.fill(0).na.fill(False)
-    conflict = F.col("selected_answer_count") >= min_answers
-    isolated = F.col("has_top") & (F.col("top1_cluster_count") <= 1)
-    best = F.col("has_top") & (F.col("top1_non_echo") >= F.col("max_non_echo")) & (F.col("top1_cluster_count") >= F.col("max_cluster"))
-    kind = (
-        F.when(~conflict, "none")
-        .when(isolated & ((F.col("other_non_echo") >= 2) | (F.col("other_cluster") >= 2)), "top1_isolated_with_alternative")
-        .when(F.col("has_top") & ~best, "top1_not_best_support")
-        .when(F.col("supported_answer_count") >= 2, "multi_supported_conflict")
-        .when(F.col("supported_answer_count") == 0, "no_strong_answer")
-        .otherwise("weak_conflict")
-    )
-    lead = F.when(
-        F.col("other_non_echo") == F.col("top1_non_echo"), F.col("other_cluster") - F.col("top1_cluster_count")
-    ).otherwise(F.col("other_non_echo") - F.col("top1_non_echo"))
+    of = F.col
+    conflict = of("selected_answer_count") >= min_answers
+    isolated = of("has_top") & (of("top1_cluster_count") <= 1)
+    has_best = of("has_top") & (of("top1_non_echo_cluster_count") >= of("selected_max_non_echo_cluster_count")) & (of("top1_cluster_count") >= of("selected_max_cluster_count"))
+    alternative = (of("best_alternative_non_echo_cluster_count") >= 2) | (of("best_alternative_cluster_count") >= 2)
+    flags = {
+        "top1_isolated_with_alternative": conflict & isolated & alternative,
+        "top1_not_best_support": conflict & of("has_top") & ~has_best,
+        "multi_supported_conflict": conflict & (of("supported_answer_count") >= 2),
+        "no_strong_answer": conflict & (of("supported_answer_count") == 0),
+    }
+    kind = F.when(~conflict, "none")
+    for name, flag in flags.items():
+        kind = kind.when(flag, name)
+    clusters, free = (of(f"best_alternative_{x}") - of(f"top1_{x}") for x in ("cluster_count", "non_echo_cluster_count"))
+    counts = [c for c in rows.columns if c.endswith("_count")]
     return rows.select(
-        "query_id", "candidate_answer_count", "selected_answer_count", conflict.alias("conflict_detected"), "top1_answer", isolated.alias("top1_isolated"),
-        best.alias("top1_has_best_support"), lead.alias("top1_support_margin"), "supported_answer_count", "isolated_selected_answer_count",
-        "query_echo_only_answer_count", kind.alias("conflict_type"),
+        "query_id", "top1_answer", *counts, conflict.alias("conflict_detected"), (of("candidate_answer_count") >= min_answers).alias("candidate_conflict_detected"),
+        isolated.alias("top1_isolated"), has_best.alias("top1_has_best_support"), F.when(free == 0, clusters).otherwise(free).alias("top1_support_margin"),
+        *(flag.alias(name) for name, flag in flags.items()), flags["no_strong_answer"].alias("severe_conflict"), kind.otherwise("weak_conflict").alias("conflict_type"),
     )

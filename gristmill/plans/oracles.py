@@ -657,21 +657,27 @@ SQL["contradictions"] = f"""
 with recursive {ONE_A_CLUSTER},
 ac as (select s.*, w.place, keys[1] as answer_key from cw w join st1 s using (query_id, doc_id) where cap = 'accepted'),
 top as (select query_id, answer_key as top1_answer from (select *, row_number() over (partition by query_id order by place) as n from ac) where n = 1),
-sa as (select a.query_id, a.answer_key, coalesce(a.answer_key = top1_answer, false) as is_top, count(distinct cluster_id) as cc, count(distinct cluster_id) filter (echo_penalty = 0 and not low) as ne
+sa as (select a.query_id, a.answer_key, coalesce(a.answer_key = top1_answer, false) as is_top, count(distinct cluster_id) as cc, count(distinct cluster_id) filter (echo_penalty = 0 and not low) as ne,
+         len(list_distinct(flatten(list(channels))))::bigint as ch, count(distinct doc_id) as dc, count(distinct doc_id) filter (echo_penalty > 0 or low) as ec
        from ac a left join top using (query_id) where a.answer_key is not null group by all),
 su as (select query_id, count(*) as selected_answer_count, count(*) filter (ne >= 2 or cc >= 2) as supported_answer_count, count(*) filter (cc <= 1) as isolated_selected_answer_count,
-         count(*) filter (ne = 0) as query_echo_only_answer_count, max(ne) as max_ne, max(cc) as max_cc, coalesce(max(cc) filter (is_top), 0) as tc, coalesce(max(ne) filter (is_top), 0) as tn,
-         coalesce(max(cc) filter (not is_top), 0) as oc, coalesce(max(ne) filter (not is_top), 0) as orr, bool_or(is_top) as has_top from sa group by all),
-wd as (select query_id, count(distinct answer_key) as candidate_answer_count from pr group by all),
-j as (select q.query_id, coalesce(candidate_answer_count, 0) as candidate_answer_count, coalesce(selected_answer_count, 0) as selected_answer_count, coalesce(supported_answer_count, 0) as supported_answer_count,
-        coalesce(isolated_selected_answer_count, 0) as isolated_selected_answer_count, coalesce(query_echo_only_answer_count, 0) as query_echo_only_answer_count, coalesce(max_ne, 0) as max_ne,
-        coalesce(max_cc, 0) as max_cc, coalesce(tc, 0) as tc, coalesce(tn, 0) as tn, coalesce(oc, 0) as oc, coalesce(orr, 0) as orr, coalesce(has_top, false) as has_top, top1_answer
-      from (select distinct query_id from st1) q left join wd using (query_id) left join su using (query_id) left join top using (query_id)),
-k as (select *, selected_answer_count >= 2 as conflict_detected, has_top and tc <= 1 as top1_isolated, has_top and tn >= max_ne and tc >= max_cc as top1_has_best_support from j)
-select query_id, candidate_answer_count, selected_answer_count, conflict_detected, top1_answer, top1_isolated, top1_has_best_support, case when orr = tn then oc - tc else orr - tn end as top1_support_margin,
-  supported_answer_count, isolated_selected_answer_count, query_echo_only_answer_count,
-  case when not conflict_detected then 'none' when top1_isolated and (orr >= 2 or oc >= 2) then 'top1_isolated_with_alternative' when has_top and not top1_has_best_support then 'top1_not_best_support'
-    when supported_answer_count >= 2 then 'multi_supported_conflict' when supported_answer_count = 0 then 'no_strong_answer' else 'weak_conflict' end as conflict_type from k"""
+         count(*) filter (ne = 0) as query_echo_only_answer_count, max(cc) filter (is_top) as top1_cluster_count, max(ne) filter (is_top) as top1_non_echo_cluster_count,
+         max(ch) filter (is_top) as top1_channel_count, max(dc) filter (is_top) as top1_doc_count, max(ec) filter (is_top) as top1_query_echo_doc_count,
+         max(ne) as selected_max_non_echo_cluster_count, max(cc) as selected_max_cluster_count, max(ch) as selected_max_channel_count,
+         max(ne) filter (not is_top) as best_alternative_non_echo_cluster_count, max(cc) filter (not is_top) as best_alternative_cluster_count, bool_or(is_top) as has_top from sa group by all),
+wp as (select query_id, answer_key, count(distinct cluster_id) as cc, count(distinct cluster_id) filter (echo_penalty = 0 and not low) as ne from pr group by all),
+wd as (select query_id, count(*) as candidate_answer_count, count(*) filter (ne >= 2 or cc >= 2) as candidate_supported_answer_count from wp group by all),
+j as (select query_id, top1_answer, coalesce(has_top, false) as has_top, coalesce(columns('.*_count'), 0)
+      from (select distinct query_id from st1) left join wd using (query_id) left join su using (query_id) left join top using (query_id)),
+k as (select *, selected_answer_count >= 2 as conflict_detected, candidate_answer_count >= 2 as candidate_conflict_detected, has_top and top1_cluster_count <= 1 as top1_isolated,
+        has_top and top1_non_echo_cluster_count >= selected_max_non_echo_cluster_count and top1_cluster_count >= selected_max_cluster_count as top1_has_best_support,
+        case when best_alternative_non_echo_cluster_count = top1_non_echo_cluster_count then best_alternative_cluster_count - top1_cluster_count
+          else best_alternative_non_echo_cluster_count - top1_non_echo_cluster_count end as top1_support_margin from j),
+m as (select *, conflict_detected and top1_isolated and (best_alternative_non_echo_cluster_count >= 2 or best_alternative_cluster_count >= 2) as top1_isolated_with_alternative,
+        conflict_detected and has_top and not top1_has_best_support as top1_not_best_support, conflict_detected and supported_answer_count >= 2 as multi_supported_conflict,
+        conflict_detected and supported_answer_count = 0 as no_strong_answer, conflict_detected and supported_answer_count = 0 as severe_conflict from k)
+select * exclude (has_top), case when not conflict_detected then 'none' when top1_isolated_with_alternative then 'top1_isolated_with_alternative' when top1_not_best_support then 'top1_not_best_support'
+    when multi_supported_conflict then 'multi_supported_conflict' when no_strong_answer then 'no_strong_answer' else 'weak_conflict' end as conflict_type from m"""
 SQL["eval_conflict_types"] = f"select conflict_type, count(*) as n from ({SQL['contradictions']}) group by all"
 SQL["caps_chosen"] = f"""
 with recursive {PLACED}, cp as (select query_id, doc_id, cluster_id, coalesce(keys[1], '') as a, place, hs from pl),
