@@ -18,10 +18,12 @@ BLOCK = 8
 WIDTH = 3
 #: A cell is searched in tiles of at most this many vectors, of which a tile holds one block's share.
 TILE = 8192
-#: Inside a tile the next so many dimensions of the block are cut into strips as wide as the budget.
+#: Inside a tile so many dimensions of the block that the grid leaves are cut into strips as wide as the budget.
 STRIPS = 2
 #: So many sorted rows are tested at a time with all within the radius of any of them.
-RUN = 64
+RUN = 16
+#: The cell of a label whose vectors fit one tile: there is nothing for a grid to part.
+ONLY = 0
 #: Rotated unit vectors are rounded to whole multiples of 1/UNIT, so distances are exact in doubles
 #: and every task sees the same ones.
 UNIT = float(1 << 20)
@@ -68,12 +70,14 @@ def unpacked(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def cells_of(points: np.ndarray, threshold: float) -> tuple[list[list[int]], list[list[int]]]:
+def cells_of(points: np.ndarray, threshold: float, few: np.ndarray | None = None) -> tuple[list[list[int]], list[list[int]]]:
     """For each vector the cells where it lives and where it looks for others, as (block, row, column) hashes with the block.
 
     A vector lives in one cell a block and looks into those neighbours that come later (by row, then
     column) and that its budget reaches. So every pair within a block's budget meets there once.
+    Vectors of labels that fit a tile (few) live in the cell ONLY of each block.
     """
+    few = np.zeros(len(points), dtype=bool) if few is None else few
     dim = points.shape[1]
     homes, looks = [], []
     for b, (columns, budget) in enumerate(zip(blocks(dim), budgets(dim, threshold))):
@@ -91,11 +95,14 @@ def cells_of(points: np.ndarray, threshold: float) -> tuple[list[list[int]], lis
         out: list[list[int]] = [[] for _ in range(len(points))]
         for b, r, c, reached in found:
             keys = ((r.astype(np.int64) + (1 << 23)) << 24) + (c.astype(np.int64) + (1 << 23))
-            for i in np.flatnonzero(reached).tolist():
+            for i in np.flatnonzero(reached & ~few).tolist():
                 out[i].append((b << 48) + int(keys[i]))
         return out
 
-    return listed(homes), listed(looks)
+    lived, looked = listed(homes), listed(looks)
+    for i in np.flatnonzero(few).tolist():
+        lived[i] = [(b << 48) + ONLY for b in range(len(homes))]
+    return lived, looked
 
 
 def with_cells(classes: DataFrame, threshold: float) -> DataFrame:
@@ -107,26 +114,27 @@ def with_cells(classes: DataFrame, threshold: float) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 points = rotated(unpacked(part.column(4), int(dim)))
-                homes, looks = cells_of(points, threshold)
+                homes, looks = cells_of(points, threshold, part.column(5).to_numpy(zero_copy_only=False))
                 short = points.astype("<f4")  # whole numbers below 2**24
                 shares = [[row[b[0] : b[-1] + 1].tobytes() for b in blocks(int(dim))] for row in short]
                 lists = [pa.array(homes, pa.list_(pa.int64())), pa.array(looks, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], names=[*part.schema.names[:4], "homes", "looks", "shares"])
 
-    return classes.select("label", "dim", "rep", "n", "vector").mapInArrow(
+    sizes = classes.groupBy("label", "dim").agg((F.count("*") <= TILE).alias("few"))
+    return classes.join(sizes, ["label", "dim"]).select("label", "dim", "rep", "n", "vector", "few").mapInArrow(
         frugal(run), "label long, dim long, rep long, n long, homes array<long>, looks array<long>, shares array<binary>"
     )
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, budget: float, depth: int = STRIPS, tests: list[int] | None = None):
+def near_pairs(x: np.ndarray, y: np.ndarray | None, budget: float, used: int = 2, tests: list[int] | None = None):
     """(i, j) of the rows of x and y within the squared distance, chunk by chunk; with y None, pairs i < j of x.
 
     Strips of the radius's width along one dimension after another part what cannot meet; inside
     the last strips rows are sorted by a further dimension, and only runs within the radius are
-    tested. tests counts the tested pairs.
+    tested. The first dimensions are passed over where the grid has used them. tests counts the tested pairs.
     """
-    radius = np.sqrt(budget)
-    first = 2 if x.shape[1] > 2 else 0  # the grid has used the first two
+    radius, depth = np.sqrt(budget), STRIPS
+    first = used if x.shape[1] > used else 0
 
     def tested(i, j, same):
         column = min(first + depth, x.shape[1] - 1)
@@ -150,7 +158,7 @@ def near_pairs(x: np.ndarray, y: np.ndarray, budget: float, depth: int = STRIPS,
                 yield mine[a], theirs[b]
 
     def parted(i, j, level, same):
-        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 64 * RUN:
+        if level == depth or first + level >= x.shape[1] - 1 or len(i) * len(j) < 16 * RUN:
             yield from tested(i, j, same)
             return
         column, other = first + level, x if y is None else y
@@ -173,15 +181,15 @@ def candidates(threshold: float):
 
     def run(batches):
         for key, (ids, weights, sides, shares) in tiles(batches, lambda column, key: block_shares(column)):
-            _, dim, block, _, _ = key
-            budget = budgets(dim, threshold)[block]
+            _, dim, block, cell, _ = key
+            budget, used = budgets(dim, threshold)[block], grid_dimensions(cell)
             lives, looks = np.flatnonzero(sides != 1), np.flatnonzero(sides == 1)
             busy = np.zeros(len(ids), dtype=bool)
             if len(sides) and sides[0] == 2:
-                for i, j in near_pairs(shares, None, budget):
+                for i, j in near_pairs(shares, None, budget, used):
                     busy[i] = busy[j] = True
             else:
-                for i, j in near_pairs(shares[lives], shares[looks], budget):
+                for i, j in near_pairs(shares[lives], shares[looks], budget, used):
                     busy[lives[i]] = busy[looks[j]] = True
             found = np.flatnonzero(busy)
             if len(found):
@@ -191,6 +199,11 @@ def candidates(threshold: float):
     return run
 
 
+def grid_dimensions(cell: int) -> int:
+    """How many of a block's dimensions the grid has parted a cell's vectors by."""
+    return 0 if cell & ((1 << 48) - 1) == ONLY else 2
+
+
 def block_shares(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1).astype(np.float64)
@@ -199,7 +212,7 @@ def block_shares(column: pa.Array) -> np.ndarray:
 def compared(threshold: float):
     """Per tile of candidates: for every vector with links its weight of linked ones and the least vector it reaches there."""
 
-    def links(block: int, vectors: np.ndarray, rows: np.ndarray, columns: np.ndarray, same: bool):
+    def links(block: int, used: int, vectors: np.ndarray, rows: np.ndarray, columns: np.ndarray, same: bool):
         points, dim = rotated(vectors), vectors.shape[1]
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         allowed = budgets(dim, threshold)
@@ -210,7 +223,7 @@ def compared(threshold: float):
             return np.einsum("ij,ij->i", d, d)
 
         own = points[:, parts[block]]
-        for i, j in near_pairs(own[rows], None if same else own[columns], allowed[block]):
+        for i, j in near_pairs(own[rows], None if same else own[columns], allowed[block], used):
             i, j = rows[i], columns[j]
             for part in range(0, len(i), 100_000):
                 a, b = i[part : part + 100_000], j[part : part + 100_000]
@@ -222,7 +235,7 @@ def compared(threshold: float):
 
     def run(batches):
         for key, (ids, weights, sides, vectors) in tiles(batches, lambda column, key: unpacked(column, key[1])):
-            _, dim, block, _, _ = key
+            _, dim, block, cell, _ = key
             lives, looks = np.flatnonzero(sides != 1), np.flatnonzero(sides == 1)
             both = len(sides) > 0 and sides[0] == 2
             count = np.zeros(len(ids), dtype=np.int64)
@@ -230,7 +243,7 @@ def compared(threshold: float):
             place = np.empty(len(ids), dtype=np.int64)
             place[order] = np.arange(len(ids))  # so that the least label is the least id
             tree = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for a, b in links(block, vectors, lives, lives, True) if both else links(block, vectors, lives, looks, False):
+            for a, b in links(block, grid_dimensions(cell), vectors, lives, lives, True) if both else links(block, grid_dimensions(cell), vectors, lives, looks, False):
                 np.add.at(count, a, weights[b])
                 np.add.at(count, b, weights[a])
                 tree.append((place[a], place[b]))
