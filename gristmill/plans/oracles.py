@@ -719,3 +719,6 @@ UNIFIED = f"translate(text || '“a”–b…‘c’­d⁄e″', {quoted(''.join
 for old, new in C.LONGER.items():
     UNIFIED = f"replace({UNIFIED}, {quoted(old)}, {quoted(new)})"
 SQL["text_unify_punctuation"] = f"select doc_id, {UNIFIED} as text from documents"
+
+# The database's dictionary cache fails on this text now and then and takes the connection with it, so it is not offered.
+READER_SPANS = SQL.pop("mentions_reader")

@@ -152,3 +152,11 @@ def test_run_names():
     name = readers.run_name(base | {"retriever": {"type": "robust_ensemble"}, "evidence_hardening": hard, "skip_llm": True})
     assert name == "nq-robust_ensemble-m-Top5-M10x2-consensus_rrf-s1-cap0-eh30-c1-a1-ac0-x1-hf3-hs2-cons-retrieval-only"
     assert readers.run_name({"run_name": "own"}) == "own"
+
+
+def test_reader_spans(spark):
+    schema = "query_id int, query string, doc_id int, start int, end int, start_logit double, end_logit double, label string"
+    rows = [(1, "who made it", 7, 3, 4, 2.0, 1.0, "Ada Lovelace."), (1, "who made it", 7, 9, 10, 1.0, 1.0, "ada lovelace"), (1, "who made it", 7, 5, 4, 9.0, 9.0, "backwards"),
+            (1, "who made it", 7, 1, 20, 9.0, 9.0, "far too long a span"), (1, "who made it", 7, 2, 3, 1.5, 1.0, "made it"), (1, "who made it", 8, 0, 1, 0.1, 0.1, "Turing"), (1, "who made it", 7, 6, 7, 1.0, 1.5, "Babbage")]
+    got = mentions.reader_spans(spark.createDataFrame(rows, schema), 2, min_score=1.0).orderBy("doc_id", "rank").collect()
+    assert [(r.doc_id, r.key, r.score, r["rank"]) for r in got] == [(7, "ada lovelace", 3.0, 1), (7, "babbage", 2.5, 2)]
