@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding
+from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding, spelling
 
 QUERIES = {
     "op1_subspace_pigeonhole_join": embeddings.vectors_deduplicated,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_minhash_lsh_forest": neardup.documents_deduplicated,
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
+    "op11_letter_parity_bands": spelling.documents_spelled,
 }
-SQL: dict[str, str] = {"op1_subspace_pigeonhole_join": embeddings.SQL, "op3_site_line_dedup": lines.SQL, "op8_minhash_lsh_forest": neardup.SQL}
+SQL: dict[str, str] = {"op1_subspace_pigeonhole_join": embeddings.SQL, "op3_site_line_dedup": lines.SQL, "op8_minhash_lsh_forest": neardup.SQL, "op11_letter_parity_bands": spelling.SQL}
