@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, secrets, sharding, spelling
+from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, search, secrets, sharding, spelling
 
 QUERIES = {
     "op1_subspace_pigeonhole_join": embeddings.vectors_deduplicated,
@@ -14,5 +14,12 @@ QUERIES = {
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
     "op11_letter_parity_bands": spelling.documents_spelled,
+    "op13_two_level_search": search.items_ranked,
+}
+SQL: dict[str, str] = {
+    "op1_subspace_pigeonhole_join": embeddings.SQL,
+    "op3_site_line_dedup": lines.SQL,
+    "op8_minhash_lsh_forest": neardup.SQL,
+    "op11_letter_parity_bands": spelling.SQL,
+    "op13_two_level_search": search.SQL,
 }
-SQL: dict[str, str] = {"op1_subspace_pigeonhole_join": embeddings.SQL, "op3_site_line_dedup": lines.SQL, "op8_minhash_lsh_forest": neardup.SQL, "op11_letter_parity_bands": spelling.SQL}
