@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gristmill.llm import embeddings, fingerprints, lines, mixing, neardup, packing, pii, quality, search, secrets, sharding, spelling
+from gristmill.llm import embeddings, fingerprints, lines, lm, mixing, neardup, packing, pii, quality, search, secrets, sharding, spelling
 
 QUERIES = {
     "op1_subspace_pigeonhole_join": embeddings.vectors_deduplicated,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_entropy_balancing": mixing.documents_mixed,
     "op10_cost_balanced_packing": packing.documents_packed,
     "op11_letter_parity_bands": spelling.documents_spelled,
+    "op12_log_bilinear_scores": lm.documents_scored,
     "op13_two_level_search": search.items_ranked,
 }
 SQL: dict[str, str] = {
@@ -21,5 +22,6 @@ SQL: dict[str, str] = {
     "op3_site_line_dedup": lines.SQL,
     "op8_minhash_lsh_forest": neardup.SQL,
     "op11_letter_parity_bands": spelling.SQL,
+    "op12_log_bilinear_scores": lm.documents_scored,
     "op13_two_level_search": search.SQL,
 }
