@@ -6,9 +6,11 @@ Texts stay out of the plans; join them back to the few rows that remain.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,80 +139,101 @@ def finite(score: Column) -> Column:
     return F.when(F.isnan(score) | (score == float("-inf")), -1e30).when(score == float("inf"), 1e30).otherwise(score)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, metric: str = "dot") -> DataFrame:
-    """(query_id, doc_id, score) of every vector; queries are (query_id, vector), a stated set held against all rows."""
-    v, q = vectors.select("doc_id", "vector"), queries.select("query_id", F.col("vector").alias("q"))
-    if metric == "cosine":
-        v, q = v.withColumn("vector", unit(F.col("vector"))), q.withColumn("q", unit(F.col("q")))
-    return v.crossJoin(q).select("query_id", "doc_id", F.round(finite(dot(F.col("q"), F.col("vector"))), DIGITS).alias("score"))
-
-
 #: At most this many query vectors are shipped to every task (some tens of MB); more are dealt in blocks.
 MOST_QUERIES = 20_000
-BLOCK = 4096
+#: Vectors and queries are multiplied in tiles of this many each: a task's largest matrix has 4096 * 256 numbers (8 MB).
+BLOCK, TILE = 4096, 256
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", most: int | None = None) -> DataFrame:
-    """The k best of each query, by matrix products over blocks of vectors that leave only each block's best.
+def matrix(rows) -> np.ndarray:
+    return np.array(list(rows), dtype=np.float64)
 
-    A block emits at most k rows a query, so what is shuffled grows with blocks and not with
-    pairs. Queries up to ``most`` (MOST_QUERIES), by count, are shipped to every task; a larger
-    set meets the vectors block by block: each block of either is in as many groups as the other
-    has blocks.
-    """
-    import numpy as np
-    import pandas as pd
 
-    most = MOST_QUERIES if most is None else most
-    d_kind, q_kind = vectors.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {q_kind}, doc_id {d_kind}, score double"
-
-    def normed(m):
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if metric == "cosine" else m
+def best_columns(scores: np.ndarray, docs: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row the columns of its k best scores, equal ones by ascending document; only what reaches the k-th score is sorted."""
+    n = scores.shape[1]
+    out = []
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    for row, low in zip(scores, least):
+        at = np.flatnonzero(row >= low)
+        out.append(at[np.lexsort((docs[at], -row[at]))[:k]])
+    return out
 
-    def matrix(rows):
-        return normed(np.array(list(rows), dtype=np.float64))
 
-    def nearest(ids, asked, docs, found):
-        with np.errstate(all="ignore"):
-            s = np.round(np.nan_to_num(asked @ found.T, nan=-1e30, posinf=1e30, neginf=-1e30), DIGITS)
-        keep = [np.lexsort((docs, -row))[:k] for row in s]
-        return pd.DataFrame(
-            {"query_id": np.repeat(ids, [len(x) for x in keep]), "doc_id": docs[np.concatenate(keep)], "score": np.concatenate([row[x] for row, x in zip(s, keep)])}
+def top_of_block(ids: np.ndarray, docs: np.ndarray, k: int, score: Callable[[slice], np.ndarray]) -> Iterator[pd.DataFrame]:
+    """(query_id, doc_id, score) of a block's k best for each query; ``score`` gives the matrix of some queries by all of docs."""
+    for at in range(0, len(ids), TILE):
+        tile = slice(at, at + TILE)
+        s = score(tile)
+        keep = best_columns(s, docs, k)
+        yield pd.DataFrame(
+            {"query_id": np.repeat(ids[tile], [len(x) for x in keep]), "doc_id": docs[np.concatenate(keep)], "score": np.concatenate([row[x] for row, x in zip(s, keep)])}
         )
 
+
+def block_results(
+    rows: DataFrame, queries: DataFrame, value: str, schema: str, score: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], most: int | None = None
+) -> DataFrame:
+    """score(queries, block) for every block of rows (doc_id, value) and every query (query_id, vector), as one table.
+
+    Queries up to ``most`` (MOST_QUERIES), by count, are shipped to every task; a larger set meets
+    the rows block by block: each block of either is in as many groups as the other has blocks.
+    """
+    most = MOST_QUERIES if most is None else most
     asked = queries.select("query_id", "vector")
-    n = asked.limit(most + 1).count()
-    if n <= most:
-        rows = asked.collect()
-        if not rows:
-            return top_k(vectors.limit(0).select(F.lit(None).cast(q_kind).alias("query_id"), "doc_id", F.lit(0.0).alias("score")), k)
-        shipped = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), matrix(r["vector"] for r in rows)))
-
-        def best(batches):
-            ids, m = shipped.value
+    if asked.limit(most + 1).count() <= most:
+        shipped = rows.sparkSession.sparkContext.broadcast(asked.toPandas())
+
+        def run(batches):
             for pdf in batches:
                 for at in range(0, len(pdf), BLOCK):
-                    part = pdf.iloc[at : at + BLOCK]
-                    yield nearest(ids, m, part["doc_id"].to_numpy(), matrix(part["vector"]))
+                    if len(shipped.value):
+                        yield from score(shipped.value, pdf.iloc[at : at + BLOCK])
 
-        return top_k(vectors.select("doc_id", "vector").mapInPandas(best, schema), k)
+        return rows.select("doc_id", value).mapInPandas(run, schema)
 
-    def dealt(df, key, other, mine, theirs):
+    def dealt(df, key, column, other, mine, theirs):
         """df in blocks, each block once for every block of the other side."""
         block = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int").alias(f"{key}_block")
-        return df.select(F.col(key).alias(key), F.col("vector").cast("array<double>").alias("v"), block, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(f"{other}_block"))
+        return df.select(key, column, block, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(f"{other}_block"))
+
+    parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-rows.count() // BLOCK))
+    keys = "query_id_block", "doc_id_block"
+    left, right = dealt(asked, "query_id", "vector", "doc_id", *parts).groupBy(*keys), dealt(rows, "doc_id", value, "query_id", *parts[::-1]).groupBy(*keys)
+
+    def meet(q, d):
+        found = list(score(q, d)) if len(q) and len(d) else []
+        return pd.concat(found) if found else pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": d["doc_id"][:0], "score": np.zeros(0)})
+
+    return left.cogroup(right).applyInPandas(meet, schema)
+
+
+def result_schema(rows: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double"
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", most: int | None = None) -> DataFrame:
+    """The k best of each query, by matrix products over tiles of vectors and queries that leave only each block's best.
+
+    A block emits at most k rows a query, so what is shuffled grows with blocks and not with pairs.
+    """
+
+    def normed(m):
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if metric == "cosine" else m
+
+    def nearest(asked: pd.DataFrame, block: pd.DataFrame):
+        q, d = normed(matrix(asked["vector"])), normed(matrix(block["vector"]))
 
-    parts = max(1, -(-asked.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
-    left = dealt(asked, "query_id", "doc_id", *parts).groupBy("query_id_block", "doc_id_block")
-    right = dealt(vectors.select("doc_id", "vector"), "doc_id", "query_id", *parts[::-1]).groupBy("query_id_block", "doc_id_block")
+        def score(tile):
+            with np.errstate(all="ignore"):
+                s = q[tile] @ d.T
+                np.nan_to_num(s, copy=False, nan=-1e30, posinf=1e30, neginf=-1e30)
+                return np.round(s, DIGITS, out=s)
 
-    def blocks(q, d):
-        if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": d["doc_id"][:0], "score": np.zeros(0)})
-        return nearest(q["query_id"].to_numpy(), matrix(q["v"]), d["doc_id"].to_numpy(), matrix(d["v"]))
+        yield from top_of_block(asked["query_id"].to_numpy(), block["doc_id"].to_numpy(), k, score)
 
-    return top_k(left.cogroup(right).applyInPandas(blocks, schema), k)
+    rows = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    return top_k(block_results(rows, queries, "vector", result_schema(vectors, queries), nearest, most), k)
 
 
 # --- precomputed runs ----------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions import text as X
-from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, retrieve, score, select, summary, support
+from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, quantised, retrieve, score, select, summary, support
 from gristmill.plans import harden, retrievers, tables
 from gristmill.sources import readers, store
 from gristmill.streaming import late
@@ -266,7 +266,17 @@ def dense_cosine(spark, sf):
 
 @query
 def dense_native(spark, sf):
-    return retrieve.top_k(retrieve.dense_scores(*vectors(spark, sf), "cosine"), DEPTH)
+    """The same ranking where queries are too many to ship: blocks of queries meet blocks of vectors."""
+    return retrieve.dense_top_k(*vectors(spark, sf), DEPTH, "cosine", most=0)
+
+
+@query
+def dense_pq_top_k(spark, sf):
+    """Every fiftieth vector asked of the quantised index of all."""
+    rows = vectors(spark, sf)[0]
+    asks = rows.where(F.expr("pmod(doc_id, 50) = 0")).withColumnRenamed("doc_id", "query_id")
+    keep = lambda name, df: store.once([rows], f"pq-{name}", lambda: df)
+    return quantised.top_k(quantised.build(rows, 8, "cosine", keep=keep), asks, DEPTH)
 
 
 @query
