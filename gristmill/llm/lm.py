@@ -34,7 +34,7 @@ class Shape:
     endings: int = 64
     dealt: int = 32
     width: int = 16
-    before: int = 3
+    before: int = 2
     bag: int = 32
     noise: int = 64
     batch: int = 1024
@@ -68,6 +68,11 @@ def learned_from(key) -> bool:
     return zlib.crc32(("" if key is None else str(key)).encode()) % 10 != 0
 
 
+def checksum(id_col: str, before: str = "") -> Column:
+    """The checksum that ``learned_from`` takes, in the JVM."""
+    return F.crc32(F.encode(F.concat(F.lit(before), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), "utf-8"))
+
+
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(word, n) over all training texts, ends among them: counted in each task and then summed by word."""
 
@@ -142,9 +147,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, shape: Shape, known: int = KNOWN) -> Vocabulary:
-    """From the counts of all words; the driver gets ``known`` words, the endings that are classes, and a row a class."""
+    """From the counts of all words; the driver gets about ``known`` words, the endings that are classes, and a row a class."""
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(known).collect()
+    step = F.floor(F.log2("n") * 16).cast("int")
+    short = counts.where(F.octet_length("word") <= LONGEST)
+    held, least, share = 0, 0, 1.0  # steps of counts from the top while they fit; of the last one a share by hash
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        least, share = r["step"], min(1.0, (known - held) / r["count"])
+        held += r["count"]
+        if held >= known:
+            break
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    rows = short.where((step > least) | ((step == least) & drawn)).select("word", "n").collect()
+    rows.sort(key=lambda r: (-r["n"], r["word"]))
     top = [r["word"] for r in rows[: shape.outputs]]
     others = counts.where(~F.col("word").isin(top)) if top else counts
     by_ending = others.groupBy(ending(F.col("word")).alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
@@ -228,9 +243,16 @@ class Trainer:
         w = unit[at]
         noise = np.minimum(np.searchsorted(self.shares, self.rng.random(s.noise), side="right"), s.n_out - 1)
         q_w, q_n = m.outputs[w], m.outputs[noise]
-        up = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+        def up(z):
+            np.negative(z, out=z)
+            np.exp(np.minimum(z, 80, out=z), out=z)
+            z += 1
+            return np.reciprocal(z, out=z)
+
         g_w = 1 - up(np.einsum("ij,ij->i", h, q_w) + m.bias[w] - self.log_share[w])
-        g_n = -up(h @ q_n.T + m.bias[noise] - self.log_share[noise])
+        g_n = up(h @ q_n.T + (m.bias[noise] - self.log_share[noise]))
+        np.negative(g_n, out=g_n)
         g_h = g_w[:, None] * q_w + g_n @ q_n
         scale = np.float32(1 / len(at))
         out = gathered(w, np.concatenate([h * g_w[:, None], g_w[:, None]], axis=1), s.n_out)
@@ -304,11 +326,8 @@ def trained(scratch: Scratch, docs: DataFrame, known, vocabulary: Vocabulary, id
             trainer = Trainer(Model(shape, sent.value), v, task + 1000 * number)
             for batch in batches:
                 for part in batch_slices(batch):
-                    rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-                    texts = [words_of(t) for k, t in rows if learned_from(k) and low <= zlib.crc32(f"round {k}".encode()) % parts < high]
-                    if texts:
-                        _, _, unit, x, since, _ = laid_out(v, texts)
-                        trainer.learn(unit, x, since)
+                    _, _, unit, x, since, _ = laid_out(v, [words_of(t) for t in part.column(1).to_pylist()])
+                    trainer.learn(unit, x, since)
             if not trainer.seen.any():
                 return
             values = trainer.model.rows * trainer.seen[:, None]
@@ -319,7 +338,8 @@ def trained(scratch: Scratch, docs: DataFrame, known, vocabulary: Vocabulary, id
                     names=["slice", "salt", "weights", "values"],
                 )
 
-        told = scratch.save(docs.select(id_col, text_col).mapInArrow(frugal(learn), "slice int, salt int, weights binary, values binary"), "told")
+        mine = docs.where((checksum(id_col) % 10 != 0) & F.pmod(checksum(id_col, "round "), F.lit(parts)).between(low, high - 1))
+        told = scratch.save(mine.select(id_col, text_col).mapInArrow(frugal(learn), "slice int, salt int, weights binary, values binary"), "told")
         by_salt = summed(told, "slice", "salt")
         rows = model.rows.copy()
         for r in summed(by_salt.withColumn("salt", F.lit(0)), "slice").collect():
@@ -334,22 +354,23 @@ def trained(scratch: Scratch, docs: DataFrame, known, vocabulary: Vocabulary, id
 def log_probabilities(model: Model, unit: np.ndarray, x: np.ndarray, since: np.ndarray, most: int = 512) -> np.ndarray:
     """The natural logarithm of each unit's probability after the words before it, over all units."""
     out = np.zeros(len(unit))
+    outputs, ones = np.ascontiguousarray(model.outputs.T), np.ones(len(model.bias), dtype=np.float32)
     for a in range(0, len(unit), most):
         at = np.arange(a, min(len(unit), a + most))
         h, _ = model.contexts(x, since, at)
-        z = h @ model.outputs.T + model.bias
-        top = z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(at)), unit[at]] - top[:, 0]
-        z -= top
+        z = h @ outputs
+        z += model.bias
+        np.minimum(z, 80, out=z)  # beyond it no sum would be finite
+        own = z[np.arange(len(at)), unit[at]].astype(np.float64)
         np.exp(z, out=z)
-        out[a : a + len(at)] = own - np.log(z.sum(axis=1))
+        out[a : a + len(at)] = own - np.log(z @ ones)
     return out
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, known: int = KNOWN) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
-    The probability of a word is that of its unit after the three words and the mean of the 32 words before it, by
+    The probability of a word is that of its unit after the two words and the mean of the 32 words before it, by
     the model, times its smoothed share of its unit's occurrences; each unit leaves a share for words that no
     training text holds, so all add up to one. Counts cover all training texts, each of which is
     also read once in training.
