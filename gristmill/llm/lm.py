@@ -118,6 +118,7 @@ class Vocabulary:
         self.unit = np.where(own < s.outputs, own, s.outputs + classes)
         self.input = np.where(own < s.inputs, own, s.inputs + classes)
         mass = np.bincount(self.unit, weights=self.counts[:-1], minlength=s.n_out)[: s.n_out]
+        self.unit, self.input = (np.append(x, 0) for x in (self.unit, self.input))  # where a word is none of them
         for i, (a, _) in totals.items():
             mass[s.outputs + i] = a
         self.share = (mass + 1) / (mass + 1).sum()
