@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,27 +59,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-WORD = re.compile(r"\b\w+\b")
+def token_count(text: Column) -> Column:
+    """How many tokens a text has."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"))
 
 
-def counted_tokens(documents: DataFrame) -> DataFrame:
-    """doc_id, dl (its tokens) and words: its distinct tokens (term, tf); nothing is shuffled.
-
-    Arrow batches, as one pass of a text counts its tokens, and as no optimizer rule can take the
-    counting for an expression to repeat.
-    """
-
-    def run(batches):
-        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [WORD.findall(t.lower()) if t else [] for t in part.column(1).to_pylist()]
-                words = [[{"term": w, "tf": n} for w, n in Counter(x).items()] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array(words, kind)], names=["doc_id", "dl", "words"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, dl long, words array<struct<term: string, tf: long>>")
+def term_counts(documents: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl) of each distinct token of a text and the text's number of tokens; counted in each task before the shuffle."""
+    # In two steps, as what stands beside explode is worked out for each of its rows.
+    rows = documents.select("doc_id", token_count(F.col("text")).cast("long").alias("dl"), tokens(F.col("text")).alias("tokens"))
+    rows = rows.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
 
 
 def nfd(text: Column) -> Column:

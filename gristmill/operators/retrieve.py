@@ -15,46 +15,74 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
-from gristmill.sources.store import few
+from gristmill.sources.store import few, stored
 
 K1, B = 1.5, 0.75
 DIGITS = 6
 
 
+#: Postings of a frequent term are dealt by their document to blocks of about this many.
+POSTINGS = 512
+
+
 @dataclass
 class Bm25Index:
-    """postings(term, doc_id, tf), docs(doc_id, dl), terms(term, df) and stats(n, avgdl), which may be kept as tables."""
+    """postings(term, doc_id, tf, dl), docs(doc_id, dl), terms(term, df, peak, most_tf, least_dl) and stats(n, avgdl), which may be kept as tables.
+
+    blocks(term, block, size, entries(doc_id, tf, dl)) holds the postings once more, by term: a
+    document's posting of a term is in the block that its id's hash names, so a few documents are
+    looked up without reading a long list. peak is a term's greatest weight by K1 and B, without its idf.
+    """
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame
 
 
 def bm25_index(documents: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Bm25Index:
-    """Postings and statistics; documents without terms count in n and the mean length.
+    """Postings and statistics; documents without terms count in n and the mean length; ids name one document each.
 
-    Each text is tokenized and counted in its own row, so only the terms' counts are shuffled.
+    Texts are taken apart and counted in the JVM, by the tokenizer that queries go through.
     ``keep(name, table)`` may store the tables and give back what is stored.
     """
-    counted = keep("counted", T.counted_tokens(documents))
-    lengths = counted.select("doc_id", "dl")
-    postings = keep("postings", counted.select("doc_id", F.explode("words").alias("w")).select("w.term", "doc_id", "w.tf"))
-    terms = keep("terms", postings.groupBy("term").agg(F.count("*").alias("df")))
-    stats = lengths.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    return Bm25Index(postings, lengths, terms, keep("stats", stats))
+    lengths = keep("docs", documents.select("doc_id", T.token_count(F.col("text")).cast("long").alias("dl")))
+    stats = keep("stats", lengths.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")))
+    postings = keep("postings", T.term_counts(documents))
+    df = keep("df", postings.groupBy("term").agg(F.count("*").alias("df")))
+    shares = few(df.where(F.col("df") > POSTINGS).select("term", blocks_of(F.col("df")).alias("of")))
+    dealt = postings.join(shares, "term", "left").withColumn("block", block_of(F.col("doc_id"), F.coalesce("of", F.lit(1))))
+    weight = bm25_part(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    dealt = dealt.crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("term", "block").agg(
+        F.count("*").alias("size"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.max(weight).alias("peak"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("entries")
+    )
+    blocks = keep("blocks", dealt.sortWithinPartitions("term", "block"))
+    best = blocks.groupBy("term").agg(F.sum("size").alias("df"), F.max("peak").alias("peak"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"))
+    return Bm25Index(postings, lengths, keep("terms", best), stats, blocks)
+
+
+def blocks_of(df: Column) -> Column:
+    return F.ceil(df / F.lit(POSTINGS)).cast("int")
+
+
+def block_of(doc_id: Column, of: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), of.cast("long")).cast("int")
+
+
+TABLES = "postings", "docs", "terms", "stats", "blocks"
 
 
 def write_index(index: Bm25Index, path: str) -> None:
-    """The index as four tables in a folder; postings sorted by term, so that readers skip what queries don't ask for."""
-    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("docs", "terms", "stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """The index as tables in a folder; those by term sorted, so that readers skip what queries don't ask for."""
+    for name in TABLES:
+        table = getattr(index, name)
+        (table.sortWithinPartitions("term") if "term" in table.columns else table).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> Bm25Index:
     """A written index; an error if its tables do not belong together."""
-    index = Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")))
+    index = Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
     if index.docs.count() != index.stats.first()["n"]:
         raise ValueError(f"the documents of the index in {path} are not those of its statistics")
     return index
@@ -64,9 +92,14 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_weight(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+def bm25_part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """A posting's weight without the term's idf; it grows with tf and falls with dl."""
     norm = tf + k1 * (1 - b + b * dl / F.greatest(avgdl, F.lit(1e-9)))
-    return idf(n, df) * tf * (k1 + 1) / F.greatest(norm, F.lit(1e-9))
+    return tf * (k1 + 1) / F.greatest(norm, F.lit(1e-9))
+
+
+def bm25_weight(tf: Column, dl: Column, n: Column, df: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    return idf(n, df) * bm25_part(tf, dl, avgdl, k1, b)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -82,31 +115,114 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float =
     Terms are first narrowed to those of the queries, so only their postings reach the join with
     the lengths; Spark broadcasts the queries' side where it is small.
     """
-    wanted = query_terms(queries).join(index.terms, "term")
-    scored = index.postings.join(wanted, "term").join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats))
+    wanted = query_terms(queries).join(index.terms.select("term", "df"), "term")
+    scored = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats))
     weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl"), k1, b)
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
 
 
-def bm25_extra(index: Bm25Index, extra: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+#: What bounds are held against thresholds with: more than what rounding and the order of sums change.
+SLACK = 1e-5
+
+
+@dataclass
+class Pruned:
+    """What a pruned search goes through: terms(query_id, term, qtf, df, lift, bound, read) and likely(query_id, doc_id, partial)."""
+
+    terms: DataFrame
+    likely: DataFrame
+
+
+def at_least(scores: DataFrame, column: str, k: int) -> DataFrame:
+    """(query_id, least): each query's k-th largest value; queries with fewer are left out."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(column))
+    first = scores.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k)
+    return first.groupBy("query_id").agg(F.min(column).alias("least"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+
+
+def bm25_pruned(index: Bm25Index, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> Pruned:
+    """The terms of each query that its search reads in full, and the documents that can still be among its k best.
+
+    Sums over a query's rarest terms (those before the first 10 * k postings are reached) give k documents
+    of at least some score. Terms whose bounds, and those of all terms of lesser bounds, add up to
+    less can't bring a document in alone: only the others' postings are read. Of what these
+    find, documents stay that reach the k-th sum with all that the unread terms could add.
+    """
+    peak = F.col("peak") if (k1, b) == (K1, B) else bm25_part(F.col("most_tf"), F.col("least_dl"), F.col("avgdl"), k1, b)
+    lift = F.col("qtf") * idf(F.col("n"), F.col("df"))
+    terms = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "qtf", "df", "avgdl", lift.alias("lift"), (lift * peak).alias("bound"))
+    rare = Window.partitionBy("query_id").orderBy("df", "term")
+    rising = Window.partitionBy("query_id").orderBy("bound", "term")
+    before = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, 0))
+    terms = stored(terms.withColumn("seed", F.coalesce(before, F.lit(0)) < 10 * k).withColumn("upto", upto))
+
+    def summed(chosen: DataFrame) -> DataFrame:
+        found = index.blocks.select("term", "entries").join(few(chosen), "term").withColumn("e", F.explode("entries"))
+        part = F.col("lift") * bm25_part(F.col("e.tf"), F.col("e.dl"), F.col("avgdl"), k1, b)
+        return found.select("query_id", "e.doc_id", part.alias("part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("partial"))
+
+    given = "query_id", "term", "lift", "avgdl"
+    first = at_least(summed(terms.where("seed").select(*given)), "partial", k)
+    terms = stored(terms.join(few(first), "query_id", "left").withColumn("read", F.coalesce(F.col("upto") >= F.col("least") - SLACK, F.lit(True))).drop("least"))
+    partial = stored(summed(terms.where("read").select(*given)))
+    unread = terms.where(~F.col("read")).groupBy("query_id").agg(F.max("upto").alias("more"))
+    reached = partial.join(few(at_least(partial, "partial", k)), "query_id", "left").join(few(unread), "query_id", "left")
+    stays = F.col("partial") + F.coalesce("more", F.lit(0.0)) >= F.coalesce(F.col("least") - SLACK, F.lit(0.0))
+    return Pruned(terms, reached.where(stays).select("query_id", "doc_id", "partial"))
+
+
+def looked_up(index: Bm25Index, pruned: Pruned) -> DataFrame:
+    """(query_id, term, lift, avgdl, doc_id, block): what of the unread terms is looked up for the documents that stay."""
+    unread = pruned.terms.where(~F.col("read")).select("query_id", "term", "lift", "avgdl", blocks_of(F.col("df")).alias("of"))
+    return pruned.likely.select("query_id", "doc_id").join(few(unread), "query_id").withColumn("block", block_of(F.col("doc_id"), F.col("of"))).drop("of")
+
+
+def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best of ``bm25_scores`` with their ranks, of which only terms and documents that can matter are read."""
+    pruned = bm25_pruned(index, queries, k, k1, b)
+    pruned.likely = stored(pruned.likely)
+    wanted = looked_up(index, pruned).withColumnRenamed("doc_id", "of_doc")
+    met = index.blocks.select("term", "block", F.explode("entries").alias("e")).join(few(wanted), ["term", "block"]).where(F.equal_null(F.col("e.doc_id"), F.col("of_doc")))
+    part = F.col("lift") * bm25_part(F.col("e.tf"), F.col("e.dl"), F.col("avgdl"), k1, b)
+    more = met.select("query_id", F.col("of_doc").alias("doc_id"), part.alias("partial"))
+    scores = pruned.likely.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("partial"), DIGITS).alias("score"))
+    return top_k(scores, k)
+
+
+def postings_read(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, postings, read, looked_up): the postings of each query's terms, and those that a pruned search scores."""
+    pruned = bm25_pruned(index, queries, k)
+    totals = pruned.terms.groupBy("query_id").agg(F.sum("df").alias("postings"), F.sum(F.when(F.col("read") | F.col("seed"), F.col("df")).otherwise(0)).alias("read"))
+    more = looked_up(index, pruned).groupBy("query_id").agg(F.count("*").alias("looked_up"))
+    return totals.join(more, "query_id", "left").na.fill(0, ["looked_up"])
+
+
+def bm25_extra(index: Bm25Index, extra: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents outside the index, by the index's statistics; without a shared term 0.
 
     Every extra document is scored for every query of its group: extra has query_id where it
     belongs to one query, else all queries see it. Documents are tokenized once; only terms that a
-    query has meet it, and the result has its stated row for each document and query.
+    query has meet it. With k, of extras that all queries see only those that can be among a
+    query's k best are kept: the k best with a shared term, and where these are fewer, the k least ids without one.
     """
     by_query = "query_id" in extra.columns
-    owner = extra.select("doc_id", F.col("query_id").alias("owner")).distinct() if by_query else None
-    counted = T.counted_tokens(extra.select("doc_id", "text").dropDuplicates(["doc_id"]) if by_query else extra)
-    tf = counted.select("doc_id", "dl", F.explode("words").alias("w")).select("doc_id", "dl", "w.term", "w.tf")
-    wanted = query_terms(queries).join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    tf = T.term_counts(extra.select("doc_id", "text").dropDuplicates(["doc_id"]) if by_query else extra)
+    wanted = query_terms(queries).join(index.terms.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("df"), F.col("avgdl"), k1, b)
     key = ["query_id", "doc_id"]
     scored = tf.join(wanted, "term").crossJoin(F.broadcast(index.stats)).groupBy(*key).agg(F.sum(weight).alias("score"))
     if by_query:
-        pairs = owner.select(F.col("owner").alias("query_id"), "doc_id").join(queries.select("query_id"), "query_id", "left_semi")
-    else:
+        owner = extra.select("query_id", "doc_id").distinct()
+        pairs = owner.join(queries.select("query_id"), "query_id", "left_semi")
+    elif k is None:
         pairs = extra.select("doc_id").crossJoin(few(queries.select("query_id")))
+    else:
+        scored = stored(top_k(scored.withColumn("score", F.round("score", DIGITS)), k).drop("rank"))
+        short = queries.select("query_id").join(scored.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+        # Fewer than k documents of such a query have a score, so the 2 * k least ids hold k others.
+        least = extra.select("doc_id").orderBy("doc_id").limit(2 * k)
+        pairs = short.select("query_id").crossJoin(F.broadcast(least)).unionByName(scored.select(*key)).distinct()
     return pairs.join(scored, key, "left").select(*key, F.round(F.coalesce("score", F.lit(0.0)), DIGITS).alias("score"))
 
 

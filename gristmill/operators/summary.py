@@ -12,6 +12,38 @@ from pyspark.sql import types as T
 
 from gristmill.functions import text as X
 
+#: Sections of a summary from what the steps of the choice note. The sections' and columns' names.
+#: A rate is of the queries where the flag holds; a size is of a list; a mean takes a missing number for 0, but margin and threshold.
+SECTIONS = {
+    "head": (
+        "head_filter",
+        {"trigger": "triggered", "order_changed": "order_changed", "uncertain_recommended": "uncertain_recommended", "severe_conflict": "severe_conflict"},
+        {"isolated_doc_count": "isolated_docs", "supplement_promoted_count": "supplement_promoted"},
+        {},
+    ),
+    "top1": (
+        "top1_dominance",
+        {"trigger": "triggered", "order_changed": "order_changed", "conflict": "conflict_detected", "top1_isolated": "top1_isolated"},
+        {"promoted_doc_count": "promoted", "supported_alternative_answer_count": "supported_alternative_answers"},
+        {"top1_cluster_count": "top1_cluster_count", "top1_non_echo_cluster_count": "top1_non_echo_cluster_count"},
+    ),
+    "margin": (
+        "margin_gate",
+        {"trigger": "triggered"}
+        | {
+            x: x
+            for x in "order_changed low_margin top_answer_weak top_answer_isolated top_answer_echo_heavy runner_up_supported multi_supported_conflict no_strong_answer high_risk_query uncertain_recommended".split()
+        },
+        {"penalized_doc_count": "penalized", "boosted_doc_count": "boosted", "supplement_promoted_count": "supplement_promoted"},
+        {"margin": "margin", "effective_threshold": "threshold"},
+    ),
+    "greedy": (
+        "constrained_selection",
+        {"trigger": "triggered", "order_changed": "order_changed"},
+        {"fallback_fill_count": "filled"},
+        {"pool_count": "pool_count", "query_overlap_selected_count": "query_overlap_selected_count", "duplicate_cluster_selected_count": "duplicate_cluster_selected_count"},
+    ),
+}
 #: What stored rows don't tell, so a summary made from them leaves it out.
 ONLINE_ONLY = ("margin_gate", "query_safety_gate", "injection_risk", "provenance_gate", "consequence_policy", "generation")
 DIGITS = 6
@@ -92,23 +124,57 @@ def success_by_iteration(runs: DataFrame, responses: DataFrame, offline: bool) -
 
 
 def run_summary(
-    runs: DataFrame, hits: DataFrame, retrieved: DataFrame, responses: DataFrame | None = None, families: dict[str, DataFrame] | None = None, offline: bool = False
+    runs: DataFrame,
+    hits: DataFrame,
+    retrieved: DataFrame,
+    responses: DataFrame | None = None,
+    families: dict[str, DataFrame] | None = None,
+    offline: bool = False,
+    traces: DataFrame | None = None,
 ) -> DataFrame:
     """A row for each of runs (run_id, dataset, retriever, alpha, top_k, adv_per_query, per_iteration, repeat_times).
 
-    A family's columns are there if it is given, null for runs without rows of it. From stored
+    A family's columns are there if it is given, null for runs without rows of it; traces give the sections. From stored
     rows (offline) those of ONLINE_ONLY are left out, and attack success counts what is stored.
     """
     parts = [poison_rates(runs, hits), support_rates(retrieved), contamination(runs, retrieved)]
     if responses is not None:
         parts.append(success_by_iteration(runs, responses, offline))
     parts += [family(rows, name) for name, rows in (families or {}).items() if not (offline and name in ONLINE_ONLY)]
+    if traces is not None:
+        parts.append(sections(traces.drop("margin") if offline else traces))
     out = runs
     for part in parts:  # a row a run each
         out = out.join(part, "run_id", "left")
     return out.withColumn("num_queries", F.coalesce("num_queries", F.lit(0).cast("long")))
 
 
+def sections(traces: DataFrame) -> DataFrame:
+    """A row a run of the sections SECTIONS, from traces: run_id and the structs that ``choose.traced`` gives.
+
+    A step that is not set up (null) leaves its section out of the run's row (null), and a step that
+    traces lack out of the table. margin_gate_conflict_type_counts counts the kinds of conflict, and each has its rate.
+    """
+    out = traces.select("run_id").distinct()
+    for step, (name, rates, sizes, means) in SECTIONS.items():
+        if step not in traces.columns:
+            continue
+        rows = traces.where(F.col(step).isNotNull()).select("run_id", f"{step}.*")
+        parts = [F.lit(True).alias(f"{name}_enabled")]
+        parts += [rate(F.col(c)).alias(f"{name}_{x}_rate") for x, c in rates.items()]
+        parts += [mean(F.coalesce(F.size(c), F.lit(0))).alias(f"{name}_{x}_mean") for x, c in sizes.items()]
+        told = lambda c: F.col(c) if c in ("margin", "threshold") else F.coalesce(F.col(c), F.lit(0))
+        parts += [F.coalesce(mean(told(c)), F.lit(0.0)).alias(f"{name}_{x}_mean") for x, c in means.items()]
+        out = out.join(rows.groupBy("run_id").agg(*parts), "run_id", "left")
+        if step == "margin":
+            found = counts(rows, "conflict_type", f"{name}_conflict_type_counts")
+            total = F.aggregate(F.map_values(f"{name}_conflict_type_counts"), F.lit(0).cast("long"), lambda a, x: a + x)
+            shares = F.transform_values(f"{name}_conflict_type_counts", lambda k, n: F.round(n / total, DIGITS))
+            out = out.join(found.withColumn(f"{name}_conflict_type_rates", shares), "run_id", "left")
+    return out
+
+
+#: The report's columns, in its order.
 FLAT = [
     "run_name", "source_type", "dataset", "retriever", "alpha", "top_k", "adv_per_query", "per_iteration", "repeat_times", "num_queries", "expected_queries", "complete",
     "retrieval_precision_mean", "retrieval_recall_mean", "retrieval_f1_mean", "asr_mean", "support_count_mean", "support_count_singleton_rate",

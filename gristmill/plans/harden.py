@@ -30,12 +30,13 @@ class HardenConfig:
 
 @dataclass
 class Hardened:
-    """What the pipeline gives, all by query: documents, what they say against each other, and the answers behind it."""
+    """What the pipeline gives, all by query: documents, what they say against each other, the answers behind it, and what each step of the choice noted."""
 
     documents: DataFrame
     conflicts: DataFrame
     answers: DataFrame
     references: DataFrame | None
+    trace: DataFrame
 
 
 def features(candidates: DataFrame, queries: DataFrame, c: HardenConfig) -> DataFrame:
@@ -94,7 +95,7 @@ def harden(candidates: DataFrame, queries: DataFrame, k: int, c: HardenConfig =
         rows = select.authority_gate(rows, required)
     rows = stored(features(rows, queries, c))
     rows = stored(rescored(rows, c))
-    picked = stored(choose.choose(rows, queries, k, c.choose))
-    shown = rows.drop("score").join(picked, ["query_id", "doc_id"])
+    trace = stored(choose.traced(rows, queries, k, c.choose))
+    shown = rows.drop("score").join(choose.shown(trace), ["query_id", "doc_id"])
     references = support.reference_support(rows) if "reference" in rows.columns else None
-    return Hardened(shown, support.contradiction(rows, shown), top_answers(rows), references)
+    return Hardened(shown, support.contradiction(rows, shown), top_answers(rows), references, trace)

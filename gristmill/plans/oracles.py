@@ -211,8 +211,8 @@ select * from (select query_id, doc_id, score, cluster_id, row_number() over (pa
 
 STAGED = f"""
 {bm25(k=10)},
-s0 as (select query_id, doc_id, score, rank, source, list_filter({words("text")}, lambda w: length(w) >= 9) as w from bm join documents using (doc_id)),
-s1 as (select * exclude (w), list_transform(list_slice({first_each("w")}, 1, 3), lambda x: left(x, 4)) as m from s0),
+s0 as (select query_id, doc_id, score, rank, source, {words("d.text")} as w, {words("b.text")} as q from bm join documents d using (doc_id) join benchmark b on b.item_id = query_id),
+s1 as (select * exclude (w, q), list_filter(w, lambda x: length(x) >= 5 and list_contains(q, x)) as m from s0),
 st1 as (select query_id, doc_id, score, rank, source, (substr(source, 4)::int // 2)::bigint as cluster_id, {first_each("m")} as keys,
          case when doc_id % 3 = 0 then ['bm25', 'dense'] else ['bm25'] end as channels,
          case when doc_id % 5 = 0 then 0.008::double else 0 end as echo_penalty, doc_id % 7 = 0 as low,
@@ -624,7 +624,7 @@ h2 as (select run_id, round(avg(sc), 6) as support_count_mean, round(avg((sc = 1
          round(avg((sc = 1)::int) filter (hit), 6) as adv_support_count_singleton_rate from rr group by all),
 h3 as (select run_id, round(avg(c1), 6) as contamination_at_1_mean, round(avg(c3), 6) as contamination_at_3_mean, round(avg(c5), 6) as contamination_at_5_mean, round(avg(ck), 6) as contamination_at_top_k_mean
        from (select run_id, query_id, avg(hit::int) filter (rank <= 1) as c1, avg(hit::int) filter (rank <= 3) as c3, avg(hit::int) filter (rank <= 5) as c5, avg(hit::int) filter (rank <= top_k) as ck from rr group by all) group by all),
-{RESPONSES}, an as (select run_id, per_iteration, ord, response, wrong from rs, rn where ord <= 60KEPT),
+{RESPONSES}, an as (select run_id, per_iteration, ord, response, wrong from rs, rn where trueKEPT),
 ao as (select *, row_number() over (partition by run_id order by ord) as o from an),
 ai as (select run_id, (PLACE - 1) // per_iteration as i, round(count(*) filter (response is not null and contains({clean("response")}, {clean("wrong")})) / SIZE, 6) as asr from ao group by all),
 h4 as (select run_id, to_json(list(asr order by i))::varchar as asr_by_iter, round(avg(asr), 6) as asr_mean from ai group by all),
@@ -688,6 +688,77 @@ cw as (
   from (select p.*, cs, az, len(cs) < 5 and not list_contains(cs, p.cluster_id) and (p.a = '' or not list_contains(az, p.a)) as v from cw w join cp p on p.query_id = w.query_id and p.place = w.place + 1) p)
 select query_id, doc_id, row_number() over (partition by query_id order by place) as place, round(hs, 6) as score from cw where kept"""
 
+# --- what the steps of the choice note --------------------------------------------------------------------
+
+#: ch: the five documents by score, one a cluster, numbered (n) with their first answers; po: these and then the others, as the margin gate sees them (n).
+PICKED = f"""
+{PLACED}, cp as (select query_id, doc_id, cluster_id, place from pl),
+cw as (
+  select query_id, doc_id, place, true as kept, [cluster_id] as cs from cp where place = 1
+  union all
+  select p.query_id, p.doc_id, p.place, v, case when v then list_append(cs, p.cluster_id) else cs end
+  from (select p.*, cs, len(cs) < 5 and not list_contains(cs, p.cluster_id) as v from cw w join cp p on p.query_id = w.query_id and p.place = w.place + 1) p),
+al as (select s.*, keys[1] as answer_key, cw.kept, cw.place from cw join st1 s using (query_id, doc_id)),
+ch as (select *, row_number() over (partition by query_id order by place) as n from al where kept),
+po as (select *, row_number() over (partition by query_id order by kept desc, place) as n from al)"""
+TOP1 = f"""
+{PICKED},
+t0 as (select query_id, count(*) as size, max(case when n = 1 then answer_key end) as top1_answer, count(distinct answer_key) as answers, max(case when n = 1 then doc_id end) as top1_doc from ch group by all),
+t1 as (select query_id, answer_key, count(distinct cluster_id) as cc, count(distinct cluster_id) filter (echo_penalty = 0 and not low) as ne from ch where answer_key is not null group by all),
+t2 as (select t0.*, cc, ne, size >= 2 and answers >= 2 as conflict, conflict and top1_answer is not null as judged, cc <= 1 or ne = 0 as isolated from t0 left join t1 on t1.query_id = t0.query_id and t1.answer_key = top1_answer),
+t3 as (select t2.query_id, list(t1.answer_key order by t1.answer_key) filter (t1.ne >= 2) as free, list(t1.answer_key order by t1.answer_key) filter (t1.cc >= 2) as any_two
+       from t2 join t1 on t1.query_id = t2.query_id and t1.answer_key <> top1_answer group by all),
+tt as (select query_id, top1_doc, top1_answer, conflict as conflict_detected, case when judged then isolated end as top1_isolated, case when judged then cc end as top1_cluster_count,
+         case when judged then ne end as top1_non_echo_cluster_count, judged and isolated as triggered,
+         case when judged and isolated then coalesce(free, any_two, []) end as backed from t2 left join t3 using (query_id))"""
+SQL["trace_top1"] = f"with recursive {TOP1} select * exclude (backed), array_to_string(backed, ',') as supported_alternative_answers from tt"
+HEAD = f"""
+{PICKED},
+h0 as (select query_id, least(3, count(*)) as head_k, least(count(*), 5) as shown from ch group by all),
+h1 as (select query_id, list_sort(list_distinct(list(answer_key) filter (n <= head_k))) as heads from ch join h0 using (query_id) where answer_key is not null group by all),
+h2 as (select query_id, answer_key, count(distinct cluster_id) as cc from ch where answer_key is not null group by all),
+h3 as (select query_id, list(answer_key order by answer_key) filter (cc >= 2) as supported from h2 group by all),
+h4 as (select h0.query_id, head_k, coalesce(heads, []) as heads, len(coalesce(heads, [])) >= 2 as conflict, coalesce(supported, []) as supported from h0 left join h1 using (query_id) left join h3 using (query_id)),
+h5 as (select c.query_id, list(doc_id order by n) filter (cc <= 1 and n > 1 and list_contains(heads, c.answer_key)) as lone, bool_or(n = 1) as first_answered
+       from ch c join h2 on h2.query_id = c.query_id and h2.answer_key = c.answer_key join h4 on h4.query_id = c.query_id group by all),
+hd as (select query_id, head_k, heads, conflict as conflict_detected, conflict as triggered, case when conflict then len(supported) = 0 end as severe_conflict,
+         case when conflict then supported end as supported, case when conflict then coalesce(lone, []) end as lone, conflict and coalesce(first_answered, false) as rank1_protected from h4 left join h5 using (query_id))"""
+SQL["trace_head"] = f"""
+with recursive {HEAD} select * exclude (heads, supported, lone), array_to_string(heads, ',') as head_answers, array_to_string(supported, ',') as supported_answers, array_to_string(lone, ',') as isolated_docs from hd"""
+GATE = f"""
+{PICKED}, ps as (select {ROBUST}, min(n) as best_rank from po where answer_key is not null group by query_id, answer_key),
+{MARGIN[MARGIN.index("m0 as"):]},
+mq as (select query_id, count(*) as size, bool_or({RISKY}) as high_risk from ch join benchmark b on b.item_id = query_id group by all),
+mc as (select t.query_id, t.answer_key as top_answer, r.answer_key as runner_up_answer, round(t.ss - r.ss, 9) as margin, t.isolated as top_isolated,
+         t.independent <= 1 and t.channel_count <= 1 as weak, t.echo_ratio >= 0.5::double or t.echo_docs >= t.doc_count as echo,
+         (select count(*) from ms x where x.query_id = t.query_id and x.independent >= 2) as strong, r.independent > t.independent as behind, r.independent >= 2 as runner, high_risk
+       from mq join ms t on t.query_id = mq.query_id and t.place = 1 join ms r on r.query_id = t.query_id and r.place = 2 where size >= 2),
+md as (select *, round(least(0.75::double + case when weak or top_isolated then 0.25::double else 0 end + case when echo then 0.15::double else 0 end
+         + case when strong >= 2 then 0.15::double else 0 end + case when strong = 0 then 0.2::double else 0 end + case when high_risk then 0.35::double else 0 end, 1.5::double), 9) as threshold from mc),
+mg as (select q.query_id, top_answer, runner_up_answer, margin, coalesce(threshold, 0.75::double) as threshold, coalesce(margin < threshold, false) as low_margin, coalesce(margin < threshold, false) as triggered,
+         array_to_string(list_filter([case when weak or top_isolated then 'weak_or_isolated_top' end, case when echo then 'echo_heavy_top' end, case when strong >= 2 then 'multi_supported_conflict' end,
+           case when strong = 0 then 'no_strong_answer' end, case when d.high_risk then 'high_risk_query' end], lambda x: x is not null), ',') as threshold_reasons,
+         case when d.query_id is null then null when strong >= 2 then 'multi_supported_conflict' when behind then 'top_not_best_support' when weak and runner then 'weak_top_with_supported_alternative'
+           when strong = 0 then 'no_strong_answer' when echo then 'echo_heavy_top_answer' when top_isolated then 'isolated_top_answer' else 'weak_conflict' end as conflict_type,
+         weak or top_isolated or echo as top_answer_weak, top_isolated as top_answer_isolated, echo as top_answer_echo_heavy, runner as runner_up_supported,
+         strong >= 2 as multi_supported_conflict, strong = 0 as no_strong_answer, d.high_risk as high_risk_query from mq q left join md d using (query_id))"""
+SQL["trace_margin"] = f"with recursive {GATE} select * from mg"
+SHARE = lambda x: f"round(avg(coalesce({x}, false)::int), 6)"
+SQL["summary_sections"] = f"""
+with recursive {TOP1}, {HEAD[HEAD.index("h0 as"):]}, {GATE[GATE.index("ps as"):]},
+rn(run_id) as (values ('all'), ('even')),
+sec1 as (select run_id, {SHARE("triggered")} as top1_dominance_trigger_rate, {SHARE("conflict_detected")} as top1_dominance_conflict_rate, {SHARE("top1_isolated")} as top1_dominance_top1_isolated_rate,
+         round(avg(len(coalesce(backed, []))), 6) as top1_dominance_supported_alternative_answer_count_mean, round(avg(coalesce(top1_cluster_count, 0)), 6) as top1_dominance_top1_cluster_count_mean,
+         round(avg(coalesce(top1_non_echo_cluster_count, 0)), 6) as top1_dominance_top1_non_echo_cluster_count_mean from tt, rn where run_id = 'all' or query_id % 2 = 0 group by all),
+sec2 as (select run_id, {SHARE("triggered")} as head_filter_trigger_rate, {SHARE("severe_conflict")} as head_filter_severe_conflict_rate,
+         round(avg(len(coalesce(lone, []))), 6) as head_filter_isolated_doc_count_mean from hd, rn where run_id = 'all' or query_id % 2 = 0 group by all),
+sec3 as (select run_id, {SHARE("triggered")} as margin_gate_trigger_rate, {SHARE("low_margin")} as margin_gate_low_margin_rate, round(coalesce(avg(margin), 0), 6) as margin_gate_margin_mean,
+         round(avg(threshold), 6) as margin_gate_effective_threshold_mean, {", ".join(f"{SHARE(x)} as margin_gate_{x}_rate" for x in ("top_answer_weak", "top_answer_isolated", "top_answer_echo_heavy", "runner_up_supported", "multi_supported_conflict", "no_strong_answer", "high_risk_query"))}
+       from mg, rn where run_id = 'all' or query_id % 2 = 0 group by all),
+sec4 as (select run_id, '{{{{' || string_agg('"' || k || '":' || n, ',' order by k) || '}}}}' as margin_gate_conflict_type_counts
+       from (select run_id, coalesce(conflict_type, 'unknown') as k, count(*) as n from mg, rn where run_id = 'all' or query_id % 2 = 0 group by all) group by all)
+select * from sec1 join sec2 using (run_id) join sec3 using (run_id) join sec4 using (run_id)""".replace("{{", "{").replace("}}", "}")
+
 # --- answers and costs ------------------------------------------------------------------------------------
 
 

@@ -74,8 +74,7 @@ def inside(spark: SparkSession, sf: str) -> retrieve.Bm25Index:
 
 def bm25(spark: SparkSession, sf: str, k: int = DEPTH) -> DataFrame:
     """The k best of each query; k up to 30 comes from one stored ranking."""
-    scores = lambda: retrieve.top_k(retrieve.bm25_scores(index(spark, sf), asked(spark, sf)), max(k, 30))
-    ranked = store.once([docs(spark, sf), asked(spark, sf)], f"ranking-{max(k, 30)}", scores)
+    ranked = store.once([docs(spark, sf), asked(spark, sf)], f"ranking-{max(k, 30)}", lambda: retrieve.bm25_top_k(index(spark, sf), asked(spark, sf), max(k, 30)))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -84,11 +83,11 @@ def dense(spark: SparkSession, sf: str, k: int = DEPTH, metric: str = "cosine")
 
 
 def staged(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with plain features: the long words of a text as mentions, its source as cluster."""
-    rows = bm25(spark, sf, 10).join(docs(spark, sf).select("doc_id", "text", "source"), "doc_id")
-    words = F.slice(F.array_distinct(F.filter(X.words_of(X.normalize(F.col("text"))), lambda w: F.length(w) >= 9)), 1, 3)
-    few = F.transform(words, lambda w: mentions.mention(F.substr(w, F.lit(1), F.lit(4)), "word"))
-    rows = rows.withColumn("mentions", mentions.first_of_each(few))
+    """Candidates with plain features: the query's longer words that a text holds as mentions, its source as cluster."""
+    rows = bm25(spark, sf, 10).join(docs(spark, sf).select("doc_id", "text", "source"), "doc_id").join(asked(spark, sf), "query_id")
+    of_query = X.words_of(X.normalize(F.col("query")))
+    words = F.array_distinct(F.filter(X.words_of(X.normalize(F.col("text"))), lambda w: (F.length(w) >= 5) & F.array_contains(of_query, w)))
+    rows = rows.withColumn("mentions", mentions.first_of_each(F.transform(words, lambda w: mentions.mention(w, "word"))))
     flag = lambda n: F.expr(f"pmod(doc_id, {n}) = 0")
     ground = F.struct(
         F.expr("pmod(doc_id, 4)").cast("int").alias("overlap"), (F.expr("pmod(doc_id, 4)") / 4).alias("coverage"), F.expr("pmod(doc_id, 40)").cast("int").alias("content_tokens"),
@@ -231,7 +230,13 @@ def text_head_and_tail(spark, sf):
 
 @query
 def bm25_postings(spark, sf):
-    return index(spark, sf).postings
+    return index(spark, sf).postings.select("term", "doc_id", "tf")
+
+
+@query
+def bm25_postings_read(spark, sf):
+    """How many of the postings of its terms each query's pruned search scores."""
+    return retrieve.postings_read(index(spark, sf), asked(spark, sf), DEPTH)
 
 
 @query
@@ -250,8 +255,8 @@ def bm25_top_k(spark, sf):
 def bm25_with_arrivals(spark, sf):
     outside = provenance() == "Runtime_External"
     found = inside(spark, sf)
-    extra = retrieve.bm25_extra(found, docs(spark, sf).where(outside), asked(spark, sf))
-    return retrieve.merge_top_k(retrieve.bm25_scores(found, asked(spark, sf)), extra, DEPTH)
+    extra = retrieve.bm25_extra(found, docs(spark, sf).where(outside), asked(spark, sf), k=DEPTH)
+    return retrieve.merge_top_k(retrieve.bm25_top_k(found, asked(spark, sf), DEPTH).drop("rank"), extra, DEPTH)
 
 
 @query
@@ -370,9 +375,10 @@ def ensemble_min_support(spark, sf):
 @query
 def poisoned_ranking(spark, sf):
     """A stored run with all queries' poison merged in, and how much of its own each query shows."""
-    base = retrieve.bm25_index(docs(spark, sf).join(poison(spark, sf), "doc_id", "left_anti"))
+    base = indexed("unpoisoned", docs(spark, sf).join(poison(spark, sf), "doc_id", "left_anti"))
     extra = docs(spark, sf).join(poison(spark, sf).select("doc_id").distinct(), "doc_id", "left_semi")
-    merged = retrieve.merge_top_k(retrieve.bm25_scores(base, asked(spark, sf)), retrieve.bm25_extra(base, extra, asked(spark, sf)), 10)
+    found = retrieve.bm25_top_k(base, asked(spark, sf), 10).drop("rank")
+    merged = retrieve.merge_top_k(found, retrieve.bm25_extra(base, extra, asked(spark, sf), k=10), 10)
     return evaluate.poison_hits(merged, poison(spark, sf)).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 
@@ -451,9 +457,9 @@ def mentions_semantic(spark, sf):
 
 @query
 def mentions_reader(spark, sf):
-    """A reader's spans, here the words of a document's start, with logits made of their place."""
+    """A reader's spans, here the words of whole texts, with logits made of their place."""
     rows = with_texts(spark, sf, 3).select("query_id", "query", "doc_id", F.posexplode(F.filter(F.split(F.col("text"), r"\s+"), lambda w: F.length(w) > 3)).alias("start", "label"))
-    rows = rows.where("start < 40").withColumns({"end": F.expr("start + start % 3 - 1"), "start_logit": F.expr("pmod(doc_id + start * 5, 11) / 2.0D"), "end_logit": F.expr("pmod(start * 3, 7) / 4.0D")})
+    rows = rows.withColumns({"end": F.expr("start + start % 3 - 1"), "start_logit": F.expr("pmod(doc_id + start * 5, 11) / 2.0D"), "end_logit": F.expr("pmod(start * 3, 7) / 4.0D")})
     found = mentions.reader_spans(rows, 4, 12, 8, 1.0)
     return found.select("query_id", "doc_id", "start", "end", "label", "key", F.round("score", 6).alias("score"), "rank")
 
@@ -587,10 +593,60 @@ def score_robust(spark, sf):
 # --- selection ------------------------------------------------------------------------------------
 
 
-def chosen(spark, sf, **steps) -> DataFrame:
+def supported(spark, sf) -> DataFrame:
     rows = staged(spark, sf)
-    rows = store.once([docs(spark, sf), asked(spark, sf)], "supported", lambda: score.support_score(rows, support.answer_support(rows)))
-    return choose.choose(rows, asked(spark, sf), 5, choose.ChooseConfig(**steps)).withColumns({x: F.round(x, 6) for x in ("score", "gain")})
+    return store.once([docs(spark, sf), asked(spark, sf)], "supported", lambda: score.support_score(rows, support.answer_support(rows)))
+
+
+def chosen(spark, sf, **steps) -> DataFrame:
+    return choose.choose(supported(spark, sf), asked(spark, sf), 5, choose.ChooseConfig(**steps)).withColumns({x: F.round(x, 6) for x in ("score", "gain")})
+
+
+def noted(spark, sf, **steps) -> DataFrame:
+    """query_id and what the one step set up noted, lists comma-joined."""
+    (step,) = steps
+    rows = choose.traced(supported(spark, sf), asked(spark, sf), 5, choose.ChooseConfig(**steps)).select("query_id", f"{step}.*")
+    lists = [f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.StructType)]
+    return rows.withColumns({x: F.array_join(x, ",") for x in lists})
+
+
+@query
+def trace_top1(spark, sf):
+    wanted = "top1_doc top1_answer conflict_detected top1_isolated top1_cluster_count top1_non_echo_cluster_count triggered supported_alternative_answers".split()
+    return noted(spark, sf, top1=choose.Top1Config()).select("query_id", *wanted)
+
+
+@query
+def trace_head(spark, sf):
+    wanted = "head_k conflict_detected triggered severe_conflict rank1_protected head_answers supported_answers isolated_docs".split()
+    return noted(spark, sf, head=choose.HeadConfig()).select("query_id", *wanted)
+
+
+@query
+def trace_margin(spark, sf):
+    wanted = "top_answer runner_up_answer margin threshold low_margin triggered threshold_reasons conflict_type top_answer_weak top_answer_isolated top_answer_echo_heavy".split()
+    wanted += "runner_up_supported multi_supported_conflict no_strong_answer high_risk_query".split()
+    rows = noted(spark, sf, margin=choose.MarginGateConfig())
+    return rows.select("query_id", *wanted).withColumn("threshold_reasons", F.coalesce("threshold_reasons", F.lit("")))
+
+
+@query
+def summary_sections(spark, sf):
+    """Two runs' sections, each step traced by itself: all queries, and those of even id."""
+    steps = {"top1": choose.Top1Config(), "head": choose.HeadConfig(), "margin": choose.MarginGateConfig()}
+    both = F.explode(F.when(F.expr("pmod(query_id, 2) = 0"), F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all")))).alias("run_id")
+    parts = [choose.traced(supported(spark, sf), asked(spark, sf), 5, choose.ChooseConfig(**{k: v})).select("query_id", k) for k, v in steps.items()]
+    rows = summary.sections(parts[0].join(parts[1], "query_id").join(parts[2], "query_id").select(both, *steps))
+    simulated = [c for c in rows.columns if c.endswith(("_enabled", "_order_changed_rate", "_uncertain_recommended_rate", "_promoted_count_mean", "_promoted_doc_count_mean", "_penalized_doc_count_mean", "_boosted_doc_count_mean", "_type_rates"))]
+    return rows.drop(*simulated).withColumn("margin_gate_conflict_type_counts", F.to_json("margin_gate_conflict_type_counts"))
+
+
+@query
+def choose_trace(spark, sf):
+    """All steps in turn: what each noted, as JSON."""
+    steps = choose.ChooseConfig(guard=choose.GuardConfig(top_n=2), top1=choose.Top1Config(), margin=choose.MarginGateConfig(), head=choose.HeadConfig(), greedy=choose.GreedyConfig())
+    rows = choose.traced(supported(spark, sf), asked(spark, sf), 5, steps)
+    return rows.select("query_id", *(F.to_json(x).alias(x) for x in ("documents", *choose.TRACE)))
 
 
 @query
@@ -645,8 +701,18 @@ def gate_authority(spark, sf):
     return select.authority_gate(staged(spark, sf), asks).select("query_id", "doc_id")
 
 
+_HARDENED: dict = {}
+
+
 def hardened(spark, sf) -> harden.Hardened:
-    """The whole evidence pipeline over fused candidates, with all its steps."""
+    """The whole evidence pipeline over fused candidates, with all its steps; run once for all queries that read its tables."""
+    key = spark.sparkContext.applicationId, store.version(docs(spark, sf)), store.version(asked(spark, sf))
+    if key not in _HARDENED:
+        _HARDENED[key] = hardened_anew(spark, sf)
+    return _HARDENED[key]
+
+
+def hardened_anew(spark, sf) -> harden.Hardened:
     fused = fusion.fuse(fusion.channels_of({"dense": dense(spark, sf), "bm25": bm25(spark, sf)}), DEPTH)
     found = fused.withColumn("channels", F.map_keys("channels")).join(docs(spark, sf).select("doc_id", "text", provenance().alias("provenance")), "doc_id")
     words = X.words_of(X.normalize(F.col("query")))
@@ -656,7 +722,7 @@ def hardened(spark, sf) -> harden.Hardened:
     steps = choose.ChooseConfig(guard=choose.GuardConfig(), top1=choose.Top1Config(), margin=choose.MarginGateConfig(), head=choose.HeadConfig(), greedy=choose.GreedyConfig())
     asks = asked(spark, sf)
     routed = policy.route(asks, policy.consequence_matches(asks, tables.consequences(spark)))
-    asks = asks.join(routed.select("query_id", "policy_margin", "require_authority", (F.col("risk_tier") == "high").alias("policy_high")), "query_id").withColumn("answers", answers)
+    asks = asks.join(routed.select("query_id", "policy_margin", "require_authority", (F.col("risk_tier") == "high").alias("policy_high"), F.col("risk_tier").alias("policy_tier")), "query_id").withColumn("answers", answers)
     config = harden.HardenConfig(provenance_gate=True, authority_gate=True, choose=steps)
     return harden.harden(found, asks, 5, config, required=asks)
 
@@ -667,6 +733,13 @@ def hardened_results(spark, sf):
     return rows.select("query_id", "doc_id", "rank", "cluster_id", "place", F.round("score", 6).alias("score"), F.round("gain", 6).alias("gain"), *choose.FLAGS)
 
 
+@query
+def hardened_trace(spark, sf):
+    """What the steps noted in the whole pipeline, as the sections of a run."""
+    rows = summary.sections(hardened(spark, sf).trace.withColumn("run_id", F.lit("run")))
+    return rows.withColumns({x: F.to_json(x) for x in rows.columns if x.endswith(("_counts", "_rates"))})
+
+
 @query
 def hardened_conflicts(spark, sf):
     return hardened(spark, sf).conflicts
@@ -855,7 +928,7 @@ def run_facts(spark, sf) -> dict:
     both = F.explode(F.when(F.expr("pmod(query_id, 2) = 0"), F.array(F.lit("all"), F.lit("even"))).otherwise(F.array(F.lit("all")))).alias("run_id")
     rows = hits(spark, sf).select(both, "query_id", "rank", F.expr("1 + pmod(doc_id, 3)").alias("support_count"), "hit")
     poison = rows.join(runs.select("run_id", "top_k"), "run_id").where("rank <= top_k").groupBy("run_id", "query_id").agg(F.count_if("hit").alias("hits"))
-    said = responses(spark, sf).where("ord <= 60").select(F.explode(F.array(F.lit("all"), F.lit("even"))).alias("run_id"), "ord", "response", "incorrect_answer")
+    said = responses(spark, sf).select(F.explode(F.array(F.lit("all"), F.lit("even"))).alias("run_id"), "ord", "response", "incorrect_answer")
     gate = rows.select("run_id", "query_id").distinct().select("run_id", "query_id", F.expr("case pmod(query_id, 4) when 0 then 'block' when 1 then 'allow' end").alias("action"), F.expr("pmod(query_id, 4) = 0").alias("skipped"))
     level = rows.groupBy("run_id", "query_id").agg((F.count_if("hit") > 0).alias("conflict_detected"), F.max("support_count").alias("selected_answer_count"),
                                                    F.when(F.max("rank") > 9, "weak_conflict").otherwise("none").alias("conflict_type"))

@@ -32,10 +32,10 @@ class Inputs:
 def bm25(config: dict[str, Any], given: Inputs, k: int) -> DataFrame:
     options = {name: float(config.get("bm25", {}).get(name, default)) for name, default in (("k1", retrieve.K1), ("b", retrieve.B))}
     index = given.index or retrieve.bm25_index(given.documents)
-    scores = retrieve.bm25_scores(index, given.queries, **options)
+    found = retrieve.bm25_top_k(index, given.queries, k, **options)
     if given.extra is None:
-        return retrieve.top_k(scores, k)
-    return retrieve.merge_top_k(scores, retrieve.bm25_extra(index, given.extra, given.queries, **options), k).drop("is_extra")
+        return found
+    return retrieve.merge_top_k(found.drop("rank"), retrieve.bm25_extra(index, given.extra, given.queries, **options, k=k), k).drop("is_extra")
 
 
 def dense(config: dict[str, Any], given: Inputs, k: int) -> DataFrame:

@@ -7,11 +7,13 @@ share. A stored table also cuts the plan that made it, and outlives lost executo
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,21 +33,44 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written out and read again."""
-    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """df written out and read again; the table goes when the program ends."""
+    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    if not hasattr(spark.sparkContext, "_gristmill_stored"):
+        spark.sparkContext._gristmill_stored = []
+        atexit.register(_dropped, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gristmill_stored)
+    spark.sparkContext._gristmill_stored.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dropped(jvm, conf, paths: list[str]) -> None:
+    """Delete tables of an ended program; where its JVM is gone already, they stay."""
+    for path in paths:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        except (Py4JError, OSError):
+            return
+
+
+#: Up to so many input files are asked for their sizes and times one by one; of more, their folders are asked.
+ASKED = 256
 
 
 def version(df: DataFrame) -> tuple:
-    """The files under df with their sizes and times, so that a changed input is not taken for the same."""
+    """The files under df with their sizes and times, so that a changed input is not taken for the same.
+
+    Of more than ASKED files, their names count, and each folder's time, total size and number of files.
+    """
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    found = []
-    for name in sorted(df.inputFiles()):
+    names, found = sorted(df.inputFiles()), []
+    many = len(names) > ASKED
+    for name in sorted({x.rpartition("/")[0] for x in names}) if many else names:
         path = jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        found.append((name, status.getLen(), status.getModificationTime()))
-    return tuple(found)
+        system = path.getFileSystem(conf)
+        status = system.getFileStatus(path)
+        found.append((name, system.getContentSummary(path).getLength() if many else status.getLen(), status.getModificationTime()))
+    return tuple(found), hashlib.sha256("\n".join(names).encode()).hexdigest()
 
 
 def once(inputs: list[DataFrame], name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -20,8 +20,9 @@ def test_tokens_are_those_of_python(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     want = {i: re.findall(r"\b\w+\b", (t or "").lower()) for i, t in enumerate(TEXTS)}
     assert {r.doc_id: r.t for r in df.select("doc_id", X.tokens(F.col("text")).alias("t")).collect()} == want
-    counted = {r.doc_id: (r.dl, sorted((w.term, w.tf) for w in r.words)) for r in X.counted_tokens(df).collect()}
-    assert counted == {i: (len(w), sorted((x, w.count(x)) for x in set(w))) for i, w in want.items()}
+    counted = {(r.doc_id, r.term): (r.tf, r.dl) for r in X.term_counts(df).collect()}
+    assert counted == {(i, x): (w.count(x), len(w)) for i, w in want.items() for x in w}
+    assert {r.doc_id: r.n for r in df.select("doc_id", X.token_count(F.col("text")).alias("n")).collect()} == {i: len(w) for i, w in want.items()}
 
 
 def test_composed_and_decomposed_forms_meet(spark):
@@ -47,6 +48,41 @@ def test_index_is_written_and_read(spark, tmp_path):
         retrieve.read_index(spark, f"{tmp_path}/i")
 
 
+def test_pruned_search_gives_the_same_rows(spark):
+    """Over whole tables, for few and many results, other constants, repeated texts (ties) and blocks of a few postings."""
+    docs, asks = queries.docs(spark, SF).select("doc_id", "text"), queries.asked(spark, SF).unionByName(spark.createDataFrame([(900, "zzz none"), (901, "")], "query_id bigint, query string"))
+    docs = docs.unionByName(docs.where("doc_id < 60").withColumn("doc_id", F.expr("doc_id + 5000"))).cache()
+    before, retrieve.POSTINGS = retrieve.POSTINGS, 16
+    try:
+        index = retrieve.bm25_index(docs, lambda name, df: df.cache())
+        for k, k1, b in ((1, retrieve.K1, retrieve.B), (20, retrieve.K1, retrieve.B), (20, 0.9, 0.4), (5000, retrieve.K1, retrieve.B)):
+            want = retrieve.top_k(retrieve.bm25_scores(index, asks, k1, b), k)
+            assert sorted(map(tuple, retrieve.bm25_top_k(index, asks, k, k1, b).collect())) == sorted(map(tuple, want.collect()))
+        read = retrieve.postings_read(index, asks, 5).agg(F.sum("postings"), F.sum("read"), F.sum("looked_up")).first()
+        assert read[1] + read[2] < 0.8 * read[0]
+        assert index.blocks.agg(F.max("size")).first()[0] < 64
+    finally:
+        retrieve.POSTINGS = before
+
+
+def test_extras_are_kept_that_can_be_among_the_best(spark):
+    docs, asks = queries.docs(spark, SF).select("doc_id", "text"), queries.asked(spark, SF)
+    index, extra = retrieve.bm25_index(docs.where("doc_id >= 60")), docs.where("doc_id < 60").unionByName(spark.createDataFrame([(-1, None), (-2, "zz")], "doc_id bigint, text string"))
+    asks = asks.unionByName(spark.createDataFrame([(900, "nothing shared"), (901, docs.first()["text"][:30])], "query_id bigint, query string"))
+    for k in (1, 7, 500):
+        full = retrieve.top_k(retrieve.bm25_extra(index, extra, asks), k)
+        assert sorted(map(tuple, retrieve.top_k(retrieve.bm25_extra(index, extra, asks, k=k), k).collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_a_changed_input_has_another_version(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(300).repartition(300).write.parquet(path)
+    first = store.version(spark.read.parquet(path))
+    assert first == store.version(spark.read.parquet(path))
+    spark.range(5).coalesce(1).write.mode("append").parquet(path)
+    assert first != store.version(spark.read.parquet(path))
+
+
 def test_vectors_in_blocks_are_those_shipped(spark):
     rows, asks = queries.vectors(spark, SF)
     for metric in ("dot", "cosine"):
