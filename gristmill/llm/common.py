@@ -11,7 +11,7 @@ from functools import lru_cache, wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.sources.store import folder
@@ -79,6 +79,16 @@ def broadcast_if_few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def named(column: str) -> str:
+    """A column's name as one part, whatever dots and backticks it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df under their names, whatever these are."""
+    return [F.col(named(c)) for c in df.columns]
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted that df has no column of, whatever its extra columns are called."""
     have = {c.lower() for c in df.columns}

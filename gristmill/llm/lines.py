@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import FEW_ROWS, Scratch, broadcast_if_few, fresh
+from gristmill.llm.common import FEW_ROWS, Scratch, broadcast_if_few, fresh, named
 
 RATIO, LEAST_PAGES = 0.05, 5
 #: Where hosts' lists are too large to broadcast, a host's pages meet its list in this many parts.
@@ -74,7 +74,7 @@ def drop_site_lines(
     kept = F.filter(lines, lambda x: (bare(x) == "") | ~F.array_contains(F.col(dropped), key(x)))
     joined = joined.withColumn(keys, F.when(F.col(dropped).isNull(), F.col(lines)).otherwise(kept))
     text = F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.array_join(keys, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [text.alias(c) if c == text_col else F.col(named(c)) for c in docs.columns]
     if dropped_col:
         columns.append((F.size(F.coalesce(lines, F.array())) - F.size(F.coalesce(keys, F.array()))).cast("long").alias(dropped_col))
     return joined.select(*columns)
@@ -130,7 +130,7 @@ def drop_site_lines_of_pages(
     joined = with_lists(docs, lists.toDF(*names), host_col, text_col)
     gone = F.col(names[1])
     text = F.when(gone.isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), gone))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(named(c)) for c in docs.columns))
 
 
 def without(text: Column, dropped: Column) -> Column:

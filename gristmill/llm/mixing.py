@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, slices, text_bytes, trimmed
+from gristmill.llm.common import SPACE, Scratch, broadcast_if_few, named, slices, text_bytes, trimmed
 from gristmill.sources.store import numbered
 
 #: A word is a run of characters other than space and the five control characters of white space.
@@ -225,7 +225,8 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     if not plan.where("take < ties").limit(1).count():
         return joined.select(*out, more.alias("copies"))
     shared = joined.where(split).groupBy(*out, "source", "base", "take").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("source", "size").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    row = F.col("row") if "map<" not in rows.schema["row"].dataType.simpleString() else F.col("row").cast("string")  # maps have no order
+    before = Window.partitionBy("source", "size").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
     shared = shared.withColumn("left", F.col("take") - F.coalesce(F.sum("c").over(before), F.lit(0)))
     shared = shared.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
     shared = shared.select(*out, F.when(F.col("i") <= F.col("left"), F.col("base") + 1).otherwise(F.col("base")).alias("copies"))
@@ -235,7 +236,7 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def sized(docs: DataFrame, row: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
     """row (a struct of the columns named), source, size, u."""
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1)
-    return docs.select(F.struct(*row).alias("row"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), u.alias("u"))
+    return docs.select(F.struct(*(F.col(named(c)) for c in row)).alias("row"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), u.alias("u"))
 
 
 def allocation(

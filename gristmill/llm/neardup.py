@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import Scratch, batch_slices, components, fresh, frugal, mixed, shingle_sets, spent
+from gristmill.llm.common import Scratch, batch_slices, columns_of, components, fresh, frugal, mixed, named, shingle_sets, spent
 
 #: Signature length; the number of orders (trees), which start at even steps of it; and the least
 #: common prefix that makes two documents neighbours in an order.
@@ -503,12 +503,12 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
             found = scratch.save(found.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(rows)), "found")
         known = known.withColumn(key, F.col(id_col))
     found = scratch.save(found, "kept")
-    out = known.join(found.where(F.col(rows) == 1).select(key), key, "left_semi").select(*docs.columns)
+    out = known.join(found.where(F.col(rows) == 1).select(key), key, "left_semi").select(*columns_of(docs))
     often = found.where(F.col(rows) > 1).select(key)
     if often.limit(1).count():
-        order = [F.col(f.name) for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+        order = [F.col(named(f.name)) for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
         same = known.join(often, key, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-        out = out.unionByName(same.where(F.col(place) == 1).select(*docs.columns))
+        out = out.unionByName(same.where(F.col(place) == 1).select(*columns_of(docs)))
     if docs.where(F.col(id_col).isNull()).limit(1).count():
         out = out.unionByName(docs.where(F.col(id_col).isNull()))
     return out

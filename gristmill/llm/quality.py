@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Scratch, broadcast_if_few, shingle_sets, slices, text_bytes, trimmed
+from gristmill.llm.common import Scratch, broadcast_if_few, columns_of, shingle_sets, slices, text_bytes, trimmed
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "pipes", "bangs", "digits", "distinct", "line_ends", "spaces")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -199,7 +199,7 @@ def good(
         return docs
     table = rates(scratch, scores)
     own = model.logit(features(F.coalesce(text_col, F.lit(""))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host_col).cast("string").alias("h"), F.col(path_col).cast("string").alias("p"), own.alias("z"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(host_col).cast("string").alias("h"), F.col(path_col).cast("string").alias("p"), own.alias("z"))
     return judged(rows, *table).where(F.col("quality") >= threshold).select("row.*")
 
 

@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,16 @@ def is_der_key(data: bytes) -> bool:
     return version == b"\1" and tags[1] == 0x04 and len(inner[1][1]) in (20, 24, 28, 32, 48, 66)
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """An algorithm (identifier and parameters) and an octet string, as in an encrypted private key."""
+    top = elements(data)
+    inner = elements(top[0][1]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+    if not inner or [t for t, _ in inner] != [0x30, 0x04] or len(inner[1][1]) < 32:
+        return False
+    algorithm = elements(inner[0][1])
+    return bool(algorithm) and len(algorithm) == 2 and [t for t, _ in algorithm] == [0x06, 0x30] and bool(elements(algorithm[1][1]))
+
+
 def is_openssh_key(data: bytes) -> bool:
     """The magic, then cipher, derivation, options, a key count, and as many length-prefixed blobs."""
     if not data.startswith(OPENSSH):
@@ -101,7 +112,7 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def is_key(data: bytes | None) -> bool:
-    return bool(data) and (is_der_key(data) or is_openssh_key(data))
+    return bool(data) and (is_der_key(data) or is_encrypted_key(data) or is_openssh_key(data))
 
 
 def is_signed_token(text: str) -> bool:
@@ -116,21 +127,37 @@ def is_signed_token(text: str) -> bool:
     return not signature if header["alg"].lower() == "none" else len(signature) >= 32 and decoded(signature) is not None
 
 
-def scan(text: str) -> list[tuple[int, int, str, int, str]]:
-    """Sorted spans of the base kinds and of what decoding confirms; confirmed ones don't overlap each other."""
-    found = []
-    low = text.lower()
-    if any(w in low for w in WORDS):
-        found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    if "AKIA" in text:
-        found += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    found += [("hex", *m.span()) for m in HEX.finditer(text)]
+#: An encoding may stand in an encoding: base64 of base64 of an armoured key is at depth 3.
+DEPTH = 3
+#: The first bytes of what is looked into further: a sequence, the OpenSSH container, or text.
+TEXT = frozenset((*b"\t\n\r", *range(0x20, 0x7F)))
+
+
+def confirmed(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of keys and tokens, as they stand or inside base64 or hex, up to ``depth`` encodings deep; none overlap.
+
+    What is decoded is parsed as a key; where it is text it is searched in turn. Each encoding
+    shortens, so time is in proportion to the text.
+    """
     sure: list[tuple[str, int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order of start
 
     def add(kind: str, start: int, end: int) -> None:
-        if all(end <= a or start >= b for _, a, b in sure):
+        at = bisect_left(taken, (start, start))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
             sure.append((kind, start, end))
 
+    def inside(data: bytes | None) -> str | None:
+        if not data:
+            return None
+        if is_key(data):
+            return "private_key"
+        if depth > 1 and len(data) >= 40 and TEXT.issuperset(data[:64]) and TEXT.issuperset(data):
+            found = confirmed(data.decode("ascii"), depth - 1)
+            return found[0][0] if found else None
+        return None
+
     if "-----BEGIN " in text:
         for m in ARMOURED.finditer(text):
             if is_key(decoded("".join(m[2].split()))):
@@ -140,12 +167,24 @@ def scan(text: str) -> list[tuple[int, int, str, int, str]]:
             if is_signed_token(m[0]):
                 add("signed_token", *m.span())
     for m in ENCODED.finditer(text):
-        if m[0][0] in "Mb" and is_key(decoded(m[0])):
-            add("private_key", *m.span())
+        if kind := inside(decoded(m[0])):
+            add(kind, *m.span())
     for m in HEX_BYTES.finditer(text):
-        if m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])):
-            add("private_key", *m.span())
-    return sorted((a, RANK[k], k, b, text[a:b]) for k, a, b in found + sure)
+        if kind := inside(bytes.fromhex(m[0])):
+            add(kind, *m.span())
+    return sure
+
+
+def scan(text: str) -> list[tuple[int, int, str, int, str]]:
+    """Sorted spans of the base kinds and of what decoding confirms; confirmed ones don't overlap each other."""
+    found = []
+    low = text.lower()
+    if any(w in low for w in WORDS):
+        found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    if "AKIA" in text:
+        found += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    found += [("hex", *m.span()) for m in HEX.finditer(text)]
+    return sorted((a, RANK[k], k, b, text[a:b]) for k, a, b in found + confirmed(text))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "spans") -> DataFrame:
@@ -153,7 +192,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The base kinds are found by pattern. Base64 runs, hex runs, armoured blocks and dotted tokens
     are decoded and reported only where they parse as a private key (DER with nested lengths that
-    fit, or the OpenSSH container) or as a signed token. Null or empty text has none; null ids and
+    fit, encrypted or not, or the OpenSSH container) or as a signed token; what decodes to text is
+    searched in turn, up to DEPTH encodings deep. Null or empty text has none; null ids and
     repeated rows stay as they are. Patterns take time in proportion to the text.
     """
     kind = docs.schema[id_col].dataType.simpleString()

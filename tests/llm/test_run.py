@@ -28,6 +28,12 @@ def fixture(prose):
     return [(*r, len(r[1]) if r[1] is not None else None) for r in rows]
 
 
+def with_odd_columns(docs):
+    """docs with further columns whose names have dots and backticks or clash with the stages' own, and of nested types."""
+    extra = {c: F.lit("x") for c in ("meta.url", "row", "k", "tick`ed", "site_lines", "copies", "a b", "u", "h", "z")}
+    return docs.withColumns(extra | {"map.of": F.create_map(F.lit("a"), F.lit(1)), "list": F.array(F.lit(1), F.lit(None)), "nested": F.struct(F.lit(1).alias("b.c"))})
+
+
 def plain_lines(rows):
     """Stage two on (id, text, lang, source, n) rows, line by line."""
     bare = lambda x: x.strip(" \t\r")
@@ -84,7 +90,7 @@ def test_run_is_the_plain_pipeline(spark, prose, tmp_path):
     rows = fixture(prose)
     labels = [(i, int(i < 200), 0) for i in [*range(0, 100), *range(200, 230)]]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    docs = spark.createDataFrame(rows, schema)
+    docs = with_odd_columns(spark.createDataFrame(rows, schema))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     marks.write.parquet(f"{tmp_path}/labels.parquet")
@@ -133,8 +139,18 @@ def test_run_is_the_plain_pipeline(spark, prose, tmp_path):
 
 
 def test_stages_on_empty_tables(spark, tmp_path):
-    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = with_odd_columns(spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_stages_keep_columns_of_any_name(spark, prose, tmp_path):
+    rows = fixture(prose)[:90]
+    docs = with_odd_columns(spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert {tuple(r) for r in out.select("`meta.url`", "`tick``ed`", "`a b`").collect()} == {("x", "x", "x")}, name
