@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import lines, mixing, neardup, packing, quality
-from gristmill.llm.common import Scratch, spent
+from gristmill.llm.common import Scratch, columns_of, spent
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def without_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     text = lines.drop_site_lines_of_pages(docs)
     length = F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))
-    return text.withColumn("n_chars", length).select(*docs.columns)
+    return text.withColumn("n_chars", length).select(*columns_of(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
