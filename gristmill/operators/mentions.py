@@ -132,6 +132,36 @@ def reader_spans(spans: DataFrame, k: int, max_tokens: int = 12, max_words: int
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def span_search(windows: DataFrame, k: int, starts: int = 20, ends: int = 20, max_tokens: int = 12) -> DataFrame:
+    """(query_id, doc_id, start, end, start_logit, end_logit, rank): the k best spans of each text by a reader's logits.
+
+    windows are (query_id, doc_id, offset, start_logits, end_logits): a text's tokens from offset on,
+    in windows that may overlap. In each window the best starts meet the best ends (ties: the
+    earlier), and pairs of 1 to max_tokens tokens count. A span that several windows bring has the best of its scores.
+    """
+
+    def best(column: str, n: int) -> Column:
+        placed = F.transform(F.col(column), lambda x, i: F.struct((-x).alias("minus"), i.alias("i")))
+        return F.slice(F.array_sort(F.filter(placed, lambda x: x["minus"].isNotNull() & ~F.isnan(x["minus"]))), 1, n)
+
+    tops = windows.select("query_id", "doc_id", "offset", best("start_logits", starts).alias("s"), best("end_logits", ends).alias("e"))
+    pairs = tops.select("query_id", "doc_id", "offset", F.explode("s").alias("s"), "e").select("query_id", "doc_id", "offset", "s", F.explode("e").alias("e"))
+    pairs = pairs.where((F.col("e.i") >= F.col("s.i")) & (F.col("e.i") - F.col("s.i") < max_tokens)).select(
+        "query_id", "doc_id", (F.col("offset") + F.col("s.i")).alias("start"), (F.col("offset") + F.col("e.i")).alias("end"), (-F.col("s.minus")).alias("a"), (-F.col("e.minus")).alias("b")
+    )
+    one = pairs.groupBy("query_id", "doc_id", "start", "end").agg(F.max(F.struct((F.col("a") + F.col("b")).alias("score"), "a", "b")).alias("x"))
+    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("x.score"), "start", "end")
+    found = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "doc_id", "start", "end", F.col("x.a").alias("start_logit"), F.col("x.b").alias("end_logit"), "rank")
+
+
+def text_windows(rows: DataFrame, tokens: str, size: int, stride: int) -> DataFrame:
+    """rows with offset and the tokens of each window of a list: every ``stride`` tokens one of ``size``, the last to the end."""
+    n = F.size(tokens)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / F.lit(stride)).cast("int") * stride, F.lit(0)), F.lit(stride))
+    return rows.where(n > 0).withColumn("offset", F.explode(starts)).withColumn(tokens, F.slice(tokens, F.col("offset") + 1, size))
+
+
 def merge_mentions(reader: Column, heuristic: Column, top_heuristic: int = 2, most: int = 5) -> Column:
     """A reader's mentions, then the first heuristic ones; without any of the reader's all heuristic ones."""
     both = F.concat(reader, F.slice(heuristic, 1, top_heuristic))

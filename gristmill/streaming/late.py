@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gristmill.functions import text as T
-from gristmill.operators.retrieve import Bm25Index, bm25_weight, query_terms
+from gristmill.operators.retrieve import K1, B, Bm25Index, bm25_weight, idf, query_terms
 from gristmill.sources.store import few
 
 
@@ -33,3 +34,49 @@ def arrival_counts(events: DataFrame, window: str = "1 hour", delay: str = "10 m
     """Events by type and window of time; ts must be a timestamp."""
     counted = events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def running_top_k(arrivals: DataFrame, index: Bm25Index, queries: DataFrame, k: int, delay: str = "10 minutes") -> DataFrame:
+    """(query_id, doc_id, score, rank) as a stream in update mode: each query's k best of all arrivals (doc_id, text, ts) so far.
+
+    A document counts once within the watermark's delay, and not if it comes after it. Arrivals are
+    scored by the index's fixed statistics: their distinct terms meet the queries' terms. The state of a
+    query is its k best, so it stays small however long the stream runs; a query's rows follow whenever they change.
+    """
+    import pandas as pd
+
+    wanted = query_terms(queries).join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats))
+    wanted = wanted.select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("lift"), "avgdl")
+    counted = first_arrivals(arrivals, delay).select("doc_id", T.token_count(F.col("text")).alias("dl"), T.tokens(F.col("text")).alias("tokens"))
+    terms = counted.select("doc_id", "dl", F.explode("tokens").alias("term")).join(few(wanted), "term")
+    q, d = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (arrivals, "doc_id")))
+
+    def update(key, batches, state):
+        ids, scores = (list(x) for x in state.get) if state.exists else ([], [])
+        before, found = (ids, scores), dict(zip(ids, scores))
+        # A document's terms are all in one batch of the stream, as one row of it brought them.
+        by_term = pd.concat(batches).groupby(["doc_id", "term"], sort=False).agg(tf=("dl", "size"), dl=("dl", "first"), lift=("lift", "first"), avgdl=("avgdl", "first"))
+        by_term["part"] = by_term["lift"] * by_term["tf"] * (K1 + 1) / (by_term["tf"] + K1 * (1 - B + B * by_term["dl"] / by_term["avgdl"]))
+        found.update(by_term.groupby("doc_id", sort=False)["part"].sum().round(6).items())
+        best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+        ids, scores = [x for x, _ in best], [float(x) for _, x in best]
+        state.update((ids, scores))
+        if (ids, scores) != before:
+            yield pd.DataFrame({"query_id": [key[0]] * len(ids), "doc_id": ids, "score": scores, "rank": range(1, len(ids) + 1)})
+
+    out = f"query_id {q}, doc_id {d}, score double, rank int"
+    return terms.groupBy("query_id").applyInPandasWithState(update, out, f"ids array<{d}>, scores array<double>", "update", "NoTimeout")
+
+
+def last_rows(stream: DataFrame, key: str, folder: str, checkpoint: str) -> DataFrame:
+    """What a stream in update mode last said of each key, once all that is available has run; rows of a key come together."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/{number}")  # a batch that runs again replaces its rows
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    newest = rows.groupBy(key).agg(F.max("_batch").alias("_batch"))
+    return rows.join(newest, [key, "_batch"], "left_semi").drop("_batch")
