@@ -6,7 +6,6 @@ says which documents are poison (toxic), and a document's source says where it c
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -1008,7 +1007,7 @@ def stream_late_documents(spark, sf):
 @query
 def stream_running_top_k(spark, sf):
     """All documents as a stream of arrivals, some a minute, each query's best so far kept as state."""
-    found, place = index(spark, sf), f"{store.folder(spark)}/stream-{uuid.uuid4().hex}"
+    found, place = index(spark, sf), store.place(spark, "stream")
     stamped = docs(spark, sf).select("doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.expr("doc_id div 100")).alias("ts"))
     stamped.repartitionByRange(8, "ts").write.parquet(f"{place}/in")
     arrivals = spark.readStream.schema(stamped.schema).option("maxFilesPerTrigger", 3).parquet(f"{place}/in")

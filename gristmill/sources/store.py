@@ -32,15 +32,21 @@ def folder(spark: SparkSession) -> str:
     return spark.sparkContext._gristmill_folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written out and read again; the table goes when the program ends."""
-    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the program ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not hasattr(spark.sparkContext, "_gristmill_stored"):
         spark.sparkContext._gristmill_stored = []
         atexit.register(_dropped, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gristmill_stored)
     spark.sparkContext._gristmill_stored.append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written out and read again."""
+    path = place(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _dropped(jvm, conf, paths: list[str]) -> None:
