@@ -17,6 +17,7 @@ from gristmill.functions import text as X
 from gristmill.operators import choose, cluster, evaluate, fusion, mentions, policy, quantised, retrieve, sampling, score, select, summary, support
 from gristmill.operators import vectors as vectors_pooled
 from gristmill.plans import harden, retrievers, tables
+from gristmill.plans import run as run_plan
 from gristmill.sources import readers, store
 from gristmill.streaming import late
 
@@ -757,6 +758,34 @@ def hardened_references(spark, sf):
     return hardened(spark, sf).references.withColumn("labels", F.array_join("labels", ";"))
 
 
+CONFIG = """{"dataset": "given", "top_k": 5, "adv_per_query": 5, "M": 10, "repeat_times": 4,
+ "retriever": {"type": "secure_ensemble", "fusion": "consensus_rrf", "candidate_depth": 30, "channels": [
+   {"name": "vectors", "type": "dense", "dense": {"score": "cosine"}}, {"name": "words", "type": "bm25", "bm25": {"k1": 1.5, "b": 0.75}}]},
+ "evidence_hardening": {"enabled": true, "candidate_depth": 20, "cluster": {"cap": 1}, "answer_support": {"max_docs_per_answer": 2, "grounding_enabled": true},
+   "query_echo": {"enabled": true}, "provenance_gate": {"enabled": true}, "rank_guard": {"enabled": true}, "top1_dominance": {"enabled": true},
+   "margin_gate": {"enabled": true, "mode": "complex"}, "head_filter": {"enabled": true}, "constrained_selection": {"enabled": true}}}"""
+
+
+def configured(spark, sf) -> run_plan.Run:
+    """A run over the given tables from a configuration file."""
+    path = store.place(spark, "config")
+    spark.createDataFrame([(CONFIG.replace("\n", " "),)], "value string").coalesce(1).write.text(path)
+    given = inputs(spark, sf)
+    given.documents = docs(spark, sf).withColumn("provenance", provenance())
+    return run_plan.run(run_plan.read_config(spark, path), given, poison(spark, sf), responses(spark, sf).select("ord", "response", "incorrect_answer"))
+
+
+@query
+def run_results(spark, sf):
+    return configured(spark, sf).results.withColumn("score", F.round("score", 6))
+
+
+@query
+def run_summary_row(spark, sf):
+    rows = configured(spark, sf).summary
+    return rows.withColumns({f.name: F.to_json(f.name) for f in rows.schema if isinstance(f.dataType, (T.MapType, T.ArrayType))})
+
+
 # --- policies -------------------------------------------------------------------------------------
 
 
