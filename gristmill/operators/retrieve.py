@@ -183,7 +183,9 @@ def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int, k1: float = K1, b:
     pruned = bm25_pruned(index, queries, k, k1, b)
     pruned.likely = stored(pruned.likely)
     wanted = looked_up(index, pruned).withColumnRenamed("doc_id", "of_doc")
-    met = index.blocks.select("term", "block", F.explode("entries").alias("e")).join(few(wanted), ["term", "block"]).where(F.equal_null(F.col("e.doc_id"), F.col("of_doc")))
+    needed = index.blocks.join(few(wanted.select("term", "block").distinct()), ["term", "block"], "left_semi")
+    entries = needed.select(F.col("term").alias("of_term"), F.explode("entries").alias("e"))
+    met = entries.join(few(wanted), (F.col("of_term") == F.col("term")) & F.equal_null(F.col("e.doc_id"), F.col("of_doc")))
     part = F.col("lift") * bm25_part(F.col("e.tf"), F.col("e.dl"), F.col("avgdl"), k1, b)
     more = met.select("query_id", F.col("of_doc").alias("doc_id"), part.alias("partial"))
     scores = pruned.likely.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("partial"), DIGITS).alias("score"))
