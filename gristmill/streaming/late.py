@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gristmill.functions import text as T
-from gristmill.operators.retrieve import K1, B, Bm25Index, bm25_weight, idf, query_terms
-from gristmill.sources.store import few
+from gristmill.operators.retrieve import SHIPPED_QUERIES, Bm25Index, shipped_lifts, shipped_scores, type_of
 
 
 def score_arrivals(arrivals: DataFrame, index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of streamed (doc_id, text): scored by the index's fixed statistics, without state.
 
-    Each arrival meets the queries' terms inside its own row, so the stream needs no grouping.
+    Each arrival's distinct terms meet the queries' terms inside its own row, so the stream needs no
+    grouping, and time grows with the terms that they share. Queries are shipped to the tasks.
     """
-    terms = query_terms(queries).join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    by_query = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "df")).alias("terms")).crossJoin(F.broadcast(index.stats))
-    rows = arrivals.select("doc_id", T.tokens(F.col("text")).alias("tokens")).crossJoin(few(by_query))
-    tf = lambda t: F.size(F.filter("tokens", lambda x: x == t["term"]))
-    one = lambda t: t["qtf"] * bm25_weight(tf(t), F.size("tokens"), F.col("n"), t["df"], F.col("avgdl"))
-    score = F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(tf(t) > 0, one(t)).otherwise(0.0))
-    return rows.select("query_id", "doc_id", F.round(score, 6).alias("score"))
+    lifts = shipped_lifts(index, queries, known=False)
+    if lifts is None:
+        raise ValueError(f"more than {SHIPPED_QUERIES} queries")
+    return shipped_scores(T.doc_terms(arrivals), lifts, type_of(queries, "query_id"))
 
 
 def first_arrivals(arrivals: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -40,24 +37,22 @@ def running_top_k(arrivals: DataFrame, index: Bm25Index, queries: DataFrame, k:
     """(query_id, doc_id, score, rank) as a stream in update mode: each query's k best of all arrivals (doc_id, text, ts) so far.
 
     A document counts once within the watermark's delay, and not if it comes after it. Arrivals are
-    scored by the index's fixed statistics: their distinct terms meet the queries' terms. The state of a
-    query is its k best, so it stays small however long the stream runs; a query's rows follow whenever they change.
+    scored by the index's fixed statistics where they are, and only a task's best of each query are
+    shuffled. The state of a query is its k best, so it stays small however long the stream runs; a query's rows follow whenever they change.
     """
     import pandas as pd
 
-    wanted = query_terms(queries).join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.stats))
-    wanted = wanted.select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("lift"), "avgdl")
-    counted = first_arrivals(arrivals, delay).select("doc_id", T.token_count(F.col("text")).alias("dl"), T.tokens(F.col("text")).alias("tokens"))
-    terms = counted.select("doc_id", "dl", F.explode("tokens").alias("term")).join(few(wanted), "term")
-    q, d = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (arrivals, "doc_id")))
+    lifts = shipped_lifts(index, queries)
+    if lifts is None:
+        raise ValueError(f"more than {SHIPPED_QUERIES} queries")
+    q, d = type_of(queries, "query_id"), type_of(arrivals, "doc_id")
+    scores = shipped_scores(T.doc_terms(first_arrivals(arrivals, delay)), lifts, q, k)
 
     def update(key, batches, state):
         ids, scores = (list(x) for x in state.get) if state.exists else ([], [])
         before, found = (ids, scores), dict(zip(ids, scores))
-        # A document's terms are all in one batch of the stream, as one row of it brought them.
-        by_term = pd.concat(batches).groupby(["doc_id", "term"], sort=False).agg(tf=("dl", "size"), dl=("dl", "first"), lift=("lift", "first"), avgdl=("avgdl", "first"))
-        by_term["part"] = by_term["lift"] * by_term["tf"] * (K1 + 1) / (by_term["tf"] + K1 * (1 - B + B * by_term["dl"] / by_term["avgdl"]))
-        found.update(by_term.groupby("doc_id", sort=False)["part"].sum().round(6).items())
+        for rows in batches:
+            found.update(zip(rows["doc_id"].tolist(), rows["score"].tolist()))
         best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
         ids, scores = [x for x, _ in best], [float(x) for _, x in best]
         state.update((ids, scores))
@@ -65,7 +60,7 @@ def running_top_k(arrivals: DataFrame, index: Bm25Index, queries: DataFrame, k:
             yield pd.DataFrame({"query_id": [key[0]] * len(ids), "doc_id": ids, "score": scores, "rank": range(1, len(ids) + 1)})
 
     out = f"query_id {q}, doc_id {d}, score double, rank int"
-    return terms.groupBy("query_id").applyInPandasWithState(update, out, f"ids array<{d}>, scores array<double>", "update", "NoTimeout")
+    return scores.groupBy("query_id").applyInPandasWithState(update, out, f"ids array<{d}>, scores array<double>", "update", "NoTimeout")
 
 
 def last_rows(stream: DataFrame, key: str, folder: str, checkpoint: str) -> DataFrame:
