@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as T
 from gristmill.operators import choose, evaluate, score, summary
 from gristmill.plans import harden, retrievers
-from gristmill.sources.store import stored
+from gristmill.sources.store import few, stored
 
 # The configuration's keys, by section, and the field that each sets. Defaults are those of the fields.
 GUARD = {"top_n": "top_n", "min_promotion_margin": "min_margin", "max_promotion_original_rank": "most_rank", "min_answer_clusters": "min_clusters"}
@@ -129,7 +129,7 @@ def run(config: dict[str, Any], given: retrievers.Inputs, poison: DataFrame, res
     found = found.select("query_id", "doc_id", "rank", "score", channels.alias("channels"), support.cast("int").alias("support_count"))
     trace = None
     if on:
-        rows = found.join(texts, "doc_id")
+        rows = few(found).join(texts, "doc_id")
         rows = rows if "provenance" in rows.columns else rows.withColumn("provenance", F.lit("indexed_corpus"))
         hardened = harden.harden(rows.drop("support_count"), given.queries, k, hardening(evidence), required=given.queries if "require_authority" in given.queries.columns else None)
         trace = hardened.trace
@@ -139,7 +139,7 @@ def run(config: dict[str, Any], given: retrievers.Inputs, poison: DataFrame, res
         results = found.drop("channels")
     results = stored(evaluate.poison_hits(results, poison))
     contexts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
-    shown = results.join(texts.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(contexts.alias("contexts"))
+    shown = few(results).join(texts.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(contexts.alias("contexts"))
     prompts = given.queries.select("query_id", "query").join(shown, "query_id").select("query_id", T.prompt(F.col("query"), F.col("contexts")).alias("prompt"))
     spark = results.sparkSession
     alpha = (config.get("retriever") or {}).get("alpha")
